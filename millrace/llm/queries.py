@@ -30,12 +30,30 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"), packing.Packing(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import line_dedup
+
+    return line_dedup.report(_read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import mixing
 
     return mixing.report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_quality_rules, op4_packing, op7_mixing)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import ngram_join
+
+    return ngram_join.joined(_read(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_quality_rules, op4_packing, op6_line_dedup, op7_mixing, op10_ngram_join, pipeline)}
 
 ORACLES: dict[str, str] = {}

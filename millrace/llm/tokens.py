@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: White space by Unicode, as the patterns of the vocabularies read it.
-_WHITE = "\t-\r \x85\xa0  -     　"
+_WHITE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 class ChunkEncoder:
