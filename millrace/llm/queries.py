@@ -48,6 +48,12 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(_read(spark, sf_dir, "pages"))
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import media
+
+    return media.report(_read(spark, sf_dir, "documents"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import ngram_join
 
@@ -60,6 +66,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_quality_rules, op4_packing, op6_line_dedup, op7_mixing, op8_html_extraction, op10_ngram_join, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_quality_rules, op4_packing, op6_line_dedup, op7_mixing, op8_html_extraction, op9_media_columns, op10_ngram_join, pipeline)}
 
 ORACLES: dict[str, str] = {}
