@@ -18,6 +18,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(_read(spark, sf_dir, "pages"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import suffix_dedup
+
+    return suffix_dedup.report(_read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import quality
 
@@ -66,6 +72,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_quality_rules, op4_packing, op6_line_dedup, op7_mixing, op8_html_extraction, op9_media_columns, op10_ngram_join, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_quality_rules, op4_packing, op6_line_dedup, op7_mixing, op8_html_extraction, op9_media_columns, op10_ngram_join, pipeline)}
 
 ORACLES: dict[str, str] = {}
