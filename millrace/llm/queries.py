@@ -36,6 +36,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"), packing.Packing(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import token_files
+
+    return token_files.report(_read(spark, sf_dir, "documents"), token_files.TokenFiles(public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import line_dedup
 
@@ -72,6 +78,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_quality_rules, op4_packing, op6_line_dedup, op7_mixing, op8_html_extraction, op9_media_columns, op10_ngram_join, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_quality_rules, op4_packing, op5_token_files, op6_line_dedup, op7_mixing, op8_html_extraction, op9_media_columns, op10_ngram_join, pipeline)}
 
 ORACLES: dict[str, str] = {}
