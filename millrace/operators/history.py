@@ -8,7 +8,6 @@ from pyspark.sql import Window as W
 
 from millrace.plans.scope import Scope, page, seconds
 
-ONE = F.lit(1)
 
 
 def _flag(df: DataFrame, other: DataFrame, on: list[str], name: str) -> DataFrame:
@@ -18,7 +17,7 @@ def _flag(df: DataFrame, other: DataFrame, on: list[str], name: str) -> DataFram
 
 def hot_files(commits: DataFrame, commit_files: DataFrame, files: DataFrame, scope: Scope, limit: int = 20) -> DataFrame:
     """Most often changed paths; whether a path is at HEAD is looked up for the survivors only."""
-    top = scope.rows(commits, commit_files).groupBy("repo_slug", "path").agg(F.count(ONE).alias("commits"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))
+    top = scope.rows(commits, commit_files).groupBy("repo_slug", "path").agg(F.count(F.lit(1)).alias("commits"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))
     top = top.orderBy(F.desc("commits"), F.desc(F.col("added") + F.col("deleted")), "path", "repo_slug").limit(min(limit, 100))
     return _flag(top, files, ["repo_slug", "path"], "at_head")
 
@@ -26,14 +25,14 @@ def hot_files(commits: DataFrame, commit_files: DataFrame, files: DataFrame, sco
 def prefixes(df: DataFrame, path: str = "path", name: str = "directory") -> DataFrame:
     """A row for every directory above the path."""
     parts = F.split(F.col(path), "/", -1)
-    return df.withColumn("_parts", parts).filter(F.size("_parts") > 1).withColumn("_depth", F.explode(F.sequence(ONE, F.size("_parts") - 1))).withColumn(name, F.array_join(F.slice("_parts", ONE, F.col("_depth")), "/")).drop("_parts", "_depth")
+    return df.withColumn("_parts", parts).filter(F.size("_parts") > 1).withColumn("_depth", F.explode(F.sequence(F.lit(1), F.size("_parts") - 1))).withColumn(name, F.array_join(F.slice("_parts", F.lit(1), F.col("_depth")), "/")).drop("_parts", "_depth")
 
 
 def hot_directories(commits: DataFrame, commit_files: DataFrame, files: DataFrame, scope: Scope, depth: int = 2, limit: int = 20) -> DataFrame:
     """Most often changed directories ``depth`` segments below the scope's; a commit counts once however many files it touched."""
     skip = len(scope.directory.strip("/").split("/")) if scope.directory else 0
     parts = F.split("path", "/", -1)
-    directory = F.array_join(F.slice(parts, ONE, F.least(F.size(parts) - 1, F.lit(skip + min(max(depth, 1), 10)))), "/")
+    directory = F.array_join(F.slice(parts, F.lit(1), F.least(F.size(parts) - 1, F.lit(skip + min(max(depth, 1), 10)))), "/")
     rows = scope.rows(commits, commit_files).filter(F.size(parts) > 1).withColumn("directory", directory)
     top = rows.groupBy("repo_slug", "directory").agg(F.count_distinct("commit_id").alias("commits"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))
     top = top.orderBy(F.desc("commits"), F.desc(F.col("added") + F.col("deleted")), "directory", "repo_slug").limit(min(limit, 100))
@@ -73,8 +72,8 @@ def log_page(commits: DataFrame, size: int = 50, number: int = 1) -> DataFrame:
 
 def authors(commits: DataFrame, limit: int = 200) -> DataFrame:
     """Authors by address with their newest name; totals are over all of them."""
-    by = commits.groupBy("author_email").agg(F.max_by("author_name", "commit_id").alias("author_name"), F.count(ONE).alias("commits"), F.max("authored_at").alias("last_at"))
-    totals = by.agg(F.count(ONE).alias("total_authors"), F.sum("commits").alias("total_commits"))
+    by = commits.groupBy("author_email").agg(F.max_by("author_name", "commit_id").alias("author_name"), F.count(F.lit(1)).alias("commits"), F.max("authored_at").alias("last_at"))
+    totals = by.agg(F.count(F.lit(1)).alias("total_authors"), F.sum("commits").alias("total_commits"))
     top = by.orderBy(F.desc("commits"), "author_email").limit(min(limit, 200))
     return top.crossJoin(F.broadcast(totals))  # one row
 
@@ -82,7 +81,7 @@ def authors(commits: DataFrame, limit: int = 200) -> DataFrame:
 def change_log(commits: DataFrame, commit_files: DataFrame, size: int = 50, number: int = 1) -> DataFrame:
     """A page of commits with their number of files and changed lines; only the page's commits are added up."""
     rows = log_page(commits, size, number)
-    sums = commit_files.join(F.broadcast(rows.select("commit_id")), "commit_id", "left_semi").groupBy("commit_id").agg(F.count(ONE).alias("files"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))  # at most 200 rows
+    sums = commit_files.join(F.broadcast(rows.select("commit_id")), "commit_id", "left_semi").groupBy("commit_id").agg(F.count(F.lit(1)).alias("files"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))  # at most 200 rows
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return rows.join(sums, "commit_id", "left").select(*rows.columns, zero("files"), zero("added"), zero("deleted"))
 
@@ -139,7 +138,7 @@ def co_changed(commits: DataFrame, commit_files: DataFrame, files: DataFrame, an
         before = dirs.select("repo_slug", F.col("path").alias("anchor"), F.concat("previous_path", F.substring("path", F.length("directory") + 1, F.length("path"))).alias("name"), F.lit(True).alias("old"))
         own = own.unionByName(before).distinct()
     rows = Scope(days).history(commits, commit_files)
-    small = rows.groupBy("commit_id").agg(F.count(ONE).alias("paths")).filter(F.col("paths") <= ceiling)
+    small = rows.groupBy("commit_id").agg(F.count(F.lit(1)).alias("paths")).filter(F.col("paths") <= ceiling)
     rows = rows.join(small, "commit_id").select("commit_id", "repo_slug", "path", "change_kind")
     touching = rows.join(own, (rows.repo_slug == own.repo_slug) & (rows.path == own.name)).select(own.repo_slug.alias("repo_slug"), "anchor", "commit_id", (F.col("change_kind") == "renamed").alias("moved"))
     touching = touching.groupBy("repo_slug", "anchor", "commit_id").agg(F.bool_or("moved").alias("moved"))
@@ -147,7 +146,7 @@ def co_changed(commits: DataFrame, commit_files: DataFrame, files: DataFrame, an
     pairs = pairs.join(own.select("repo_slug", "anchor", F.col("name").alias("path")), ["repo_slug", "anchor", "path"], "left_anti")
     pairs = pairs.filter(~(F.col("moved") & (F.col("change_kind") == "renamed")))
     counted = pairs.groupBy("repo_slug", "anchor", "path").agg(F.count_distinct("commit_id").alias("together"))
-    totals = touching.groupBy("repo_slug", "anchor").agg(F.count(ONE).alias("commits"))
+    totals = touching.groupBy("repo_slug", "anchor").agg(F.count(F.lit(1)).alias("commits"))
     paired = pairs.groupBy("repo_slug", "anchor").agg(F.count_distinct("commit_id").alias("paired"))
     rank = F.row_number().over(W.partitionBy("repo_slug", "anchor").orderBy(F.desc("together"), "path"))
     top = counted.withColumn("rank", rank).filter(F.col("rank") <= limit)
@@ -167,6 +166,6 @@ def coverage(files: DataFrame, commits: DataFrame) -> DataFrame:
 
 def repository_status(files: DataFrame, commits: DataFrame) -> DataFrame:
     """Per repository: number of commits, the newest one's fields, first and last dates."""
-    by = commits.groupBy("repo_slug").agg(F.count(ONE).alias("commits"), F.max_by(F.struct("sha", "author_name", "subject"), "commit_id").alias("newest"), F.min("authored_at").alias("first_at"), F.max("authored_at").alias("last_at"))
+    by = commits.groupBy("repo_slug").agg(F.count(F.lit(1)).alias("commits"), F.max_by(F.struct("sha", "author_name", "subject"), "commit_id").alias("newest"), F.min("authored_at").alias("first_at"), F.max("authored_at").alias("last_at"))
     out = files.select("repo_slug").distinct().join(by, "repo_slug", "left")
     return out.select("repo_slug", F.coalesce("commits", F.lit(0)).alias("commits"), "newest.sha", "newest.author_name", "newest.subject", seconds(F.col("first_at")).alias("first_second"), seconds(F.col("last_at")).alias("last_second"))

@@ -10,23 +10,22 @@ from pyspark.sql import Window as W
 
 from millrace.functions import patterns
 from millrace.operators.history import hot_files, prefixes
+from millrace.operators.language import PROFILES
 from millrace.plans.scope import Scope, seconds
 
-ONE = F.lit(1)
-# Languages by extension, and extensions of files that are no code.
-LANGUAGES = {"cs": "C#", "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "py": "Python", "go": "Go", "java": "Java", "c": "C", "h": "C", "cpp": "C++", "rs": "Rust", "sql": "SQL", "pas": "Pascal", "vb": "Visual Basic"}
+# Extensions of files that are no code.
 NOT_CODE = ("md", "txt", "json", "xml", "yml", "yaml", "csv", "lock", "svg", "png", "jpg", "ico")
 # File names of well-known generated files.
 WELL_KNOWN = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "Gemfile.lock", "Cargo.lock", "poetry.lock", "go.sum", "packages.lock.json")
 
 
 def extension_counts(files: DataFrame) -> DataFrame:
-    return files.groupBy("extension").agg(F.count(ONE).alias("files"), F.sum("line_count").alias("lines"), F.count("skip_reason").alias("skipped"))
+    return files.groupBy("extension").agg(F.count(F.lit(1)).alias("files"), F.sum("line_count").alias("lines"), F.count("skip_reason").alias("skipped"))
 
 
 def languages(spark: SparkSession) -> DataFrame:
     """Extension and language name: a short fixed table."""
-    return spark.createDataFrame(list(LANGUAGES.items()), "extension string, language string")
+    return spark.createDataFrame([(e, p.name) for p in PROFILES for e in p.extensions], "extension string, language string")
 
 
 def with_language(df: DataFrame) -> DataFrame:
@@ -45,9 +44,9 @@ def language_shares(files: DataFrame, top: int = 20) -> DataFrame:
 def top_folders(files: DataFrame, most: int = 100) -> DataFrame:
     """First segments of each repository with files, lines and bytes; files at the root are one group; dropped folders are counted."""
     folder = F.when(F.contains("path", F.lit("/")), F.split_part("path", F.lit("/"), F.lit(1)))
-    by = files.groupBy("repo_slug", folder.alias("folder")).agg(F.count(ONE).alias("files"), F.sum("line_count").alias("lines"), F.sum("size_bytes").alias("bytes"))
+    by = files.groupBy("repo_slug", folder.alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.sum("line_count").alias("lines"), F.sum("size_bytes").alias("bytes"))
     repo = W.partitionBy("repo_slug")
-    ranked = by.withColumns({"rank": F.row_number().over(repo.orderBy(F.col("folder").isNull(), F.desc("files"), "folder")), "folders": F.count(ONE).over(repo)})
+    ranked = by.withColumns({"rank": F.row_number().over(repo.orderBy(F.col("folder").isNull(), F.desc("files"), "folder")), "folders": F.count(F.lit(1)).over(repo)})
     return ranked.filter(F.col("rank") <= most).withColumn("dropped", F.greatest(F.col("folders") - most, F.lit(0))).drop("rank", "folders")
 
 
@@ -64,7 +63,7 @@ def section_authors(commits: DataFrame, commit_files: DataFrame, scope: Scope, l
     touched = commit_files.groupBy("commit_id").agg(F.bool_or(~patterns.excluded(F.col("path"), scope.excluded_paths)).alias("counts"))
     own = commits.filter(F.col("repo_slug") == scope.repo) if scope.repo else commits
     own = own.join(touched, "commit_id", "left").filter("coalesce(counts, true)")
-    return own.groupBy("author_email").agg(F.max_by("author_name", "commit_id").alias("author_name"), F.count(ONE).alias("commits")).orderBy(F.desc("commits"), "author_email").limit(limit)
+    return own.groupBy("author_email").agg(F.max_by("author_name", "commit_id").alias("author_name"), F.count(F.lit(1)).alias("commits")).orderBy(F.desc("commits"), "author_email").limit(limit)
 
 
 def excluded_counts(commits: DataFrame, commit_files: DataFrame, files: DataFrame, scope: Scope) -> DataFrame:
@@ -77,15 +76,15 @@ def excluded_counts(commits: DataFrame, commit_files: DataFrame, files: DataFram
 
 def hotspots(commits: DataFrame, commit_files: DataFrame, files: DataFrame, scope: Scope, limit: int = 10) -> DataFrame:
     """Files by commits times lines; ties by changed lines, then path. Files without lines and files that are gone are not among them."""
-    by = scope.rows(commits, commit_files).groupBy("repo_slug", "path").agg(F.count(ONE).alias("commits"), F.sum(F.col("added") + F.col("deleted")).alias("changed"))
+    by = scope.rows(commits, commit_files).groupBy("repo_slug", "path").agg(F.count(F.lit(1)).alias("commits"), F.sum(F.col("added") + F.col("deleted")).alias("changed"))
     rows = by.join(files.filter("skip_reason IS NULL AND line_count > 0").select("repo_slug", "path", "line_count"), ["repo_slug", "path"])
     return rows.withColumn("score", F.col("commits") * F.col("line_count")).orderBy(F.desc("score"), F.desc("changed"), "path", "repo_slug").limit(limit)
 
 
 def authors_per_file(commits: DataFrame, commit_files: DataFrame, files: DataFrame, scope: Scope, limit: int = 10) -> DataFrame:
     """Files with most authors, and the shares of the three who changed it most."""
-    each = scope.rows(commits, commit_files).groupBy("repo_slug", "path", "author_email").agg(F.count(ONE).alias("n"))
-    by = each.groupBy("repo_slug", "path").agg(F.count(ONE).alias("authors"), F.sum("n").alias("commits"), F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
+    each = scope.rows(commits, commit_files).groupBy("repo_slug", "path", "author_email").agg(F.count(F.lit(1)).alias("n"))
+    by = each.groupBy("repo_slug", "path").agg(F.count(F.lit(1)).alias("authors"), F.sum("n").alias("commits"), F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
     by = by.join(files.select("repo_slug", "path"), ["repo_slug", "path"], "left_semi").orderBy(F.desc("authors"), F.desc("commits"), "path", "repo_slug").limit(limit)
     share = lambda i: (F.coalesce(F.try_element_at("ns", F.lit(i)), F.lit(0)) / F.col("commits")).alias(f"share{i}")
     return by.select("repo_slug", "path", "authors", "commits", share(1), share(2), share(3))
@@ -100,7 +99,7 @@ def _folder_root(files: DataFrame, levels: int = 3, share: float = 0.8) -> DataF
         rest = F.when(F.col("root") == "", F.col("path")).otherwise(F.substring("path", F.length("root") + 2, F.length("path")))
         inside = inside.withColumns({"rest": rest}).withColumn("folder", F.when(F.contains("rest", F.lit("/")), F.split_part("rest", F.lit("/"), F.lit(1))))
         second = F.when(F.regexp_count("rest", F.lit("/")) > 1, F.split_part("rest", F.lit("/"), F.lit(2)))
-        by = inside.withColumn("second", second).groupBy("repo_slug", "root", "folder").agg(F.count(ONE).alias("n"), F.count_distinct("second").alias("subfolders"))
+        by = inside.withColumn("second", second).groupBy("repo_slug", "root", "folder").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("second").alias("subfolders"))
         total = by.groupBy("repo_slug").agg(F.sum("n").alias("total"), F.max_by(F.struct("folder", "n", "subfolders"), F.when(F.col("folder").isNotNull(), F.col("n"))).alias("most"))
         down = total.filter((F.col("most.n") >= share * F.col("total")) & (F.col("most.subfolders") >= 2)).select("repo_slug", F.col("most.folder").alias("into"))
         roots = roots.join(down, "repo_slug", "left").select("repo_slug", F.when(F.col("into").isNull(), F.col("root")).when(F.col("root") == "", F.col("into")).otherwise(F.concat_ws("/", "root", "into")).alias("root"))
@@ -113,17 +112,17 @@ def folder_coupling(commits: DataFrame, commit_files: DataFrame, files: DataFram
     Commits over the ceiling are left out before exclusions; a repository's folders are cut to ``top``, so a commit has few pairs.
     """
     rows = scope.history(commits, commit_files)
-    small = rows.groupBy("commit_id").agg(F.count(ONE).alias("n")).filter(F.col("n") <= ceiling).select("commit_id")
+    small = rows.groupBy("commit_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= ceiling).select("commit_id")
     rows = rows.join(small, "commit_id", "left_semi").filter(scope.kept(F.col("path"))).join(_folder_root(files), "repo_slug")
     rows = rows.filter((F.col("root") == "") | F.startswith("path", F.concat("root", F.lit("/"))))
     rest = F.when(F.col("root") == "", F.col("path")).otherwise(F.substring("path", F.length("root") + 2, F.length("path")))
     rows = rows.withColumn("rest", rest).filter(F.contains("rest", F.lit("/"))).select("repo_slug", "commit_id", F.split_part("rest", F.lit("/"), F.lit(1)).alias("folder")).distinct()
-    by = rows.groupBy("repo_slug", "folder").agg(F.count(ONE).alias("commits"))
+    by = rows.groupBy("repo_slug", "folder").agg(F.count(F.lit(1)).alias("commits"))
     kept = by.withColumn("rank", F.row_number().over(W.partitionBy("repo_slug").orderBy(F.desc("commits"), "folder"))).filter(F.col("rank") <= top).drop("rank")
     rows = rows.join(kept, ["repo_slug", "folder"])
     one = lambda k: rows.select("repo_slug", "commit_id", F.col("folder").alias(k), F.col("commits").alias(f"commits_{k}"))
     pairs = one("a").join(one("b"), ["repo_slug", "commit_id"]).filter("a < b")
-    return pairs.groupBy("repo_slug", "a", "b", "commits_a", "commits_b").agg(F.count(ONE).alias("together"))
+    return pairs.groupBy("repo_slug", "a", "b", "commits_a", "commits_b").agg(F.count(F.lit(1)).alias("together"))
 
 
 def period_unit(days: int) -> str:
@@ -151,13 +150,13 @@ def suggestions(commits: DataFrame, commit_files: DataFrame, files: DataFrame, a
     Sources: declared generated files, generated names of the languages, well-known names, and files that many commits only bump. The
     coverage of at most a few hundred patterns is counted in one job; only the order is settled here.
     """
-    bumps = commit_files.groupBy("repo_slug", "path").agg(F.count(ONE).alias("n"), F.max(F.col("added") + F.col("deleted")).alias("most")).withColumn("bumped", (F.col("n") >= bump_commits) & (F.col("most") <= bump_lines))
+    bumps = commit_files.groupBy("repo_slug", "path").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("added") + F.col("deleted")).alias("most")).withColumn("bumped", (F.col("n") >= bump_commits) & (F.col("most") <= bump_lines))
     head = files.select("repo_slug", "path", F.split_part("path", F.lit("/"), F.lit(-1)).alias("name")).join(bumps.select("repo_slug", "path", "bumped"), ["repo_slug", "path"], "left").withColumn("bumped", F.coalesce("bumped", F.lit(False)))
     names = head.groupBy("name").agg(F.bool_and("bumped").alias("all"), F.count_if("bumped").alias("n"), F.min(F.when(F.col("bumped"), F.col("path"))).alias("path")).filter("n > 0").orderBy(F.desc("n"), "name").limit(patterns.MAX_EXCLUDED).collect()
     candidates = [(p, "attributes") for p in attributes] + [(p, "language") for p in globs] + [(p, "known") for p in WELL_KNOWN] + [(r["name"] if r["all"] else "/" + r["path"], "history") for r in names]
     covers = F.array(*(patterns.excluded(F.col("path"), [p]) for p, _ in candidates))
     # A file counts for the first pattern that covers it.
-    first = head.select(F.array_position(covers, F.lit(True)).alias("i")).filter("i > 0").groupBy("i").agg(F.count(ONE).alias("n"))
+    first = head.select(F.array_position(covers, F.lit(True)).alias("i")).filter("i > 0").groupBy("i").agg(F.count(F.lit(1)).alias("n"))
     won = {int(r["i"]): r["n"] for r in first.collect()}
     return [(p, why, won[i]) for i, (p, why) in enumerate(candidates, 1) if i in won]
 
@@ -167,7 +166,7 @@ def tree(files: DataFrame, depth: int = 2) -> DataFrame:
     depth = min(max(depth, 1), 64)
     level = F.regexp_count("path", F.lit("/"))
     dirs = prefixes(files.select("repo_slug", "path", "line_count", "size_bytes")).filter(F.regexp_count("directory", F.lit("/")) < depth)
-    dirs = dirs.groupBy("repo_slug", F.col("directory").alias("path")).agg(F.count(ONE).alias("files"), F.sum("line_count").alias("lines"), F.sum("size_bytes").alias("bytes")).withColumn("is_directory", F.lit(True))
+    dirs = dirs.groupBy("repo_slug", F.col("directory").alias("path")).agg(F.count(F.lit(1)).alias("files"), F.sum("line_count").alias("lines"), F.sum("size_bytes").alias("bytes")).withColumn("is_directory", F.lit(True))
     leaves = files.filter(level < depth).select("repo_slug", "path", F.lit(1).cast("long").alias("files"), F.col("line_count").alias("lines"), F.col("size_bytes").alias("bytes"), F.lit(False).alias("is_directory"))
     parent = F.regexp_extract("path", "^(.*/)[^/]*$", 1)
     key = F.concat(F.regexp_replace(parent, "([^/]+)/", "0$1/"), F.when(F.col("is_directory"), "0").otherwise("1"), F.split_part("path", F.lit("/"), F.lit(-1)))
@@ -176,7 +175,7 @@ def tree(files: DataFrame, depth: int = 2) -> DataFrame:
 
 def repository_level(files: DataFrame) -> DataFrame:
     """The tree's top level: repositories with their sums."""
-    return files.groupBy("repo_slug").agg(F.count(ONE).alias("files"), F.sum("line_count").alias("lines"), F.sum("size_bytes").alias("bytes"))
+    return files.groupBy("repo_slug").agg(F.count(F.lit(1)).alias("files"), F.sum("line_count").alias("lines"), F.sum("size_bytes").alias("bytes"))
 
 
 def _nearest_rank(p: float) -> Column:
@@ -187,7 +186,7 @@ def call_statistics(calls: DataFrame, last: int = 100) -> DataFrame:
     """Per project and tool over its last calls: count, failed, median and 95th percentile by nearest rank, greatest, and the last one's time."""
     rank = F.row_number().over(W.partitionBy("project", "tool").orderBy(F.desc("at"), F.desc("call_id")))
     recent = calls.withColumn("rank", rank).filter(F.col("rank") <= last)
-    return recent.groupBy("project", "tool").agg(F.count(ONE).alias("calls"), F.count_if("failed").alias("failed"), _nearest_rank(0.5).alias("p50"), _nearest_rank(0.95).alias("p95"), F.max("seconds").alias("max"), F.max(seconds(F.col("at"))).alias("last_second"))
+    return recent.groupBy("project", "tool").agg(F.count(F.lit(1)).alias("calls"), F.count_if("failed").alias("failed"), _nearest_rank(0.5).alias("p50"), _nearest_rank(0.95).alias("p95"), F.max("seconds").alias("max"), F.max(seconds(F.col("at"))).alias("last_second"))
 
 
 def project_p95(calls: DataFrame, last: int = 200) -> DataFrame:
@@ -199,7 +198,7 @@ def calls_per_minute(calls: DataFrame, now: Column | None = None, minutes: int =
     """Calls and failures of each of the last minutes, with zeros; ``now`` is the newest call unless given."""
     end = calls.agg(F.floor(F.max(seconds(F.col("at"))) / 60).alias("end")) if now is None else calls.sparkSession.range(1).select(F.floor(seconds(now) / 60).alias("end"))
     every = end.filter("end IS NOT NULL").select(F.explode(F.sequence(F.col("end") - minutes + 1, F.col("end"))).alias("minute"))
-    counted = calls.groupBy(F.floor(seconds(F.col("at")) / 60).alias("minute")).agg(F.count(ONE).alias("calls"), F.count_if("failed").alias("failed"))
+    counted = calls.groupBy(F.floor(seconds(F.col("at")) / 60).alias("minute")).agg(F.count(F.lit(1)).alias("calls"), F.count_if("failed").alias("failed"))
     return every.join(counted, "minute", "left").select("minute", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("failed", F.lit(0)).alias("failed"))
 
 

@@ -15,7 +15,6 @@ from millrace.functions import patterns
 from millrace.plans.scope import FileFilter
 
 KEYS = ["repo_slug", "path"]
-ONE = F.lit(1)
 
 
 def _clamped(value: int, low: int, high: int) -> int:
@@ -49,12 +48,12 @@ def hits(lines: DataFrame, grep: Grep) -> DataFrame:
 
 
 def per_file(found: DataFrame) -> DataFrame:
-    return found.groupBy(*KEYS).agg(F.count(ONE).alias("n"))
+    return found.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
 
 
 def totals(found: DataFrame) -> DataFrame:
     """One row: files and lines; zeros where nothing matches."""
-    return per_file(found).agg(F.count(ONE).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines"))
+    return per_file(found).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines"))
 
 
 def page_files(found: DataFrame, grep: Grep) -> DataFrame:
@@ -89,7 +88,7 @@ def recount(lines: DataFrame, grep: Grep) -> DataFrame:
     """Files and lines that match with and without the filter, in one pass: what a search without a hit reports."""
     kept = grep.filter.apply(lines).select(*KEYS).distinct().withColumn("kept", F.lit(True))
     every = lines.filter(grep.predicate(F.col("content"))).join(kept, KEYS, "left")
-    return every.agg(F.count_distinct(F.when(F.col("kept"), F.struct(*KEYS))).alias("files"), F.count_distinct(F.struct(*KEYS)).alias("all_files"), F.count(ONE).alias("all_lines"))
+    return every.agg(F.count_distinct(F.when(F.col("kept"), F.struct(*KEYS))).alias("files"), F.count_distinct(F.struct(*KEYS)).alias("all_files"), F.count(F.lit(1)).alias("all_lines"))
 
 
 def documents(lines: DataFrame) -> DataFrame:
@@ -139,7 +138,7 @@ def distinct_matches(lines: DataFrame, pattern: str, group: int = 0, ignore_case
     pattern = patterns.check_regex(pattern, group)
     value = F.explode(F.regexp_extract_all("content", F.lit(("(?i)" if ignore_case else "") + pattern), group))
     found = lines.select(*KEYS, value.alias("value")).filter("value != ''")
-    out = found.groupBy("value").agg(F.count(ONE).alias("n"), F.count_distinct(*KEYS).alias("files")).orderBy(F.desc("n"), "value")
+    out = found.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*KEYS).alias("files")).orderBy(F.desc("n"), "value")
     return out.limit(limit) if limit else out
 
 
@@ -147,7 +146,7 @@ def match_totals(lines: DataFrame, pattern: str, group: int = 0) -> DataFrame:
     """Distinct values, occurrences and files of a pattern."""
     value = F.explode(F.regexp_extract_all("content", F.lit(patterns.check_regex(pattern, group)), group))
     found = lines.select(*KEYS, value.alias("value")).filter("value != ''")
-    return found.agg(F.count_distinct("value").alias("values"), F.count(ONE).alias("n"), F.count_distinct(*KEYS).alias("files"))
+    return found.agg(F.count_distinct("value").alias("values"), F.count(F.lit(1)).alias("n"), F.count_distinct(*KEYS).alias("files"))
 
 
 def symbol_lines(lines: DataFrame, symbol: str) -> DataFrame:
@@ -161,7 +160,7 @@ def references(lines: DataFrame, symbol: str, scope: FileFilter = FileFilter(),
     named = symbol_lines(lines, symbol)
     found = scope.apply(named)
     by = found.groupBy(*KEYS).agg(F.sum("occurrences").alias("n"))
-    whole = by.agg(F.count(ONE).alias("files"), F.sum("n").alias("total"))
+    whole = by.agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("total"))
     everywhere = named.agg(F.count_distinct(*KEYS).alias("all_files"))
     top = F.broadcast(by.orderBy(F.desc("n"), "path", "repo_slug").limit(min(most_files, 100)))  # at most 100 rows
     rank = F.row_number().over(W.partitionBy(*KEYS).orderBy("line_number"))
@@ -188,7 +187,7 @@ def scan_coverage(found: DataFrame, profiles: DataFrame) -> DataFrame:
     """Languages among the matching files that have no profile, or one without declaration shapes; ``profiles`` has ``extension, language, has_shapes``."""
     files = found.select(*KEYS, "extension").distinct().join(F.broadcast(profiles), "extension", "left")
     gap = F.when(F.col("language").isNull(), "no profile").when(~F.col("has_shapes"), "no shapes")
-    return files.withColumn("gap", gap).filter("gap IS NOT NULL").groupBy(F.coalesce("language", "extension").alias("language"), "gap").agg(F.count(ONE).alias("files"))
+    return files.withColumn("gap", gap).filter("gap IS NOT NULL").groupBy(F.coalesce("language", "extension").alias("language"), "gap").agg(F.count(F.lit(1)).alias("files"))
 
 
 def naming_counts(lines: DataFrame, symbol: str, scope: FileFilter = FileFilter()) -> DataFrame:
@@ -234,6 +233,6 @@ def list_files(files: DataFrame, glob: str, scope: FileFilter = FileFilter(), si
     """A page of the files that a glob fits, with the total; and how many fit outside the filter."""
     fits = files.filter(patterns.glob_match(F.lower("qualified_path"), patterns.check_glob(glob.lower())))
     inside = scope.apply(fits)
-    counts = inside.agg(F.count(ONE).alias("total")).crossJoin(F.broadcast(fits.agg(F.count(ONE).alias("everywhere"))))
+    counts = inside.agg(F.count(F.lit(1)).alias("total")).crossJoin(F.broadcast(fits.agg(F.count(F.lit(1)).alias("everywhere"))))
     out = inside.orderBy("qualified_path").offset((max(number, 1) - 1) * size).limit(size)
     return out.select("qualified_path", "size_bytes", "line_count").crossJoin(F.broadcast(counts))  # one row

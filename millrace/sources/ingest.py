@@ -32,8 +32,7 @@ def skip_reason(content: Column, length: Column, limit: int = SIZE_LIMIT) -> Col
     return F.when(length > limit, F.lit(f"larger than {size_text(limit)}")).when(F.hex(head).rlike("^(?:..)*?00"), F.lit("binary"))
 
 
-@F.pandas_udf("string")
-def decoded(content: pd.Series) -> pd.Series:
+def decode(content: pd.Series) -> pd.Series:
     """Text of a file: by its byte order mark, else UTF-8 where it is valid, else Windows-1252."""
     marks = ((b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 
@@ -52,6 +51,10 @@ def decoded(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
+def decoded(content: Column) -> Column:
+    return F.pandas_udf(decode, "string")(content)
+
+
 def line_array(content: Column) -> Column:
     """Lines without line ends: every carriage return goes, and a last line feed opens no line."""
     parts = F.split(F.replace(content, F.lit("\r"), F.lit("")), "\n", -1)
@@ -74,7 +77,7 @@ def path_columns(path: Column) -> dict[str, Column]:
 def ingest(documents: DataFrame, single: bool = False, limit: int = SIZE_LIMIT) -> tuple[DataFrame, DataFrame]:
     """``files`` and ``lines`` of ``repo_slug, path, content (binary), length``; ids are hashes and survive a rebuild."""
     rows = documents.withColumn("skip_reason", skip_reason(F.col("content"), F.col("length"), limit))
-    rows = rows.withColumns({"file_id": F.xxhash64("repo_slug", "path"), "text": F.when(F.col("skip_reason").isNull(), decoded("content"))}).drop("content")
+    rows = rows.withColumns({"file_id": F.xxhash64("repo_slug", "path"), "text": F.when(F.col("skip_reason").isNull(), decoded(F.col("content")))}).drop("content")
     rows = rows.withColumns(path_columns(F.col("path"))).withColumn("qualified_path", F.col("path") if single else F.concat_ws("/", "repo_slug", "path"))
     counted = F.when(F.col("skip_reason").isNull(), F.size(line_array(F.col("text")))).otherwise(0).cast("long")
     files = rows.select("file_id", "repo_slug", "path", "qualified_path", "directory", "name", "extension", F.col("length").alias("size_bytes"), counted.alias("line_count"), "skip_reason")
