@@ -140,7 +140,7 @@ def co_changed(commits: DataFrame, commit_files: DataFrame, files: DataFrame, an
     rows = Scope(days).history(commits, commit_files)
     small = rows.groupBy("commit_id").agg(F.count(F.lit(1)).alias("paths")).filter(F.col("paths") <= ceiling)
     rows = rows.join(small, "commit_id").select("commit_id", "repo_slug", "path", "change_kind")
-    touching = rows.join(own, (rows.repo_slug == own.repo_slug) & (rows.path == own.name)).select(own.repo_slug.alias("repo_slug"), "anchor", "commit_id", (F.col("change_kind") == "renamed").alias("moved"))
+    touching = rows.withColumnRenamed("path", "name").join(own, ["repo_slug", "name"]).select("repo_slug", "anchor", "commit_id", (F.col("change_kind") == "renamed").alias("moved"))
     touching = touching.groupBy("repo_slug", "anchor", "commit_id").agg(F.bool_or("moved").alias("moved"))
     pairs = touching.join(rows.select("commit_id", "repo_slug", "path", "change_kind"), ["commit_id", "repo_slug"])
     pairs = pairs.join(own.select("repo_slug", "anchor", F.col("name").alias("path")), ["repo_slug", "anchor", "path"], "left_anti")

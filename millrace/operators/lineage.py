@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.operators.history import prefixes
+from millrace.plans.tables import written
 
 MAX_HOPS = 8
 
@@ -33,12 +34,16 @@ def lineage_hops(commit_files: DataFrame) -> DataFrame:
 
 def lineage_chains(hops: DataFrame, most: int = MAX_HOPS) -> DataFrame:
     """``repo_slug, path, hop, previous_path``: followed for up to eight hops, never twice over one name."""
-    step = hops.select("repo_slug", F.col("path").alias("at"), F.col("previous_path").alias("next"))
+    hops = written(hops, "hops")
+    step = hops.select("repo_slug", F.col("path").alias("previous_path"), F.col("previous_path").alias("next"))
     chain = hops.select("repo_slug", "path", F.lit(1).alias("hop"), "previous_path", F.array("path", "previous_path").alias("seen"))
     out = chain
     for hop in range(2, most + 1):
-        chain = chain.join(step, (chain.repo_slug == step.repo_slug) & (chain.previous_path == step["at"])).filter(~F.array_contains("seen", F.col("next")))
-        chain = chain.select(chain.repo_slug, "path", F.lit(hop).alias("hop"), F.col("next").alias("previous_path"), F.array_append("seen", F.col("next")).alias("seen"))
+        chain = chain.join(step, ["repo_slug", "previous_path"]).filter(~F.array_contains("seen", F.col("next")))
+        chain = chain.select("repo_slug", "path", F.lit(hop).alias("hop"), F.col("next").alias("previous_path"), F.array_append("seen", F.col("next")).alias("seen"))
+        chain = written(chain, "chains")
+        if chain.isEmpty():
+            break
         out = out.unionByName(chain)
     return out.drop("seen")
 

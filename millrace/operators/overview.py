@@ -12,6 +12,7 @@ from millrace.functions import patterns
 from millrace.operators.history import hot_files, prefixes
 from millrace.operators.language import PROFILES
 from millrace.plans.scope import Scope, seconds
+from millrace.plans.tables import written
 
 # Extensions of files that are no code.
 NOT_CODE = ("md", "txt", "json", "xml", "yml", "yaml", "csv", "lock", "svg", "png", "jpg", "ico")
@@ -93,7 +94,7 @@ def authors_per_file(commits: DataFrame, commit_files: DataFrame, files: DataFra
 def _folder_root(files: DataFrame, levels: int = 3, share: float = 0.8) -> DataFrame:
     """Per repository the directory whose subfolders are compared: one that holds most files and at least two subfolders is descended into."""
     roots = files.select("repo_slug").distinct().withColumn("root", F.lit(""))
-    paths = files.select("repo_slug", "path").persist()
+    paths = files.select("repo_slug", "path")
     for _ in range(levels):
         inside = paths.join(roots, "repo_slug").filter((F.col("root") == "") | F.startswith("path", F.concat("root", F.lit("/"))))
         rest = F.when(F.col("root") == "", F.col("path")).otherwise(F.substring("path", F.length("root") + 2, F.length("path")))
@@ -102,7 +103,11 @@ def _folder_root(files: DataFrame, levels: int = 3, share: float = 0.8) -> DataF
         by = inside.withColumn("second", second).groupBy("repo_slug", "root", "folder").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("second").alias("subfolders"))
         total = by.groupBy("repo_slug").agg(F.sum("n").alias("total"), F.max_by(F.struct("folder", "n", "subfolders"), F.when(F.col("folder").isNotNull(), F.col("n"))).alias("most"))
         down = total.filter((F.col("most.n") >= share * F.col("total")) & (F.col("most.subfolders") >= 2)).select("repo_slug", F.col("most.folder").alias("into"))
+        before = roots
         roots = roots.join(down, "repo_slug", "left").select("repo_slug", F.when(F.col("into").isNull(), F.col("root")).when(F.col("root") == "", F.col("into")).otherwise(F.concat_ws("/", "root", "into")).alias("root"))
+        roots = written(roots, "folder-roots")
+        if roots.exceptAll(before).isEmpty():
+            break
     return roots
 
 
@@ -184,26 +189,26 @@ def _nearest_rank(p: float) -> Column:
 
 def call_statistics(calls: DataFrame, last: int = 100) -> DataFrame:
     """Per project and tool over its last calls: count, failed, median and 95th percentile by nearest rank, greatest, and the last one's time."""
-    rank = F.row_number().over(W.partitionBy("project", "tool").orderBy(F.desc("at"), F.desc("call_id")))
+    rank = F.row_number().over(W.partitionBy("project", "tool").orderBy(F.desc("called_at"), F.desc("call_id")))
     recent = calls.withColumn("rank", rank).filter(F.col("rank") <= last)
-    return recent.groupBy("project", "tool").agg(F.count(F.lit(1)).alias("calls"), F.count_if("failed").alias("failed"), _nearest_rank(0.5).alias("p50"), _nearest_rank(0.95).alias("p95"), F.max("seconds").alias("max"), F.max(seconds(F.col("at"))).alias("last_second"))
+    return recent.groupBy("project", "tool").agg(F.count(F.lit(1)).alias("calls"), F.count_if("failed").alias("failed"), _nearest_rank(0.5).alias("p50"), _nearest_rank(0.95).alias("p95"), F.max("seconds").alias("max"), F.max(seconds(F.col("called_at"))).alias("last_second"))
 
 
 def project_p95(calls: DataFrame, last: int = 200) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy("project").orderBy(F.desc("at"), F.desc("call_id")))
+    rank = F.row_number().over(W.partitionBy("project").orderBy(F.desc("called_at"), F.desc("call_id")))
     return calls.withColumn("rank", rank).filter(F.col("rank") <= last).groupBy("project").agg(_nearest_rank(0.95).alias("p95"))
 
 
 def calls_per_minute(calls: DataFrame, now: Column | None = None, minutes: int = 60) -> DataFrame:
     """Calls and failures of each of the last minutes, with zeros; ``now`` is the newest call unless given."""
-    end = calls.agg(F.floor(F.max(seconds(F.col("at"))) / 60).alias("end")) if now is None else calls.sparkSession.range(1).select(F.floor(seconds(now) / 60).alias("end"))
+    end = calls.agg(F.floor(F.max(seconds(F.col("called_at"))) / 60).alias("end")) if now is None else calls.sparkSession.range(1).select(F.floor(seconds(now) / 60).alias("end"))
     every = end.filter("end IS NOT NULL").select(F.explode(F.sequence(F.col("end") - minutes + 1, F.col("end"))).alias("minute"))
-    counted = calls.groupBy(F.floor(seconds(F.col("at")) / 60).alias("minute")).agg(F.count(F.lit(1)).alias("calls"), F.count_if("failed").alias("failed"))
+    counted = calls.groupBy(F.floor(seconds(F.col("called_at")) / 60).alias("minute")).agg(F.count(F.lit(1)).alias("calls"), F.count_if("failed").alias("failed"))
     return every.join(counted, "minute", "left").select("minute", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("failed", F.lit(0)).alias("failed"))
 
 
 def recent_calls(calls: DataFrame, limit: int = 50) -> DataFrame:
-    return calls.orderBy(F.desc("at"), F.desc("call_id")).limit(limit)
+    return calls.orderBy(F.desc("called_at"), F.desc("call_id")).limit(limit)
 
 
 def phases(events: DataFrame) -> DataFrame:

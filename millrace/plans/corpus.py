@@ -33,7 +33,7 @@ VIEWS: dict[str, str] = {
                concat(source, '/', lang, '/doc', cast(doc_id AS varchar(20)), '.txt') AS qualified_path, 'txt' AS extension, text AS content
         FROM {documents}""",
     "calls": """
-        SELECT cast(user_id % 10 AS varchar(20)) AS project, event_type AS tool, cast(ts AS timestamp) AS at, value / 1000 AS seconds,
+        SELECT cast(user_id % 10 AS varchar(20)) AS project, event_type AS tool, cast(ts AS timestamp) AS called_at, value / 1000 AS seconds,
                event_type = 'error' AS failed, event_id AS call_id
         FROM {events}""",
     "line_commits": """

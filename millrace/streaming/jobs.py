@@ -13,7 +13,7 @@ from millrace.sources.ingest import new_commits
 
 def minute_counts(calls: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Calls and failures per minute, project and tool; a minute is final when the watermark has passed it."""
-    by = calls.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late).groupBy(F.window("at", "1 minute"), "project", "tool")
+    by = calls.withColumn("called_at", F.col("called_at").cast("timestamp")).withWatermark("called_at", late).groupBy(F.window("called_at", "1 minute"), "project", "tool")
     out = by.agg(F.count(F.lit(1)).alias("calls"), F.count_if("failed").alias("failed"))
     return out.select((seconds(F.col("window.start")) / 60).cast("long").alias("minute"), "project", "tool", "calls", "failed")
 
