@@ -40,7 +40,7 @@ class ChunkStore:
     """Chunks have ``least`` to ``most`` samples, about ``least + 2 ** bits`` on average."""
 
     block: int = 64
-    least: int = 1024
+    least: int = 2048
     bits: int = 12
     most: int = 16384
     level: int = 6
@@ -148,9 +148,14 @@ def restored(recipes: DataFrame, kept: DataFrame, how: ChunkStore) -> DataFrame:
 
     once = recipes.groupBy("content").agg(*(F.first(c).alias(c) for c in ("payload_bytes", "digests", "lengths")))
     places = F.transform(F.sequence(F.lit(0), (F.length("digests") / 16).cast("int") - 1), lambda i: F.struct(i.alias("place"), F.substring("digests", 16 * i + 1, F.lit(16)).alias("digest")))
-    wanted = once.select("content", F.explode(places).alias("p")).select("content", "p.place", "p.digest")
+    # A payload of one chunk is whole once its chunk is found; only the chunks of the others move again.
+    single = once.filter(F.length("digests") == 16).join(kept, once.digests == kept.digest, "left").withColumn("parts", F.array(F.struct(F.lit(0).alias("place"), "data")))
+    several = once.filter(F.length("digests") > 16)
+    wanted = several.select("content", F.explode(places).alias("p")).select("content", "p.place", "p.digest")
     parts = wanted.join(kept, "digest", "left").groupBy("content").agg(F.collect_list(F.struct("place", "data")).alias("parts"))
-    return once.join(parts, "content").select("content", "payload_bytes", "digests", "lengths", "parts").mapInPandas(read, "content binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    columns = ["content", "payload_bytes", "digests", "lengths", "parts"]
+    every = single.select(*columns).unionByName(several.join(parts, "content").select(*columns))
+    return every.mapInPandas(read, "content binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def report(docs: DataFrame, how: ChunkStore = ChunkStore()) -> DataFrame:
