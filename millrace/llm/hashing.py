@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -47,6 +48,15 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return whole[at[0] : at[-1]], at - at[0]
 
 
+def slices(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(first, end, bytes, offsets)`` of runs of whole texts with about ``limit`` bytes, which bounds the memory for their hashes."""
+    i = 0
+    while i < len(offsets) - 1:
+        k = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+        yield i, k, data[offsets[i] : offsets[k]], offsets[i : k + 1] - offsets[i]
+        i = k
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z as a-z."""
     return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)

@@ -18,10 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from millrace.llm import links
-from millrace.llm.hashing import U, character_shingles, lowered, mix, text_bytes
-from millrace.llm.tables import written
+from millrace.llm.hashing import U, character_shingles, lowered, mix, slices, text_bytes
+from millrace.llm.tables import discard, written
 from millrace.llm.text import SPACE_CLASS
 
 
@@ -33,7 +34,7 @@ class LineDedup:
     bands: int = 11
     rows: int = 4
     percent: int = 75
-    lines_per_batch: int = 20_000
+    lines_per_batch: int = 10_000
     broadcast_rows: int = 1_000_000
     seed: int = 5
 
@@ -81,32 +82,41 @@ def _resolved(lines: DataFrame, how: LineDedup) -> DataFrame:
             seen = seen | set(nodes.tolist()) if len(seen) < 500_000 else set()  # only saves repeats
             nodes, first = nodes[fresh], first[fresh]
             if len(nodes):
-                data, at = text_bytes(batch.column(1).take(pa.array(first)))
-                sig = signatures(*character_shingles(lowered(data), at, how.shingle), how)
-                yield links.key_rows(nodes, np.full(len(nodes), how.bands), band_keys(sig, how).ravel(), buckets)
+                texts = text_bytes(batch.column(1).take(pa.array(first)))
+                every = [band_keys(signatures(*character_shingles(lowered(data), at, how.shingle), how), how) for _, _, data, at in slices(*texts)]
+                yield links.key_rows(nodes, np.full(len(nodes), how.bands), np.concatenate(every).ravel(), buckets)
 
     def as_set(raw: bytes) -> np.ndarray:
         return np.unique(character_shingles(lowered(np.frombuffer(raw, np.uint8)), np.array([0, len(raw)]), how.shingle)[0])
 
-    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [as_set(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([links.sketch(s) for s in sets], pa.binary()), batch.column(1)], ["node", "n", "sketch", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([links.sketch(s) for s in sets], pa.binary())], ["node", "n", "sketch"])
+
+    def fetch(nodes: DataFrame) -> DataFrame:
+        if nodes.count() <= how.broadcast_rows:
+            nodes = F.broadcast(nodes)
+        return lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.first(F.col("line").cast("binary")).alias("elements"))
 
     groups = written(links.grouped(lines.select("node", "line").mapInArrow(keys, links.KEYS_SCHEMA), buckets), "line-groups")
     wanted = written(groups.select(F.explode(F.concat(F.array("pivot"), F.col("members"))).alias("node")).distinct(), "line-nodes")
-    if wanted.count() <= how.broadcast_rows:
-        wanted = F.broadcast(wanted)
-    texts = lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.first(F.col("line").cast("binary")).alias("line"))
-    table = written(texts.mapInArrow(items, "node long, n long, sketch binary, elements binary"), "line-sets")
-    return links.resolve(groups, table, how.percent, as_set)
+    sketches = written(fetch(wanted).mapInArrow(outlines, "node long, n long, sketch binary"), "line-outlines")
+    labels = links.resolve(groups, sketches, fetch, how.percent, as_set)
+    discard(groups, wanted, sketches)
+    return labels
 
 
 def deduplicated(docs: DataFrame, how: LineDedup = LineDedup()) -> DataFrame:
-    """``row`` (struct of the caller's columns, its text and ``n_chars`` replaced), ``n_lines`` and ``n_removed``."""
-    base = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("uid")), "lines-in")
+    """``row`` (struct of the caller's columns, its text and ``n_chars`` replaced), ``n_lines`` and ``n_removed``.
+
+    A row is known by its id and a hash of its text. Rows that repeat both are found where the texts meet what goes of them: the first is
+    treated as described, the others lose every line that has a word.
+    """
+    base = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("uid"))
     lines = base.select("uid", F.col("row.doc_id").alias("doc_id"), F.posexplode(F.split(F.col("row.text"), "\n", -1)).alias("place", "line"))
-    lines = lines.filter(F.col("line").rlike(f"[^{SPACE_CLASS}]")).withColumn("node", F.xxhash64("line"))
+    has_word = f"[^{SPACE_CLASS}]"
+    lines = lines.filter(F.col("line").rlike(has_word)).withColumn("node", F.xxhash64("line"))
     labels = _resolved(lines, how)
     # Counted by node before anything is joined, so that a common line is one row.
     first = lines.groupBy("node").agg(F.min(F.struct("doc_id", "uid", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -114,15 +124,17 @@ def deduplicated(docs: DataFrame, how: LineDedup = LineDedup()) -> DataFrame:
     kept = nodes.groupBy("label").agg(F.min("first").alias("keep"))
     doubtful = nodes.join(kept, "label").select("node", "keep.uid", "keep.place")
     gone = lines.select("uid", "place", "node").alias("l").join(doubtful.alias("k"), "node").filter("l.uid != k.uid or l.place != k.place")
-    gone = gone.groupBy("l.uid").agg(F.collect_list("l.place").alias("gone"))
-    left = F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
-    out = base.join(gone, "uid", "left").withColumn("text", text)
+    gone = written(gone.groupBy("l.uid").agg(F.collect_set("l.place").alias("gone")), "lines-gone")
+    discard(nodes, labels)
+    again = F.row_number().over(W.partitionBy("uid").orderBy("uid")) > 1
+    out = base.join(gone, "uid", "left").withColumn("again", again)
+    left = F.filter(F.split("row.text", "\n", -1), lambda x, i: F.when(F.col("again"), ~x.rlike(has_word)).otherwise(~F.coalesce(F.array_contains("gone", i), F.lit(False))))
+    out = out.withColumn("left", F.when(F.col("again") | F.col("gone").isNotNull(), left)).withColumn("text", F.when(F.col("left").isNull(), F.col("row.text")).otherwise(F.array_join("left", "\n")))
     row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    n_lines = F.coalesce(F.size(F.split("row.text", "\n", -1)), F.lit(0)).cast("long")
-    return out.select(row.alias("row"), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+        row = row.withField("n_chars", F.when(F.col("left").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.split("row.text", "\n", -1))).cast("long")
+    return out.select(row.alias("row"), n_lines.alias("n_lines"), F.when(F.col("left").isNull(), 0).otherwise(n_lines - F.size("left")).cast("long").alias("n_removed"))
 
 
 def report(docs: DataFrame, how: LineDedup = LineDedup()) -> DataFrame:

@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.hashing import U, mix
-from millrace.llm.tables import written
+from millrace.llm.tables import discard, written
 
 KEYS_SCHEMA = "bucket int, nodes binary, counts binary, keys binary"
 GROUPS_SCHEMA = "gid long, pivot long, members array<long>, weight int"
 AsSet = Callable[[bytes], np.ndarray]
 #: Members in one piece of a group.
 PIECE = 4096
+#: Pairs per node and block in the rounds before the last, and how many of these rounds there are at most.
+NEAREST, ROUNDS = 4, 8
 #: Members in one side of a block of pairs.
 BLOCK = 1500
 
@@ -110,7 +112,7 @@ def stored_set(raw: bytes) -> np.ndarray:
 
 def sketch(distinct: np.ndarray) -> bytes:
     """Parity bits of a set: each hash flips one bit. Sets of different sizes compare by folding the longer sketch."""
-    size = 1 << max(6, int(len(distinct)).bit_length() + 1)
+    size = 1 << max(6, int(len(distinct)).bit_length() + 2)
     bits = np.bitwise_and(np.bincount((mix(distinct ^ U(0x1D8E4E27C47D124F)) % U(size)).astype(np.int64), minlength=size), 1)
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -138,14 +140,23 @@ def allowed(n: int, m: int, percent: int) -> int:
     return (100 - percent) * (n + m) // (100 + percent)
 
 
-def _checked(pairs: DataFrame, items: DataFrame, percent: int, as_set: AsSet) -> DataFrame:
-    """Of ``(a, b)``, the pairs whose sets are similar. Sketches come first; sets are fetched for what they leave."""
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of ``(a, b)``, the pairs that sizes and sketches don't rule out."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb, sa, sb = (c.to_pylist() for c in batch.columns)
-            keep = [100 * min(x, y) >= percent * max(x, y) and apart(s, t) <= allowed(x, y, percent) for x, y, s, t in zip(na, nb, sa, sb, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+            keep = pa.array([apart(s, t) <= allowed(x, y, percent) for x, y, s, t in zip(na, nb, sa, sb, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    side = lambda k, *more: sketches.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), *(F.col(c).alias(f"{c}_{k}") for c in more))
+    sized = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    both = sized.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b").select("a", "b", "na", "nb", "sketch_a", "sketch_b")
+    return written(both.mapInArrow(near, "a long, b long"), "near")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int, as_set: AsSet) -> DataFrame:
+    """Of ``(a, b)``, the pairs whose sets are similar, with the stored ``sets`` of their nodes."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,13 +165,16 @@ def _checked(pairs: DataFrame, items: DataFrame, percent: int, as_set: AsSet) ->
                 x, y = as_set(x), as_set(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("elements").alias(f"elements_{k}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "elements_a", "elements_b")
+    return written(rows.mapInArrow(similar, "a long, b long"), "links")
+
 
-    side = lambda k, c: items.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col(c).alias(f"{c}_{k}"))
-    left = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b").select("a", "b", "na", "nb", "sketch_a", "sketch_b")
-    left = written(left.mapInArrow(near, "a long, b long"), "near")
-    sets = left.join(side("a", "elements"), "a").join(side("b", "elements"), "b").select("a", "b", "elements_a", "elements_b")
-    return written(sets.mapInArrow(similar, "a long, b long"), "links")
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,8 +202,8 @@ def _labelled(pairs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return pairs.join(side, column, "left").withColumn(f"l{column}", F.coalesce(f"l{column}", column))
 
 
-def _across(groups: DataFrame, labels: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components that share a group and that sketches don't rule out."""
+def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, nearest: int = 0) -> DataFrame:
+    """Pairs of nodes of different components that share a group and that sketches don't rule out; with ``nearest`` so many per node and block."""
     rows = groups.select("gid", F.explode(F.concat(F.array("pivot"), F.col("members"))).alias("node")).distinct()
     rows = _labelled(rows, labels, "node")
     mixed = rows.groupBy("gid").agg(F.min("lnode").alias("x"), F.max("lnode").alias("y"), F.count(F.lit(1)).alias("m")).filter("x != y and m > 2").select("gid", "m")
@@ -199,7 +213,7 @@ def _across(groups: DataFrame, labels: DataFrame, items: DataFrame, percent: int
     rows = rows.join(mixed, "gid").withColumn("blocks", (F.col("m") / BLOCK).cast("int") + 1).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")))
     # Each block meets every block once: the row goes to the pairs (i, j) and (j, i) with the lower first.
     rows = rows.select("gid", "node", "lnode", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    rows = rows.join(items.select("node", "n", "sketch"), "node").select("gid", F.least("i", "j").cast("int").alias("p"), F.greatest("i", "j").cast("int").alias("q"), F.col("i").cast("int").alias("i"), "node", "lnode", "n", "sketch")
+    rows = rows.join(sketches, "node").select("gid", F.least("i", "j").cast("int").alias("p"), F.greatest("i", "j").cast("int").alias("q"), F.col("i").cast("int").alias("i"), "node", "lnode", "n", "sketch")
 
     def block(key: tuple, table: pa.Table) -> pa.Table:
         p, q = key[1].as_py(), key[2].as_py()
@@ -212,33 +226,58 @@ def _across(groups: DataFrame, labels: DataFrame, items: DataFrame, percent: int
             fits = (label != label[x]) & (side == q) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
             if p == q:
                 fits &= node > node[x]
+            found, distance = [], []
             for size, bits in tables.items():
                 y = np.flatnonzero(fits & (np.minimum(lengths, lengths[x]) == size))
                 if len(y):
-                    y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(1) <= (100 - percent) * (n[y] + n[x]) // (100 + percent)]
-                    out_a += np.minimum(node[y], node[x]).tolist()
-                    out_b += np.maximum(node[y], node[x]).tolist()
+                    d = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)
+                    close = d <= (100 - percent) * (n[y] + n[x]) // (100 + percent)
+                    found.append(y[close])
+                    distance.append(d[close])
+            if found:
+                y = np.concatenate(found)
+                if 0 < nearest < len(y):
+                    y = y[np.argsort(np.concatenate(distance), kind="stable")[:nearest]]
+                out_a += np.minimum(node[y], node[x]).tolist()
+                out_b += np.maximum(node[y], node[x]).tolist()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return rows.groupBy("gid", "p", "q").applyInArrow(block, "a long, b long").distinct()
 
 
-def resolve(groups: DataFrame, items: DataFrame, percent: int, as_set: AsSet = stored_set) -> DataFrame:
+def resolve(groups: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, as_set: AsSet = stored_set) -> DataFrame:
     """``(node, label)`` of the nodes that have links.
 
-    ``items`` has ``node, n, sketch, elements`` of all nodes in groups; ``as_set`` makes the sorted distinct hashes of ``elements``.
+    ``sketches`` has ``node, n, sketch`` of all nodes in groups. ``fetch`` gives ``node, elements`` of the nodes that it is asked for: those of
+    pairs that sketches leave open; ``as_set`` makes the sorted distinct hashes of ``elements``.
     """
     stars = groups.select("pivot", "weight", F.explode("members").alias("node")).groupBy("pivot", "node").agg(F.sum("weight").alias("w"))
     stars = written(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "w"), "stars")
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("w", -F.col("a"))).alias("a"))
-    links = _checked(best.select("a", "b"), items, percent, as_set)
+    near = _near(stars, sketches, percent)
+    sets = written(fetch(_nodes(near)), "sets", compression="none")
+    best = near.join(stars, ["a", "b"]).groupBy("b").agg(F.max_by("a", F.struct("w", -F.col("a"))).alias("a")).select("a", "b")
+    best = written(best, "best")
+    links = _similar(best, sets, percent, as_set)
     labels = components(links)
-    apart_ = _labelled(_labelled(stars.select("a", "b"), labels, "a"), labels, "b").filter("la != lb").select("a", "b")
-    apart_ = apart_.join(best, ["a", "b"], "left_anti")
-    links = links.unionByName(_checked(apart_, items, percent, as_set))
+    open_ = _labelled(_labelled(near, labels, "a"), labels, "b").filter("la != lb").select("a", "b").join(best, ["a", "b"], "left_anti")
+    links = links.unionByName(_similar(open_, sets, percent, as_set))
+    discard(sets, best)
     labels = components(links)
-    rest = _across(groups, labels, items, percent).join(stars, ["a", "b"], "left_anti")
-    more = _checked(rest, items, percent, as_set)
-    if more.isEmpty():
-        return labels
-    return components(links.unionByName(more))
+    discard(stars)
+    # Nearest pairs first: what they join need not be compared pair by pair. The last round leaves nothing out.
+    done, rounds = near, [NEAREST] * ROUNDS + [0]
+    while rounds:
+        nearest = rounds.pop(0)
+        rest = written(_across(groups, labels, sketches, percent, nearest).join(done, ["a", "b"], "left_anti"), "rest")
+        if rest.isEmpty():
+            more = rest
+        else:
+            sets = written(fetch(_nodes(rest)), "sets", compression="none")
+            more = _similar(rest, sets, percent, as_set)
+            discard(sets)
+        if more.isEmpty():
+            rounds = [0] if nearest else []
+        else:
+            links, done = links.unionByName(more), done.unionByName(rest)
+            labels = components(links)
+    return labels

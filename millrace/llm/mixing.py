@@ -67,11 +67,15 @@ def _offset(source: Column, mix: Mix) -> Column:
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``row`` (struct of the caller's columns, or of ``keep``), ``size``, ``source_size``, ``target``, ``copies``."""
+    """``row`` (struct of the caller's columns, or of ``keep``), ``size``, ``source_size``, ``target``, ``copies``.
+
+    Rows that are cut to ``keep`` are stored; whole rows are read a second time instead.
+    """
     key = F.xxhash64(F.lit(mix.seed), F.col("row.doc_id"))
     rows = docs.select(F.struct("*").alias("row"), word_count(F.col("text")).alias("size"), F.col("source").alias("source"))
     rows = rows.select(F.struct(*(F.col(f"row.{c}") for c in keep)).alias("row") if keep is not None else "row", "size", "source", key.alias("key")).withColumn("slice", F.pmod("key", F.lit(mix.slices)))
-    rows = written(rows, "mixing")
+    if keep is not None:
+        rows = written(rows, "mixing")
     cells = written(rows.groupBy("source", "size", "slice").agg(F.count(F.lit(1)).alias("n")), "cells")
     # Two steps, so that a window spans a source's distinct sizes and not all its cells.
     sizes = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -79,7 +83,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), keep: tuple[str, ...] | None = None
     sizes = sizes.select("source", "size", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("smaller"))
     inside = W.partitionBy("source", "size").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select("source", "size", "slice", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("earlier"))
-    dealt = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), mix)
+    dealt = targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), mix)
     start = cells.alias("c").join(sizes.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")) & (F.col("c.size") == F.col("s.size"))).join(dealt.alias("d"), F.col("c.source").eqNullSafe(F.col("d.source")))
     start = start.select("c.source", "c.size", "c.slice", (F.col("smaller") + F.col("earlier")).alias("before"), "source_size", "target")
     ranked = rows.withColumn("nth", F.row_number().over(W.partitionBy("source", "size", "slice").orderBy("key")))

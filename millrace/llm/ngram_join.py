@@ -17,7 +17,7 @@ sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import links
-from millrace.llm.hashing import U, lowered, mix, set_id, shingle_hashes, short_hash, text_bytes, word_hashes
-from millrace.llm.tables import written
+from millrace.llm.hashing import U, lowered, mix, set_id, shingle_hashes, short_hash, slices, text_bytes, word_hashes
+from millrace.llm.tables import discard, written
 
 SEEDS = 6
 
@@ -39,7 +39,7 @@ class NgramJoin:
 
     words: int = 5
     percent: int = 75
-    rows_per_batch: int = 4000
+    rows_per_batch: int = 1000
     broadcast_rows: int = 1_000_000
 
 
@@ -78,17 +78,18 @@ def join_keys(distinct: np.ndarray, percent: int) -> np.ndarray:
 
 def document_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """Distinct shingle hashes, sorted, text by text."""
-    words, at = word_hashes(lowered(data), offsets)
-    shingles = shingle_hashes(words, n)
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if b - a >= n:
-            yield np.unique(shingles[a : b - n + 1])
-        else:
-            yield short_hash(words[a:b]) if b > a else np.zeros(0, U)
+    for _, _, part, starts in slices(data, offsets):
+        words, at = word_hashes(lowered(part), starts)
+        shingles = shingle_hashes(words, n)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if b - a >= n:
+                yield np.unique(shingles[a : b - n + 1])
+            else:
+                yield short_hash(words[a:b]) if b > a else np.zeros(0, U)
 
 
-def _passes(docs: DataFrame, how: NgramJoin, buckets: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Plans over all texts: ids and sizes; join keys; whole sets with sketches."""
+def _passes(docs: DataFrame, how: NgramJoin, buckets: int) -> tuple[DataFrame, DataFrame, Callable, Callable]:
+    """Plans over all texts, ids and sizes and join keys; and plans over wanted ones, sketches and whole sets."""
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,28 +112,44 @@ def _passes(docs: DataFrame, how: NgramJoin, buckets: int) -> tuple[DataFrame, D
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = [(i, s) for i, s in zip(batch.column(0).to_pylist(), document_sets(*text_bytes(batch.column(1)), how.words), strict=True) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in every], pa.int64()), pa.array([set_id(s) for _, s in every], pa.int64()), pa.array([len(s) for _, s in every], pa.int64()), pa.array([links.sketch(s) for _, s in every], pa.binary()), pa.array([s.tobytes() for _, s in every], pa.binary())], ["doc_id", "node", "n", "sketch", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in every], pa.int64()), pa.array([set_id(s) for _, s in every], pa.int64()), pa.array([s.tobytes() for _, s in every], pa.binary())], ["doc_id", "node", "elements"])
+
+    def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [(i, s) for i, s in zip(batch.column(0).to_pylist(), document_sets(*text_bytes(batch.column(1)), how.words), strict=True) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in every], pa.int64()), pa.array([set_id(s) for _, s in every], pa.int64()), pa.array([len(s) for _, s in every], pa.int64()), pa.array([links.sketch(s) for _, s in every], pa.binary())], ["doc_id", "node", "n", "sketch"])
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", how.rows_per_batch)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(ids, "doc_id long, node long, n long"), texts.mapInArrow(keys, links.KEYS_SCHEMA), texts.mapInArrow(sets, "doc_id long, node long, n long, sketch binary, elements binary")
+
+    def of(wanted: DataFrame, task: Callable, schema: str) -> DataFrame:
+        """What a task makes of the documents that stand for the wanted nodes; only their texts are read into it."""
+        if wanted.count() <= how.broadcast_rows:
+            wanted = F.broadcast(wanted)
+        chosen = texts.alias("t").join(wanted.select("doc_id").distinct().alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
+        on = F.col("s.node").eqNullSafe(F.col("w.node")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))
+        # Rows that share an id with a wanted document fall away here; of equal rows one stays.
+        return chosen.mapInArrow(task, schema).alias("s").join(wanted.alias("w"), on, "left_semi").drop("doc_id")
+
+    sketches = lambda wanted: of(wanted, outlines, "doc_id long, node long, n long, sketch binary")
+    elements = lambda wanted: of(wanted, sets, "doc_id long, node long, elements binary")
+    return texts.mapInArrow(ids, "doc_id long, node long, n long"), texts.mapInArrow(keys, links.KEYS_SCHEMA), sketches, elements
 
 
 def joined(docs: DataFrame, how: NgramJoin = NgramJoin()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids, keys, sets = _passes(docs, how, buckets)
+    ids, keys, sketches, elements = _passes(docs, how, buckets)
     ids = written(ids, "ids")
     groups = written(links.grouped(keys, buckets), "groups")
     nodes = groups.select(F.explode(F.concat(F.array("pivot"), F.col("members"))).alias("node")).distinct()
     first = ids.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = written(first.join(nodes, "node"), "wanted")
-    if wanted.count() <= how.broadcast_rows:
-        wanted = F.broadcast(wanted)
-    on = F.col("s.node").eqNullSafe(F.col("w.node")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))
-    items = written(sets.alias("s").join(wanted.alias("w"), on, "left_semi"), "sets")
-    labels = links.resolve(groups, items, how.percent)
+    outlines = written(sketches(wanted).dropDuplicates(["node"]), "outlines")
+    fetch = lambda some: elements(written(wanted.join(some, "node"), "asked")).dropDuplicates(["node"])
+    labels = links.resolve(groups, outlines, fetch, how.percent)
+    discard(groups, wanted, outlines)
     rows = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

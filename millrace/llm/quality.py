@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from millrace.llm.tables import written
+from millrace.llm.tables import discard, written
 from millrace.llm.text import SPACE_CLASS, words
 
 MEASURES = ("word_length", "symbols", "dup_lines", "repeats")
@@ -105,13 +105,7 @@ def _group_fences(table: DataFrame, rules: QualityRules) -> DataFrame:
     return every.select(F.col("lang0").alias("lang_key"), F.col("source0").alias("source_key"), *(choose(c) for c in lo_hi))
 
 
-def judged(docs: DataFrame, rules: QualityRules = QualityRules(), keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``row`` (struct of the caller's columns, or of ``keep``), the base figures, ``base_failed`` and ``kept``."""
-    ratios = _with_ratios(_measured(docs, rules))
-    if keep is not None:
-        ratios = ratios.withColumn("row", F.struct(*(F.col(f"row.{c}") for c in keep)))
-    ratios = written(ratios, "quality")
-    table = written(_group_fences(fences(sketches(ratios), rules), rules).coalesce(1), "fences")
+def _judged(ratios: DataFrame, table: DataFrame) -> DataFrame:
     inside = F.lit(True)
     for m in MEASURES:
         inside = inside & F.col(m).between(F.col(f"lo_{m}"), F.col(f"hi_{m}"))
@@ -119,12 +113,24 @@ def judged(docs: DataFrame, rules: QualityRules = QualityRules(), keep: tuple[st
     return ratios.join(table, ["lang_key", "source_key"], "left").withColumn("kept", kept)
 
 
+def _fence_table(ratios: DataFrame, rules: QualityRules) -> DataFrame:
+    return written(_group_fences(fences(sketches(ratios), rules), rules).coalesce(1), "fences")
+
+
 def report(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """One row per document: the base figures, ``base_failed`` and ``kept``."""
     figures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return judged(docs, rules, keep=("doc_id",)).select("row.doc_id", *figures, *MEASURES)
+    ratios = written(_with_ratios(_measured(docs, rules)).withColumn("row", F.struct("row.doc_id")), "quality")
+    return _judged(ratios, _fence_table(ratios, rules)).select("row.doc_id", *figures, *MEASURES)
 
 
 def filtered(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The documents that are kept, with their columns as they came."""
-    return judged(docs, rules).filter("kept").select("row.*")
+    """The documents that are kept, with their columns as they came.
+
+    Only the measures are stored between the two passes over the texts, not the texts.
+    """
+    ratios = _with_ratios(_measured(docs, rules))
+    measures = written(ratios.select("lang_key", "source_key", "base_failed", *MEASURES), "quality")
+    table = _fence_table(measures, rules)
+    discard(measures)
+    return _judged(ratios, table).filter("kept").select("row.*")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.hashing import U, mix, powers, prefix_sums, text_bytes
+from millrace.llm.hashing import U, mix, powers, prefix_sums, slices, text_bytes
 from millrace.llm.tables import written
 
 #: Stands where a segment has no byte; UTF-8 does not use it.
@@ -40,8 +40,8 @@ class SuffixDedup:
 
     length: int = 200
     key: int = 100
-    rows_per_batch: int = 2000
-    rows_at_once: int = 60_000
+    rows_per_batch: int = 1000
+    rows_at_once: int = 30_000
 
 
 def window_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -138,17 +138,17 @@ def _plans(how: SuffixDedup, buckets: int) -> tuple:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Anchors of each text, packed by bucket."""
         for batch in batches:
-            data, at = text_bytes(batch.column(1))
-            uids = batch.column(0).to_numpy()
-            sums, (_, down) = prefix_sums(data), powers(len(data))
+            uids = batch.column(0).to_pylist()
             keys, digests, places, owners = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for uid, a, b in zip(uids.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if b - a >= how.length:
-                    h, d, p = anchors(sums, down, a, b, how)
-                    keys.append(h)
-                    digests.append(d)
-                    places.append(p)
-                    owners.append(np.full(len(p), uid))
+            for i, k, data, at in slices(*text_bytes(batch.column(1))):
+                sums, (_, down) = prefix_sums(data), powers(len(data))
+                for uid, a, b in zip(uids[i:k], at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    if b - a >= how.length:
+                        h, d, p = anchors(sums, down, a, b, how)
+                        keys.append(h)
+                        digests.append(d)
+                        places.append(p)
+                        owners.append(np.full(len(p), uid))
             h = np.concatenate(keys)
             bucket = ((h >> U(40)) % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -192,9 +192,10 @@ def _plans(how: SuffixDedup, buckets: int) -> tuple:
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Stretches that the matching statistics mark."""
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
             return
+        table = pa.Table.from_batches(parts)
         table = table.take(pa.array(np.argsort(table.column(0).to_numpy(), kind="stable")))
         anchor, uid, place = (table.column(i).to_numpy() for i in range(3))
         data, at = text_bytes(table.column(3))
