@@ -94,7 +94,7 @@ def replay(changes: DataFrame, known: DataFrame | None = None) -> DataFrame:
     rows = changes.join(families, ["repo_slug", "path"])
     if known is None:
         known = changes.sparkSession.createDataFrame([], RUNS)
-    old = known.join(families, ["repo_slug", "path"])
+    old = known.join(families.select("repo_slug", "path", F.col("family").alias("kin")), ["repo_slug", "path"])
 
     def run(edits: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         state: dict[tuple[str, str], list[int]] = {}
@@ -105,7 +105,7 @@ def replay(changes: DataFrame, known: DataFrame | None = None) -> DataFrame:
             state[(repo, path)] = lines
         return runs_of(replay_group(edits, state))
 
-    return rows.groupBy("repo_slug", "family").cogroup(old.groupBy("repo_slug", "family")).applyInPandas(run, RUNS)
+    return rows.groupBy("repo_slug", "family").cogroup(old.groupBy("repo_slug", "kin")).applyInPandas(run, RUNS)
 
 
 def replay_touched(changes: DataFrame, known: DataFrame) -> DataFrame:
