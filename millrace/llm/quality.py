@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from millrace.llm.tables import discard, written
+from millrace.llm.tables import written
 from millrace.llm.text import SPACE_CLASS, words
 
 MEASURES = ("word_length", "symbols", "dup_lines", "repeats")
@@ -125,12 +125,6 @@ def report(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
 
 
 def filtered(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The documents that are kept, with their columns as they came.
-
-    Only the measures are stored between the two passes over the texts, not the texts.
-    """
-    ratios = _with_ratios(_measured(docs, rules))
-    measures = written(ratios.select("lang_key", "source_key", "base_failed", *MEASURES), "quality")
-    table = _fence_table(measures, rules)
-    discard(measures)
-    return _judged(ratios, table).filter("kept").select("row.*")
+    """The documents that are kept, with their columns as they came. Measured rows are stored, so that the filter doesn't evaluate measures again."""
+    ratios = written(_with_ratios(_measured(docs, rules)), "quality")
+    return _judged(ratios, _fence_table(ratios, rules)).filter("kept").select("row.*")
