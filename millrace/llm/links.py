@@ -30,7 +30,7 @@ AsSet = Callable[[bytes], np.ndarray]
 #: Members in one piece of a group.
 PIECE = 4096
 #: Pairs per node and block in the rounds before the last, and how many of these rounds there are at most.
-NEAREST, ROUNDS = 4, 8
+NEAREST, ROUNDS = 4, 2
 #: Members in one side of a block of pairs.
 BLOCK = 1500
 
