@@ -15,8 +15,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); where it is unset, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext  # the setting itself can't be changed in a running session
+        if not context.getCheckpointDir():
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="millrace-"))
+        folder = context.getCheckpointDir()
     return folder
 
 
