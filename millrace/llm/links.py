@@ -29,10 +29,12 @@ GROUPS_SCHEMA = "gid long, pivot long, members array<long>, weight int"
 AsSet = Callable[[bytes], np.ndarray]
 #: Members in one piece of a group.
 PIECE = 4096
-#: Pairs per node and block in the rounds before the last, and how many of these rounds there are at most.
-NEAREST, ROUNDS = 4, 2
-#: Members in one side of a block of pairs.
-BLOCK = 1500
+#: Pairs per node and cell in the rounds before the last, and how many of these rounds there are at most.
+NEAREST, ROUNDS = 4, 1
+#: Members in one side of a block of pairs, and about how many bytes of sketches a cell of small groups holds.
+BLOCK, CELL_BYTES = 1500, 8_000_000
+#: Members that groups with the same first one bring to one cell.
+CELL_ROWS = 400_000
 
 
 def key_rows(nodes: np.ndarray, counts: np.ndarray, keys: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -202,47 +204,104 @@ def _labelled(pairs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return pairs.join(side, column, "left").withColumn(f"l{column}", F.coalesce(f"l{column}", column))
 
 
+def _closest(node: np.ndarray, n: np.ndarray, raw: list[bytes], a: np.ndarray, b: np.ndarray, percent: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of places ``a, b``, those that sketches don't rule out; with ``nearest`` so many per ``a``."""
+    lengths = np.array([len(r) for r in raw])
+    size = np.minimum(lengths[a], lengths[b])
+    distance = np.zeros(len(a), np.int64)
+    for s in np.unique(size).tolist():
+        pairs = np.flatnonzero(size == s)
+        used, place = np.unique(np.concatenate([a[pairs], b[pairs]]), return_inverse=True)
+        bits = np.stack([_fold(_unpacked(raw[i]), s) for i in used.tolist()])
+        if s % 8 == 0:
+            bits = bits.view(U)
+        x, y = place[: len(pairs)], place[len(pairs) :]
+        step = max(1, (1 << 22) // s)
+        for i in range(0, len(pairs), step):
+            distance[pairs[i : i + step]] = np.bitwise_count(bits[x[i : i + step]] ^ bits[y[i : i + step]]).sum(1, dtype=np.int64)
+    close = distance <= (100 - percent) * (n[a] + n[b]) // (100 + percent)
+    a, b, distance = a[close], b[close], distance[close]
+    if nearest:
+        order = np.lexsort((distance, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.diff(a, prepend=-1))
+        rank = np.arange(len(a)) - np.repeat(first, np.diff(first, append=len(a)))
+        a, b = a[rank < nearest], b[rank < nearest]
+    return node[a], node[b]
+
+
+def _shared_pairs(runs: list[np.ndarray], left: np.ndarray, right: np.ndarray, allow: Callable) -> np.ndarray:
+    """Codes ``a * len(left) + b`` of the pairs of places that share a run and that ``allow`` lets pass, each once.
+
+    ``runs`` holds places in ``left`` and ``right``, two flags of each place: pairs go from a left one to a right one.
+    """
+    n, spread = len(left), sum(len(r) ** 2 for r in runs)
+    used = np.unique(np.concatenate(runs))
+    if len(runs) * len(used) ** 2 < 50 * spread:  # much the same members: which pairs meet anywhere is a product of matrices
+        inside = np.zeros((len(runs), len(used)), np.float32)
+        for i, r in enumerate(runs):
+            inside[i, np.searchsorted(used, r)] = 1
+        x, y = np.nonzero(allow(used[:, None], used[None, :]) & ((inside * left[used]).T @ (inside * right[used]) > 0))
+        return used[x] * n + used[y]
+    out = []
+    for r in runs:
+        x, y = np.nonzero(allow(r[:, None], r[None, :]) & left[r][:, None] & right[r][None, :])
+        out.append(r[x] * n + r[y])
+    return np.unique(np.concatenate(out))
+
+
 def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, nearest: int = 0) -> DataFrame:
-    """Pairs of nodes of different components that share a group and that sketches don't rule out; with ``nearest`` so many per node and block."""
+    """Pairs of nodes of different components that share a group and that sketches don't rule out; with ``nearest`` so many per node and cell.
+
+    A cell holds many small groups, or pairs of blocks of large ones; both are bounded. Groups with the same first member in the order of a
+    hash meet in a cell: sets that are alike share hundreds of groups of nearly the same members, and each pair is compared there once.
+    """
     rows = groups.select("gid", F.explode(F.concat(F.array("pivot"), F.col("members"))).alias("node")).distinct()
     rows = _labelled(rows, labels, "node")
-    mixed = rows.groupBy("gid").agg(F.min("lnode").alias("x"), F.max("lnode").alias("y"), F.count(F.lit(1)).alias("m")).filter("x != y and m > 2").select("gid", "m")
+    mixed = rows.groupBy("gid").agg(F.min("lnode").alias("x"), F.max("lnode").alias("y"), F.count(F.lit(1)).alias("m"), F.min(F.xxhash64("node")).alias("rep")).filter("x != y and m > 2").select("gid", "m", "rep")
     mixed = written(mixed, "mixed")
-    if mixed.isEmpty():
+    total = mixed.agg(F.sum("m")).first()[0]
+    if not total:
         return groups.sparkSession.createDataFrame([], "a long, b long")
-    rows = rows.join(mixed, "gid").withColumn("blocks", (F.col("m") / BLOCK).cast("int") + 1).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    length = sketches.agg(F.avg(F.length("sketch"))).first()[0]
+    cells = int(total * (length + 100) / CELL_BYTES) + 1
+    held = mixed.groupBy("rep").agg(F.sum("m").alias("held"))
+    part = F.pmod(F.xxhash64("gid"), (F.col("held") / CELL_ROWS).cast("int") + 1)
+    blocks = F.pow(2, F.ceil(F.log2(F.greatest(F.col("m") / BLOCK, F.lit(1.0))))).cast("int")
+    mixed = mixed.join(held, "rep").select("gid", "rep", part.alias("part"), blocks.alias("blocks"))
+    rows = rows.join(mixed, "gid").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Each block meets every block once: the row goes to the pairs (i, j) and (j, i) with the lower first.
-    rows = rows.select("gid", "node", "lnode", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    rows = rows.join(sketches, "node").select("gid", F.least("i", "j").cast("int").alias("p"), F.greatest("i", "j").cast("int").alias("q"), F.col("i").cast("int").alias("i"), "node", "lnode", "n", "sketch")
-
-    def block(key: tuple, table: pa.Table) -> pa.Table:
-        p, q = key[1].as_py(), key[2].as_py()
-        side, node, label, n = (table.column(c).to_numpy() for c in ("i", "node", "lnode", "n"))
-        raw = table.column("sketch").to_pylist()
-        lengths = np.array([len(s) for s in raw])
-        tables = {s: np.stack([_fold(_unpacked(r), s) if len(r) >= s else np.zeros(s, np.uint8) for r in raw]) for s in set(lengths.tolist())}
-        out_a, out_b = [], []
-        for x in np.flatnonzero(side == p).tolist():
-            fits = (label != label[x]) & (side == q) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
-            if p == q:
-                fits &= node > node[x]
-            found, distance = [], []
-            for size, bits in tables.items():
-                y = np.flatnonzero(fits & (np.minimum(lengths, lengths[x]) == size))
-                if len(y):
-                    d = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)
-                    close = d <= (100 - percent) * (n[y] + n[x]) // (100 + percent)
-                    found.append(y[close])
-                    distance.append(d[close])
-            if found:
-                y = np.concatenate(found)
-                if 0 < nearest < len(y):
-                    y = y[np.argsort(np.concatenate(distance), kind="stable")[:nearest]]
-                out_a += np.minimum(node[y], node[x]).tolist()
-                out_b += np.maximum(node[y], node[x]).tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    return rows.groupBy("gid", "p", "q").applyInArrow(block, "a long, b long").distinct()
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("p", F.least("i", "j")).withColumn("q", F.greatest("i", "j"))
+    cell = F.when(F.col("blocks") > 1, F.xxhash64("rep", "part", "blocks", "p", "q")).otherwise(F.pmod(F.xxhash64("rep", "part"), F.lit(cells)))
+    rows = written(rows.select(cell.alias("cell"), "rep", "gid", "p", "q", "i", "node", "lnode"), "cells")
+    again = groups.sparkSession.read.schema(rows.schema).parquet(rows.table_path)  # columns of its own
+    nodes = again.select("cell", "node", "lnode", "p", "q", "i").distinct().join(sketches, "node")
+
+    def compared(key: tuple, members: pa.Table, nodes: pa.Table) -> pa.Table:
+        members = members.sort_by([("rep", "ascending"), ("gid", "ascending"), ("node", "ascending")])
+        rep, gid, node = (members.column(c).to_numpy() for c in ("rep", "gid", "node"))
+        distinct, first = np.unique(nodes.column("node").to_numpy(), return_index=True)
+        label, n, p, q, side = (nodes.column(c).to_numpy()[first] for c in ("lnode", "n", "p", "q", "i"))
+        raw = nodes.column("sketch").take(pa.array(first)).to_pylist()
+        place = np.searchsorted(distinct, node)
+        within = p == q
+        allow = lambda a, b: (label[a] != label[b]) & ((a < b) | ~within[a]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        cuts = [*np.flatnonzero(np.diff(gid, prepend=gid[0] ^ 1)).tolist(), len(gid)]
+        runs, found, out, held = [], [], [], 0
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            runs.append(place[s:e])
+            if e == len(gid) or rep[e] != rep[s]:
+                found.append(_shared_pairs(runs, side == p, side == q, allow))
+                held, runs = held + len(found[-1]), []
+            if found and (e == len(gid) or held > 1_000_000):
+                a, b = np.divmod(np.unique(np.concatenate(found)), len(distinct))
+                out.append(_closest(distinct, n, raw, a, b, percent, nearest))
+                found, held = [], 0
+        a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return rows.groupBy("cell").cogroup(nodes.groupBy("cell")).applyInArrow(compared, "a long, b long").distinct()
 
 
 def resolve(groups: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, as_set: AsSet = stored_set) -> DataFrame:

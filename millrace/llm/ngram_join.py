@@ -6,7 +6,8 @@ has touches one segment, so the number of differing segments bounds the symmetri
 d = (n + m)(100 - s)/(100 + s). By the pigeonhole principle two similar sets agree in one of their first d + 1 segments that are not empty: of
 the segments before the first one without a difference, every one that is not empty has a difference. Each document therefore joins on the
 sketches of its first d + 1 such segments, d being taken for the largest partner, in its own size band and in
-the next where a partner may lie there. A document with too few segments of that kind joins again under the next seed, and at last on every
+the following ones where a partner may lie. A band has as few segments as that allows, so that each holds two or three elements and a
+shingle or passage that many documents share does not bring them together by itself. A document with too few segments of that kind joins again under the next seed, and at last on every
 element. Candidates are ruled out by Hamming distance between whole parity sketches and then verified on the sets (``links``).
 
 Defined results: a null or blank text has an empty set and is linked with nothing; fewer words than a shingle make one
@@ -20,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from math import ceil, exp, log2
 
 import numpy as np
 import pyarrow as pa
@@ -43,29 +45,41 @@ class NgramJoin:
     broadcast_rows: int = 1_000_000
 
 
-def band(n: int) -> int:
-    """Start of the size band: a power of two."""
-    return 1 << (n.bit_length() - 1)
+@lru_cache(maxsize=4096)
+def band(n: int) -> tuple[int, int]:
+    """First size of the size band and of the next one: powers of the square root of two, rounded up."""
+    k = max(0, int(2 * log2(n)) - 2)
+    while ceil(2 ** ((k + 1) / 2)) <= n:
+        k += 1
+    return ceil(2 ** (k / 2)), ceil(2 ** ((k + 1) / 2))
 
 
-@lru_cache(maxsize=64)
-def segments(start: int) -> int:
-    return start + 8 * (int(start**0.5) + 1)
+@lru_cache(maxsize=256)
+def segments(start: int, percent: int) -> int:
+    """As few as leave the band's largest sets enough that are not empty: the fuller a segment, the fewer sets share it by chance."""
+    largest = band(start)[1] - 1
+    need = links.allowed(largest, largest, percent) + 1
+    n = need
+    while n * (1 - exp(-largest / n)) < need + 0.4 * n**0.5 * (need > 1) and n < 4 * largest:
+        n += max(1, n // 64)
+    return n
 
 
 def join_keys(distinct: np.ndarray, percent: int) -> np.ndarray:
-    """The segment sketches that a set joins on."""
+    """The segment sketches that a set joins on, in its own band and in those of larger partners."""
     n = len(distinct)
     largest = 100 * n // percent
-    need = max((100 - percent) * (n + largest) // (100 + percent), (100 - percent) * 2 * n // (100 + percent)) + 1
     out = []
-    for start in {band(n), band(largest)}:
+    start = 0
+    while start <= largest:
+        start, following = band(max(n, start))
+        need = links.allowed(n, max(n, min(largest, following - 1)), percent) + 1
         for seed in range(SEEDS + 1):
             h = mix(distinct ^ U(0x9FB21C651E98DF25 * (seed + 1) % (1 << 64)))
             if seed == SEEDS:
                 out.append(mix(h + U(start)))
                 break
-            where = (h >> U(20)) % U(segments(start))
+            where = (h >> U(20)) % U(segments(start, percent))
             order = np.argsort(where, kind="stable")
             where = where[order]
             firsts = np.flatnonzero(np.diff(where, prepend=U(1 << 40)))
@@ -73,6 +87,7 @@ def join_keys(distinct: np.ndarray, percent: int) -> np.ndarray:
             out.append(mix(parity ^ mix(where[firsts] + U((start << 20) + (seed << 60))))[:need])
             if len(firsts) >= need:
                 break
+        start = following
     return np.concatenate(out)
 
 
