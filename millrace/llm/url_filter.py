@@ -99,7 +99,7 @@ def calibrated(scores: DataFrame, model: UrlModel) -> DataFrame:
     hist = scores.groupBy(at.alias("bin")).agg(*(F.sum((F.col("known") == v).cast("long")).alias(v) for v in ("allow", "block")))
     below, all_ = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()  # at most bins + 1 rows
     hist = hist.withColumns({"lost": F.coalesce(F.sum("allow").over(below), F.lit(0)), "caught": F.coalesce(F.sum("block").over(below), F.lit(0)), "n_allow": F.sum("allow").over(all_), "n_block": F.sum("block").over(all_)})
-    errors = F.col("lost") / F.col("n_allow") + (F.col("n_block") - F.col("caught")) / F.col("n_block")
+    errors = F.try_divide("lost", "n_allow") + F.try_divide(F.col("n_block") - F.col("caught"), F.col("n_block"))  # null without one of the verdicts
     best = F.min_by("bin", F.struct(F.round(errors, 9), F.abs("bin"), "bin"))
     return hist.groupBy().agg(F.coalesce(best * width, F.lit(0.0)).alias("threshold"), F.coalesce((F.max("n_allow") > 0) & (F.max("n_block") > 0), F.lit(False)).alias("ready"))
 
