@@ -449,6 +449,13 @@ def skip_reasons(spark, d):
     return pages.select("page_id", ingest.skip_reason(raw, F.length(raw), 5000).alias("skip_reason"))
 
 
+@query("SELECT page_id, CASE WHEN strlen(html) > 26214400 THEN 'larger than 25 MiB' WHEN regexp_matches(substr(hex(html), 1, 16000), '^(?:..)*?00') THEN 'binary' END AS skip_reason FROM pages")
+def page_skip_reasons(spark, d):
+    """Every page by its bytes against the default ceiling; a page without html has no reason."""
+    raw = F.col("html").cast("binary")
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", ingest.skip_reason(raw, F.length(raw)).alias("skip_reason"))
+
+
 @query("SELECT count(*) AS files, sum(size_bytes)::BIGINT AS bytes FROM files WHERE " + _EXCLUDED_SQL)
 def excluded_files(spark, d):
     (files,) = _v(spark, d, "files")

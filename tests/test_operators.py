@@ -152,3 +152,12 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_runs_of_state():
     runs = attribution.runs_of({("one", "a"): [1, 1, 0, 2]})
     assert runs.equals(pd.DataFrame([("one", "a", 1, 2, 1), ("one", "a", 4, 4, 2)], columns=runs.columns))
+
+
+def test_skip_reasons_of_every_page(spark, tmp_path):
+    from millrace import queries
+
+    rows = [(1, "é" * 14_000_000), (2, "é" * 5000), (3, "a\x00b"), (4, None), (5, "plain"), (6, "")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.skip_reason for r in queries.QUERIES["page_skip_reasons"](spark, str(tmp_path)).collect()}
+    assert got == {1: "larger than 25 MiB", 2: None, 3: "binary", 4: None, 5: None, 6: None}
