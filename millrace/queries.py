@@ -168,6 +168,16 @@ def co_changed(spark, d):
     return history.co_changed(commits, changes, files, changes.select("repo_slug", "path").distinct(), None, 365, 5, 10)
 
 
+def co_changed_whole(spark, d):
+    """``co_changed`` with the default ceiling of paths a commit."""
+    commits, changes, files = _v(spark, d, "commits", "commit_files", "files")
+    return history.co_changed(commits, changes, files, changes.select("repo_slug", "path").distinct(), None, 365, limit=10)
+
+
+QUERIES["co_changed_whole"] = co_changed_whole
+ORACLES["co_changed_whole"] = ORACLES["co_changed"].replace("<= 5 GROUP", "<= 200 GROUP")
+
+
 @query("SELECT f.repo_slug, f.path, count(DISTINCT f.commit_id) AS commits, max(c.authored_at) AS newest_at FROM commit_files f JOIN commits c ON c.commit_id = f.commit_id GROUP BY 1, 2")
 def recorded_history(spark, d):
     commits, changes = _v(spark, d, "commits", "commit_files")
@@ -269,6 +279,15 @@ def folder_coupling(spark, d):
     return overview.folder_coupling(*_v(spark, d, "commits", "commit_files", "files"), YEAR, ceiling=10)
 
 
+def folder_coupling_whole(spark, d):
+    """``folder_coupling`` with the default ceiling of paths a commit."""
+    return overview.folder_coupling(*_v(spark, d, "commits", "commit_files", "files"), YEAR)
+
+
+QUERIES["folder_coupling_whole"] = folder_coupling_whole
+ORACLES["folder_coupling_whole"] = ORACLES["folder_coupling"].replace("count(*) <= 10)", "count(*) <= 200)")
+
+
 @query("""SELECT floor(epoch(p))::BIGINT AS period_second, coalesce(added, 0) AS added, coalesce(deleted, 0) AS deleted, coalesce(renamed, 0) AS renamed
     FROM (SELECT unnest(generate_series(date_trunc('month', (SELECT max(authored_at) FROM commits) - INTERVAL 365 DAY)::TIMESTAMP, date_trunc('month', (SELECT max(authored_at) FROM commits))::TIMESTAMP, INTERVAL 1 MONTH)) AS p)
     LEFT JOIN (SELECT date_trunc('month', authored_at)::TIMESTAMP AS m, count(*) FILTER (change_kind = 'added') AS added, count(*) FILTER (change_kind = 'deleted') AS deleted, count(*) FILTER (change_kind = 'renamed') AS renamed

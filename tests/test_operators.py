@@ -161,3 +161,20 @@ def test_skip_reasons_of_every_page(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r.page_id: r.skip_reason for r in queries.QUERIES["page_skip_reasons"](spark, str(tmp_path)).collect()}
     assert got == {1: "larger than 25 MiB", 2: None, 3: "binary", 4: None, 5: None, 6: None}
+
+
+def test_ceiling_of_paths(spark, tmp_path):
+    """Commits of 6 to 200 paths link theirs, one of 201 doesn't."""
+    from millrace import queries
+
+    assert "<= 200 GROUP" in queries.ORACLES["co_changed_whole"] and "<= 5 GROUP" not in queries.ORACLES["co_changed_whole"]
+    assert "<= 200)" in queries.ORACLES["folder_coupling_whole"] and "<= 10)" not in queries.ORACLES["folder_coupling_whole"]
+    many = lambda a, b, n: [(M, a, None), *((M, f"{b}/{i}.cs", None) for i in range(n - 1))]
+    commits, changes = corpus(spark, [(0, "Ada", many("a/Six.cs", "b", 6)), (1, "Ada", many("a/Full.cs", "b", 200)), (2, "Ada", many("a/Over.cs", "c", 201))])
+    anchors = changes.select("repo_slug", "path").filter("path like 'a/%'").distinct()
+    got = {}
+    for r in history.co_changed(commits, changes, heads(spark, "a/Six.cs"), anchors, None, 365, limit=1000).collect():
+        got.setdefault(r.anchor, set()).add(r.path)
+    assert {k: len(v) for k, v in got.items()} == {"a/Six.cs": 5, "a/Full.cs": 199}
+    rows = {(r.a, r.b): r.together for r in overview.folder_coupling(commits, changes, heads(spark, "a/Six.cs", "b/0.cs"), Scope()).collect()}
+    assert rows == {("a", "b"): 2}
