@@ -37,11 +37,11 @@ _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uin
 
 @dataclass(frozen=True)
 class ChunkStore:
-    """Chunks have ``least`` to ``most`` samples, about ``least + 2 ** bits`` on average."""
+    """Chunks have ``least`` to ``most`` samples, about ``least + 2 ** bits`` on average: half of a usual document, so that passages inside documents are found."""
 
     block: int = 64
-    least: int = 2048
-    bits: int = 12
+    least: int = 256
+    bits: int = 9
     most: int = 16384
     level: int = 6
     rows_per_batch: int = 2000
