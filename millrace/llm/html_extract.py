@@ -2,8 +2,8 @@
 
 Every page is parsed into a tree; runs of like siblings (list entries, paragraphs) are one iterator node. The tree is aligned with
 that of the host's exemplar page by simple tree matching. Over all pages of the host it is counted how often a node holds the same text:
-constant nodes are template, varying ones are slots. The main text is what the page's article holds, or, where nothing is
-marked as the article, the smallest element with most of the page's varying text; template nodes, and what its tag, role or class marks as
+constant nodes are template, varying ones are slots. The main text is what the page's articles hold if that is most of the page's
+varying text, else what is marked as main if that is, else the smallest element with most of it; template nodes, and what its tag, role or class marks as
 menu, header, footer, sidebar, notice, advert, form or comment, is left out.
 
 Pages with equal main texts count once as evidence, so that copies of an article do not make it a template. Counts are added up before
@@ -224,18 +224,22 @@ def aligned(page: list, exemplar: list) -> list[tuple[int, list]]:
     return out
 
 
-def _marked(node: Node, tags: tuple[str, ...]) -> list[Node]:
-    """Outermost elements of these tags that are not left out."""
+def _marked(node: Node, tags: tuple[str, ...], dropped: set[int]) -> list[Node]:
+    """Outermost elements of these tags that are neither left out nor template."""
     out = []
     for x in node.items:
-        if not isinstance(x, str) and not x.out:
-            out += [x] if x.tag in tags else _marked(x, tags)
+        if not isinstance(x, str) and not x.out and id(x) not in dropped:
+            out += [x] if x.tag in tags else _marked(x, tags, dropped)
     return out
 
 
+def _size(node: Node, dropped: set[int]) -> int:
+    return sum(map(len, blocks(node, dropped)))
+
+
 def _densest(root: Node, dropped: set[int], majority: float) -> Node:
     """The smallest element with most of the text that varies."""
-    size = lambda n: sum(map(len, blocks(n, dropped)))
+    size = lambda n: _size(n, dropped)
     whole = size(root)
     while True:
         inner = [x for x in root.items if not isinstance(x, str) and not x.out and id(x) not in dropped and x.tag not in ("p", "table", "ul", "ol", "dl", "blockquote", "pre") and size(x) >= majority * whole]
@@ -251,8 +255,14 @@ def main_text(page: str, exemplar: list | None, template: set[int], how: Wrapper
         for number, tree in aligned(skeleton(root), exemplar):
             if number in template:
                 dropped |= {id(n) for n in tree[2]}
-    chosen = _marked(root, ("article",)) or _marked(root, ("main",)) or [_densest(root, dropped, how.majority)]
-    dropped -= {id(n) for n in chosen}
+    # A mark is only a hint: what it names must hold most of the text that varies.
+    whole = _size(root, dropped)
+    for tag in ("article", "main"):
+        chosen = _marked(root, (tag,), dropped)
+        if chosen and sum(_size(n, dropped) for n in chosen) >= how.majority * whole:
+            break
+    else:
+        chosen = [_densest(root, dropped, how.majority)]
     return "\n\n".join(t for n in chosen for t in blocks(n, dropped))
 
 

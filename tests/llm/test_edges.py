@@ -106,3 +106,13 @@ def test_shared_passage_is_stored_once(spark):
     assert sum(lengths.values()) < payloads - 7 * len(passage) / 2
     facts = {r.doc_id: r for r in media.report(docs).collect()}
     assert all(facts[r.doc_id].payload_sha256 == hashlib.sha256(media.payload(r.text, 64)).hexdigest() for r in docs.collect())
+
+
+def test_article_that_is_not_the_text(spark):
+    """A teaser in an ``article`` doesn't hide the page's text in a ``div``, whether the teaser varies or is template."""
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(i, f"http://a.net/{i}", f"<body><article class=teaser>Read part {i}</article><div class=text><p>{body(i)}</p></div></body>") for i in range(8)]
+    rows += [(10 + i, f"http://b.net/{i}", f"<body><article class=teaser>{'The same words. ' * 6}</article><div class=text><p>{body(i)}</p></div></body>") for i in range(8)]
+    rows += [(20 + i, f"http://c.net/{i}", f"<body><div class=teaser>Read part {i}</div><article><p>{body(i)}</p></article></body>") for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k + i: body(i) for k in (0, 10, 20) for i in range(8)}
