@@ -116,3 +116,23 @@ def test_article_that_is_not_the_text(spark):
     rows += [(20 + i, f"http://c.net/{i}", f"<body><div class=teaser>Read part {i}</div><article><p>{body(i)}</p></article></body>") for i in range(8)]
     got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k + i: body(i) for k in (0, 10, 20) for i in range(8)}
+
+
+def test_short_lines_with_one_change(spark):
+    """Lines of 45 characters, one inner character changed, against brute force: nearly all pairs above the threshold share a component."""
+    import random
+
+    import numpy as np
+
+    from millrace.llm.hashing import character_shingles, lowered
+
+    draw, how = random.Random(3), line_dedup.LineDedup()
+    assert how.shingle == 5 and 1 - (1 - 0.75**how.rows) ** how.bands > 0.999
+    lines = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(44)) + "x" for _ in range(300)]
+    changed = [x[:22] + "#" + x[23:] for x in lines]
+    raw = lambda x: np.frombuffer(x.encode(), np.uint8)
+    sets = [set(character_shingles(lowered(raw(x)), np.array([0, len(x)]), how.shingle)[0].tolist()) for x in lines + changed]
+    near = sum(len(a & b) >= 0.75 * len(a | b) for a, b in zip(sets[:300], sets[300:], strict=True))
+    assert near == 300
+    rows = {r.doc_id: r for r in line_dedup.report(spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(changed))], "doc_id long, text string")).collect()}
+    assert rows[1].n_removed == 0 and rows[2].n_removed >= 299
