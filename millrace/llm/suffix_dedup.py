@@ -18,6 +18,7 @@ character, so what is left is bytes; extra columns are not read; an empty table
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ _FAR = 1 << 20
 
 @dataclass(frozen=True)
 class SuffixDedup:
-    """Strings of ``length`` bytes; anchors have ``key`` bytes. ``rows_at_once`` bounds the segments in one transform unless a group is larger."""
+    """Strings of ``length`` bytes; anchors have ``key`` bytes. ``rows_at_once`` bounds the segments in one transform; a larger group is split by what stands beside its key."""
 
     length: int = 200
     key: int = 100
@@ -175,19 +176,29 @@ def _plans(how: SuffixDedup, buckets: int) -> tuple:
         kinds = np.add.reduceat(new_d.astype(np.int64), np.flatnonzero(new_h))[np.cumsum(new_h) - 1]
         copies = np.diff(np.flatnonzero(new_d), append=n)[np.cumsum(new_d) - 1]
         covered, asked = copies > 1, new_d & (kinds > 1)
+        hot = kinds > how.rows_at_once
         keep = np.flatnonzero(covered | asked)
         for i in range(0, len(keep), 500_000):
             k = keep[i : i + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array(uid[k]), pa.array(place[k].astype(np.int64)), pa.array(h[k].view(np.int64)), pa.array(covered[k]), pa.array(asked[k])], ["uid", "place", "anchor", "covered", "asked"])
+            yield pa.RecordBatch.from_arrays([pa.array(uid[k]), pa.array(place[k].astype(np.int64)), pa.array(h[k].view(np.int64)), pa.array(covered[k]), pa.array(asked[k]), pa.array(hot[k])], ["uid", "place", "anchor", "covered", "asked", "hot"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The segments that are asked for."""
+        """The segments that are asked for.
+
+        Every string of ``length`` around the key holds ``side`` bytes left or right of it, so a hot anchor's segments are dealt by either.
+        """
+        side = (how.length - how.key) // 2
         for batch in batches:
             out: list[tuple] = []
             for uid, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for x in asked:
                     lo = max(x["place"] - (how.length - how.key), 0)
-                    out.append((x["anchor"], uid, x["place"], text[lo : x["place"] + how.length]))
+                    segment, key = text[lo : x["place"] + how.length], x["place"] - lo
+                    groups = [x["anchor"]]
+                    if x["hot"]:
+                        around = (b"l" + segment[max(key - side, 0) : key], b"r" + segment[key + how.key : key + how.key + side])
+                        groups = [int.from_bytes(hashlib.blake2b(b"%d" % x["anchor"] + a, digest_size=8).digest(), "little", signed=True) for a in around if len(a) == side + 1]
+                    out += [(g, uid, x["place"], segment) for g in groups]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.binary())], ["anchor", "uid", "place", "segment"])
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,9 +238,9 @@ def spans(base: DataFrame, how: SuffixDedup) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     find, compare, cut, transform = _plans(how, buckets)
     packed = base.select("uid", "text").mapInArrow(find, "bucket int, keys binary, digests binary, owners binary, places binary")
-    shared = packed.repartition(buckets, "bucket").mapInArrow(compare, "uid long, place long, anchor long, covered boolean, asked boolean")
+    shared = packed.repartition(buckets, "bucket").mapInArrow(compare, "uid long, place long, anchor long, covered boolean, asked boolean, hot boolean")
     shared = written(shared, "anchors")
-    asked = shared.filter("asked").groupBy("uid").agg(F.collect_list(F.struct("place", "anchor")).alias("asked"))
+    asked = shared.filter("asked").groupBy("uid").agg(F.collect_list(F.struct("place", "anchor", "hot")).alias("asked"))
     segments = base.select("uid", "text").join(asked, "uid").mapInArrow(cut, "anchor long, uid long, place long, segment binary")
     marked = segments.repartition(buckets, "anchor").mapInArrow(transform, "uid long, lo long, hi long")
     whole = shared.filter("covered").join(base.select("uid", F.length("text").alias("size")), "uid").select("uid", F.greatest(F.col("place") - (how.length - how.key), F.lit(0)).alias("lo"), F.least(F.col("place") + how.length, F.col("size")).cast("long").alias("hi"))

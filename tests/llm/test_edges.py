@@ -136,3 +136,23 @@ def test_short_lines_with_one_change(spark):
     assert near == 300
     rows = {r.doc_id: r for r in line_dedup.report(spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(changed))], "doc_id long, text string")).collect()}
     assert rows[1].n_removed == 0 and rows[2].n_removed >= 299
+
+
+def test_hot_anchor_is_split(spark):
+    """A passage of 130 bytes between texts that differ, some of which repeat longer strings around it: groups stay small, results are the same."""
+    import random
+
+    import pyarrow as pa
+
+    draw = random.Random(7)
+    text = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, left, right = text(130), [text(100) for _ in range(3)], [text(100) for _ in range(3)]
+    rows = [(i, text(150) + passage + text(150)) for i in range(40)] + [(100 + i, text(60) + left[i % 3][20:] + passage + text(90)) for i in range(9)] + [(200 + i, text(90) + passage + right[i % 3][:80] + text(60)) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    split, whole = (sorted(suffix_dedup.report(docs, suffix_dedup.SuffixDedup(rows_at_once=n)).collect()) for n in (8, 30_000))
+    assert split == whole and sum(r.n_removed > 0 for r in whole) == 18
+    _, _, cut, _ = suffix_dedup._plans(suffix_dedup.SuffixDedup(), 2)
+    hot = [{"place": 150, "anchor": 5, "hot": True}]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[:40]]), pa.array([r[1].encode() for r in rows[:40]]), pa.array([hot] * 40)], ["uid", "text", "asked"])
+    groups = [x for b in cut([batch]) for x in b.column(0).to_pylist()]
+    assert len(groups) == len(set(groups)) == 80
