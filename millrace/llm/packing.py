@@ -16,10 +16,12 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -33,13 +35,16 @@ class Packing:
     capacity: int = 1024
     cuts: int = 3
     end: int = 0
-    rows_per_batch: int = 1000
 
 
 def pieces(n: int, capacity: int, cuts: int) -> list[int]:
     """Lengths that a document of ``n`` tokens is cut into."""
-    out = [capacity] * (n // capacity)
-    rest = n % capacity
+    return [capacity] * (n // capacity) + _tail(n % capacity, capacity, cuts)
+
+
+@lru_cache(maxsize=8192)
+def _tail(rest: int, capacity: int, cuts: int) -> list[int]:
+    out = []
     while rest and cuts:
         k = -(-capacity // rest)  # the first reciprocal not above the rest
         part = min(rest, capacity // k) or rest
@@ -86,26 +91,24 @@ class HarmonicBins:
 def packed(docs: DataFrame, how: Packing) -> DataFrame:
     """One row per piece: where it is cut from its document, and its place in a sequence."""
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from millrace.llm.tokens import encoder
 
         encode = encoder(how.tokenizer, how.kind).encode
         bins = HarmonicBins(how.capacity, TaskContext.get().partitionId() << 36)
-        columns = [c.split(" ")[0] for c in SCHEMA.split(", ")]
-        frame = lambda rows: pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
-        end = how.end.to_bytes(4, "little")
+        names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+        frame = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names), names)
+        crc = zlib.crc32
         for batch in batches:
             rows: list[list[int]] = []
-            texts = [t or "" for t in batch["text"].where(batch["text"].notna(), "")]
-            for doc, ids in zip(batch["doc_id"], encode(texts), strict=True):
-                ids += end
-                n, start = len(ids) // 4, 0
-                doc = None if pd.isna(doc) else int(doc)
+            ids, starts = encode(batch.column(1).to_pylist(), how.end)
+            raw, at = memoryview(ids.astype("<u4", copy=False)).cast("B"), starts.tolist()
+            for i, doc in enumerate(batch.column(0).to_pylist()):
+                n, start, base = at[i + 1] - at[i], 0, 4 * at[i]
                 for length in pieces(n, how.capacity, how.cuts):
-                    rows += bins.add([doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n])
+                    rows += bins.add([doc, start, length, crc(raw[base + 4 * start : base + 4 * (start + length)]), n])
                     start += length
             yield frame(rows)
         yield frame(bins.close())
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", how.rows_per_batch)
-    return docs.select("doc_id", "text").mapInPandas(pack, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, SCHEMA)

@@ -1,14 +1,16 @@
 """Ids of public tokenizers for many texts: distinct chunks are encoded once and their ids are looked up.
 
 Merges of a byte pair vocabulary never reach beyond the pieces that its pattern cuts. A chunk is a run of whole pieces, so the
-ids of a text are those of its chunks in order. The encoders run inside Spark tasks; a worker keeps one per vocabulary, with
-a bounded table of chunks. Texts that hold a special token's string are encoded whole.
+ids of a text are those of its chunks in order. A table gives every chunk a number, and the ids of all numbers lie in one array, so that
+a batch of texts is one lookup per chunk and one gather. The encoders run inside Spark tasks; a worker keeps one per
+vocabulary, with a bounded table. Texts that hold a special token's string are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -17,44 +19,113 @@ import numpy as np
 _WHITE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
+class _Numbers(dict):
+    """The number of each chunk; a new chunk gets the next one and is noted."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, chunk: str | None) -> int:
+        self[chunk] = n = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class ChunkEncoder:
-    """Little-endian unsigned 32-bit ids of texts, as the tokenizers library gives them without special tokens added."""
+    """Unsigned 32-bit ids of texts, as the tokenizers library gives them without special tokens added."""
 
-    def __init__(self, path: str, most: int = 1_000_000, block: int = 2000) -> None:
+    def __init__(self, path: str, most: int = 1_500_000, block: int = 2000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most, self.block = most, block
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers = _Numbers()
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def chunks(self, text: str) -> list[str]:
         raise NotImplementedError
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
         raise NotImplementedError
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        cut = [None if self.special and self.special.search(t) else self.chunks(t) for t in texts]
-        new = list({c for chunks in cut if chunks for c in chunks if c not in known})
+    def _learn(self) -> None:
+        """Ids of the chunks that are new."""
+        new, self.numbers.new = self.numbers.new, []
+        place = len(self.numbers) - len(new)
+        while len(self.begin) < len(self.numbers):
+            self.begin, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.count))
         for i in range(0, len(new), self.block):
-            part = new[i : i + self.block]
-            known.update(zip(part, self.encode_chunks(part), strict=True))
-        return [self.whole(t) if chunks is None else b"".join([known[c] for c in chunks]) for t, chunks in zip(texts, cut, strict=True)]
+            part = self.encode_chunks(new[i : i + self.block])
+            sizes = np.fromiter(map(len, part), np.int64, len(part))
+            where = slice(place + i, place + i + len(part))
+            self.count[where], self.begin[where] = sizes, self.used + np.cumsum(sizes) - sizes
+            total = int(sizes.sum())
+            while self.used + total > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+            self.ids[self.used : self.used + total] = np.concatenate(part)
+            self.used += total
+
+    def encode(self, texts: Iterable[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each closed by ``end``, one after the other, and where each text's begin (and the last ends)."""
+        if len(self.numbers) > self.most:
+            self._clear()
+        get, numbers, odd = self.numbers.__getitem__, [], {}
+        for i, text in enumerate(texts):
+            if not text:
+                numbers.append(np.zeros(0, np.int64))
+            elif any(x in text for x in self.special):
+                odd[i] = self.whole(text)
+                numbers.append(np.zeros(0, np.int64))
+            else:
+                chunks = self.chunks(text)
+                numbers.append(np.fromiter(map(get, chunks), np.int64, len(chunks)))
+        self._learn()
+        every = np.concatenate([*numbers, np.zeros(0, np.int64)])
+        counts = self.count[every]
+        upto = np.concatenate(([0], np.cumsum(counts)))
+        owners = np.cumsum([0, *map(len, numbers)])
+        sizes = np.diff(upto[owners])
+        for i, ids in odd.items():
+            sizes[i] = len(ids)
+        starts = np.concatenate(([0], np.cumsum(sizes + 1)))
+        # Where a chunk's ids go: behind those before it, and behind one closing id for each text before.
+        shift = np.repeat(starts[:-1] - upto[owners[:-1]], np.diff(owners))
+        inside = np.arange(upto[-1])
+        out = np.empty(starts[-1], np.uint32)
+        out[inside + np.repeat(shift, counts)] = self.ids[inside + np.repeat(self.begin[every] - upto[:-1], counts)]
+        for i, ids in odd.items():
+            out[starts[i] : starts[i + 1] - 1] = ids
+        out[starts[1:] - 1] = end
+        return out, starts
+
+
+def _cut(ids: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> list[np.ndarray] | None:
+    """``ids``, which end at ``ends``, cut at ``bounds``; None where an id reaches across one."""
+    at = np.searchsorted(ends, bounds)
+    if len(bounds) and (not len(ends) or at[-1] >= len(ends) or (ends[at] != bounds).any()):
+        return None
+    return np.split(ids, at + 1)[:-1]
 
 
 class ByteChunks(ChunkEncoder):
-    """For byte-level vocabularies: a chunk is a word with the space before it, or white space that stands alone."""
+    """For byte-level vocabularies: a chunk is a word with the space before it, a word without one, or white space that stands alone.
+
+    In the table a word stands for itself with a space before it, a carriage return marks a word without one, a tab marks white space.
+    """
 
     _pattern = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+    #: What the quick way to cut a text can't stand.
+    _unusual = ("  ", " \n", "\n ", "\n\n\n", *(c for c in _WHITE if c not in " \n"))
 
     def __init__(self, path: str, **kw) -> None:
         super().__init__(path, **kw)
@@ -64,39 +135,36 @@ class ByteChunks(ChunkEncoder):
             self.lengths[i] = len(token)  # one character stands for one byte
 
     def chunks(self, text: str) -> list[str]:
-        return self._pattern.findall(text)
-
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Words that begin with a space are encoded as one text, which the lengths of the ids cut again."""
-        out: dict[str, bytes] = {}
-        joined = [c for c in chunks if len(c) > 1 and c[0] == " " and c[1] not in " \t\n\r\x0b\x0c"]
-        if joined:
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, "<u4")
-            ends, cuts = np.cumsum(self.lengths[ids]), np.cumsum([len(c.encode()) for c in joined])
-            at = np.searchsorted(ends, cuts)
-            if len(ids) and at[-1] < len(ends) and (ends[at] == cuts).all():
-                raw, begin = ids.tobytes(), 0
-                for c, end in zip(joined, (4 * (at + 1)).tolist(), strict=True):
-                    out[c] = raw[begin:end]
-                    begin = end
-        return [out[c] if c in out else self.whole(c) for c in chunks]
+        if text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in self._unusual):
+            return ("\r" + text.replace("\n", " \n \r")).split(" ")
+        return [c[1:] if c[0] == " " and len(c) > 1 and c[1] not in _WHITE else c if c == "\n" else f"\t{c}" if c[0] in _WHITE else f"\r{c}" for c in self._pattern.findall(text)]
 
+    def _run(self, text: str, sizes: list[int]) -> list[np.ndarray] | None:
+        """Ids of the stretches of ``text`` with these numbers of bytes; None where an id reaches across two."""
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        return _cut(ids, np.cumsum(self.lengths[ids]), np.cumsum(sizes))
 
-class WordChunks(ChunkEncoder):
-    """For vocabularies that drop white space: a chunk is what stands between spaces and line ends."""
+    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
+        """Words are encoded as one text, which the lengths of the ids cut again."""
+        out: dict[str, np.ndarray] = {"\r": np.zeros(0, np.uint32)}
+        spaced = [c for c in chunks if c[0] not in _WHITE]
+        bare = [c for c in chunks if c[0] == "\r" and len(c) > 1]
+        out |= zip(spaced, self._run("".join(f" {c}" for c in spaced), [1 + len(c.encode()) for c in spaced]) or ())
+        out |= zip(bare, (self._run("".join(f"{c[1:]}\n" for c in bare), [n for c in bare for n in (len(c.encode()) - 1, 1)]) or ())[::2])
+        return [out[c] if c in out else self.whole(c if c == "\n" else c[1:] if c[0] in "\r\t" else f" {c}") for c in chunks]
 
-    _pattern = re.compile("[^ \t\n\r]+")
+
+class WordChunks(ChunkEncoder):
+    """For vocabularies that drop white space: a chunk is what stands between spaces, tabs and line ends."""
 
     def chunks(self, text: str) -> list[str]:
-        return self._pattern.findall(text)
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
         e = self.tokenizer.encode_batch([" ".join(chunks)], add_special_tokens=False)[0]
-        ids = np.array(e.ids, "<u4")
         begins = np.cumsum([0, *(len(c) + 1 for c in chunks)])
         at = np.searchsorted(np.array([a for a, _ in e.offsets], np.int64), begins)
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return np.split(np.array(e.ids, np.uint32), at[1:-1])
 
 
 @lru_cache(maxsize=2)
