@@ -1,11 +1,15 @@
 """Adaptive context-mixing range coder for token ids, many blocks side by side.
 
-An id is coded as nibbles, highest first. A nibble's frequencies are a mix of three adaptive rows of counts, found by the nibbles of the id so
-far with no, one and two ids before it; the orders' weights follow how well each has predicted in this block. The mix
-drives a carry-less range coder that emits 16-bit words. Every block starts from empty counts and is checked by the CRC of its ids. Blocks
-are independent, so that the steps of all blocks are taken together on arrays.
+The distribution of an id is a mix of three predictions. The orders 2 and 1 each name the id that last followed the two ids (the one id)
+before, with a confidence; order 0 spreads the rest over all ids. The weights of the mix adapt, in every block for itself, to how often
+predictions of these confidences came true. Order 0 codes the low byte of an id as two nibbles with adaptive frequencies, then whether the id is the
+last one with this low byte, and else its high bits. Each decision drives a range coder that carries into the words it has written.
 
-File: magic, number of ids, nibbles per id, ids per block, then for each block its number of words and its CRC, then all words.
+Every block starts from an empty model and is checked by the CRC of its ids. Blocks are independent, so the steps of all
+blocks are taken together on arrays: the encoder's and the decoder's cost are shared by hundreds of blocks.
+
+File: magic, number of ids, ids per block, number of listed ids, then these (only where an id needs more than 24 bits; blocks hold places in the list then),
+for each block its number of words and its CRC, then all words.
 """
 
 from __future__ import annotations
@@ -15,61 +19,136 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMR1"
-BLOCK = 8192
-SLOTS = 2048
-#: Blocks that are worked on together: bounds the memory for their counts.
-LANES = 768
-_U = np.uint64
-_TOP, _BOTTOM = _U(1 << 48), _U(1 << 32)
-_STEP = 32
-#: Adds up the 16 counts of a row; exact, as all sums stay far below 2 ** 24.
-_UPTO = np.triu(np.ones((16, 17), np.float32), 1)
-_ORDERS = 3
+MAGIC = b"CMR3"
+BLOCK = 2048
+#: Blocks that are worked on together: bounds the memory for their models, about 16 KB each.
+LANES = 4096
+_U, _N = np.uint64, np.uint32
+#: Frequencies add up to ``_ONE``, those of two nibbles to its square.
+_BITS = 12
+_ONE = 1 << _BITS
+#: Slots of the tables of predictions by order, as powers of two.
+_SLOTS = {1: 10, 2: 11}
+_LOW = _U(0xFFFFFFFF)
+_MOST = np.int32(_ONE - 32)
+
+
+def _targets() -> np.ndarray:
+    """Where the upper bounds of 16 values move after each of them: all but the least width to the value that came."""
+    value, k = np.arange(16)[:, None], np.arange(16)[None, :]
+    return np.where(k < value, 4 * (k + 1), _ONE - 4 * (15 - k)).astype(np.int16)
+
+
+_TARGETS = _targets()
 
 
 class _Model:
-    """Counts and weights of a number of blocks."""
-
-    def __init__(self, lanes: int, nibbles: int) -> None:
-        self.counts = [np.zeros((lanes * SLOTS, 16), np.uint8) for _ in range(_ORDERS)]
-        self.trust = np.full((nibbles, _ORDERS, lanes), 64, np.int32)
-        self.base = np.arange(lanes, dtype=np.int64) * SLOTS
-        self.at = np.arange(lanes)
-
-    def contexts(self, before: np.ndarray, earlier: np.ndarray) -> list[np.ndarray]:
-        one = (before + np.uint32(1)) * np.uint32(0x9E3779B1)
-        return [np.zeros_like(one), one, (one ^ ((earlier + np.uint32(0x51ED)) * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)]
-
-    def mix(self, n: int, nibble: int, contexts: list[np.ndarray], node: np.ndarray) -> np.ndarray:
-        """Cumulative frequencies of the 16 values, with a leading 0."""
-        self.n, self.nibble = n, nibble
-        spread = (node + np.uint32(1)) * np.uint32(0x27D4EB2F)
-        self.where = [self.base[:n] + (((c[:n] ^ spread) * np.uint32(0x165667B1)) >> np.uint32(21)).astype(np.int64) for c in contexts]
-        self.rows = [t[w].astype(np.float32) for t, w in zip(self.counts, self.where, strict=True)]
-        total = np.ones((n, 16), np.float32)
-        for k, row in enumerate(self.rows):
-            total += row * (1 + (self.trust[nibble, k, :n] >> 4)).astype(np.float32)[:, None]
-        return (total @ _UPTO).astype(np.uint32)
-
-    def update(self, value: np.ndarray) -> None:
-        at = self.at[: self.n]
-        hits = [row[at, value].astype(np.int32) for row in self.rows]
-        sums = [row @ _UPTO[:, 16] for row in self.rows]
-        for k in range(_ORDERS):
-            trust = self.trust[self.nibble, k, : self.n]
-            trust += np.where(3 * hits[k] > sums[k], (511 - trust) >> 4, -(trust >> 5))
-            full = hits[k] > 255 - _STEP
-            if full.any():
-                self.counts[k][self.where[k][full]] >>= 1
-            self.counts[k][self.where[k], value] += np.uint8(_STEP)
-
-
-def _ready(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks that shift out a word now, and the sizes with which they do."""
-    settled = (low ^ (low + size)) < _TOP
-    small = ~settled & (size < _BOTTOM)
-    return np.flatnonzero(settled | small), np.where(small, (~low + _U(1)) & (_BOTTOM - _U(1)), size)
+    """Predictions and weights of a number of blocks."""
+
+    def __init__(self, lanes: int) -> None:
+        at = np.arange(lanes)
+        self.tables = {k: np.zeros(lanes << b, _N) for k, b in _SLOTS.items()}
+        self.bases = {k: at << b for k, b in _SLOTS.items()}
+        # Weights of order 2 by the confidences of both and whether they agree; of order 1 by its own and whether order 2 has one.
+        self.two = np.tile(np.repeat(np.array([75, 1100, 1750, 2250, 2750, 3000, 3250, 3500], np.int32), 8), lanes)
+        self.one = np.tile(np.repeat(np.array([75, 600, 1100, 1500, 1900, 2100, 2400, 2600], np.int32), 2), lanes)
+        self.last = np.zeros(lanes << 8, _N)
+        self.again = np.tile(np.array([125, 2000, 2500, 2750, 3000, 3250, 3500, 3750], np.int32), lanes)
+        self.nibbles = np.tile((np.arange(1, 17) << _BITS - 4).astype(np.int16), (lanes * 17, 1))
+        self.root, self.by64, self.by16 = at * 17, at << 6, at << 4
+
+    def predict(self, n: int, before: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Upper bounds of the events "order 2 is right" and "order 1 is right" out of ``_ONE``."""
+        one = before[:n] * _N(0x9E3779B1)
+        two = (one ^ earlier[:n] * _N(0x85EBCA6B)) * _N(0xC2B2AE35)
+        self.slot1 = self.bases[1][:n] + (one >> _N(32 - _SLOTS[1]))
+        self.slot2 = self.bases[2][:n] + (two >> _N(32 - _SLOTS[2]))
+        self.e1, self.e2 = self.tables[1].take(self.slot1), self.tables[2].take(self.slot2)
+        self.c1, self.c2 = self.e1 & _N(7), self.e2 & _N(7)
+        self.q1, self.q2 = self.e1 >> _N(8), self.e2 >> _N(8)
+        self.agree = self.q1 == self.q2
+        self.by2 = self.by64[:n] + (self.c2 << _N(3) | np.minimum(self.c1, _N(3)) << _N(1) | self.agree)
+        self.by1 = self.by16[:n] + (self.c1 << _N(1) | (self.c2 > 0))
+        self.w2, self.w1 = self.two.take(self.by2), self.one.take(self.by1)
+        second = self.w2 + 1 + ((_ONE - 2 - self.w2) * self.w1 >> _BITS)
+        np.copyto(second, self.w2, where=self.agree)
+        return self.w2, second
+
+    def learn(self, ids: np.ndarray, two: np.ndarray, one: np.ndarray) -> None:
+        """``two``, ``one``: the prediction of this order was right."""
+        self.two[self.by2] = self.w2 + (_goal(two) - self.w2 >> 5)
+        asked = np.flatnonzero(~(two | self.agree))
+        w = self.w1[asked]
+        self.one[self.by1[asked]] = w + (_goal(one[asked]) - w >> 5)
+        self.tables[2][self.slot2] = _followed(ids, self.e2, self.c2, two)
+        self.tables[1][self.slot1] = _followed(ids, self.e1, self.c1, one)
+
+    def learn_nibble(self, where: np.ndarray, rows: np.ndarray, value: np.ndarray, rate: int) -> None:
+        step = _TARGETS.take(value, axis=0)
+        step -= rows
+        step >>= rate
+        step += rows
+        self.nibbles[where] = step
+
+    def learn_again(self, by: np.ndarray, weight: np.ndarray, same: np.ndarray) -> None:
+        self.again[by] = weight + (_goal(same) - weight >> 5)
+
+
+def _goal(right: np.ndarray) -> np.ndarray:
+    """What a weight moves to."""
+    return right * (_MOST - np.int32(8)) + np.int32(8)
+
+
+def _followed(ids: np.ndarray, entry: np.ndarray, confidence: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The new entry: a right prediction grows, a wrong one loses half its confidence or, without one, its place."""
+    out = entry + (right & (confidence < 7))
+    wrong = np.flatnonzero(~right)
+    lost, known = confidence[wrong], entry[wrong]
+    out[wrong] = np.where(lost > 1, known - (lost + _N(1) >> _N(1)), ids[wrong] << _N(8) | _N(1))
+    return out
+
+
+class _Writer:
+    """Range coders of a number of blocks."""
+
+    def __init__(self, lanes: int) -> None:
+        self.low, self.size = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
+        self.cap = 256
+        self.words, self.used = np.zeros(lanes * self.cap, _N), np.arange(lanes) * self.cap
+        self.lanes = np.arange(lanes)
+
+    def put(self, lanes: np.ndarray, low: np.ndarray, size: np.ndarray, begin: np.ndarray, width: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The blocks' states after an event; ``low, size`` are those before it."""
+        part, before = size >> _U(bits), low
+        low, size = part * begin, part * width
+        low += before
+        carry = lanes[low < before]
+        back = 1
+        while len(carry):
+            at = self.used[carry] - back
+            self.words[at] += _N(1)
+            carry, back = carry[self.words[at] == 0], back + 1
+        full = np.flatnonzero(size <= _LOW)
+        if len(full):
+            lane = lanes[full]
+            at = self.used[lane]
+            self.words[at] = low[full] >> _U(32)
+            self.used[lane] = at + 1
+            low[full] <<= _U(32)
+            size[full] <<= _U(32)
+        return low, size
+
+    def room(self) -> None:
+        """Doubles the room for words where it may run out."""
+        if int((self.used - self.lanes * self.cap).max(initial=0)) + 8 > self.cap:
+            self.words = np.concatenate((self.words.reshape(-1, self.cap), np.zeros((len(self.lanes), self.cap), _N)), axis=1).ravel()
+            self.used += self.lanes * self.cap
+            self.cap *= 2
+
+    def close(self) -> tuple[list[bytes], list[int]]:
+        begins = self.lanes * self.cap
+        tail = np.stack(((self.low >> _U(32)).astype("<u4"), (self.low & _LOW).astype("<u4")), axis=1)
+        return [self.words[a:b].astype("<u4").tobytes() + t.tobytes() for a, b, t in zip(begins.tolist(), self.used.tolist(), tail, strict=True)], (self.used - begins + 2).tolist()
 
 
 def _shape(n: int, block: int) -> tuple[int, int]:
@@ -78,107 +157,190 @@ def _shape(n: int, block: int) -> tuple[int, int]:
     return lanes, n - block * (lanes - 1) if lanes else 0
 
 
-def _encode_lanes(ids: np.ndarray, nibbles: int, block: int) -> tuple[list[bytes], list[int]]:
+def _encode_lanes(ids: np.ndarray, high_bits: int, block: int) -> tuple[list[bytes], list[int]]:
     lanes, last = _shape(len(ids), block)
-    table = np.zeros((lanes, block), np.uint32)
+    table = np.zeros((lanes, block), _N)
     table.ravel()[: len(ids)] = ids
     table = np.ascontiguousarray(table.T)
-    model, low, size = _Model(lanes, nibbles), np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-    words, used = np.zeros((lanes, 256), np.uint16), np.zeros(lanes, np.int64)
-    zero = np.zeros(lanes, np.uint32)
+    model, out, zero = _Model(lanes), _Writer(lanes), np.zeros(lanes, _N)
+    rows_at = np.arange(lanes) << 4
     for t in range(min(block, len(ids))):
+        if not t & 7:
+            out.room()
         n = lanes if t < last else lanes - 1
-        contexts = model.contexts(table[t - 1] if t else zero, table[t - 2] if t > 1 else zero)
-        for k in range(nibbles):
-            node = (table[t, :n] >> np.uint32(4 * (nibbles - k))) + np.uint32(k << 28)
-            value = ((table[t, :n] >> np.uint32(4 * (nibbles - 1 - k))) & np.uint32(15)).astype(np.int64)
-            upto = model.mix(n, k, contexts, node)
-            begin = upto[model.at[:n], value].astype(_U)
-            width = upto[model.at[:n], value + 1].astype(_U) - begin
-            part = size[:n] // upto[:, 16].astype(_U)
-            low[:n] += begin * part
-            size[:n] = part * width
-            while True:
-                out, sizes = _ready(low[:n], size[:n])
-                if not len(out):
-                    break
-                if used.max() + 1 >= words.shape[1]:
-                    words = np.concatenate((words, np.zeros_like(words)), axis=1)
-                words[out, used[out]] = (low[out] >> _U(48)).astype(np.uint16)
-                used[out] += 1
-                low[out] <<= _U(16)
-                size[out] = sizes[out] << _U(16)
-            model.update(value)
-    tail = np.stack([(low >> _U(s)).astype(np.uint16) for s in (48, 32, 16, 0)], axis=1)
-    return [words[i, : used[i]].astype("<u2").tobytes() + tail[i].astype("<u2").tobytes() for i in range(lanes)], (used + 4).tolist()
-
-
-def _decode_lanes(words: np.ndarray, begins: np.ndarray, n_ids: int, nibbles: int, block: int) -> np.ndarray:
+        value = table[t, :n]
+        first, second = model.predict(n, table[t - 1] if t else zero, table[t - 2] if t > 1 else zero)
+        two, one = value == model.q2, value == model.q1
+        begin = np.where(one, first, second)
+        begin *= ~two
+        width = np.where(two, first, np.where(one, second, _ONE)) - begin
+        out.low[:n], out.size[:n] = out.put(out.lanes[:n], out.low[:n], out.size[:n], begin.view(_N), width.view(_N), _BITS)
+        model.learn(value, two, one)
+        rest = np.flatnonzero(~(two | one))
+        if not len(rest):
+            continue
+        value, at = value[rest], rows_at[: len(rest)]
+        low, size, root = out.low[rest], out.size[rest], model.root[rest]
+        nibble = (value >> _N(4) & _N(15)).astype(np.int64)
+        rows = model.nibbles.take(root, axis=0)
+        to = at + nibble
+        begin1 = rows.take(to - 1, mode="wrap") & np.int16(_ONE - 1)
+        width1 = rows.take(to) - begin1
+        model.learn_nibble(root, rows, nibble, 5)
+        root += nibble
+        root += 1
+        nibble = (value & _N(15)).astype(np.int64)
+        rows = model.nibbles.take(root, axis=0)
+        to = at + nibble
+        begin2 = rows.take(to - 1, mode="wrap") & np.int16(_ONE - 1)
+        width2 = rows.take(to) - begin2
+        model.learn_nibble(root, rows, nibble, 4)
+        width = width1.astype(_N)
+        begin = begin1.astype(_N) << _N(_BITS)
+        begin += width * begin2.view(np.uint16)
+        width *= width2.view(np.uint16)
+        low, size = out.put(rest, low, size, begin, width, 2 * _BITS)
+        slot = (rest << 8) + (value & _N(255))
+        entry = model.last.take(slot)
+        known = entry & _N(7)
+        by = (rest << 3) + known
+        weight, same = model.again.take(by), value == entry >> _N(8)
+        other = (_ONE - weight).view(_N)
+        reach = weight.view(_N) << _N(high_bits)
+        begin = (reach + (value >> _N(8)) * other) * ~same
+        out.low[rest], out.size[rest] = out.put(rest, low, size, begin, np.where(same, reach, other), _BITS + high_bits)
+        model.learn_again(by, weight, same)
+        model.last[slot] = _followed(value, entry, known, same)
+    return out.close()
+
+
+class _Reader:
+    """What is left of the code of a number of blocks."""
+
+    def __init__(self, words: np.ndarray, begins: np.ndarray) -> None:
+        self.words, self.at = np.concatenate((words, np.zeros(2, words.dtype))), begins + 2
+        self.code = (self.words[begins].astype(_U) << _U(32)) | self.words[begins + 1]
+        self.size = np.full(len(begins), 0xFFFFFFFFFFFFFFFF, _U)
+        self.lanes = np.arange(len(begins))
+
+    def take(self, lanes: np.ndarray, part: np.ndarray, code: np.ndarray, begin: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The blocks' states after an event."""
+        code, size = code - part * begin, part * width
+        full = np.flatnonzero(size <= _LOW)
+        if len(full):
+            lane = lanes[full]
+            at = self.at[lane]
+            code[full] = (code[full] << _U(32)) | self.words[at]
+            size[full] <<= _U(32)
+            self.at[lane] = at + 1
+        return code, size
+
+
+def _nibble(rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """How many upper bounds lie at or below the target."""
+    below = (rows <= target[:, None]).view(_U)
+    return ((below[:, 0] + below[:, 1]) * _U(0x0101010101010101) >> _U(56)).view(np.int64)
+
+
+def _decode_lanes(words: np.ndarray, begins: np.ndarray, n_ids: int, high_bits: int, block: int) -> np.ndarray:
     lanes, last = _shape(n_ids, block)
-    table = np.zeros((block, lanes), np.uint32)
-    model, low, size = _Model(lanes, nibbles), np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-    words = np.concatenate((words.astype(_U), np.zeros(4, _U)))
-    code, at = np.zeros(lanes, _U), begins.copy()
-    for _ in range(4):
-        code = (code << _U(16)) | words[at]
-        at += 1
-    zero = np.zeros(lanes, np.uint32)
+    table = np.zeros((block, lanes), _N)
+    model, read, zero = _Model(lanes), _Reader(words, begins), np.zeros(lanes, _N)
+    rows_at = np.arange(lanes) << 4
     for t in range(min(block, n_ids)):
         n = lanes if t < last else lanes - 1
-        contexts = model.contexts(table[t - 1] if t else zero, table[t - 2] if t > 1 else zero)
-        node = np.zeros(n, np.uint32)
-        for k in range(nibbles):
-            upto = model.mix(n, k, contexts, node + np.uint32(k << 28))
-            total = upto[:, 16].astype(_U)
-            part = size[:n] // total
-            target = np.minimum((code[:n] - low[:n]) // part, total - _U(1)).astype(np.uint32)
-            value = np.count_nonzero(upto[:, 1:16] <= target[:, None], axis=1)
-            begin = upto[model.at[:n], value].astype(_U)
-            width = upto[model.at[:n], value + 1].astype(_U) - begin
-            low[:n] += begin * part
-            size[:n] = part * width
-            while True:
-                out, sizes = _ready(low[:n], size[:n])
-                if not len(out):
-                    break
-                code[out] = (code[out] << _U(16)) | words[at[out]]
-                at[out] += 1
-                low[out] <<= _U(16)
-                size[out] = sizes[out] << _U(16)
-            model.update(value)
-            node = (node << np.uint32(4)) | value.astype(np.uint32)
-        table[t, :n] = node
+        first, second = model.predict(n, table[t - 1] if t else zero, table[t - 2] if t > 1 else zero)
+        part, code = read.size[:n] >> _U(_BITS), read.code[:n]
+        two, other = code < part * first.view(_N), code >= part * second.view(_N)
+        begin = np.where(other, second, first)
+        begin *= ~two
+        width = np.where(two, first, np.where(other, _ONE, second)) - begin
+        read.code[:n], read.size[:n] = read.take(read.lanes[:n], part, code, begin.view(_N), width.view(_N))
+        value = np.where(two, model.q2, model.q1)
+        rest = np.flatnonzero(other)
+        if len(rest):
+            at, root = rows_at[: len(rest)], model.root[rest]
+            size, code = read.size[rest], read.code[rest]
+            part = size >> _U(2 * _BITS)
+            target = (code // part).astype(_N)
+            rows = model.nibbles.take(root, axis=0)
+            nibble = _nibble(rows, (target >> _N(_BITS)).astype(np.int16))
+            to = at + nibble
+            begin1 = rows.take(to - 1, mode="wrap") & np.int16(_ONE - 1)
+            width = (rows.take(to) - begin1).astype(_N)
+            model.learn_nibble(root, rows, nibble, 5)
+            root += nibble
+            root += 1
+            low = nibble << 4
+            begin = begin1.astype(_N) << _N(_BITS)
+            rows = model.nibbles.take(root, axis=0)
+            nibble = _nibble(rows, ((target - begin) // width).astype(np.int16))
+            to = at + nibble
+            begin2 = rows.take(to - 1, mode="wrap") & np.int16(_ONE - 1)
+            begin += width * begin2.view(np.uint16)
+            width *= (rows.take(to) - begin2).view(np.uint16)
+            model.learn_nibble(root, rows, nibble, 4)
+            code, size = read.take(rest, part, code, begin, width)
+            low |= nibble
+            slot = (rest << 8) + low
+            entry = model.last.take(slot)
+            known = entry & _N(7)
+            by = (rest << 3) + known
+            weight = model.again.take(by)
+            other = (_ONE - weight).view(_N)
+            reach = weight.view(_N) << _N(high_bits)
+            part = size >> _U(_BITS + high_bits)
+            target = (code // part).astype(_N)
+            same = target < reach
+            high = (target - reach) // other
+            begin = (reach + high * other) * ~same
+            read.code[rest], read.size[rest] = read.take(rest, part, code, begin, np.where(same, reach, other))
+            ids = np.where(same, entry >> _N(8), high << _N(8) | low.astype(_N))
+            model.learn_again(by, weight, same)
+            model.last[slot] = _followed(ids, entry, known, same)
+            value[rest] = ids
+        model.learn(value, two, value == model.q1)
+        table[t, :n] = value
     return table.T.ravel()[:n_ids] if last == block else np.concatenate((table[:, :-1].T.ravel(), table[:last, -1]))
 
 
 def compress(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """The file of a run of unsigned 32-bit ids."""
     ids = np.ascontiguousarray(ids, "<u4")
-    nibbles = max(1, -(-int(ids.max(initial=0)).bit_length() // 4))
+    sums = [zlib.crc32(ids[i : i + block].tobytes()) for i in range(0, len(ids), block)]
+    n, listed = len(ids), np.zeros(0, "<u4")
+    if n and ids.max() >= 1 << 24:
+        listed, ids = np.unique(ids, return_inverse=True)
+    high_bits = int(ids.max(initial=0)).bit_length()
+    if high_bits > 24:
+        raise ValueError("a file holds at most 2 ** 24 different ids of more than 24 bits")
     wave = LANES * block
     parts, counts = [], []
-    for i in range(0, len(ids), wave):
-        data, used = _encode_lanes(ids[i : i + wave], nibbles, block)
+    for i in range(0, n, wave):
+        data, used = _encode_lanes(ids[i : i + wave].astype(np.uint32), max(0, high_bits - 8), block)
         parts += data
         counts += used
-    sums = [zlib.crc32(ids[i : i + block].tobytes()) for i in range(0, len(ids), block)]
-    return MAGIC + struct.pack("<QII", len(ids), nibbles, block) + np.array(counts, "<u4").tobytes() + np.array(sums, "<u4").tobytes() + b"".join(parts)
+    return MAGIC + struct.pack("<QIIB", n, block, len(listed), max(0, high_bits - 8)) + listed.astype("<u4").tobytes() + np.array(counts, "<u4").tobytes() + np.array(sums, "<u4").tobytes() + b"".join(parts)
 
 
 def decompress(data: bytes) -> np.ndarray:
     """The ids of a file; raises ``ValueError`` if a block's checksum differs."""
     if data[:4] != MAGIC:
         raise ValueError("not a file of range-coded ids")
-    n, nibbles, block = struct.unpack_from("<QII", data, 4)
-    blocks = -(-n // block)
-    counts, sums = np.frombuffer(data, "<u4", blocks, 20).astype(np.int64), np.frombuffer(data, "<u4", blocks, 20 + 4 * blocks)
-    words = np.frombuffer(data, "<u2", -1, 20 + 8 * blocks)
+    n, block, n_listed, high_bits = struct.unpack_from("<QIIB", data, 4)
+    at, blocks = 4 + struct.calcsize("<QIIB"), -(-n // block)
+    listed, at = np.frombuffer(data, "<u4", n_listed, at), at + 4 * n_listed
+    counts, sums = np.frombuffer(data, "<u4", blocks, at).astype(np.int64), np.frombuffer(data, "<u4", blocks, at + 4 * blocks)
+    words = np.frombuffer(data, "<u4", -1, at + 8 * blocks)
     begins, out = np.concatenate(([0], np.cumsum(counts))), [np.zeros(0, np.uint32)]
     for i in range(0, blocks, LANES):
         k = min(i + LANES, blocks)
-        own = begins[i:k] - begins[i]
-        out.append(_decode_lanes(words[begins[i] : begins[k]], own, min(n - i * block, (k - i) * block), nibbles, block))
+        out.append(_decode_lanes(words[begins[i] : begins[k]], begins[i:k] - begins[i], min(n - i * block, (k - i) * block), high_bits, block))
     ids = np.concatenate(out)
+    if n_listed:
+        if len(ids) and ids.max() >= n_listed:
+            raise ValueError("an id is not listed")
+        ids = listed[ids]
     for i, s in enumerate(sums.tolist()):
         if zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) != s:
             raise ValueError(f"block {i} is damaged")

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,85 +25,81 @@ from pyspark.sql import Window as W
 from millrace.llm.tables import written
 
 FILE_SCHEMA = "task int, file int, n_ids long, docs binary, counts binary, nulls binary, data binary"
+DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 @dataclass(frozen=True)
 class TokenFiles:
-    """``ids_per_file`` closes a file; ``end`` is the id that closes a document."""
+    """``ids_per_file`` closes a file; ``end`` is the id that closes a document; ``broadcast_files``: files up to which their starts are broadcast."""
 
     tokenizer: str
     kind: str = "word"
     end: int = 1
-    ids_per_file: int = 4_000_000
+    ids_per_file: int = 8_000_000
     rows_per_batch: int = 1000
+    broadcast_files: int = 100_000
 
 
 def files(docs: DataFrame, how: TokenFiles) -> DataFrame:
     """The written files of all documents."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from millrace.llm.range_coder import compress
         from millrace.llm.tokens import encoder
 
         encode_texts = encoder(how.tokenizer, how.kind).encode
-        task, file, end = TaskContext.get().partitionId(), 0, how.end.to_bytes(4, "little")
-        names: list[int | None] = []
-        parts: list[bytes] = []
+        task, file = TaskContext.get().partitionId(), 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
-        def close() -> pd.DataFrame:
-            known = np.array([n is not None for n in names], np.uint8)
-            data = compress(np.frombuffer(b"".join(parts), "<u4"))
-            row = (task, file, sum(map(len, parts)) // 4, np.array([n or 0 for n in names], "<i8").tobytes(), np.array([len(p) // 4 for p in parts], "<u4").tobytes(), known.tobytes(), data)
-            return pd.DataFrame([row], columns=[c.split(" ")[0] for c in FILE_SCHEMA.split(", ")])
+        def close() -> pa.RecordBatch:
+            docs = pa.chunked_array([h[0] for h in held], pa.int64())
+            counts, ids = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+            row = (task, file, len(ids), docs.fill_null(0).to_numpy().astype("<i8").tobytes(), counts.astype("<u4").tobytes(), docs.is_valid().to_numpy().astype(np.uint8).tobytes(), compress(ids))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [c.split(" ")[0] for c in FILE_SCHEMA.split(", ")])
 
-        held = 0
         for batch in batches:
-            texts = [t or "" for t in batch["text"].where(batch["text"].notna(), "")]
-            for doc, ids in zip(batch["doc_id"], encode_texts(texts), strict=True):
-                names.append(None if pd.isna(doc) else int(doc))
-                parts.append(ids + end)
-                held += len(parts[-1]) // 4
-                if held >= how.ids_per_file:
+            for i in range(0, batch.num_rows, how.rows_per_batch):
+                part = batch.slice(i, how.rows_per_batch)
+                ids, starts = encode_texts(part.column(1).to_pylist(), how.end)
+                held.append((part.column(0), np.diff(starts), ids))
+                if sum(len(h[2]) for h in held) >= how.ids_per_file:
                     yield close()
-                    names, parts, held, file = [], [], 0, file + 1
-        if names:
+                    held, file = [], file + 1
+        if held:
             yield close()
 
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", how.rows_per_batch)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(ranges, "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInPandas(encode, FILE_SCHEMA), "token-files", compression="none")
+    return written(ordered.mapInArrow(encode, FILE_SCHEMA), "token-files", compression="none")
 
 
-def read(stored: DataFrame) -> DataFrame:
+def read(stored: DataFrame, how: TokenFiles) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files."""
-    spark = stored.sparkSession
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from millrace.llm.range_coder import decompress
 
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                counts = np.frombuffer(row.counts, "<u4").astype(np.int64)
-                ids = decompress(row.data).astype("<u4").tobytes()
+            for i in range(batch.num_rows):
+                docs, counts, known, data, before = (batch.column(k)[i].as_py() for k in range(5))
+                counts = np.frombuffer(counts, "<u4").astype(np.int64)
+                ids = memoryview(decompress(data).astype("<u4", copy=False)).cast("B")
                 if len(ids) != 4 * counts.sum():
                     raise ValueError("a file's ids and its documents differ")
                 ends = np.cumsum(counts)
                 sums = [zlib.crc32(ids[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                known = np.frombuffer(row.nulls, np.uint8) == 1
-                names = pd.array(np.frombuffer(row.docs, "<i8"), "Int64")
-                names[~known] = pd.NA
-                yield pd.DataFrame({"task": row.task, "file": row.file, "doc_id": names, "inside": ends - counts, "n_tokens": counts, "ids_crc32": sums})
+                names = pa.array(np.frombuffer(docs, "<i8"), mask=np.frombuffer(known, np.uint8) == 0)
+                yield pa.RecordBatch.from_arrays([names, pa.array(before + ends - counts), pa.array(counts), pa.array(sums, pa.int64())], [c.split(" ")[0] for c in DOC_SCHEMA.split(", ")])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
-    docs = stored.select("task", "file", "docs", "counts", "nulls", "data").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "task", "file")
-    docs = written(docs.mapInPandas(decode, "task int, file int, doc_id long, inside long, n_tokens long, ids_crc32 long"), "token-docs")
-    before = W.orderBy("task", "file").rowsBetween(W.unboundedPreceding, -1)  # one row per file
-    starts = stored.select("task", "file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
-    return docs.join(starts, ["task", "file"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    before = W.orderBy("task", "file").rowsBetween(W.unboundedPreceding, -1)  # one row per file, of three numbers
+    starts = written(stored.select("task", "file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before")), "token-starts")
+    if starts.count() <= how.broadcast_files:
+        starts = F.broadcast(starts)
+    return stored.join(starts, ["task", "file"]).select("docs", "counts", "nulls", "data", "before").mapInArrow(decode, DOC_SCHEMA)
 
 
 def report(docs: DataFrame, how: TokenFiles) -> DataFrame:
     """Writes the files, reads them back, and gives one row per document."""
-    return read(files(docs, how))
+    return read(files(docs, how), how)
