@@ -29,35 +29,35 @@ from millrace.llm.text import SPACE_CLASS
 @dataclass(frozen=True)
 class LineDedup:
     """At similarity 0.75 a pair shares a band with probability 1 - (1 - 0.75 ** rows) ** bands: 0.9993; above 0.75 it is greater.
+    Lines that are alike by chance share a band more rarely the more rows it has.
 
     One changed inner character leaves (L - 2 * shingle + 1) / (L + 1) of a line of L characters: 0.75 from 39 characters on.
     """
 
     shingle: int = 5
-    bands: int = 19
-    rows: int = 4
+    bands: int = 37
+    rows: int = 6
     percent: int = 75
     lines_per_batch: int = 10_000
-    broadcast_rows: int = 1_000_000
+    broadcast_rows: int = 300_000
     seed: int = 5
 
 
 def signatures(hashes: np.ndarray, firsts: np.ndarray, how: LineDedup) -> np.ndarray:
     """MinHash values, one row per line. Worked through in slices of whole lines that stay in the processor's cache."""
-    rng = np.random.default_rng(how.seed)
-    flips = rng.integers(0, 1 << 32, how.bands * how.rows, np.uint32)
-    factors = rng.integers(0, 1 << 32, how.bands * how.rows, np.uint32) | np.uint32(1)
+    factors = np.random.default_rng(how.seed).integers(0, 1 << 32, how.bands * how.rows, np.uint32) | np.uint32(1)
     h = (hashes >> U(32)).astype(np.uint32)
-    out = np.empty((len(firsts), len(flips)), np.uint32)
+    out = np.empty((len(factors), len(firsts)), np.uint32)
     ends = np.append(firsts, len(h))
     i = 0
     while i < len(firsts):
         k = max(i + 1, int(np.searchsorted(ends, ends[i] + 65_536)) - 1)
         part, at = h[ends[i] : ends[k]], firsts[i:k] - ends[i]
-        for j in range(len(flips)):
-            out[i:k, j] = np.minimum.reduceat((part ^ flips[j]) * factors[j], at)
+        permuted = np.empty_like(part)
+        for j, factor in enumerate(factors):
+            np.minimum.reduceat(np.multiply(part, factor, out=permuted), at, out=out[j, i:k])
         i = k
-    return out
+    return out.T
 
 
 def band_keys(sig: np.ndarray, how: LineDedup) -> np.ndarray:
@@ -75,36 +75,39 @@ def _resolved(lines: DataFrame, how: LineDedup) -> DataFrame:
     """``(node, label)`` of lines that are similar to others; ``lines`` has ``node`` and ``line``."""
     spark = lines.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", how.lines_per_batch)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             nodes, first = np.unique(batch.column(0).to_numpy(), return_index=True)
             fresh = np.array([x not in seen for x in nodes.tolist()], bool)
-            seen = seen | set(nodes.tolist()) if len(seen) < 500_000 else set()  # only saves repeats
+            if len(seen) > 500_000:  # only saves repeats
+                seen.clear()
+            seen.update(nodes.tolist())
             nodes, first = nodes[fresh], first[fresh]
-            if len(nodes):
-                texts = text_bytes(batch.column(1).take(pa.array(first)))
-                every = [band_keys(signatures(*character_shingles(lowered(data), at, how.shingle), how), how) for _, _, data, at in slices(*texts)]
-                yield links.key_rows(nodes, np.full(len(nodes), how.bands), np.concatenate(every).ravel(), buckets)
+            for i, k, data, at in slices(*text_bytes(batch.column(1).take(pa.array(first)))):
+                hashes, firsts = character_shingles(lowered(data), at, how.shingle)
+                sizes = np.bincount(links.distinct(hashes, firsts)[0], minlength=k - i)
+                yield links.key_rows(nodes[i:k], sizes, np.full(k - i, how.bands), band_keys(signatures(hashes, firsts, how), how).ravel(), buckets)
 
     def as_set(raw: bytes) -> np.ndarray:
         return np.unique(character_shingles(lowered(np.frombuffer(raw, np.uint8)), np.array([0, len(raw)]), how.shingle)[0])
 
     def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [as_set(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([links.sketch(s) for s in sets], pa.binary())], ["node", "n", "sketch"])
+            for i, k, data, at in slices(*text_bytes(batch.column(1))):
+                sizes, sketches = links.outlines(*links.distinct(*character_shingles(lowered(data), at, how.shingle)), k - i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, k - i), pa.array(sizes, pa.int64()), sketches, batch.column(1).slice(i, k - i)], ["node", "n", "sketch", "elements"])
 
-    def fetch(nodes: DataFrame) -> DataFrame:
-        if nodes.count() <= how.broadcast_rows:
-            nodes = F.broadcast(nodes)
-        return lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.first(F.col("line").cast("binary")).alias("elements"))
+    def bounded(nodes: DataFrame) -> DataFrame:
+        return F.broadcast(nodes) if nodes.count() <= how.broadcast_rows else nodes
 
-    groups = written(links.grouped(lines.select("node", "line").mapInArrow(keys, links.KEYS_SCHEMA), buckets), "line-groups")
+    rows = lines.select("node", "line").mapInArrow(keys, links.KEYS_SCHEMA)
+    groups = written(links.grouped(rows, buckets, how.percent), "line-groups", rows=how.lines_per_batch)
     wanted = written(groups.select(F.explode(F.concat(F.array("pivot"), F.col("members"))).alias("node")).distinct(), "line-nodes")
-    sketches = written(fetch(wanted).mapInArrow(outlines, "node long, n long, sketch binary"), "line-outlines")
+    chosen = lines.join(bounded(wanted), "node", "left_semi").groupBy("node").agg(F.first(F.col("line").cast("binary")).alias("elements"))
+    sketches = written(chosen.mapInArrow(outlines, "node long, n long, sketch binary, elements binary"), "line-outlines", rows=how.lines_per_batch)
+    fetch = lambda nodes: sketches.join(bounded(nodes), "node", "left_semi").select("node", "elements")
     labels = links.resolve(groups, sketches, fetch, how.percent, as_set)
     discard(groups, wanted, sketches)
     return labels
@@ -121,14 +124,17 @@ def deduplicated(docs: DataFrame, how: LineDedup = LineDedup()) -> DataFrame:
     has_word = f"[^{SPACE_CLASS}]"
     lines = lines.filter(F.col("line").rlike(has_word)).withColumn("node", F.xxhash64("line"))
     labels = _resolved(lines, how)
+    places = written(lines.select("uid", "doc_id", "place", "node"), "line-places")
     # Counted by node before anything is joined, so that a common line is one row.
-    first = lines.groupBy("node").agg(F.min(F.struct("doc_id", "uid", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = places.groupBy("node").agg(F.min(F.struct("doc_id", "uid", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
     nodes = written(first.join(labels, "node", "left").filter("n > 1 or label is not null").withColumn("label", F.coalesce("label", "node")), "line-firsts")
     kept = nodes.groupBy("label").agg(F.min("first").alias("keep"))
     doubtful = nodes.join(kept, "label").select("node", "keep.uid", "keep.place")
-    gone = lines.select("uid", "place", "node").alias("l").join(doubtful.alias("k"), "node").filter("l.uid != k.uid or l.place != k.place")
+    if nodes.count() <= how.broadcast_rows:
+        doubtful = F.broadcast(doubtful)
+    gone = places.select("uid", "place", "node").alias("l").join(doubtful.alias("k"), "node").filter("l.uid != k.uid or l.place != k.place")
     gone = written(gone.groupBy("l.uid").agg(F.collect_set("l.place").alias("gone")), "lines-gone")
-    discard(nodes, labels)
+    discard(nodes, labels, places)
     again = F.row_number().over(W.partitionBy("uid").orderBy("uid")) > 1
     out = base.join(gone, "uid", "left").withColumn("again", again)
     left = F.filter(F.split("row.text", "\n", -1), lambda x, i: F.when(F.col("again"), ~x.rlike(has_word)).otherwise(~F.coalesce(F.array_contains("gone", i), F.lit(False))))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from millrace.llm.hashing import U, mix
 from millrace.llm.tables import discard, written
 
-KEYS_SCHEMA = "bucket int, nodes binary, counts binary, keys binary"
+KEYS_SCHEMA = "bucket int, nodes binary, sizes binary, counts binary, keys binary"
 GROUPS_SCHEMA = "gid long, pivot long, members array<long>, weight int"
 AsSet = Callable[[bytes], np.ndarray]
 #: Members in one piece of a group.
@@ -37,69 +37,94 @@ BLOCK, CELL_BYTES = 1500, 8_000_000
 CELL_ROWS = 400_000
 
 
-def key_rows(nodes: np.ndarray, counts: np.ndarray, keys: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A batch's keys by bucket: per bucket the nodes that have keys there, how many, and the keys.
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Sizes as powers of 1.05, at most 255."""
+    return np.minimum(np.log(np.maximum(n, 1)) / np.log(1.05), 255).astype(np.uint8)
 
-    ``keys`` holds the first node's ``counts[0]`` keys, then the second's, and so on.
+
+def key_rows(nodes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, keys: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A batch's keys by bucket: per bucket the nodes that have keys there, the classes of their sizes, how many keys each, and the keys.
+
+    ``keys`` holds the first node's ``counts[0]`` keys, then the second's, and so on. High bits of a key choose the bucket, the low 32 stand for it there:
+    keys that agree by chance stay as rare as a bucket is small, and what they bring together is checked.
     """
-    out: dict[str, list] = {"bucket": [], "nodes": [], "counts": [], "keys": []}
+    out: dict[str, list] = {"bucket": [], "nodes": [], "sizes": [], "counts": [], "keys": []}
     owner = np.repeat(np.arange(len(nodes), dtype=np.int32), counts)
     bucket = ((keys >> U(40)) % U(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
-    keys, owner, bucket = keys[order], owner[order], bucket[order]
+    keys, owner, bucket = keys.astype(np.uint32)[order], owner[order], bucket[order]
+    classes = size_class(sizes)
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
         if a == b:
             continue
         firsts = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+        here = owner[a:b][firsts]
         out["bucket"].append(int(bucket[a]))
-        out["nodes"].append(nodes[owner[a:b][firsts]].tobytes())
-        out["counts"].append(np.diff(firsts, append=b - a).astype(np.uint16).tobytes())
+        out["nodes"].append(nodes[here].tobytes())
+        out["sizes"].append(classes[here].tobytes())
+        out["counts"].append(np.diff(firsts, append=b - a).astype(np.uint32).tobytes())
         out["keys"].append(keys[a:b].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("nodes", "counts", "keys"))], ["bucket", "nodes", "counts", "keys"])
+    return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in list(out)[1:])], list(out))
 
 
-def _group_bucket(nodes: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, int]]:
-    """``(gid, pivot, members, weight)`` for keys that two nodes or more share; groups of the same members count once."""
-    order = np.lexsort((nodes, keys))
-    nodes, keys = nodes[order], keys[order]
+def _group_bucket(bucket: int, nodes: np.ndarray, sizes: np.ndarray, keys: np.ndarray, apart: int) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """``(gid, pivot, members, weight)`` for keys that two nodes or more share; groups of the same members count once.
+
+    A group is cut where the sizes of neighbours in the order of size are too far apart for any pair across the cut.
+    """
+    order = np.lexsort((nodes, sizes, keys))
+    nodes, sizes, keys = nodes[order], sizes[order].astype(np.int16), keys[order]
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    nodes, keys = nodes[fresh], keys[fresh]
-    starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ U(1)))
-    sizes = np.diff(starts, append=len(keys))
-    starts, sizes = starts[sizes > 1], sizes[sizes > 1]
+    nodes, sizes, keys = nodes[fresh], sizes[fresh], keys[fresh]
+    edge = np.ones(len(keys), bool)
+    edge[1:] = (keys[1:] != keys[:-1]) | (sizes[1:] - sizes[:-1] > apart)
+    starts = np.flatnonzero(edge)
+    long = np.diff(starts, append=len(keys))
+    starts, long = starts[long > 1], long[long > 1]
     if not len(starts):
         return
-    inside = np.repeat(sizes > 0, sizes)
-    at = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(len(inside))
-    digest = np.add.reduceat(mix(nodes[at].astype(U)), np.concatenate(([0], np.cumsum(sizes)[:-1])))
-    _, first, weight = np.unique(mix(digest + sizes.astype(U)), return_index=True, return_counts=True)
+    inside = np.repeat(long > 0, long)
+    begins = np.concatenate(([0], np.cumsum(long)[:-1]))
+    at = np.repeat(starts - begins, long) + np.arange(len(inside))
+    digest = np.add.reduceat(mix(nodes[at].astype(U)), begins)
+    _, first, weight = np.unique(mix(digest + long.astype(U)), return_index=True, return_counts=True)
+    gids = mix((keys[starts].astype(U) | (sizes[starts].astype(U) << U(32))) + mix(np.array([bucket], U))).view(np.int64)
     for i, w in zip(first.tolist(), weight.tolist(), strict=True):
-        members = nodes[starts[i] : starts[i] + sizes[i]]
-        yield int(keys[starts[i]].view(np.int64)), int(members[0]), members[1:], w
+        members = nodes[starts[i] : starts[i] + long[i]]
+        yield int(gids[i]), int(members[0]), members[1:], w
 
 
-def grouped(rows: DataFrame, buckets: int) -> DataFrame:
-    """Groups of nodes that share a key, from ``key_rows``."""
+def grouped(rows: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """Groups of nodes that share a key, from ``key_rows``; a task holds one bucket at a time."""
+    apart = int(np.log(100 / percent) / np.log(1.05)) + 1
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, keys = [], []
+        bucket, held = None, [[], [], []]
+
+        def groups() -> Iterator[pa.RecordBatch]:
+            out, size = [], 0
+            for gid, pivot, members, weight in _group_bucket(bucket, *map(np.concatenate, held), apart):
+                out += [(gid, pivot, members[i : i + PIECE], weight) for i in range(0, len(members), PIECE)]
+                size += len(members)
+                if size >= 200_000:
+                    yield _groups_batch(out)
+                    out, size = [], 0
+            yield _groups_batch(out)
+
         for batch in batches:
-            for n, c, k in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                nodes.append(np.repeat(np.frombuffer(n, np.int64), np.frombuffer(c, np.uint16)))
-                keys.append(np.frombuffer(k, U))
-        if not keys:
-            return
-        out = []
-        for gid, pivot, members, weight in _group_bucket(np.concatenate(nodes), np.concatenate(keys)):
-            out += [(gid, pivot, members[i : i + PIECE], weight) for i in range(0, len(members), PIECE)]
-            if len(out) >= 20_000:
-                yield _groups_batch(out)
-                out = []
-        yield _groups_batch(out)
-
-    return rows.repartition(buckets, "bucket").mapInArrow(reduce, GROUPS_SCHEMA)
+            for b, n, s, c, k in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if b != bucket and held[0]:
+                    yield from groups()
+                    held = [[], [], []]
+                bucket, c = b, np.frombuffer(c, np.uint32)
+                for part, x in zip(held, (np.repeat(np.frombuffer(n, np.int64), c), np.repeat(np.frombuffer(s, np.uint8), c), np.frombuffer(k, np.uint32)), strict=True):
+                    part.append(x)
+        if held[0]:
+            yield from groups()
+
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, GROUPS_SCHEMA)
 
 
 def _groups_batch(rows: list[tuple[int, int, np.ndarray, int]]) -> pa.RecordBatch:
@@ -119,6 +144,31 @@ def sketch(distinct: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+#: Low bits of a hash that make room for the number of a set in ``distinct``.
+_SETS = U(21)
+
+
+def distinct(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Set and hash of the different elements of fewer than 2 ** 21 sets, told apart by their hashes' high bits.
+
+    ``hashes`` holds the sets one after the other, beginning at ``firsts``, with repeats.
+    """
+    owner = np.repeat(np.arange(len(firsts), dtype=U), np.diff(firsts, append=len(hashes)))
+    both = np.sort((owner << (U(64) - _SETS)) | (hashes >> _SETS))
+    both = both[np.diff(both, prepend=~both[:1]) != 0]
+    return (both >> (U(64) - _SETS)).astype(np.int64), both << _SETS
+
+
+def outlines(owner: np.ndarray, hashes: np.ndarray, sets: int) -> tuple[np.ndarray, pa.Array]:
+    """Sizes and parity sketches of what ``distinct`` gave."""
+    n = np.bincount(owner, minlength=sets)
+    size = 1 << (np.maximum(6, np.frexp(n)[1] + 2)).astype(np.int64)
+    base = np.concatenate(([0], np.cumsum(size)))
+    place = mix(hashes ^ U(0x1D8E4E27C47D124F)) & (size[owner] - 1).astype(U)
+    flat = np.packbits((np.bincount(base[owner] + place.astype(np.int64), minlength=base[-1]) & 1).astype(np.uint8))
+    return n, pa.Array.from_buffers(pa.binary(), sets, [None, pa.py_buffer((base // 8).astype(np.int32)), pa.py_buffer(flat)])
+
+
 def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     while bits.shape[-1] > size:
         half = bits.shape[-1] // 2
@@ -151,9 +201,8 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             keep = pa.array([apart(s, t) <= allowed(x, y, percent) for x, y, s, t in zip(na, nb, sa, sb, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    side = lambda k, *more: sketches.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), *(F.col(c).alias(f"{c}_{k}") for c in more))
-    sized = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    both = sized.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b").select("a", "b", "na", "nb", "sketch_a", "sketch_b")
+    side = lambda k: sketches.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"sketch_{k}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "sketch_a", "sketch_b")
     return written(both.mapInArrow(near, "a long, b long"), "near")
 
 
@@ -179,15 +228,32 @@ def _nodes(pairs: DataFrame) -> DataFrame:
     return written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a batch's edges, one from each node to the least one that it is connected with in the batch."""
+    for batch in batches:
+        nodes, ends = np.unique(np.concatenate((batch.column(0).to_numpy(), batch.column(1).to_numpy())), return_inverse=True)
+        u, v = ends[: batch.num_rows], ends[batch.num_rows :]
+        label = np.arange(len(nodes))
+        while True:
+            before = label.copy()
+            np.minimum.at(label, label[u], label[v])
+            np.minimum.at(label, label[v], label[u])
+            label = label[label]
+            if (label == before).all():
+                break
+        other = np.flatnonzero(label != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[label[other]])], ["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, label)``: the least node of each component, by rounds of large and small stars."""
-    edges = written(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    """``(node, label)``: the least node of each component, by rounds of large and small stars over the forests of batches of edges."""
+    edges = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(_forest, "u long, v long"), "edges")
     state = lambda e: e.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
         edges = written(small, "edges")

@@ -114,15 +114,16 @@ def _passes(docs: DataFrame, how: NgramJoin, buckets: int) -> tuple[DataFrame, D
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, out = [], []
+            nodes, sizes, out = [], [], []
             for s in document_sets(*text_bytes(batch.column(1)), how.words):
                 if len(s) and (i := set_id(s)) not in seen:
                     seen.add(i)
                     nodes.append(i)
+                    sizes.append(len(s))
                     out.append(join_keys(s, how.percent))
             if len(seen) > 500_000:  # only saves repeats; the reducer counts a node once
                 seen.clear()
-            yield links.key_rows(np.array(nodes, np.int64), np.array([len(k) for k in out], np.int64), np.concatenate([*out, np.zeros(0, U)]), buckets)
+            yield links.key_rows(np.array(nodes, np.int64), np.array(sizes, np.int64), np.array([len(k) for k in out], np.int64), np.concatenate([*out, np.zeros(0, U)]), buckets)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +158,7 @@ def joined(docs: DataFrame, how: NgramJoin = NgramJoin()) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids, keys, sketches, elements = _passes(docs, how, buckets)
     ids = written(ids, "ids")
-    groups = written(links.grouped(keys, buckets), "groups")
+    groups = written(links.grouped(keys, buckets, how.percent), "groups")
     nodes = groups.select(F.explode(F.concat(F.array("pivot"), F.col("members"))).alias("node")).distinct()
     first = ids.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = written(first.join(nodes, "node"), "wanted")

@@ -35,6 +35,7 @@ class Packing:
     capacity: int = 1024
     cuts: int = 3
     end: int = 0
+    rows_per_batch: int = 1000
 
 
 def pieces(n: int, capacity: int, cuts: int) -> list[int]:
@@ -99,7 +100,7 @@ def packed(docs: DataFrame, how: Packing) -> DataFrame:
         names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
         frame = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names), names)
         crc = zlib.crc32
-        for batch in batches:
+        for batch in (b.slice(i, how.rows_per_batch) for b in batches for i in range(0, b.num_rows, how.rows_per_batch)):
             rows: list[list[int]] = []
             ids, starts = encode(batch.column(1).to_pylist(), how.end)
             raw, at = memoryview(ids.astype("<u4", copy=False)).cast("B"), starts.tolist()

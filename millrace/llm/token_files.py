@@ -5,7 +5,7 @@ documents. A file is one row of a Parquet table in the shared folder: its place
 ids (``range_coder``). Files are decoded independently of each other, each in one task; ids before a file are the sums of the
 files before it, one row per file.
 
-Defined results: a null or empty text has only the closing id; documents with equal ids follow each other in the order of their texts; a null id comes
+Defined results: a null or empty text has only the closing id; documents with equal ids follow each other in the order of a hash of their texts; a null id comes
 first; damaged blocks raise; extra columns are not read; an empty table gives an empty result.
 """
 
@@ -71,7 +71,8 @@ def files(docs: DataFrame, how: TokenFiles) -> DataFrame:
 
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(ranges, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")  # a text is not sampled for ranges
     return written(ordered.mapInArrow(encode, FILE_SCHEMA), "token-files", compression="none")
 
 
