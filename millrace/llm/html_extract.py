@@ -10,7 +10,7 @@ Pages with equal main texts count once as evidence, so that copies of an article
 they are shuffled; a host's wrapper is as long as its exemplar. The wrappers are broadcast up to a counted number, else joined by shuffle.
 
 Defined results: a null or empty page has an empty text; a null URL, or one without a host, belongs to the host without a name; unclosed
-and truncated markup is closed at the end; a tag that never ends is dropped; repeated rows are extracted each; an empty table gives an empty result.
+and truncated markup is closed at the end; however deep a page is, its text is kept; a tag that never ends is dropped; repeated rows are extracted each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,6 +57,10 @@ _MARKS = frozenset(
 _HEAD_MARKS = frozenset("header topbar".split())
 
 
+#: Elements below this depth become breaks in the text of the one above them, so that no page is too deep to walk.
+DEPTH = 256
+
+
 class Node:
     __slots__ = ("tag", "label", "out", "items", "keys")
 
@@ -87,8 +91,8 @@ def parse(page: str) -> Node:
     while pos < end:
         m = _TOKEN.search(page, pos)
         text = page[pos : m.start() if m else end]
-        if text:
-            stack[-1].items.append(text)
+        if text and not any(n.out for n in stack[DEPTH:]):
+            stack[:DEPTH][-1].items.append(text)
         if not m:
             break
         pos = m.end()
@@ -101,6 +105,8 @@ def parse(page: str) -> Node:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     inside -= sum(n.tag in ("article", "main") for n in stack[i:])
+                    if len(stack) > DEPTH:
+                        stack[DEPTH - 1].items.append(Node("hr", "hr", False))
                     del stack[i:]
                     break
             continue
@@ -109,7 +115,7 @@ def parse(page: str) -> Node:
             pos = close.end() if close else end
             continue
         if tag == "br" or tag in _VOID:
-            stack[-1].items.append(" " if tag != "hr" else Node("hr", "hr", False))
+            stack[:DEPTH][-1].items.append(" " if tag != "hr" else Node("hr", "hr", False))
             continue
         at = _attributes(m[3] or m[6] or "")
         out = _left_out(tag, at, inside > 0)
@@ -126,7 +132,7 @@ def parse(page: str) -> Node:
                 if stack[i].tag in stop or (not stop and stack[i].tag not in _INLINE):
                     break
         node = Node(tag, f"{tag}.{at.get('class', '')}" if at.get("class") else tag, out)
-        stack[-1].items.append(node)
+        stack[:DEPTH][-1].items.append(node if len(stack) < DEPTH else Node("hr", "hr", False))
         if not m[0].endswith("/>") or tag not in ("path", "circle"):
             stack.append(node)
             inside += tag in ("article", "main")
@@ -268,9 +274,7 @@ def main_text(page: str, exemplar: list | None, template: set[int], how: Wrapper
 
 def extracted(pages: DataFrame, how: Wrapper = Wrapper()) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row."""
-    spark = pages.sparkSession
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_path(F.col("url"))[0].alias("host"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", how.rows_per_batch)
 
     def bounded(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= how.broadcast_rows else df
@@ -306,10 +310,10 @@ def extracted(pages: DataFrame, how: Wrapper = Wrapper()) -> DataFrame:
     first = bounded(written(rows.groupBy("host").agg(F.min(F.struct("page_id", "url")).alias("first")), "hosts"))
     same = (F.col("r.host") == F.col("f.host")) & F.col("r.page_id").eqNullSafe(F.col("f.first.page_id")) & F.col("r.url").eqNullSafe(F.col("f.first.url"))
     outlines = rows.alias("r").join(first.alias("f"), same, "left_semi").select("host", "html").mapInPandas(outline, "host string, exemplar string")
-    outlines = written(outlines.groupBy("host").agg(F.min("exemplar").alias("exemplar")), "outlines")
+    outlines = written(outlines.groupBy("host").agg(F.min("exemplar").alias("exemplar")), "outlines", rows=how.rows_per_batch)
     seen = rows.select("host", "html").join(bounded(outlines), "host").mapInPandas(evidence, "host string, node int, text string, whole string")
     seen = seen.select("host", "node", F.xxhash64("text").alias("t"), F.xxhash64("whole").alias("w")).groupBy("host", "node", "t", "w").agg(F.count(F.lit(1)).alias("copies"))
     counts = seen.groupBy("host", "node", "t").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "node").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
     template = counts.filter((F.col("n") >= how.pages) & (F.col("most") >= how.constant * F.col("n"))).groupBy("host").agg(F.collect_list("node").alias("template"))
-    wrappers = written(outlines.join(template, "host", "left"), "wrappers")
+    wrappers = written(outlines.join(template, "host", "left"), "wrappers", rows=how.rows_per_batch)
     return rows.join(bounded(wrappers), "host", "left").select("page_id", "url", "html", "exemplar", "template").mapInPandas(extract, "page_id long, url string, text string, n_chars long")

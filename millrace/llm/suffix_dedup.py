@@ -234,17 +234,16 @@ def _plans(how: SuffixDedup, buckets: int) -> tuple:
 def spans(base: DataFrame, how: SuffixDedup) -> DataFrame:
     """``(uid, lo, hi)``: stretches of bytes in which every string of ``length`` also starts elsewhere; they may overlap."""
     spark = base.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", how.rows_per_batch)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     find, compare, cut, transform = _plans(how, buckets)
     packed = base.select("uid", "text").mapInArrow(find, "bucket int, keys binary, digests binary, owners binary, places binary")
     shared = packed.repartition(buckets, "bucket").mapInArrow(compare, "uid long, place long, anchor long, covered boolean, asked boolean, hot boolean")
-    shared = written(shared, "anchors")
+    shared = written(shared, "anchors", rows=how.rows_per_batch)
     asked = shared.filter("asked").groupBy("uid").agg(F.collect_list(F.struct("place", "anchor", "hot")).alias("asked"))
     segments = base.select("uid", "text").join(asked, "uid").mapInArrow(cut, "anchor long, uid long, place long, segment binary")
     marked = segments.repartition(buckets, "anchor").mapInArrow(transform, "uid long, lo long, hi long")
     whole = shared.filter("covered").join(base.select("uid", F.length("text").alias("size")), "uid").select("uid", F.greatest(F.col("place") - (how.length - how.key), F.lit(0)).alias("lo"), F.least(F.col("place") + how.length, F.col("size")).cast("long").alias("hi"))
-    return written(marked.unionByName(whole), "spans")
+    return written(marked.unionByName(whole), "spans", rows=how.rows_per_batch)
 
 
 def deduplicated(docs: DataFrame, how: SuffixDedup = SuffixDedup()) -> DataFrame:
