@@ -3,7 +3,8 @@
 A source's documents stand in a fixed order (size, then a hash of the row's key); each has the same expected
 number of copies, its source's target over its size. The copies expected up to a document, plus one random
 offset per source, cross a whole number for every copy that the mix takes of it. Ordering by size spreads
-the rounding evenly over short and long documents, so that the words taken come near the target.
+the rounding evenly over short and long documents, and of a number of random offsets the one is used whose words come nearest to the
+target, which matters where a few documents hold most of a source.
 
 The order is never built in one task: documents are counted by (source, size, slice), the counts are added up
 along a source, and only the rank inside such a cell is taken from a window. A source's slices bound
@@ -16,9 +17,10 @@ empty result. Reruns agree, as all randomness is hashed from ``seed``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -28,13 +30,18 @@ from millrace.llm.text import word_count
 
 @dataclass(frozen=True)
 class Mix:
-    """Weights repeat along the sources in the order of their code points. ``share_percent`` of all sizes is dealt out."""
+    """Weights repeat along the sources in the order of their code points. ``share_percent`` of all sizes is dealt out.
+
+    A source has so many seeded ``offsets`` to choose from; its rows are broadcast up to ``broadcast_sources`` sources.
+    """
 
     weights: tuple[int, ...] = (5, 2, 1)
     share_percent: int = 150
     most_times: int = 2
     slices: int = 256
     seed: int = 17
+    offsets: int = 32
+    broadcast_sources: int = 50_000
 
 
 def targets(by_source: DataFrame, mix: Mix) -> DataFrame:
@@ -61,35 +68,47 @@ def targets(by_source: DataFrame, mix: Mix) -> DataFrame:
     return s.select("source", "source_size", target.alias("target"))
 
 
-def _offset(source: Column, mix: Mix) -> Column:
-    """A number in [0, 1) for each source."""
-    return F.pmod(F.xxhash64(F.lit(mix.seed), source), F.lit(1_000_000)) / 1_000_000.0
+def _offsets(sizes: DataFrame, dealt: DataFrame, mix: Mix, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(source, offset)``: of a source's seeded offsets the one whose mix comes nearest to the target.
+
+    How many copies an offset takes of a source's documents of one size follows from their ranks, so the choice is made on counts by size.
+    """
+    draw = lambda k: F.pmod(F.xxhash64(F.lit(mix.seed), F.lit(k), F.col("source")), F.lit(1_000_000)) / 1_000_000.0
+    rate = F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))
+    crossed = lambda k: F.floor((F.col("smaller") + F.col("n")) * rate + draw(k)) - F.floor(F.col("smaller") * rate + draw(k))
+    taken = sizes.filter("size > 0").join(small(dealt), "source").groupBy("source", "target").agg(*(F.sum(F.col("size") * crossed(k)).alias(f"taken{k}") for k in range(mix.offsets)))
+    choices = F.array(*(F.struct(F.abs(F.col(f"taken{k}") - F.col("target")).alias("off"), draw(k).alias("offset")) for k in range(mix.offsets)))
+    return taken.select("source", F.array_min(choices)["offset"].alias("offset"))
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), keep: tuple[str, ...] | None = None) -> DataFrame:
     """``row`` (struct of the caller's columns, or of ``keep``), ``size``, ``source_size``, ``target``, ``copies``.
 
-    Rows that are cut to ``keep`` are stored; whole rows are read a second time instead.
+    Rows that are cut to ``keep`` are stored; whole rows are read a second time instead, and move once.
     """
-    key = F.xxhash64(F.lit(mix.seed), F.col("row.doc_id"))
-    rows = docs.select(F.struct("*").alias("row"), word_count(F.col("text")).alias("size"), F.col("source").alias("source"))
+    key = F.xxhash64(F.lit(mix.seed), F.col("row.doc_id"), F.col("row.text"))
+    rows = docs.select(F.struct("*").alias("row"), word_count(F.col("text")).alias("size"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("source"))
     rows = rows.select(F.struct(*(F.col(f"row.{c}") for c in keep)).alias("row") if keep is not None else "row", "size", "source", key.alias("key")).withColumn("slice", F.pmod("key", F.lit(mix.slices)))
     if keep is not None:
         rows = written(rows, "mixing")
     cells = written(rows.groupBy("source", "size", "slice").agg(F.count(F.lit(1)).alias("n")), "cells")
-    dealt = targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), mix)
+    by_source = cells.groupBy(F.when(F.col("source") != "", F.substr("source", F.lit(2))).alias("source")).agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    dealt = targets(by_source, mix).withColumn("source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+    dealt = written(dealt, "targets")  # one row per source
     # Two steps, so that a window spans a source's distinct sizes and not all its cells.
     sizes = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
     along = W.partitionBy("source").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select("source", "size", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("smaller"))
+    sizes = written(sizes.select("source", "size", "n", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("smaller")), "sizes")
+    few = dealt.count() <= mix.broadcast_sources
+    small = lambda df: F.broadcast(df) if few else df
+    offsets = written(_offsets(sizes, dealt, mix, small), "offsets")
     inside = W.partitionBy("source", "size").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select("source", "size", "slice", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("earlier"))
-    start = cells.alias("c").join(sizes.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")) & (F.col("c.size") == F.col("s.size"))).join(dealt.alias("d"), F.col("c.source").eqNullSafe(F.col("d.source")))
-    start = start.select("c.source", "c.size", "c.slice", (F.col("smaller") + F.col("earlier")).alias("before"), "source_size", "target")
+    start = cells.join(sizes.select("source", "size", "smaller"), ["source", "size"]).join(small(dealt.join(offsets, "source", "left")), "source")
+    start = start.select("source", "size", "slice", (F.col("smaller") + F.col("earlier")).alias("before"), "source_size", "target", "offset")
     ranked = rows.withColumn("nth", F.row_number().over(W.partitionBy("source", "size", "slice").orderBy("key")))
-    on = F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.size") == F.col("t.size")) & (F.col("r.slice") == F.col("t.slice"))
-    out = ranked.alias("r").join(start.alias("t"), on).select("r.row", "r.size", "r.source", "source_size", "target", (F.col("before") + F.col("nth")).alias("rank"))
-    rate, u = F.col("target") / F.col("source_size"), _offset(F.col("source"), mix)
+    out = ranked.join(start, ["source", "size", "slice"]).withColumn("rank", F.col("before") + F.col("nth"))
+    rate, u = F.col("target") / F.col("source_size"), F.col("offset")
     crossed = F.floor(F.col("rank") * rate + u) - F.floor((F.col("rank") - 1) * rate + u)
     return out.select("row", "size", "source_size", "target", F.when((F.col("size") > 0) & (F.col("source_size") > 0), crossed).otherwise(0).cast("long").alias("copies"))
 
