@@ -34,8 +34,9 @@ class QualityRules:
     max_repeat_percent: int = 30
     window: int = 8
     reach: int = 4
-    least: tuple[int, int, int, int] = (500, 50, 100, 75)
+    least: tuple[int, int, int, int] = (500, 25, 90, 60)
     min_group: int = 100
+    broadcast_rows: int = 300_000
 
 
 def _measured(docs: DataFrame, rules: QualityRules) -> DataFrame:
@@ -125,6 +126,14 @@ def report(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
 
 
 def filtered(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The documents that are kept, with their columns as they came. Measured rows are stored, so that the filter doesn't evaluate measures again."""
-    ratios = written(_with_ratios(_measured(docs, rules)), "quality")
-    return _judged(ratios, _fence_table(ratios, rules)).filter("kept").select("row.*")
+    """The documents that are kept, with their columns as they came.
+
+    What a verdict depends on is the text, the language and the source; measures are stored under a hash of these three, and texts are read again for the result.
+    """
+    key = lambda at: F.xxhash64(f"{at}text", f"{at}lang", f"{at}source")
+    ratios = _with_ratios(_measured(docs.select("text", "lang", "source"), rules)).withColumn("row", F.struct(key("row.").alias("uid")))
+    ratios = written(ratios, "quality")
+    rejected = written(_judged(ratios, _fence_table(ratios, rules)).filter("not kept").select("row.uid").distinct(), "rejected")
+    if rejected.count() <= rules.broadcast_rows:
+        rejected = F.broadcast(rejected)
+    return docs.select(F.struct("*").alias("row"), key("").alias("uid")).join(rejected, "uid", "left_anti").select("row.*")
