@@ -45,16 +45,19 @@ def check_glob(glob: str) -> str:
     return glob
 
 
-def glob_regex(glob: str) -> str:
+def glob_regex(glob: str, no_folder: bool = False) -> str:
     """An anchored expression: ``*`` crosses slashes, ``?`` is one character, ``[...]`` and ``[!...]`` are classes.
 
-    Each star with the text after it is atomic, which keeps matching nearly linear; an open bracket stands for itself.
+    With ``no_folder``, stars between two slashes also stand for no folder at all. Each star with the text after it is atomic, which keeps matching nearly linear; an open bracket stands for itself.
     """
     parts: list[str] = [""]
     i = 0
     while i < len(glob):
         c = glob[i]
-        if c == "*":
+        if no_folder and (m := re.match(r"/\*+/", glob[i:])):
+            parts[-1] += "/(?:.*?/)??"
+            i += m.end() - 1
+        elif c == "*":
             if i == 0 or glob[i - 1] != "*":
                 parts.append("")
         elif c == "?":
@@ -120,8 +123,7 @@ def excluded_regex(patterns: list[str]) -> str | None:
         p = p.strip().replace("\\", "/")
         check_glob(p)
         body = p if p[0] in "/*" else f"/{p}"
-        inner = glob_regex(body)[len("^(?s:") : -len(")$")]
-        inner = inner.replace("/(?>.*?/)", "/(?:(?>.*?/))?") if "/**/" in body else inner
+        inner = glob_regex(body, no_folder=True)[len("^(?s:") : -len(")$")]
         out.append(("" if p[0] in "/*" else "(?:.*)") + inner)
     return f"(?is)^(?:{'|'.join(out)})$" if out else None
 
@@ -132,47 +134,128 @@ def excluded(path: Column, patterns: list[str]) -> Column:
     return F.concat(F.lit("/"), path).rlike(regex) if regex else F.lit(False)
 
 
-def check_regex(pattern: str, group: int = 0) -> str:
-    """Refuses what the linear-time dialect lacks; closes a literal that is left open; checks the group's number."""
-    groups, i, in_class = 0, 0, False
+#: Escapes that both dialects read alike, outside and inside classes; then those that stand for another form, and the named classes.
+_SAME = "dDsSwWaftnr"
+_OUTSIDE = "bBAz"
+_OTHER = {"v": r"\x0B"}
+_CLASSES = {c: rf"\p{{{c.capitalize()}}}" for c in ("alnum", "alpha", "ascii", "blank", "cntrl", "digit", "graph", "lower", "print", "punct", "space", "upper")} | {"xdigit": r"\p{XDigit}", "word": r"\w"}
+MAX_REPEAT = 1000
+
+
+def _escape(pattern: str, i: int, in_class: bool) -> tuple[str, int]:
+    """The escape at ``i`` in Java's form, and where it ends."""
+    d = pattern[i + 1 : i + 2]
+    if not d:
+        raise PatternError("the pattern ends in a backslash")
+    if m := re.compile(r"x(?:([0-9A-Fa-f]{2})|\{([0-9A-Fa-f]{1,6})\})").match(pattern, i + 1):
+        return rf"\x{{{m[1] or m[2]}}}", m.end()
+    if m := re.compile(r"0[0-7]{0,2}|[1-7][0-7]{1,2}").match(pattern, i + 1):
+        return rf"\x{{{int(m[0], 8):x}}}", m.end()
+    if m := re.compile(r"([pP])(?:([A-Z])|\{(\^?)(\w+)\})").match(pattern, i + 1):
+        name = m[2] or m[4]
+        return rf"\{'pP'[(m[1] == 'P') != bool(m[3])]}{{{name if len(name) < 3 else 'Is' + name}}}", m.end()
+    if d in "123456789k":
+        raise PatternError("backreferences are not supported")
+    if d in _OTHER:
+        return _OTHER[d], i + 2
+    if d in _SAME or (d in _OUTSIDE and not in_class) or (d.isascii() and not d.isalnum()):
+        return f"\\{d}", i + 2
+    raise PatternError(f"the escape \\{d} is not supported")
+
+
+def _class(pattern: str, i: int) -> tuple[str, int]:
+    """The class that opens at ``i`` in Java's form, and where it ends. A closing bracket right at its start is a member."""
+    begin = i
+    i += 1
+    out = "["
+    if pattern[i : i + 1] == "^":
+        out, i = "[^", i + 1
+    first = i
     while i < len(pattern):
         c = pattern[i]
-        if c == "\\":
-            if i + 1 == len(pattern):
-                raise PatternError("the pattern ends in a backslash")
-            d = pattern[i + 1]
-            if d == "Q":
-                end = pattern.find("\\E", i)
-                if end < 0:
-                    pattern += "\\E"
-                    end = len(pattern) - 2
-                i = end + 2
-                continue
-            if d in "123456789" or d == "k":
-                raise PatternError("backreferences are not supported")
-            i += 2
+        if c == "]" and i > first:
+            return out + "]", i + 1
+        if m := re.compile(r"\[:(\^?)(\w+):\]").match(pattern, i):
+            if m[2] not in _CLASSES:
+                raise PatternError(f"there is no class [:{m[2]}:]")
+            out += re.sub("^(.)([pw])", lambda x: x[1] + x[2].upper(), _CLASSES[m[2]]) if m[1] else _CLASSES[m[2]]
+            i = m.end()
+        elif c == "\\":
+            one, i = _escape(pattern, i, True)
+            out += one
+        else:
+            out += c if c.isalnum() or c == "-" else re.escape(c)
+            i += 1
+    raise PatternError(f"the class {pattern[begin:]} is not closed")
+
+
+def java_regex(pattern: str) -> tuple[str, int]:
+    """A pattern of the linear-time dialect in the form that Spark's functions take, and the number of its groups.
+
+    Refused are lookaround, backreferences, atomic groups, possessive and doubled repetition, and what no engine could read.
+    """
+    out, groups, depth, i = "", 0, 0, 0
+    repeatable, repeated = False, False  # whether a repetition may follow, and whether one has just been
+    while i < len(pattern):
+        c = pattern[i]
+        if pattern.startswith("\\Q", i):
+            end = pattern.find("\\E", i)
+            body = pattern[i + 2 : end if end >= 0 else len(pattern)]
+            out, i = out + "".join(re.escape(x) for x in body), end + 2 if end >= 0 else len(pattern)
+            repeatable, repeated = repeatable or bool(body), repeated and not body
             continue
-        if c == "[" and not in_class:
-            in_class = True
-            i += 2 if pattern[i + 1 : i + 2] in ("]", "^") else 1
+        if pattern.startswith("\\E", i):
+            i += 2
             continue
-        if c == "]":
-            in_class = False
-        elif c == "(" and not in_class:
-            rest = pattern[i + 1 :]
-            if re.match(r"\?(=|!|<=|<!)", rest):
-                raise PatternError("lookaround is not supported")
-            if re.match(r"\?>", rest):
-                raise PatternError("atomic groups are not supported")
-            groups += not rest.startswith("?") or bool(re.match(r"\?P?<[A-Za-z]", rest))
-        i += 1
+        if c == "\\":
+            one, i = _escape(pattern, i, False)
+            out, repeatable, repeated = out + one, True, False
+        elif c == "[":
+            one, i = _class(pattern, i)
+            out, repeatable, repeated = out + one, True, False
+        elif c == "(":
+            depth += 1
+            m = re.compile(r"\((?:\?(?:(P?<)(\w+)>|([imsU]*(?:-[imsU]+)?)([:)])))?").match(pattern, i)
+            if pattern.startswith("(?", i) and len(m[0]) < 3:
+                kind = "lookaround is" if re.match(r"\(\?<?[=!]", pattern[i:]) else "atomic groups are" if pattern.startswith("(?>", i) else "backreferences are" if pattern.startswith("(?P=", i) else "this kind of group is"
+                raise PatternError(f"{kind} not supported")
+            if "U" in (m[3] or ""):
+                raise PatternError("the flag U is not supported")
+            groups += not m[4]
+            depth -= m[4] == ")"
+            out, i = out + (f"(?{m[3]}{m[4]}" if m[4] else "("), m.end()
+            repeatable, repeated = False, False
+        elif c == ")":
+            depth -= 1
+            if depth < 0:
+                raise PatternError("a parenthesis is closed that was not opened")
+            out, i, repeatable, repeated = out + c, i + 1, True, False
+        elif c in "*+?" or (m := re.compile(r"\{(\d+)(,?)(\d*)\}").match(pattern, i)):
+            lazy = c == "?" and repeated
+            if not lazy and (not repeatable or repeated):
+                raise PatternError(f"nothing to repeat before {pattern[i:]}" if not repeatable else f"a repetition can't be repeated: {pattern[:i + 1]}")
+            one = c
+            if c == "{":
+                low, high = int(m[1]), int(m[3] or m[1])
+                if max(low, high) > MAX_REPEAT or high < low:
+                    raise PatternError(f"the repetition {m[0]} is out of range")
+                one = m[0]
+            out, i = out + one, i + len(one)
+            repeatable, repeated = not lazy, not lazy
+        else:
+            out += re.escape(c) if c in "{}]#&~" else c
+            repeatable, repeated, i = c not in "|^", False, i + 1
+    if depth:
+        raise PatternError("a parenthesis is not closed")
+    return out, groups
+
+
+def check_regex(pattern: str, group: int = 0) -> str:
+    """The pattern in the form for Spark; refuses what the linear-time dialect lacks and a group that the pattern hasn't."""
+    out, groups = java_regex(pattern)
     if not 0 <= group <= min(groups, 9):
         raise PatternError(f"the pattern has {groups} groups")
-    try:
-        re.compile(re.sub(r"\\Q(.*?)\\E", lambda m: re.escape(m[1]), pattern.replace(r"\p{L}", "a").replace(r"\p{Nd}", "0").replace(r"\pL", "a")))
-    except re.error as e:
-        raise PatternError(f"the pattern can't be read: {e}") from e
-    return pattern
+    return out
 
 
 def whole_word(pattern: str) -> str:
@@ -219,24 +302,27 @@ def required_literal(pattern: str) -> str | None:
         c = pattern[i]
         literal = None
         if c == "\\":
-            d = pattern[i + 1 : i + 2]
-            literal = d if d and not d.isalnum() else None
-            i += 1
-        elif c in "([":
+            if pattern.startswith("\\Q", i):
+                return None
+            form, end = _escape(pattern, i, False)
+            literal = form[1] if end == i + 2 and not form[1].isalnum() else None
+            i = end - 1
+        elif c == "[":
+            close(run)
+            i = _class(pattern, i)[1] - 1
+        elif c == "(":
             close(run)
-            end = i
             level = 0
-            while end < len(pattern):
-                if pattern[end] == "\\":
-                    end += 1
-                elif pattern[end] == c:
-                    level += 1
-                elif pattern[end] == {"(": ")", "[": "]"}[c]:
-                    level -= 1
+            while i < len(pattern):
+                if pattern[i] == "\\":
+                    i += 1
+                elif pattern[i] == "[":
+                    i = _class(pattern, i)[1] - 1
+                else:
+                    level += (pattern[i] == "(") - (pattern[i] == ")")
                     if not level:
                         break
-                end += 1
-            i = end
+                i += 1
         elif c in ".^$)":
             pass
         elif c in "*?{":

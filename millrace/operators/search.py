@@ -110,17 +110,21 @@ def grep_multiline(docs: DataFrame, pattern: str, ignore_case: bool = False, cou
     elif literal and literal.isascii() and not re.search("[sk]", literal, re.I):  # s and k have other forms without case
         docs = docs.filter(F.contains(F.lower("content"), F.lit(literal.lower())))
     if count_bytes is not None:
-        before = F.sum(F.octet_length("content")).over(W.orderBy("path", "repo_slug").rowsBetween(W.unboundedPreceding, -1))
-        docs = docs.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < count_bytes).drop("_before")
+        sizes = docs.select(*KEYS, F.octet_length("content").alias("_size"))  # one task orders sizes, not texts
+        before = F.sum("_size").over(W.orderBy("path", "repo_slug").rowsBetween(W.unboundedPreceding, -1))
+        counted = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < count_bytes).select(*KEYS)
+        docs = docs.join(counted, KEYS, "left_semi")
     return docs.withColumn("n", F.regexp_count("content", F.lit(flags + pattern)).cast("long")).filter("n > 0").select(*KEYS, "n", "content")
 
 
 def match_spans(found: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
     """Lines that each match of a multiline search covers; empty matches cover none."""
-    source = re.sub(r"\\p\{L\}", r"[^\\W\\d_]", patterns.check_regex(pattern))
+    source = patterns.check_regex(pattern).replace(r"\z", r"\Z").replace(r"\p{Is", r"\p{")
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = re.compile(source, re.S | (re.I if ignore_case else 0))
+        import regex  # it has the classes of Unicode
+
+        compiled = regex.compile(source, regex.S | (regex.I if ignore_case else 0))
         for b in batches:
             out = []
             for repo, path, text in zip(b["repo_slug"], b["path"], b["content"], strict=True):
@@ -219,14 +223,16 @@ def diagnose_slug(requests: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def read_windows(windows: DataFrame, lines: DataFrame, most_windows: int = 100, most_lines: int = 100_000, most_chars: int = 16_000_000) -> DataFrame:
-    """Lines of ``window_id, repo_slug, path, start_line, end_line``, clamped to the file, up to budgets in the order of the requests."""
-    own = windows.filter(F.col("window_id") < most_windows)
-    ends = lines.groupBy(*KEYS).agg(F.max("line_number").alias("last"))
-    own = own.join(ends, KEYS).select("window_id", *KEYS, F.explode(F.expr("CASE WHEN least(end_line, last) >= greatest(start_line, 1) THEN sequence(greatest(start_line, 1), least(end_line, last)) END")).alias("line_number"))
+    """Lines of ``request_id, window_id, repo_slug, path, start_line, end_line``, clamped to the file, up to budgets of each request in the order of its windows."""
+    request = W.partitionBy("request_id")
+    own = windows.withColumn("_w", F.row_number().over(request.orderBy("window_id"))).filter(F.col("_w") <= most_windows)
+    ends = lines.select(*KEYS, "line_number").join(own.select(*KEYS).distinct(), KEYS, "left_semi").groupBy(*KEYS).agg(F.max("line_number").alias("last"))
+    own = own.join(ends, KEYS).select("request_id", "window_id", *KEYS, F.explode(F.expr("CASE WHEN least(end_line, last) >= greatest(start_line, 1) THEN sequence(greatest(start_line, 1), least(end_line, last)) END")).alias("line_number"))
+    order = request.orderBy("window_id", "line_number")
+    own = own.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most_lines)  # before any text is joined
     rows = own.join(lines.select(*KEYS, "line_number", "content"), [*KEYS, "line_number"])
-    order = W.orderBy("window_id", "line_number")  # at most 100 windows
-    rows = rows.withColumns({"_n": F.row_number().over(order), "_c": F.sum(F.length("content")).over(order.rowsBetween(W.unboundedPreceding, 0))})
-    return rows.filter((F.col("_n") <= most_lines) & (F.col("_c") <= most_chars)).drop("_n", "_c")
+    rows = rows.withColumn("_c", F.sum(F.length("content")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.filter(F.col("_c") <= most_chars).drop("_n", "_c")
 
 
 def list_files(files: DataFrame, glob: str, scope: FileFilter = FileFilter(), size: int = 100, number: int = 1) -> DataFrame:
