@@ -8,19 +8,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from millrace.functions import patterns
 
 KEYS = ["repo_slug", "path"]
 CODE, COMMENT, LITERAL, UNKNOWN = "code", "comment", "literal", "unknown"
 KINDS = ("definition", "write", "call", "instantiation", "type_use", "member_access", "import", "comment", "string_literal", "other")
-MAX_LINES, MAX_NESTING, TAB = 20_000, 8, 4
+MAX_LINES, MAX_NESTING, TAB = 20_000, 8, 4  # states behind the first are not known; deeper comments do not nest
 _NAME = r"[^\W\d]\w*"
 
 
@@ -40,7 +39,11 @@ class LanguageProfile:
     assign: str = r"(?:[-+*/%&|^]|<<|>>|\?\?)?=(?![=>])"
     sections: tuple[tuple[str, str], ...] = ()
     generated: tuple[str, ...] = ()
-    scopes: tuple[str, ...] = field(default=("class", "struct", "interface", "record", "enum", "namespace", "module"))
+    #: Block comments that hold others of their kind, and comments that only a line's first character opens.
+    nested: bool = False
+    line_starts: tuple[str, ...] = ()
+    #: What a declaring line holds if it introduces a name and no lines: constants, fields, variables.
+    flat: str = r"(?!)"
 
 
 _C_STRINGS = (('"', '"', "\\", False), ("'", "'", "\\", False))
@@ -48,16 +51,20 @@ _JS_STRINGS = (*_C_STRINGS, ("`", "`", "\\", True))
 _SQL_STRINGS = (("'", "'", "''", True), ('"', '"', '""', True))
 _TYPE = rf"\b(?P<kind>class|struct|interface|record|enum|namespace)\s+(?P<type>{_NAME})"
 _MEMBER = rf"^\s*(?:(?:public|private|protected|internal|static|virtual|override|abstract|sealed|async|readonly|partial|extern|unsafe|new|const|export|default|get|set|declare)\s+)+(?:[\w<>\[\],.?]+\s+)*(?P<member>{_NAME})\s*(?:<[^>]*>)?\s*(?:\(|\{{|=>|=|;|:)"
+_XS_MODIFIERS = r"(?:public|private|protected|static|virtual|override|internal|abstract|sealed|partial|hidden|new|async)"
+#: A member that ends or takes a value before any bracket holds no lines; an arrow may.
+_C_FLAT = r"^(?!.*\b(?:class|struct|interface|record|enum|namespace)\b)[^({=]*(?:;|=(?![>=]))|\bconst\b"
+_JS_FLAT = r"^\s*(?:export\s+)?(?:const|let|var)\b(?!.*(?:=>|\bfunction\b))|^\s*(?:export\s+)?type\b"
 _SQL_SHAPE = rf"\b(?:create|alter)\s+(?:or\s+replace\s+)?(?P<kind>table|view|procedure|function|trigger|index|sequence|package(?:\s+body)?|type)\s+(?:if\s+not\s+exists\s+)?(?:\w+\.)?(?P<type>{_NAME})"
 _JS_IMPORTS = (("path", r"""\b(?:import|export)\b[^'"]*?\bfrom\s*['"]([^'"]+)['"]"""), ("path", r"""^\s*import\s*['"]([^'"]+)['"]"""), ("path", r"""\b(?:require|import)\s*\(\s*['"]([^'"]+)['"]"""))
 _JS_SHAPES = (_TYPE, rf"\bfunction\s*\*?\s*(?P<member>{_NAME})", rf"^\s*(?:export\s+)?(?:const|let|var)\s+(?P<member>{_NAME})\s*(?::[^=]+)?=", rf"^\s*(?:export\s+)?type\s+(?P<type>{_NAME})\s*(?:<[^>]*>)?\s*=", rf"^\s*(?:(?:static|async|public|private|protected|readonly|get|set)\s+)*(?P<member>(?!(?:if|for|while|switch|catch|return|function)\b){_NAME})\s*\([^;]*\)\s*(?::[^={{]+)?\{{\s*$")
 
 PROFILES: tuple[LanguageProfile, ...] = (
-    LanguageProfile("X#", ("prg", "vh", "xh", "ch"), ("//", "&&"), (("/*", "*/"),), (('"', '"', "", False), ("'", "'", "", False)), (_TYPE, rf"^\s*(?:(?:public|private|protected|static|virtual|override|internal)\s+)*(?:method|function|procedure|access|assign|property|constructor)\s+(?P<member>{_NAME})"), (("module", r"^\s*using\s+([\w.]+)\s*$"), ("path", r'^\s*#include\s+"([^"]+)"')), r"^\s*begin\s+namespace\s+([\w.]+)", True, r"(?:[-+*/%^]|\*\*)?:=|(?:[-+*/%^]|\*\*)="),
-    LanguageProfile("C#", ("cs", "csx"), ("//",), (("/*", "*/"),), (('@"', '"', '""', True), ('$@"', '"', '""', True), ('"""', '"""', "", True), *_C_STRINGS), (_TYPE, _MEMBER), (("module", r"^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;"),), r"^\s*namespace\s+([\w.]+)", generated=("*.g.cs", "*.designer.cs", "*.generated.cs")),
-    LanguageProfile("TypeScript", ("ts", "tsx", "mts", "cts"), ("//",), (("/*", "*/"),), _JS_STRINGS, _JS_SHAPES, _JS_IMPORTS, generated=("*.d.ts",)),
-    LanguageProfile("JavaScript", ("js", "jsx", "mjs", "cjs"), ("//",), (("/*", "*/"),), _JS_STRINGS, _JS_SHAPES, _JS_IMPORTS, generated=("*.min.js",)),
-    LanguageProfile("Delphi", ("pas", "dpr", "dpk", "dfm"), ("//",), (("{", "}"), ("(*", "*)")), (("'", "'", "''", False),), (rf"^\s*(?P<type>{_NAME})\s*=\s*(?:packed\s+)?(?P<kind>class|record|interface|object)\b", rf"^\s*(?:class\s+)?(?:procedure|function|constructor|destructor|property|operator)\s+(?:(?P<type>{_NAME})\.)?(?P<member>{_NAME})"), (("module", r"([\w.]+)(?=\s*(?:in\s+'[^']*')?\s*[,;])"),), r"^\s*(?:unit|program|library|package)\s+([\w.]+)\s*;", True, r":=", (("interface", r"^\s*interface\s*$"), ("implementation", r"^\s*implementation\s*$"))),
+    LanguageProfile("X#", ("prg", "vh", "xh", "ch"), ("//", "&&"), (("/*", "*/"),), (('"', '"', "", False), ("'", "'", "", False)), (_TYPE, rf"^\s*(?:{_XS_MODIFIERS}\s+)*(?:method|function|procedure|access|assign|property|constructor|event|operator)\s+(?P<member>{_NAME})", rf"^\s*(?:{_XS_MODIFIERS}\s+)*(?:define|global|local|instance|export|member|const|field)\s+(?P<member>{_NAME})"), (("module", r"^\s*#?using\s+(?:static\s+)?([\w.]+)\s*$"), ("path", r'^\s*#include\s+"([^"]+)"')), r"^\s*begin\s+namespace\s+([\w.]+)", True, r"(?:[-+*/%^]|\*\*)?:=|(?:[-+*/%^]|\*\*)=", generated=("*_vo.prg", "*.designer.prg"), line_starts=("*",), flat=r"^\s*(?:\w+\s+)*?(?:define|global|local|instance|export|member|const|field)\s"),
+    LanguageProfile("C#", ("cs", "csx"), ("//",), (("/*", "*/"),), (('@"', '"', '""', True), ('$@"', '"', '""', True), ('"""', '"""', "", True), *_C_STRINGS), (_TYPE, _MEMBER), (("module", r"^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;"),), r"^\s*namespace\s+([\w.]+)", generated=("*.g.cs", "*.designer.cs", "*.generated.cs"), flat=_C_FLAT),
+    LanguageProfile("TypeScript", ("ts", "tsx", "mts", "cts"), ("//",), (("/*", "*/"),), _JS_STRINGS, _JS_SHAPES, _JS_IMPORTS, generated=("*.d.ts",), flat=_JS_FLAT),
+    LanguageProfile("JavaScript", ("js", "jsx", "mjs", "cjs"), ("//",), (("/*", "*/"),), _JS_STRINGS, _JS_SHAPES, _JS_IMPORTS, generated=("*.min.js",), flat=_JS_FLAT),
+    LanguageProfile("Delphi", ("pas", "dpr", "dpk", "dfm"), ("//",), (("{", "}"), ("(*", "*)")), (("'", "'", "''", False),), (rf"^\s*(?P<type>{_NAME})\s*=\s*(?:packed\s+)?(?P<kind>class|record|interface|object)\b", rf"^\s*(?:class\s+)?(?:procedure|function|constructor|destructor|property|operator)\s+(?:(?P<type>{_NAME})\.)?(?P<member>{_NAME})"), (("module", r"([\w.]+)(?=\s*(?:in\s+'[^']*')?\s*[,;])"),), r"^\s*(?:unit|program|library|package)\s+([\w.]+)\s*;", True, r":=", (("interface", r"^\s*interface\s*$"), ("implementation", r"^\s*implementation\s*$")), flat=r"^\s*(?:class\s+)?property\b"),
     LanguageProfile("HTML", ("html", "htm"), (), (("<!--", "-->"),), (), (), (("path", r"""<script\b[^>]*\bsrc\s*=\s*['"]([^'"]+)['"]"""), ("path", r"""<link\b[^>]*\bhref\s*=\s*['"]([^'"]+)['"]""")), None, True),
     LanguageProfile("CSS", ("css",), (), (("/*", "*/"),), _C_STRINGS, (rf"^\s*\.(?P<type>{_NAME}(?:-\w+)*)[^;]*\{{",), (("path", r"""@import\s+(?:url\(\s*)?['"]?([^'")\s]+)"""),), None, True),
     LanguageProfile("SQL", ("sql",), ("--",), (("/*", "*/"),), _SQL_STRINGS, (_SQL_SHAPE,), (), None, True, r"(?<![<>!:])=(?!=)"),
@@ -79,10 +86,14 @@ class Cursor:
         openers = [(o, (o, c, "", True), COMMENT) for o, c in profile.blocks] + [(t[0], t, LITERAL) for t in profile.literals] + [(o, (o, "\n", "", False), COMMENT) for o in profile.line_comments]
         self.openers = {o: (t, s) for o, t, s in openers}
         self.pattern = re.compile("|".join(re.escape(o) for o in sorted(self.openers, key=len, reverse=True))) if openers else None
+        self.line_starts = tuple(profile.line_starts)
+        self.nested, self.depth = profile.nested, 0
         self.state = CODE
 
     def spans(self, line: str) -> list[tuple[int, int, str]]:
         """Stretches of the line and their states; leaves the state for the next line."""
+        if self.open is None and self.line_starts and line.lstrip().startswith(self.line_starts):
+            return [(0, len(line), COMMENT)]
         out, at = [], 0
         while at < len(line):
             if self.open is None:
@@ -106,7 +117,18 @@ class Cursor:
         return out
 
     def _close(self, line: str, at: int) -> int:
-        _, closer, escape, _ = self.open
+        opener, closer, escape, _ = self.open
+        if self.nested and self.state == COMMENT and closer != "\n":
+            both = re.compile(f"{re.escape(opener)}|{re.escape(closer)}")
+            while m := both.search(line, at):
+                at = m.end()
+                if m[0] == opener:
+                    self.depth = min(self.depth + 1, MAX_NESTING)
+                elif self.depth:
+                    self.depth -= 1
+                else:
+                    return at
+            return -1
         while (i := line.find(closer, at)) >= 0:
             if escape == "\\" and (len(line[:i]) - len(line[:i].rstrip("\\"))) % 2:
                 at = i + 1
@@ -165,8 +187,8 @@ def declarations(files: DataFrame, profiles: tuple[LanguageProfile, ...] = PROFI
         flags = re.I if profile.ignore_case else 0
         shapes = [re.compile(s, flags) for s in profile.shapes]
         sections = [(name, re.compile(s, flags)) for name, s in profile.sections]
-        cursor, section = Cursor(profile), None
-        for n, line in enumerate(lines[:MAX_LINES], 1):
+        cursor, section, flat = Cursor(profile), None, re.compile(profile.flat, flags)
+        for n, line in enumerate(lines, 1):
             code = _code(line, cursor.spans(line))
             if not code.strip():
                 continue
@@ -177,7 +199,7 @@ def declarations(files: DataFrame, profiles: tuple[LanguageProfile, ...] = PROFI
                 if m := s.search(code):
                     g = m.groupdict()
                     role = "declaration" if section == "interface" or (section is None and re.search(r"\b(?:abstract|declare|interface)\b", code)) else "implementation"
-                    yield n, g.get("type"), g.get("member"), (g.get("kind") or "member").lower(), role, indent(line), bool(g.get("type")) and not g.get("member")
+                    yield n, g.get("type"), g.get("member"), (g.get("kind") or "member").lower(), role, indent(line), not flat.search(code)
                     break
 
     columns = ["line_number", "type_name", "member", "kind", "role", "indent", "opens_scope"]
@@ -190,7 +212,7 @@ def imports(files: DataFrame, profiles: tuple[LanguageProfile, ...] = PROFILES)
     def one(profile: LanguageProfile, lines: list[str]) -> Iterator[tuple]:
         forms = [(shape, re.compile(s, re.I if profile.ignore_case else 0)) for shape, s in profile.imports]
         cursor, clause = Cursor(profile), False
-        for n, line in enumerate(lines[:MAX_LINES], 1):
+        for n, line in enumerate(lines, 1):
             spans = cursor.spans(line)
             kept = "".join(line[a:b] if s != COMMENT else " " * (b - a) for a, b, s in spans)
             if profile.name == "Delphi":
@@ -216,7 +238,7 @@ def modules(files: DataFrame, profiles: tuple[LanguageProfile, ...] = PROFILES)
         if not profile.module:
             return
         shape, cursor = re.compile(profile.module, re.I if profile.ignore_case else 0), Cursor(profile)
-        for line in lines[:MAX_LINES]:
+        for line in lines:
             if m := shape.search(_code(line, cursor.spans(line))):
                 yield (m[1],)
                 return
@@ -275,21 +297,48 @@ def occurrences(files: DataFrame, symbol: str, profiles: tuple[LanguageProfile,
 
 
 def enclosing(rows: DataFrame, declared: DataFrame) -> DataFrame:
-    """For ``repo_slug, path, line_number, indent``: the nearest declaration above that is less indented, as ``Type.Member``.
+    """For ``repo_slug, path, line_number, indent``: the nearest declarations above that are less indented, as ``Type.Member``.
 
-    Declarations and rows of a file are put in one order; the nearest type and member so far are carried along it by windows.
+    Only declarations that open a scope count. A line that names type and member is the whole answer, else the type is further out than the member. Each
+    file is one walk down its lines: a declaration hides those above it that are indented as much or more, so the open ones are a stack.
     """
-    depth = F.when(F.col("opens_scope"), F.struct("line_number", "indent", F.col("type_name").alias("name")))
-    inner = F.when(~F.col("opens_scope"), F.struct("line_number", "indent", F.col("member").alias("name")))
-    marks = declared.select(*KEYS, "line_number", "indent", depth.alias("t"), inner.alias("m"), F.lit(0).alias("is_row"))
-    every = marks.unionByName(rows.select(*KEYS, "line_number", "indent", F.lit(1).alias("is_row")), allowMissingColumns=True)
-    above = W.partitionBy(*KEYS).orderBy("line_number", "is_row").rowsBetween(W.unboundedPreceding, -1)
-    fits = lambda c: F.filter(F.collect_list(c).over(above), lambda x: x["indent"] < F.col("indent"))
-    out = every.withColumns({"ts": fits("t"), "ms": fits("m")}).filter("is_row = 1")
-    last = lambda c: F.get(c, F.size(c) - 1)
-    t, m = last(F.col("ts")), last(F.col("ms"))
-    member = F.when(t.isNull() | (m["line_number"] > t["line_number"]), m["name"])
-    return out.select(*KEYS, "line_number", F.concat_ws(".", t["name"], member).alias("scope"))
+
+    def walk(lines: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        marks = marks[marks["opens_scope"]].sort_values("line_number")
+        todo = list(zip(marks["line_number"], marks["indent"], marks["type_name"].where(marks["type_name"].notna(), None), marks["member"].where(marks["member"].notna(), None), strict=True))
+        types: list[tuple[int, int, str]] = []  # line, indent, name: indents ascend
+        members: list[tuple[int, int, str, str | None]] = []
+        out, k = [], 0
+        for n, depth in lines[["line_number", "indent"]].drop_duplicates().sort_values("line_number").itertuples(index=False):
+            while k < len(todo) and todo[k][0] < n:
+                at, indent_, type_, member = todo[k]
+                if type_ is not None:
+                    while types and types[-1][1] >= indent_:
+                        types.pop()
+                    types.append((at, indent_, type_))
+                if member is not None:
+                    while members and members[-1][1] >= indent_:
+                        members.pop()
+                    members.append((at, indent_, member, type_))
+                k += 1
+            member = next((m for m in reversed(members) if m[1] < depth), None)
+            type_ = next((t for t in reversed(types) if t[1] < depth), None)
+            # A type nearer than every member is the whole scope; below a member, only types above and outside it count.
+            if member and type_ and type_[0] > member[0]:
+                member = None
+            if member and member[3] is not None:
+                scope = f"{member[3]}.{member[2]}"
+            elif member:
+                outer = next((t for t in reversed(types) if t[1] < member[1] and t[0] < member[0]), None)
+                scope = f"{outer[2]}.{member[2]}" if outer else member[2]
+            else:
+                scope = type_[2] if type_ else None
+            out.append((n, scope))
+        keys = lines.iloc[0][KEYS]
+        return pd.DataFrame([(*keys, n, scope) for n, scope in out], columns=[*KEYS, "line_number", "scope"])
+
+    shape = "repo_slug string, path string, line_number int, scope string"
+    return rows.select(*KEYS, "line_number", "indent").groupBy(*KEYS).cogroup(declared.select(*KEYS, "line_number", "indent", "type_name", "member", "opens_scope").groupBy(*KEYS)).applyInPandas(lambda a, b: walk(a, b) if len(a) else pd.DataFrame(columns=[*KEYS, "line_number", "scope"]), shape)
 
 
 def generated(files: DataFrame, profiles: tuple[LanguageProfile, ...] = PROFILES) -> DataFrame:

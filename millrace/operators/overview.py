@@ -14,9 +14,9 @@ from millrace.operators.language import PROFILES
 from millrace.plans.scope import Scope, seconds
 from millrace.plans.tables import written
 
-# Extensions of files that are no code.
+# Our own choice: extensions of files that are no code.
 NOT_CODE = ("md", "txt", "json", "xml", "yml", "yaml", "csv", "lock", "svg", "png", "jpg", "ico")
-# File names of well-known generated files.
+# Our own choice: file names of well-known generated files.
 WELL_KNOWN = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "Gemfile.lock", "Cargo.lock", "poetry.lock", "go.sum", "packages.lock.json")
 
 
@@ -149,16 +149,24 @@ def changes_over_time(commits: DataFrame, commit_files: DataFrame, scope: Scope)
     return out.select(seconds(F.col("period")).alias("period_second"), *(F.coalesce(k, F.lit(0)).alias(k) for k in ("added", "deleted", "renamed")))
 
 
-def suggestions(commits: DataFrame, commit_files: DataFrame, files: DataFrame, attributes: list[str] = (), globs: list[str] = (), bump_commits: int = 10, bump_lines: int = 4) -> list[tuple[str, str, int]]:
-    """Patterns worth excluding, in order, each with the files that no earlier one covers.
+def suggestions(commits: DataFrame, commit_files: DataFrame, files: DataFrame, attributes: list[str] = (), globs: list[str] = (), bump_commits: int = 10, bump_lines: int = 4, existing: list[str] = ()) -> list[tuple[str, str, int]]:
+    """Patterns worth excluding, in order, each with the files that neither an existing pattern nor an earlier one covers.
+
+    Declared patterns that a setting would refuse are left out.
 
     Sources: declared generated files, generated names of the languages, well-known names, and files that many commits only bump. The
     coverage of at most a few hundred patterns is counted in one job; only the order is settled here.
     """
     bumps = commit_files.groupBy("repo_slug", "path").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("added") + F.col("deleted")).alias("most")).withColumn("bumped", (F.col("n") >= bump_commits) & (F.col("most") <= bump_lines))
-    head = files.select("repo_slug", "path", F.split_part("path", F.lit("/"), F.lit(-1)).alias("name")).join(bumps.select("repo_slug", "path", "bumped"), ["repo_slug", "path"], "left").withColumn("bumped", F.coalesce("bumped", F.lit(False)))
+    head = files.filter(~patterns.excluded(F.col("path"), list(existing))).select("repo_slug", "path", F.split_part("path", F.lit("/"), F.lit(-1)).alias("name")).join(bumps.select("repo_slug", "path", "bumped"), ["repo_slug", "path"], "left").withColumn("bumped", F.coalesce("bumped", F.lit(False)))
     names = head.groupBy("name").agg(F.bool_and("bumped").alias("all"), F.count_if("bumped").alias("n"), F.min(F.when(F.col("bumped"), F.col("path"))).alias("path")).filter("n > 0").orderBy(F.desc("n"), "name").limit(patterns.MAX_EXCLUDED).collect()
-    candidates = [(p, "attributes") for p in attributes] + [(p, "language") for p in globs] + [(p, "known") for p in WELL_KNOWN] + [(r["name"] if r["all"] else "/" + r["path"], "history") for r in names]
+    def accepted(pattern: str) -> bool:
+        try:
+            return bool(patterns.excluded_regex([pattern]))
+        except patterns.PatternError:
+            return False
+
+    candidates = [(p, "attributes") for p in attributes if accepted(p)] + [(p, "language") for p in globs] + [(p, "known") for p in WELL_KNOWN] + [(r["name"] if r["all"] else "/" + r["path"], "history") for r in names]
     covers = F.array(*(patterns.excluded(F.col("path"), [p]) for p, _ in candidates))
     # A file counts for the first pattern that covers it.
     first = head.select(F.array_position(covers, F.lit(True)).alias("i")).filter("i > 0").groupBy("i").agg(F.count(F.lit(1)).alias("n"))
