@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.plans.scope import Scope, page, seconds
-
+from millrace.plans.tables import written
 
 
 def _flag(df: DataFrame, other: DataFrame, on: list[str], name: str) -> DataFrame:
@@ -15,11 +15,17 @@ def _flag(df: DataFrame, other: DataFrame, on: list[str], name: str) -> DataFram
     return df.join(other.select(*on).distinct().withColumn(name, F.lit(True)), on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
+def _flag_few(df: DataFrame, other: DataFrame, on: list[str], name: str) -> DataFrame:
+    """``_flag`` for at most 100 rows: of ``other`` only what they name is looked at, without a shuffle of the rest."""
+    df = written(df, "survivors")
+    return _flag(df, other.select(*on).join(F.broadcast(df.select(*on)), on, "left_semi"), on, name)
+
+
 def hot_files(commits: DataFrame, commit_files: DataFrame, files: DataFrame, scope: Scope, limit: int = 20) -> DataFrame:
     """Most often changed paths; whether a path is at HEAD is looked up for the survivors only."""
     top = scope.rows(commits, commit_files).groupBy("repo_slug", "path").agg(F.count(F.lit(1)).alias("commits"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))
     top = top.orderBy(F.desc("commits"), F.desc(F.col("added") + F.col("deleted")), "path", "repo_slug").limit(min(limit, 100))
-    return _flag(top, files, ["repo_slug", "path"], "at_head")
+    return _flag_few(top, files, ["repo_slug", "path"], "at_head")
 
 
 def prefixes(df: DataFrame, path: str = "path", name: str = "directory") -> DataFrame:
@@ -36,7 +42,7 @@ def hot_directories(commits: DataFrame, commit_files: DataFrame, files: DataFram
     rows = scope.rows(commits, commit_files).filter(F.size(parts) > 1).withColumn("directory", directory)
     top = rows.groupBy("repo_slug", "directory").agg(F.count_distinct("commit_id").alias("commits"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))
     top = top.orderBy(F.desc("commits"), F.desc(F.col("added") + F.col("deleted")), "directory", "repo_slug").limit(min(limit, 100))
-    return _flag(top, prefixes(files.select("repo_slug", "path")), ["repo_slug", "directory"], "at_head")
+    return _flag_few(top, prefixes(files.select("repo_slug", "path")), ["repo_slug", "directory"], "at_head")
 
 
 def hidden_paths(commits: DataFrame, commit_files: DataFrame, scope: Scope) -> DataFrame:

@@ -26,8 +26,7 @@ VIEWS: dict[str, str] = {
                cast(p_size AS bigint) AS line_count, CASE WHEN p_size > 48 THEN 'binary' END AS skip_reason
         FROM (SELECT *, concat(p_type, '/', p_brand, '/p', cast(p_partkey AS varchar(20)), ext) AS path
               FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN '.cs' WHEN 1 THEN '.ts' WHEN 2 THEN '.sql' ELSE '' END AS ext FROM {part}) a) p
-        CROSS JOIN (SELECT 0 AS n, 'f' AS repo_slug UNION ALL SELECT 1, 'o' UNION ALL SELECT 2, 'p') r
-        WHERE p_partkey % 10 <> 0""",
+        CROSS JOIN (SELECT 0 AS n, 'f' AS repo_slug UNION ALL SELECT 1, 'o' UNION ALL SELECT 2, 'p') r""",
     "text_files": """
         SELECT doc_id AS file_id, source AS repo_slug, concat(lang, '/doc', cast(doc_id AS varchar(20)), '.txt') AS path,
                concat(source, '/', lang, '/doc', cast(doc_id AS varchar(20)), '.txt') AS qualified_path, 'txt' AS extension, text AS content

@@ -12,11 +12,13 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); where it is unset, a temporary one."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); where it is unset, a temporary one. On a cluster that is an error, as executors don't share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext  # the setting itself can't be changed in a running session
         if not context.getCheckpointDir():
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="millrace-"))
         folder = context.getCheckpointDir()
     return folder
@@ -25,7 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    spark.conf.set(_CLEANUP, "true")
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

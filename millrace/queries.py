@@ -39,7 +39,7 @@ def _views(body: str) -> str:
             FROM commits c JOIN commit_files f ON f.commit_id = c.commit_id
             WHERE floor(epoch(c.authored_at)) >= (SELECT max(floor(epoch(authored_at))) FROM commits) - 365 * 86400)""")
     if "folders a" in body:
-        ctes.append("""changed AS (SELECT DISTINCT repo_slug, commit_id, split_part(path, '/', 1) AS folder FROM scoped WHERE commit_id IN (SELECT commit_id FROM scoped GROUP BY 1 HAVING count(*) <= 10))""")
+        ctes.append("""changed AS (SELECT DISTINCT repo_slug, commit_id, split_part(path, '/', 1) AS folder FROM scoped WHERE commit_id IN (SELECT commit_id FROM scoped GROUP BY 1 HAVING count(*) <= 200))""")
         ctes.append("""kept AS (SELECT repo_slug, folder, commits FROM (SELECT repo_slug, folder, count(*) AS commits, row_number() OVER (PARTITION BY repo_slug ORDER BY count(*) DESC, folder) AS rank FROM changed GROUP BY 1, 2) WHERE rank <= 12)""")
         ctes.append("folders AS (SELECT r.*, k.commits FROM changed r JOIN kept k ON k.repo_slug = r.repo_slug AND k.folder = r.folder)")
     return f"WITH {', '.join(ctes)} {body}" if ctes else body
@@ -161,21 +161,21 @@ def file_ends(spark, d):
     FROM scoped a JOIN scoped b ON a.commit_id = b.commit_id AND a.path <> b.path AND NOT (a.change_kind = 'renamed' AND b.change_kind = 'renamed')
     JOIN (SELECT x.repo_slug, x.path, count(DISTINCT x.commit_id) AS commits, count(DISTINCT CASE WHEN y.path IS NOT NULL THEN x.commit_id END) AS paired FROM scoped x
           LEFT JOIN scoped y ON x.commit_id = y.commit_id AND x.path <> y.path AND NOT (x.change_kind = 'renamed' AND y.change_kind = 'renamed')
-          WHERE (SELECT count(*) FROM commit_files z WHERE z.commit_id = x.commit_id) <= 5 GROUP BY 1, 2) n ON n.repo_slug = a.repo_slug AND n.path = a.path
-    WHERE (SELECT count(*) FROM commit_files z WHERE z.commit_id = a.commit_id) <= 5 GROUP BY 1, 2, 3) t WHERE t.rank <= 10""")
+          WHERE (SELECT count(*) FROM commit_files z WHERE z.commit_id = x.commit_id) <= 200 GROUP BY 1, 2) n ON n.repo_slug = a.repo_slug AND n.path = a.path
+    WHERE (SELECT count(*) FROM commit_files z WHERE z.commit_id = a.commit_id) <= 200 GROUP BY 1, 2, 3) t WHERE t.rank <= 10""")
 def co_changed(spark, d):
     commits, changes, files = _v(spark, d, "commits", "commit_files", "files")
-    return history.co_changed(commits, changes, files, changes.select("repo_slug", "path").distinct(), None, 365, 5, 10)
+    return history.co_changed(commits, changes, files, changes.select("repo_slug", "path").distinct(), None, 365, limit=10)
 
 
-def co_changed_whole(spark, d):
-    """``co_changed`` with the default ceiling of paths a commit."""
+def co_changed_ceiling(spark, d):
+    """``co_changed`` with a ceiling that leaves commits out."""
     commits, changes, files = _v(spark, d, "commits", "commit_files", "files")
-    return history.co_changed(commits, changes, files, changes.select("repo_slug", "path").distinct(), None, 365, limit=10)
+    return history.co_changed(commits, changes, files, changes.select("repo_slug", "path").distinct(), None, 365, 5, 10)
 
 
-QUERIES["co_changed_whole"] = co_changed_whole
-ORACLES["co_changed_whole"] = ORACLES["co_changed"].replace("<= 5 GROUP", "<= 200 GROUP")
+QUERIES["co_changed_ceiling"] = co_changed_ceiling
+ORACLES["co_changed_ceiling"] = ORACLES["co_changed"].replace("<= 200 GROUP", "<= 5 GROUP")
 
 
 @query("SELECT f.repo_slug, f.path, count(DISTINCT f.commit_id) AS commits, max(c.authored_at) AS newest_at FROM commit_files f JOIN commits c ON c.commit_id = f.commit_id GROUP BY 1, 2")
@@ -276,16 +276,16 @@ def authors_per_file(spark, d):
 @query("""SELECT a.repo_slug, a.folder AS a, b.folder AS b, any_value(a.commits) AS commits_a, any_value(b.commits) AS commits_b, count(*) AS together FROM folders a JOIN folders b ON a.commit_id = b.commit_id AND a.repo_slug = b.repo_slug
     AND a.folder < b.folder GROUP BY 1, 2, 3""")
 def folder_coupling(spark, d):
-    return overview.folder_coupling(*_v(spark, d, "commits", "commit_files", "files"), YEAR, ceiling=10)
+    return overview.folder_coupling(*_v(spark, d, "commits", "commit_files", "files"), YEAR)
 
 
-def folder_coupling_whole(spark, d):
-    """``folder_coupling`` with the default ceiling of paths a commit."""
-    return overview.folder_coupling(*_v(spark, d, "commits", "commit_files", "files"), YEAR)
+def folder_coupling_ceiling(spark, d):
+    """``folder_coupling`` with a ceiling that leaves commits out."""
+    return overview.folder_coupling(*_v(spark, d, "commits", "commit_files", "files"), YEAR, ceiling=10)
 
 
-QUERIES["folder_coupling_whole"] = folder_coupling_whole
-ORACLES["folder_coupling_whole"] = ORACLES["folder_coupling"].replace("count(*) <= 10)", "count(*) <= 200)")
+QUERIES["folder_coupling_ceiling"] = folder_coupling_ceiling
+ORACLES["folder_coupling_ceiling"] = ORACLES["folder_coupling"].replace("count(*) <= 200)", "count(*) <= 10)")
 
 
 @query("""SELECT floor(epoch(p))::BIGINT AS period_second, coalesce(added, 0) AS added, coalesce(deleted, 0) AS deleted, coalesce(renamed, 0) AS renamed
@@ -406,14 +406,12 @@ def suggest_paths(spark, d):
     return search.suggest_paths(files.select(F.concat(F.lit("gone/"), F.upper("name")).alias("request")).distinct(), files)
 
 
-@query("""SELECT w.window_id, l.repo_slug, l.path, l.line_number, l.content FROM (SELECT row_number() OVER (ORDER BY file_id) - 1 AS window_id, repo_slug, path FROM (SELECT * FROM text_files ORDER BY file_id LIMIT 50)) w
-    JOIN text_lines l ON l.repo_slug = w.repo_slug AND l.path = w.path AND l.line_number BETWEEN 2 AND 6""")
+@query("""SELECT f.file_id // 5000 AS request_id, (f.file_id % 5000) // 50 AS window_id, l.repo_slug, l.path, l.line_number, l.content FROM text_files f
+    JOIN text_lines l ON l.repo_slug = f.repo_slug AND l.path = f.path AND l.line_number BETWEEN 2 AND 6 WHERE f.file_id % 50 = 0""")
 def read_windows(spark, d):
-    from pyspark.sql import Window as W
-
     (files,) = _v(spark, d, "text_files")
-    first = files.orderBy("file_id").limit(50)  # the requests
-    windows = first.select((F.row_number().over(W.orderBy("file_id")) - 1).alias("window_id"), "repo_slug", "path", F.lit(2).alias("start_line"), F.lit(6).alias("end_line"))
+    asked = files.filter("file_id % 50 = 0")  # the requests, of at most 100 windows each
+    windows = asked.select(F.expr("file_id div 5000").alias("request_id"), F.expr("(file_id % 5000) div 50").alias("window_id"), "repo_slug", "path", F.lit(2).alias("start_line"), F.lit(6).alias("end_line"))
     return search.read_windows(windows, corpus.lines(spark, d))
 
 
@@ -461,11 +459,11 @@ def _page_files(spark: SparkSession, d: str) -> DataFrame:
     return pages.select(F.lit("web").alias("repo_slug"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit("html").alias("extension"), ingest.line_array(F.col("html")).alias("lines"))
 
 
-@query("SELECT page_id, CASE WHEN length(html) > 5000 THEN 'larger than 5000 bytes' END AS skip_reason FROM pages WHERE length(html) = strlen(html)")
+@query("SELECT page_id, CASE WHEN strlen(html) > 5000 THEN 'larger than 5000 bytes' WHEN regexp_matches(substr(hex(html), 1, 16000), '^(?:..)*?00') THEN 'binary' END AS skip_reason FROM pages")
 def skip_reasons(spark, d):
-    pages = spark.read.parquet(f"{d}/pages.parquet").filter(F.length("html") == F.octet_length("html"))
+    """Every page by its bytes against a ceiling that some exceed."""
     raw = F.col("html").cast("binary")
-    return pages.select("page_id", ingest.skip_reason(raw, F.length(raw), 5000).alias("skip_reason"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", ingest.skip_reason(raw, F.length(raw), 5000).alias("skip_reason"))
 
 
 @query("SELECT page_id, CASE WHEN strlen(html) > 26214400 THEN 'larger than 25 MiB' WHEN regexp_matches(substr(hex(html), 1, 16000), '^(?:..)*?00') THEN 'binary' END AS skip_reason FROM pages")
@@ -481,15 +479,20 @@ def excluded_files(spark, d):
     return files.filter(patterns.excluded(F.col("path"), EXCLUDED)).agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
 
 
+@query("""SELECT count(*) AS files, count(DISTINCT directory) AS directories FROM files WHERE regexp_matches(lower('/' || path), '/economy.*/(.*/)?p.*[.]cs$') OR regexp_matches(lower('/' || path), '^/standard.*/(.*/)?brand#1./(.*/)?p[0-9].*[.]ts$')""")
+def excluded_inner(spark, d):
+    """Stars between slashes that stand for no folder, for one, or for more."""
+    (files,) = _v(spark, d, "files")
+    kept = files.filter(patterns.excluded(F.col("path"), ["ECONOMY*/**/p*.cs", "/STANDARD*/**/Brand#1?/**/p[0-9]*.ts"]))
+    return kept.agg(F.count(F.lit(1)).alias("files"), F.count_distinct("directory").alias("directories"))
+
+
 @query("""SELECT floor(epoch(authored_at))::BIGINT AS second, count(*) AS commits FROM commits WHERE commit_id IN (SELECT commit_id FROM commit_files WHERE starts_with(path, 'PROMO')) GROUP BY 1""")
 def commits_of_prefix(spark, d):
     commits, changes = _v(spark, d, "commits", "commit_files")
-    kinds = [r[0] for r in spark.read.parquet(f"{d}/part.parquet").select("p_type").distinct().filter("p_type LIKE 'PROMO%'").collect()]  # a few type names
-    touched = None
-    for k in kinds:
-        one = commit_scope(commits, changes, prefix=k)
-        touched = one if touched is None else touched.unionByName(one)
-    touched = commits.limit(0) if touched is None else touched.distinct()
+    kinds = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_type").alias("directory")).distinct().filter("directory LIKE 'PROMO%'")
+    below = history.prefixes(changes.select("commit_id", "path")).join(kinds, "directory", "left_semi")
+    touched = commits.join(below.select("commit_id"), "commit_id", "left_semi")
     return touched.groupBy(seconds(F.col("authored_at")).alias("second")).agg(F.count(F.lit(1)).alias("commits"))
 
 

@@ -77,7 +77,7 @@ def path_columns(path: Column) -> dict[str, Column]:
 def ingest(documents: DataFrame, single: bool = False, limit: int = SIZE_LIMIT) -> tuple[DataFrame, DataFrame]:
     """``files`` and ``lines`` of ``repo_slug, path, content (binary), length``; ids are hashes and survive a rebuild."""
     rows = documents.withColumn("skip_reason", skip_reason(F.col("content"), F.col("length"), limit))
-    rows = rows.withColumns({"file_id": F.xxhash64("repo_slug", "path"), "text": F.when(F.col("skip_reason").isNull(), decoded(F.col("content")))}).drop("content")
+    rows = rows.withColumns({"file_id": F.xxhash64("repo_slug", "path"), "text": decoded(F.when(F.col("skip_reason").isNull(), F.col("content")))}).drop("content")
     rows = rows.withColumns(path_columns(F.col("path"))).withColumn("qualified_path", F.col("path") if single else F.concat_ws("/", "repo_slug", "path"))
     counted = F.when(F.col("skip_reason").isNull(), F.size(line_array(F.col("text")))).otherwise(0).cast("long")
     files = rows.select("file_id", "repo_slug", "path", "qualified_path", "directory", "name", "extension", F.col("length").alias("size_bytes"), counted.alias("line_count"), "skip_reason")

@@ -6,6 +6,7 @@ that fails leaves the pointer where it was.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ def current_version(spark: SparkSession, root: str) -> int | None:
     """The newest complete version, or None."""
     try:
         row = spark.read.parquet(f"{root}/pointer").agg(F.max("version")).first()
-    except Exception as e:  # no pointer yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+    except AnalysisException as e:  # no pointer yet
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
     return row[0]
@@ -40,23 +41,18 @@ def publish(root: str, tables: dict[str, DataFrame], single: bool = False) -> in
 
 
 def restore(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame] | None:
-    """The tables of a version; None where there is none or it was written under another schema version."""
+    """The tables of a version; None where there is none, where one of its tables is missing, or where it was written under another schema version."""
     version = version if version is not None else current_version(spark, root)
     if version is None:
         return None
     base = f"{root}/version={version}"
-    info = spark.read.parquet(f"{base}/index_info")
-    if info.first()["schema_version"] != SCHEMA_VERSION:
+    try:
+        out = {name: spark.read.parquet(f"{base}/{name}") for name in TABLES}
+    except AnalysisException as e:  # a part of a version is no version
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
-    out = {"index_info": info}
-    for name in TABLES:
-        if name != "index_info":
-            try:
-                out[name] = spark.read.parquet(f"{base}/{name}")
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-    return out
+    return out if out["index_info"].first()["schema_version"] == SCHEMA_VERSION else None
 
 
 def carried(previous: dict[str, DataFrame] | None, fresh: dict[str, DataFrame]) -> dict[str, DataFrame]:

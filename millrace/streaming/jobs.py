@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.operators.attribution import replay_touched
+from millrace.operators.attribution import replay
 from millrace.plans.scope import seconds
 from millrace.sources.ingest import new_commits
 
@@ -43,12 +44,30 @@ def append_history(deliveries: DataFrame, root: str, checkpoint: str) -> Streami
     return deliveries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+RUNS = "repo_slug string, path string, start_line int, end_line int, commit_id long"
+
+
+def current_runs(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """The newest runs of every path: those of the last batch that touched it, which may have left none."""
+    try:
+        touched, runs = spark.read.parquet(f"{root}/touched"), spark.read.parquet(f"{root}/runs")
+    except AnalysisException as e:  # no batch yet
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], RUNS)
+    if before is not None:
+        touched, runs = touched.filter(F.col("batch") < before), runs.filter(F.col("batch") < before)
+    newest = touched.groupBy("repo_slug", "path").agg(F.max("batch").alias("batch"))
+    return runs.join(newest, ["repo_slug", "path", "batch"]).select(*(c.split(" ")[0] for c in RUNS.split(", ")))
+
+
 def append_attribution(changes: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Replays each delivery's touched paths; every batch is a whole state of its own, read by the next."""
+    """Replays each delivery's touched paths and writes only these, under the batch's number; ``current_runs`` reads the state."""
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        known = spark.read.parquet(f"{root}/runs/state={number - 1}") if number else spark.createDataFrame([], "repo_slug string, path string, start_line int, end_line int, commit_id long")
-        replay_touched(df, known).write.mode("overwrite").parquet(f"{root}/runs/state={number}")
+        touched = df.select("repo_slug", "path").union(df.filter("old_path IS NOT NULL").select("repo_slug", "old_path")).distinct()
+        known = current_runs(df.sparkSession, root, number).join(touched, ["repo_slug", "path"], "left_semi")
+        replay(df, known).write.mode("overwrite").parquet(f"{root}/runs/batch={number}")
+        touched.write.mode("overwrite").parquet(f"{root}/touched/batch={number}")  # last: it makes the runs current
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
