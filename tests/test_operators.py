@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 
 from millrace.operators import attribution, history, imports, language, lineage, overview
+from millrace.plans.schema import TABLES
 from millrace.plans.scope import Scope
 from millrace.sources import ingest, publish
 
@@ -110,10 +111,11 @@ def test_patch_and_commits(spark):
 
 
 def test_publish(spark, tmp_path):
-    files = heads(spark, "a")
+    files = heads(spark, "a").selectExpr("*", "1L AS file_id", "1 AS line_number")
     assert publish.restore(spark, f"file://{tmp_path}/d") is None
-    assert publish.publish(f"file://{tmp_path}/d", {"files": files}) == 1
-    assert publish.publish(f"file://{tmp_path}/d", {"files": heads(spark, "a", "b")}) == 2
+    rest = {n: files for n in TABLES if n != "index_info"}
+    assert publish.publish(f"file://{tmp_path}/d", rest) == 1
+    assert publish.publish(f"file://{tmp_path}/d", rest | {"files": heads(spark, "a", "b")}) == 2
     assert publish.restore(spark, f"file://{tmp_path}/d")["files"].count() == 2
 
 
@@ -167,8 +169,8 @@ def test_ceiling_of_paths(spark, tmp_path):
     """Commits of 6 to 200 paths link theirs, one of 201 doesn't."""
     from millrace import queries
 
-    assert "<= 200 GROUP" in queries.ORACLES["co_changed_whole"] and "<= 5 GROUP" not in queries.ORACLES["co_changed_whole"]
-    assert "<= 200)" in queries.ORACLES["folder_coupling_whole"] and "<= 10)" not in queries.ORACLES["folder_coupling_whole"]
+    assert "<= 200 GROUP" in queries.ORACLES["co_changed"] and "<= 5 GROUP" not in queries.ORACLES["co_changed"]
+    assert "<= 200)" in queries.ORACLES["folder_coupling"] and "<= 10)" not in queries.ORACLES["folder_coupling"]
     many = lambda a, b, n: [(M, a, None), *((M, f"{b}/{i}.cs", None) for i in range(n - 1))]
     commits, changes = corpus(spark, [(0, "Ada", many("a/Six.cs", "b", 6)), (1, "Ada", many("a/Full.cs", "b", 200)), (2, "Ada", many("a/Over.cs", "c", 201))])
     anchors = changes.select("repo_slug", "path").filter("path like 'a/%'").distinct()
