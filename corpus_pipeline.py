@@ -2,17 +2,19 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again as the next
 stage's ``docs``. All but the last keep the columns of ``documents``.
+
+Defined results: null, empty and blank texts fail the quality rules; an empty table gives an empty result; repeated rows are judged row by row, lose
+the lines that the first of them keeps, and stay together in the join, which knows documents by id; where lines or documents are equally good the least
+``doc_id`` stays; extra columns stay as they are up to the mix and are not read by the packing.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import line_dedup, mixing, ngram_join, packing, quality
-from millrace.llm.tables import shared_folder
+from millrace.llm.tables import discard, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them is written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    """All stages over ``documents``; what lies between them is written to the shared folder, and goes when the next table is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            path = f"{shared_folder(spark)}/pipeline-{i}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = written(docs, f"pipeline-{i}")
+            discard(*before)
+            before = [docs]
     return docs
