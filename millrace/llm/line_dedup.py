@@ -35,8 +35,8 @@ class LineDedup:
     """
 
     shingle: int = 5
-    bands: int = 37
-    rows: int = 6
+    bands: int = 27
+    rows: int = 5
     percent: int = 75
     lines_per_batch: int = 10_000
     broadcast_rows: int = 300_000
@@ -71,10 +71,16 @@ def band_keys(sig: np.ndarray, how: LineDedup) -> np.ndarray:
     return keys
 
 
+def marks(sig: np.ndarray) -> np.ndarray:
+    """One bit of each of the first 64 MinHash values: similar lines agree in most."""
+    return np.ascontiguousarray(np.packbits(sig[:, :64] * np.uint32(0x9E3779B1) >= np.uint32(1 << 31), axis=1)).view(U).ravel()
+
+
 def _resolved(lines: DataFrame, how: LineDedup) -> DataFrame:
     """``(node, label)`` of lines that are similar to others; ``lines`` has ``node`` and ``line``."""
     spark = lines.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = -(-2 * buckets // how.bands)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -85,14 +91,20 @@ def _resolved(lines: DataFrame, how: LineDedup) -> DataFrame:
                 seen.clear()
             seen.update(nodes.tolist())
             nodes, first = nodes[fresh], first[fresh]
-            for i, k, data, at in slices(*text_bytes(batch.column(1).take(pa.array(first)))):
-                hashes, firsts = character_shingles(lowered(data), at, how.shingle)
-                sizes = np.bincount(links.distinct(hashes, firsts)[0], minlength=k - i)
-                yield links.key_rows(nodes[i:k], sizes, np.full(k - i, how.bands), band_keys(signatures(hashes, firsts, how), how).ravel(), buckets)
+            found = []
+            for _, _, data, at in slices(*text_bytes(batch.column(1).take(pa.array(first)))):
+                sig = signatures(*character_shingles(lowered(data), at, how.shingle), how)
+                found.append((marks(sig), band_keys(sig, how)))
+            if found:
+                yield links.band_rows(nodes, np.concatenate([m for m, _ in found]), np.concatenate([k for _, k in found]), parts)
 
     def as_set(raw: bytes) -> np.ndarray:
         return np.unique(character_shingles(lowered(np.frombuffer(raw, np.uint8)), np.array([0, len(raw)]), how.shingle)[0])
 
+    def many(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, at = text_bytes(column)
+        return character_shingles(lowered(data), at, how.shingle)
+
     def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, k, data, at in slices(*text_bytes(batch.column(1))):
@@ -108,7 +120,7 @@ def _resolved(lines: DataFrame, how: LineDedup) -> DataFrame:
     chosen = lines.join(bounded(wanted), "node", "left_semi").groupBy("node").agg(F.first(F.col("line").cast("binary")).alias("elements"))
     sketches = written(chosen.mapInArrow(outlines, "node long, n long, sketch binary, elements binary"), "line-outlines", rows=how.lines_per_batch)
     fetch = lambda nodes: sketches.join(bounded(nodes), "node", "left_semi").select("node", "elements")
-    labels = links.resolve(groups, sketches, fetch, how.percent, as_set)
+    labels = links.resolve(groups, sketches, fetch, how.percent, as_set, many)
     discard(groups, wanted, sketches)
     return labels
 

@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from millrace.llm.hashing import U, mix
 from millrace.llm.tables import discard, written
 
-KEYS_SCHEMA = "bucket int, nodes binary, sizes binary, counts binary, keys binary"
+KEYS_SCHEMA = "bucket int, nodes binary, sizes binary, marks binary, counts binary, keys binary"
 GROUPS_SCHEMA = "gid long, pivot long, members array<long>, weight int"
 AsSet = Callable[[bytes], np.ndarray]
+#: Groups up to this size are cut by marks.
+SPLIT = 256
 #: Members in one piece of a group.
 PIECE = 4096
 #: Pairs per node and cell in the rounds before the last, and how many of these rounds there are at most.
@@ -48,41 +50,77 @@ def key_rows(nodes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, keys: np.
     ``keys`` holds the first node's ``counts[0]`` keys, then the second's, and so on. High bits of a key choose the bucket, the low 32 stand for it there:
     keys that agree by chance stay as rare as a bucket is small, and what they bring together is checked.
     """
-    out: dict[str, list] = {"bucket": [], "nodes": [], "sizes": [], "counts": [], "keys": []}
     owner = np.repeat(np.arange(len(nodes), dtype=np.int32), counts)
-    bucket = ((keys >> U(40)) % U(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
-    order = np.argsort(bucket, kind="stable")
+    bucket = (keys >> U(40)) % U(buckets)
+    order, cuts = _dealt(bucket)
     keys, owner, bucket = keys.astype(np.uint32)[order], owner[order], bucket[order]
-    classes = size_class(sizes)
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
-        if a == b:
-            continue
+    classes, out = size_class(sizes), []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         firsts = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
         here = owner[a:b][firsts]
-        out["bucket"].append(int(bucket[a]))
-        out["nodes"].append(nodes[here].tobytes())
-        out["sizes"].append(classes[here].tobytes())
-        out["counts"].append(np.diff(firsts, append=b - a).astype(np.uint32).tobytes())
-        out["keys"].append(keys[a:b].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in list(out)[1:])], list(out))
+        out.append((int(bucket[a]), nodes[here].tobytes(), classes[here].tobytes(), b"", np.diff(firsts, append=b - a).astype(np.uint32).tobytes(), keys[a:b].tobytes()))
+    return _keys_batch(out)
+
+
+def band_rows(nodes: np.ndarray, marks: np.ndarray, keys: np.ndarray, parts: int) -> pa.RecordBatch:
+    """``key_rows`` for nodes that have one key in each of some bands (the columns of ``keys``), with 64 bits of MinHash as marks. A band has ``parts`` buckets of its own."""
+    bucket = (np.arange(keys.shape[1], dtype=U) * U(parts) + (keys >> U(40)) % U(parts)).T.ravel()
+    order, cuts = _dealt(bucket)
+    owner, flat, bucket, out = order % max(1, len(nodes)), keys.astype(np.uint32).T.ravel()[order], bucket[order], []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        out.append((int(bucket[a]), nodes[owner[a:b]].tobytes(), b"", marks[owner[a:b]].tobytes(), b"", flat[a:b].tobytes()))
+    return _keys_batch(out)
+
+
+def _dealt(bucket: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """An order by bucket, and where each bucket begins in it (and the last ends)."""
+    bucket = bucket.astype(np.uint16 if not len(bucket) or bucket.max() < 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, [*np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1)).tolist(), len(bucket)]
+
+
+def _keys_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(columns)], [c.split(" ")[0] for c in KEYS_SCHEMA.split(", ")])
 
 
-def _group_bucket(bucket: int, nodes: np.ndarray, sizes: np.ndarray, keys: np.ndarray, apart: int) -> Iterator[tuple[int, int, np.ndarray, int]]:
+def _plausible(marks: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of the members that marks connect; members that differ in more than ``most`` bits are not connected directly."""
+    near = np.bitwise_count(marks[:, None] ^ marks[None, :]) <= most
+    label = np.arange(len(marks))
+    while True:
+        least = np.where(near, label[None, :], len(marks)).min(1)
+        if (least == label).all():
+            return [np.flatnonzero(label == k) for k in np.unique(label)]
+        label = least
+
+
+def _group_bucket(bucket: int, nodes: np.ndarray, sizes: np.ndarray, marks: np.ndarray, keys: np.ndarray, apart: int, most: int) -> Iterator[tuple[int, int, np.ndarray, int]]:
     """``(gid, pivot, members, weight)`` for keys that two nodes or more share; groups of the same members count once.
 
-    A group is cut where the sizes of neighbours in the order of size are too far apart for any pair across the cut.
+    A group is cut where the sizes of neighbours in the order of size are too far apart for any pair across the cut, and where marks differ too much for similar sets.
     """
-    order = np.lexsort((nodes, sizes, keys))
-    nodes, sizes, keys = nodes[order], sizes[order].astype(np.int16), keys[order]
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    nodes, sizes, keys = nodes[fresh], sizes[fresh], keys[fresh]
+    order = np.argsort((keys.astype(U) << U(8)) | sizes)
+    sizes, keys = sizes[order].astype(np.int16), keys[order]
     edge = np.ones(len(keys), bool)
     edge[1:] = (keys[1:] != keys[:-1]) | (sizes[1:] - sizes[:-1] > apart)
-    starts = np.flatnonzero(edge)
+    # Only what shares a key goes on; tasks that met the same node gave it the same keys.
+    group = np.cumsum(edge)
+    shared = np.flatnonzero(~edge | ~np.append(edge[1:], True))
+    order, group, sizes, keys = order[shared], group[shared], sizes[shared], keys[shared]
+    nodes, marks = nodes[order], marks[order] if len(marks) else None
+    order = np.lexsort((nodes, group))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (group[order][1:] != group[order][:-1]) | (nodes[order][1:] != nodes[order][:-1])
+    order = order[fresh]
+    nodes, group, sizes, keys, marks = nodes[order], group[order], sizes[order], keys[order], marks[order] if marks is not None else None
+    starts = np.flatnonzero(np.diff(group, prepend=0))
     long = np.diff(starts, append=len(keys))
-    starts, long = starts[long > 1], long[long > 1]
+    shared = long > 1
+    if marks is not None:
+        pairs = np.flatnonzero(long == 2)
+        shared[pairs[np.bitwise_count(marks[starts[pairs]] ^ marks[starts[pairs] + 1]) > most]] = False
+    starts, long = starts[shared], long[shared]
     if not len(starts):
         return
     inside = np.repeat(long > 0, long)
@@ -90,22 +128,28 @@ def _group_bucket(bucket: int, nodes: np.ndarray, sizes: np.ndarray, keys: np.nd
     at = np.repeat(starts - begins, long) + np.arange(len(inside))
     digest = np.add.reduceat(mix(nodes[at].astype(U)), begins)
     _, first, weight = np.unique(mix(digest + long.astype(U)), return_index=True, return_counts=True)
-    gids = mix((keys[starts].astype(U) | (sizes[starts].astype(U) << U(32))) + mix(np.array([bucket], U))).view(np.int64)
+    gids = mix((keys[starts].astype(U) | (sizes[starts].astype(U) << U(32))) + mix(np.array([bucket], U)))
     for i, w in zip(first.tolist(), weight.tolist(), strict=True):
         members = nodes[starts[i] : starts[i] + long[i]]
-        yield int(gids[i]), int(members[0]), members[1:], w
+        parts = [members] if marks is None or not 2 < len(members) <= SPLIT else [members[k] for k in _plausible(marks[starts[i] : starts[i] + long[i]], most)]
+        for k, part in enumerate(parts):
+            if len(part) > 1:
+                yield int((gids[i] + U(k)).view(np.int64)), int(part[0]), part[1:], w
 
 
 def grouped(rows: DataFrame, buckets: int, percent: int) -> DataFrame:
     """Groups of nodes that share a key, from ``key_rows``; a task holds one bucket at a time."""
     apart = int(np.log(100 / percent) / np.log(1.05)) + 1
+    # Marks of sets with this similarity differ in each bit by half of what they lack; so many standard deviations are one pair in a million.
+    differ = (100 - percent) / 200
+    most = int(64 * differ + 5.5 * (64 * differ * (1 - differ)) ** 0.5)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, [[], [], []]
+        bucket, held = None, [[], [], [], []]
 
         def groups() -> Iterator[pa.RecordBatch]:
             out, size = [], 0
-            for gid, pivot, members, weight in _group_bucket(bucket, *map(np.concatenate, held), apart):
+            for gid, pivot, members, weight in _group_bucket(bucket, *map(np.concatenate, held), apart, most):
                 out += [(gid, pivot, members[i : i + PIECE], weight) for i in range(0, len(members), PIECE)]
                 size += len(members)
                 if size >= 200_000:
@@ -114,12 +158,14 @@ def grouped(rows: DataFrame, buckets: int, percent: int) -> DataFrame:
             yield _groups_batch(out)
 
         for batch in batches:
-            for b, n, s, c, k in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for b, n, s, m, c, k in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if b != bucket and held[0]:
                     yield from groups()
-                    held = [[], [], []]
-                bucket, c = b, np.frombuffer(c, np.uint32)
-                for part, x in zip(held, (np.repeat(np.frombuffer(n, np.int64), c), np.repeat(np.frombuffer(s, np.uint8), c), np.frombuffer(k, np.uint32)), strict=True):
+                    held = [[], [], [], []]
+                bucket, n, k = b, np.frombuffer(n, np.int64), np.frombuffer(k, np.uint32)
+                c = np.frombuffer(c, np.uint32) if c else 1
+                s = np.frombuffer(s, np.uint8) if s else np.zeros(len(n), np.uint8)
+                for part, x in zip(held, (np.repeat(n, c), np.repeat(s, c), np.repeat(np.frombuffer(m, U), c) if m else np.zeros(0, U), k), strict=True):
                     part.append(x)
         if held[0]:
             yield from groups()
@@ -201,22 +247,40 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             keep = pa.array([apart(s, t) <= allowed(x, y, percent) for x, y, s, t in zip(na, nb, sa, sb, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    side = lambda k: sketches.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"sketch_{k}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "sketch_a", "sketch_b")
+    side = lambda k, *more: sketches.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), *(F.col(c).alias(f"{c}_{k}") for c in more))
+    sized = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    both = sized.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b").select("a", "b", "na", "nb", "sketch_a", "sketch_b")
     return written(both.mapInArrow(near, "a long, b long"), "near")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int, as_set: AsSet) -> DataFrame:
-    """Of ``(a, b)``, the pairs whose sets are similar, with the stored ``sets`` of their nodes."""
+def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """Which of at most 4096 pairs of sets are similar: ``a`` and ``b`` hold hashes, with repeats, and where each set begins. 52 bits tell elements of a pair apart."""
+    sides = []
+    for hashes, firsts in (a, b):
+        owner = np.repeat(np.arange(len(firsts), dtype=U), np.diff(firsts, append=len(hashes)))
+        both = np.sort((owner << U(52)) | (hashes >> U(12)))
+        sides.append(both[np.diff(both, prepend=~both[:1]) != 0])
+    count = lambda x: np.bincount((x >> U(52)).astype(np.int64), minlength=len(a[1]))
+    every = np.sort(np.concatenate(sides))
+    both = count(every[:-1][every[1:] == every[:-1]])
+    return 100 * both >= percent * (count(sides[0]) + count(sides[1]) - both)
+
+
+def _each(batch: pa.RecordBatch, percent: int, as_set: AsSet) -> list[bool]:
+    keep = []
+    for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        x, y = as_set(x), as_set(y)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        keep.append(100 * both >= percent * (len(x) + len(y) - both))
+    return keep
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int, as_set: AsSet, many: Callable | None = None) -> DataFrame:
+    """Of ``(a, b)``, the pairs whose sets are similar, with the stored ``sets`` of their nodes; ``many`` makes the hashes of a column of sets at once."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = as_set(x), as_set(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
+        for batch in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
+            keep = pa.array(alike(many(batch.column(2)), many(batch.column(3)), percent) if many else _each(batch, percent, as_set), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     side = lambda k: sets.select(F.col("node").alias(k), F.col("elements").alias(f"elements_{k}"))
@@ -370,11 +434,11 @@ def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, percent:
     return rows.groupBy("cell").cogroup(nodes.groupBy("cell")).applyInArrow(compared, "a long, b long").distinct()
 
 
-def resolve(groups: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, as_set: AsSet = stored_set) -> DataFrame:
+def resolve(groups: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, as_set: AsSet = stored_set, many: Callable | None = None) -> DataFrame:
     """``(node, label)`` of the nodes that have links.
 
     ``sketches`` has ``node, n, sketch`` of all nodes in groups. ``fetch`` gives ``node, elements`` of the nodes that it is asked for: those of
-    pairs that sketches leave open; ``as_set`` makes the sorted distinct hashes of ``elements``.
+    pairs that sketches leave open; ``as_set`` makes the sorted distinct hashes of ``elements``, ``many`` those of a column (``alike``).
     """
     stars = groups.select("pivot", "weight", F.explode("members").alias("node")).groupBy("pivot", "node").agg(F.sum("weight").alias("w"))
     stars = written(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "w"), "stars")
@@ -382,10 +446,10 @@ def resolve(groups: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame],
     sets = written(fetch(_nodes(near)), "sets", compression="none")
     best = near.join(stars, ["a", "b"]).groupBy("b").agg(F.max_by("a", F.struct("w", -F.col("a"))).alias("a")).select("a", "b")
     best = written(best, "best")
-    links = _similar(best, sets, percent, as_set)
+    links = _similar(best, sets, percent, as_set, many)
     labels = components(links)
     open_ = _labelled(_labelled(near, labels, "a"), labels, "b").filter("la != lb").select("a", "b").join(best, ["a", "b"], "left_anti")
-    links = links.unionByName(_similar(open_, sets, percent, as_set))
+    links = links.unionByName(_similar(open_, sets, percent, as_set, many))
     discard(sets, best)
     labels = components(links)
     discard(stars)
@@ -398,7 +462,7 @@ def resolve(groups: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame],
             more = rest
         else:
             sets = written(fetch(_nodes(rest)), "sets", compression="none")
-            more = _similar(rest, sets, percent, as_set)
+            more = _similar(rest, sets, percent, as_set, many)
             discard(sets)
         if more.isEmpty():
             rounds = [0] if nearest else []

@@ -42,7 +42,7 @@ class NgramJoin:
     words: int = 5
     percent: int = 75
     rows_per_batch: int = 1000
-    broadcast_rows: int = 1_000_000
+    broadcast_rows: int = 300_000
 
 
 @lru_cache(maxsize=4096)
@@ -135,7 +135,6 @@ def _passes(docs: DataFrame, how: NgramJoin, buckets: int) -> tuple[DataFrame, D
             every = [(i, s) for i, s in zip(batch.column(0).to_pylist(), document_sets(*text_bytes(batch.column(1)), how.words), strict=True) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in every], pa.int64()), pa.array([set_id(s) for _, s in every], pa.int64()), pa.array([len(s) for _, s in every], pa.int64()), pa.array([links.sketch(s) for _, s in every], pa.binary())], ["doc_id", "node", "n", "sketch"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", how.rows_per_batch)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def of(wanted: DataFrame, task: Callable, schema: str) -> DataFrame:
@@ -157,12 +156,12 @@ def joined(docs: DataFrame, how: NgramJoin = NgramJoin()) -> DataFrame:
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids, keys, sketches, elements = _passes(docs, how, buckets)
-    ids = written(ids, "ids")
-    groups = written(links.grouped(keys, buckets, how.percent), "groups")
+    ids = written(ids, "ids", rows=how.rows_per_batch)
+    groups = written(links.grouped(keys, buckets, how.percent), "groups", rows=how.rows_per_batch)
     nodes = groups.select(F.explode(F.concat(F.array("pivot"), F.col("members"))).alias("node")).distinct()
     first = ids.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = written(first.join(nodes, "node"), "wanted")
-    outlines = written(sketches(wanted).dropDuplicates(["node"]), "outlines")
+    outlines = written(sketches(wanted).dropDuplicates(["node"]), "outlines", rows=how.rows_per_batch)
     fetch = lambda some: elements(written(wanted.join(some, "node"), "asked")).dropDuplicates(["node"])
     labels = links.resolve(groups, outlines, fetch, how.percent)
     discard(groups, wanted, outlines)
