@@ -120,7 +120,7 @@ def _resolved(lines: DataFrame, how: LineDedup) -> DataFrame:
     chosen = lines.join(bounded(wanted), "node", "left_semi").groupBy("node").agg(F.first(F.col("line").cast("binary")).alias("elements"))
     sketches = written(chosen.mapInArrow(outlines, "node long, n long, sketch binary, elements binary"), "line-outlines", rows=how.lines_per_batch)
     fetch = lambda nodes: sketches.join(bounded(nodes), "node", "left_semi").select("node", "elements")
-    labels = links.resolve(groups, sketches, fetch, how.percent, as_set, many)
+    labels = links.resolve(groups, sketches, fetch, how.percent, as_set, many, at_once=True)
     discard(groups, wanted, sketches)
     return labels
 

@@ -434,23 +434,28 @@ def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, percent:
     return rows.groupBy("cell").cogroup(nodes.groupBy("cell")).applyInArrow(compared, "a long, b long").distinct()
 
 
-def resolve(groups: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, as_set: AsSet = stored_set, many: Callable | None = None) -> DataFrame:
+def resolve(groups: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, as_set: AsSet = stored_set, many: Callable | None = None, at_once: bool = False) -> DataFrame:
     """``(node, label)`` of the nodes that have links.
 
     ``sketches`` has ``node, n, sketch`` of all nodes in groups. ``fetch`` gives ``node, elements`` of the nodes that it is asked for: those of
-    pairs that sketches leave open; ``as_set`` makes the sorted distinct hashes of ``elements``, ``many`` those of a column (``alike``).
+    pairs that sketches leave open; ``as_set`` makes the sorted distinct hashes of ``elements``, ``many`` those of a column (``alike``). With ``at_once`` steps 1 and 2 are one: for nodes of few keys,
+    that saves more than leaving out pairs that agree already.
     """
     stars = groups.select("pivot", "weight", F.explode("members").alias("node")).groupBy("pivot", "node").agg(F.sum("weight").alias("w"))
     stars = written(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "w"), "stars")
     near = _near(stars, sketches, percent)
     sets = written(fetch(_nodes(near)), "sets", compression="none")
-    best = near.join(stars, ["a", "b"]).groupBy("b").agg(F.max_by("a", F.struct("w", -F.col("a"))).alias("a")).select("a", "b")
-    best = written(best, "best")
-    links = _similar(best, sets, percent, as_set, many)
-    labels = components(links)
-    open_ = _labelled(_labelled(near, labels, "a"), labels, "b").filter("la != lb").select("a", "b").join(best, ["a", "b"], "left_anti")
-    links = links.unionByName(_similar(open_, sets, percent, as_set, many))
-    discard(sets, best)
+    if at_once:
+        links = _similar(near, sets, percent, as_set, many)
+        discard(sets)
+    else:
+        best = near.join(stars, ["a", "b"]).groupBy("b").agg(F.max_by("a", F.struct("w", -F.col("a"))).alias("a")).select("a", "b")
+        best = written(best, "best")
+        links = _similar(best, sets, percent, as_set, many)
+        labels = components(links)
+        open_ = _labelled(_labelled(near, labels, "a"), labels, "b").filter("la != lb").select("a", "b").join(best, ["a", "b"], "left_anti")
+        links = links.unionByName(_similar(open_, sets, percent, as_set, many))
+        discard(sets, best)
     labels = components(links)
     discard(stars)
     # Nearest pairs first: what they join need not be compared pair by pair. The last round leaves nothing out.
