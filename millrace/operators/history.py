@@ -84,6 +84,14 @@ def authors(commits: DataFrame, limit: int = 200) -> DataFrame:
     return top.crossJoin(F.broadcast(totals))  # one row
 
 
+def author_echo(commits: DataFrame, author: str, limit: int = 20) -> DataFrame:
+    """What a search without a hit says of its author filter: the addresses that it fits, their commits, and how many authors and commits there are in all."""
+    whole = commits.agg(F.count_distinct("author_email").alias("total_authors"), F.count(F.lit(1)).alias("total_commits"))
+    found = commits.filter(F.contains(F.lower("author_email"), F.lit(author.lower()))).groupBy("author_email").agg(F.count(F.lit(1)).alias("commits"))
+    top = found.orderBy(F.desc("commits"), "author_email").limit(min(limit, 100))
+    return F.broadcast(whole).join(top, F.lit(True), "left").select("author_email", "commits", "total_authors", "total_commits")  # one row on the left
+
+
 def change_log(commits: DataFrame, commit_files: DataFrame, size: int = 50, number: int = 1) -> DataFrame:
     """A page of commits with their number of files and changed lines; only the page's commits are added up."""
     rows = log_page(commits, size, number)

@@ -225,3 +225,13 @@ def phases(events: DataFrame) -> DataFrame:
     out = events.withColumn("seconds", F.lead(F.col("at").cast("double")).over(run) - F.col("at").cast("double"))
     return out.filter("seconds IS NOT NULL").select("run", "phase", "at", "seconds")
 
+
+def overview(commits: DataFrame, commit_files: DataFrame, files: DataFrame, scope: Scope) -> dict[str, DataFrame]:
+    """All sections of an overview for one scope: days, repository, excluded paths. A stored overview is this with the defaults, a live one with the caller's."""
+    head = files.filter(F.col("repo_slug") == scope.repo) if scope.repo else files
+    head = head.filter(~patterns.excluded(F.col("path"), scope.excluded_paths))
+    return {
+        "extensions": extension_counts(head), "languages": language_shares(head), "folders": top_folders(head), "largest": largest_files(head), "churn": hot_files(commits, commit_files, head, scope, 10),
+        "authors": section_authors(commits.filter(F.col("repo_slug") == scope.repo) if scope.repo else commits, commit_files, scope), "excluded": excluded_counts(commits, commit_files, files, scope), "hotspots": hotspots(commits, commit_files, head, scope),
+        "per_file": authors_per_file(commits, commit_files, head, scope), "coupling": folder_coupling(commits, commit_files, head, scope), "changes": changes_over_time(commits, commit_files, scope),
+    }

@@ -115,6 +115,12 @@ def authors(spark, d):
     return history.authors(*_v(spark, d, "commits"))
 
 
+@query("""SELECT t.author_email, t.commits, w.total_authors, w.total_commits FROM (SELECT count(DISTINCT author_email) AS total_authors, count(*) AS total_commits FROM commits) w
+    LEFT JOIN (SELECT author_email, count(*) AS commits FROM commits WHERE contains(author_email, '7@') GROUP BY 1 ORDER BY commits DESC, author_email LIMIT 20) t ON true""")
+def author_echo(spark, d):
+    return history.author_echo(*_v(spark, d, "commits"), "7@X")
+
+
 @query("""SELECT c.commit_id, c.repo_slug, c.sha, c.author_name, c.author_email, c.authored_at, c.subject, coalesce(n, 0) AS files, coalesce(a, 0) AS added, coalesce(x, 0) AS deleted
     FROM (SELECT * FROM commits ORDER BY commit_id DESC LIMIT 100) c LEFT JOIN (SELECT commit_id, count(*) AS n, sum(added)::BIGINT AS a, sum(deleted)::BIGINT AS x FROM commit_files GROUP BY 1) f ON f.commit_id = c.commit_id""")
 def change_log(spark, d):

@@ -90,17 +90,17 @@ def repositories(files: DataFrame) -> DataFrame:
     return files.groupBy("repo_slug").agg(F.count(F.lit(1)).alias("file_count"), F.sum("line_count").alias("line_count"), F.sum("size_bytes").alias("byte_count"))
 
 
-def new_commits(exported: DataFrame, known: DataFrame) -> DataFrame:
+def new_commits(exported: DataFrame, known: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
     """Commits of ``repo_slug, walk_pos (0 is newest), sha, author_name, author_email, authored_at, message`` newer than the newest known one, numbered on.
 
-    The walk stops before the newest recorded commit of its repository. Ids ascend with history: oldest first, after all known ids.
+    The walk stops before the newest recorded commit of its repository. Ids ascend with history: oldest first, after all known ids, or those of ``numbered``.
     """
     stop = exported.join(known.select("repo_slug", "sha").distinct(), ["repo_slug", "sha"]).groupBy("repo_slug").agg(F.min("walk_pos").alias("stop"))
     fresh = exported.join(stop, "repo_slug", "left").filter("stop IS NULL OR walk_pos < stop")
     subject, body = F.split_part("message", F.lit("\n"), F.lit(1)), F.regexp_extract("message", r"(?s)^[^\n]*\n\n?(.*)$", 1)
     counts = fresh.groupBy("repo_slug").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("repo_slug", F.coalesce(F.sum("n").over(W.orderBy("repo_slug").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))  # one row per repository
-    last = known.agg(F.coalesce(F.max("commit_id"), F.lit(0)).alias("last"))
+    last = (known if numbered is None else numbered).agg(F.coalesce(F.max("commit_id"), F.lit(0)).alias("last"))
     rank = F.row_number().over(W.partitionBy("repo_slug").orderBy(F.desc("walk_pos")))
     out = fresh.withColumn("rank", rank).join(offsets, "repo_slug").crossJoin(F.broadcast(last))  # one row
     return out.select((F.col("last") + F.col("offset") + F.col("rank")).cast("long").alias("commit_id"), "repo_slug", "sha", "author_name", "author_email", "authored_at", F.rtrim(subject).alias("subject"), F.rtrim(body).alias("body"))
@@ -119,6 +119,18 @@ def line_edits(patch: Column) -> Column:
     return F.transform(hunks, edit)
 
 
+def change_rows(changes: DataFrame, limit: int = SIZE_LIMIT) -> DataFrame:
+    """``commit_id, path, old_path, change_kind, is_binary, size_bytes (of the larger side), patch`` with the patch read as ``edits, added, deleted``.
+
+    A binary change, and one of a file over the limit, has no lines.
+    """
+    binary = F.coalesce("is_binary", F.lit(False)) | (F.col("size_bytes") > limit)
+    none = F.array().cast("array<struct<old_line:int,deleted:int,added:int>>")
+    out = changes.withColumn("is_binary", binary).withColumn("edits", F.when(F.col("is_binary") | F.col("patch").isNull(), none).otherwise(line_edits(F.col("patch"))))
+    total = lambda name: F.aggregate("edits", F.lit(0).cast("long"), lambda a, e: a + e[name]).alias(name)
+    return out.select("commit_id", "path", "old_path", "change_kind", "is_binary", "edits", total("added"), total("deleted"))
+
+
 def paired_renames(changes: DataFrame) -> DataFrame:
     """``commit_id, path, old_path, change_kind, blob`` with added and deleted paths of one blob in a commit paired as renames, in path order."""
     rank = F.row_number().over(W.partitionBy("commit_id", "blob", "change_kind").orderBy("path"))
@@ -139,6 +151,12 @@ def rewritten(exported: DataFrame, known: DataFrame) -> DataFrame:
     return tips.join(exported.select("repo_slug").distinct(), "repo_slug", "left_semi").join(exported.select("repo_slug", "sha"), ["repo_slug", "sha"], "left_anti").select("repo_slug")
 
 
+def imported(exported: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(kept, fresh)``: the known commits that stay, and those to add. A repository whose history was rewritten is dropped and read anew, under ids of its own."""
+    kept = known.join(rewritten(exported, known), "repo_slug", "left_anti")
+    return kept, new_commits(exported, kept, numbered=known)
+
+
 def pruned(commits: DataFrame, commit_files: DataFrame, configured: DataFrame, forgotten: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """History of the repositories that are still configured and not to be forgotten, and the changes of the commits that stay."""
     kept = commits.join(configured.select(F.col("slug").alias("repo_slug")), "repo_slug", "left_semi")

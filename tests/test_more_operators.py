@@ -53,6 +53,33 @@ def test_pruned_and_rewritten(spark):
     assert [r.repo_slug for r in ingest.rewritten(export.limit(1), commits).collect()] == ["one"]
 
 
+def test_changes_over_the_limit(spark):
+    patch = "@@ -1,2 +1,3 @@\n a\n@@ -9 +10,0 @@\n-x"
+    rows = [(1, "a", None, M, False, 10, patch), (1, "big", None, M, False, 99, patch), (1, "bin", None, M, True, 5, None), (2, "b", None, D, None, 0, None)]
+    got = {r.path: (r.is_binary, len(r.edits), r.added, r.deleted) for r in ingest.change_rows(spark.createDataFrame(rows, "commit_id long, path string, old_path string, change_kind string, is_binary boolean, size_bytes long, patch string"), 50).collect()}
+    assert got == {"a": (False, 2, 3, 3), "big": (True, 0, 0, 0), "bin": (True, 0, 0, 0), "b": (False, 0, 0, 0)}
+
+
+def test_rewritten_history_is_read_anew(spark):
+    shape = "repo_slug string, walk_pos int, sha string, author_name string, author_email string, authored_at timestamp, message string"
+    known = spark.createDataFrame([(1, "one", "s1"), (2, "one", "s2"), (3, "two", "t1")], "commit_id long, repo_slug string, sha string")
+    export = spark.createDataFrame([("one", 0, "n2", "a", "a@x", BASE, "m"), ("one", 1, "s1", "a", "a@x", BASE, "m"), ("two", 0, "t2", "a", "a@x", BASE, "m"), ("two", 1, "t1", "a", "a@x", BASE, "m")], shape)
+    kept, fresh = ingest.imported(export, known)
+    assert [r.commit_id for r in kept.collect()] == [3]
+    assert [(r.commit_id, r.sha) for r in fresh.orderBy("commit_id").collect()] == [(4, "s1"), (5, "n2"), (6, "t2")]
+
+
+def test_overview_of_a_scope(spark):
+    commits, changes = corpus(spark, [(0, "Ada", [(A, "src/a.cs", None), (A, "gen/b.cs", None)]), (1, "Bob", [(M, "gen/b.cs", None)])])
+    files = spark.createDataFrame([("one", f"{d}/{n}.cs", "cs", None, 10, 100) for d, n in (("src", "a"), ("gen", "b"))], "repo_slug string, path string, extension string, skip_reason string, line_count long, size_bytes long")
+    parts = overview.overview(commits, changes, files, Scope(excluded_paths=["gen/*"]))
+    got = {k: v.collect() for k, v in parts.items()}
+    assert [r.path for r in got["churn"]] == ["src/a.cs"] and [r.files for r in got["extensions"]] == [1] and [r.author_email for r in got["authors"]] == ["Ada@x"] and got["excluded"][0].head_files == 1
+    assert publish.overview_document(parts).count() == 1
+    assert [tuple(r) for r in history.author_echo(commits, "nobody").collect()] == [(None, None, 2, 2)]
+    assert [tuple(r) for r in history.author_echo(commits, "ADA").collect()] == [("Ada@x", 1, 2, 2)]
+
+
 def test_names(spark):
     slugs = spark.createDataFrame([("One",)], "slug string")
     asked = spark.createDataFrame([("one/src/A.cs",), ("two/x",)], "name string")
