@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from millrace.functions import patterns
 from millrace.plans.scope import FileFilter
+from millrace.plans.tables import written
 
 KEYS = ["repo_slug", "path"]
 
@@ -161,7 +162,7 @@ def symbol_lines(lines: DataFrame, symbol: str) -> DataFrame:
 
 def references(lines: DataFrame, symbol: str, scope: FileFilter = FileFilter(), kinds: DataFrame | None = None, most_files: int = 100, lines_per_file: int = 200) -> DataFrame:
     """Lines that name the symbol in the files that name it most, with totals; ``kinds`` (repo_slug, path, line_number, ...) adds what a scan says of them."""
-    named = symbol_lines(lines, symbol)
+    named = written(symbol_lines(lines, symbol), "named")  # the lines are searched once for hits, page, totals and the count without the filter
     found = scope.apply(named)
     by = found.groupBy(*KEYS).agg(F.sum("occurrences").alias("n"))
     whole = by.agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("total"))
