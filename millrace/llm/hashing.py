@@ -119,3 +119,36 @@ def character_shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[n
     ends = np.minimum(begins + n, last[begins])
     bounds = np.append(at, len(data))
     return ranges_hash(prefix_sums(data), bounds[begins], bounds[ends]), np.searchsorted(begins, texts[:-1])
+
+
+def quick_shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``character_shingles`` with 32-bit hashes, several times as fast: for signatures, not for exact sets."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    value = data[at].astype(np.uint32)
+    wide = np.flatnonzero(np.diff(at, append=len(data)) > 1)
+    for k in range(1, 4):
+        wide = wide[np.diff(np.append(at, len(data)))[wide] > k]
+        value[wide] |= data[at[wide] + k].astype(np.uint32) << np.uint32(8 * k)
+    place = (mix(_PLACES[:n]) >> U(32)).astype(np.uint32) | np.uint32(1)
+    begin = np.searchsorted(at, offsets)
+    long = np.diff(begin)
+    whole = max(0, len(value) - n + 1)
+    out = np.zeros(len(value), np.uint32)
+    for k in range(n):
+        out[:whole] += value[k : k + whole] * place[k]
+    kept = np.ones(len(value), bool)
+    for k in range(1, n):
+        kept[(begin[1:] - k)[long >= k]] = False
+    for m in range(1, n):  # a shorter text is one shingle
+        first = begin[:-1][long == m]
+        out[first] = 0x9E3779B1 * m & 0xFFFFFFFF
+        for k in range(m):
+            out[first] += value[first + k] * place[k]
+        kept[first] = True
+    out = out[kept]
+    out ^= out >> np.uint32(15)
+    out *= np.uint32(0x85EBCA6B)
+    out ^= out >> np.uint32(13)
+    out *= np.uint32(0xC2B2AE35)
+    out ^= out >> np.uint32(16)
+    return out, np.concatenate(([0], np.cumsum(np.maximum(long - n + 1, 1))[:-1])).astype(np.int64)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.llm import links
-from millrace.llm.hashing import U, character_shingles, lowered, mix, slices, text_bytes
+from millrace.llm.hashing import U, character_shingles, lowered, mix, quick_shingles, slices, text_bytes
 from millrace.llm.tables import discard, written
 from millrace.llm.text import SPACE_CLASS
 
@@ -46,7 +46,7 @@ class LineDedup:
 def signatures(hashes: np.ndarray, firsts: np.ndarray, how: LineDedup) -> np.ndarray:
     """MinHash values, one row per line. Worked through in slices of whole lines that stay in the processor's cache."""
     factors = np.random.default_rng(how.seed).integers(0, 1 << 32, how.bands * how.rows, np.uint32) | np.uint32(1)
-    h = (hashes >> U(32)).astype(np.uint32)
+    h = hashes if hashes.dtype == np.uint32 else (hashes >> U(32)).astype(np.uint32)
     out = np.empty((len(factors), len(firsts)), np.uint32)
     ends = np.append(firsts, len(h))
     i = 0
@@ -93,7 +93,7 @@ def _resolved(lines: DataFrame, how: LineDedup) -> DataFrame:
             nodes, first = nodes[fresh], first[fresh]
             found = []
             for _, _, data, at in slices(*text_bytes(batch.column(1).take(pa.array(first)))):
-                sig = signatures(*character_shingles(lowered(data), at, how.shingle), how)
+                sig = signatures(*quick_shingles(lowered(data), at, how.shingle), how)
                 found.append((marks(sig), band_keys(sig, how)))
             if found:
                 yield links.band_rows(nodes, np.concatenate([m for m, _ in found]), np.concatenate([k for _, k in found]), parts)

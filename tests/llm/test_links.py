@@ -3,7 +3,7 @@
 import numpy as np
 
 from millrace.llm import line_dedup, links
-from millrace.llm.hashing import U
+from millrace.llm.hashing import U, character_shingles, quick_shingles
 
 
 def unpacked(batch):
@@ -76,3 +76,21 @@ def test_exact_checks():
     assert n.tolist() == [len(set(s.tolist())) for s in sets]
     raw = sketches.to_pylist()
     assert all(links.apart(raw[i], raw[200 + i]) <= len(a ^ b) for i, (a, b) in enumerate(pairs))
+
+
+def test_quick_shingles():
+    """Equal shingles have equal hashes, others don't, wherever they stand; texts of every length."""
+    import random
+
+    draw, seen = random.Random(8), {}
+    texts = ["".join(draw.choice("abcäß漢😀 ") for _ in range(draw.randrange(1, 30))) for _ in range(500)]
+    raw = [t.encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    hashes, firsts = quick_shingles(data, at, 5)
+    assert firsts.tolist() == character_shingles(data, at, 5)[1].tolist()
+    for t, a, b in zip(texts, firsts.tolist(), [*firsts[1:].tolist(), len(hashes)], strict=True):
+        shingles = [t[i : i + 5] for i in range(max(1, len(t) - 4))]
+        assert b - a == len(shingles)
+        for x, h in zip(shingles, hashes[a:b].tolist(), strict=True):
+            assert seen.setdefault(x, h) == h
+    assert len(set(seen.values())) >= len(seen) - 1
