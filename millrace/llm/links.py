@@ -150,7 +150,8 @@ def grouped(rows: DataFrame, buckets: int, percent: int) -> DataFrame:
         def groups() -> Iterator[pa.RecordBatch]:
             out, size = [], 0
             for gid, pivot, members, weight in _group_bucket(bucket, *map(np.concatenate, held), apart, most):
-                out += [(gid, pivot, members[i : i + PIECE], weight) for i in range(0, len(members), PIECE)]
+                # No piece has a single member unless the group has: ``_across`` knows pairs by that.
+                out += [(gid, pivot, part, weight) for part in np.array_split(members, -(-len(members) // PIECE))]
                 size += len(members)
                 if size >= 200_000:
                     yield _groups_batch(out)
@@ -386,6 +387,7 @@ def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, percent:
     A cell holds many small groups, or pairs of blocks of large ones; both are bounded. Groups with the same first member in the order of a
     hash meet in a cell: sets that are alike share hundreds of groups of nearly the same members, and each pair is compared there once.
     """
+    groups = groups.filter(F.size("members") > 1)  # a group of two is its star, which has been checked
     rows = groups.select("gid", F.explode(F.concat(F.array("pivot"), F.col("members"))).alias("node")).distinct()
     rows = _labelled(rows, labels, "node")
     mixed = rows.groupBy("gid").agg(F.min("lnode").alias("x"), F.max("lnode").alias("y"), F.count(F.lit(1)).alias("m"), F.min(F.xxhash64("node")).alias("rep")).filter("x != y and m > 2").select("gid", "m", "rep")

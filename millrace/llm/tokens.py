@@ -35,7 +35,7 @@ class _Numbers(dict):
 class ChunkEncoder:
     """Unsigned 32-bit ids of texts, as the tokenizers library gives them without special tokens added."""
 
-    def __init__(self, path: str, most: int = 1_500_000, block: int = 2000) -> None:
+    def __init__(self, path: str, most: int = 700_000, block: int = 2000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
