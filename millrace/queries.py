@@ -233,6 +233,25 @@ ORACLES["path_lineage"] = (
 )
 
 
+@query()
+def path_lineage_hops(spark, d):
+    """Chains of two hops: every path was renamed twice."""
+    (changes,) = _v(spark, d, "commit_files")
+    before = lambda a, b: changes.withColumns({"change_kind": F.lit("renamed"), "path": F.concat(F.lit(b), F.col("path")), "old_path": F.concat(F.lit(a), F.col("path"))})
+    return lineage.path_lineage(before("older/", "legacy/").unionByName(before("legacy/", "")))
+
+
+ORACLES["path_lineage_hops"] = (
+    f"WITH raw AS ({corpus.sql('commit_files')}), commit_files AS (SELECT * REPLACE ('renamed' AS change_kind, 'older/' || path AS old_path, 'legacy/' || path AS path) FROM raw UNION ALL SELECT * REPLACE ('renamed' AS change_kind, 'legacy/' || path AS old_path) FROM raw), {_HOPS_SQL}, "
+    """below AS (SELECT DISTINCT repo_slug, array_to_string(p[:k], '/') AS directory, commit_id FROM (SELECT *, string_split(path, '/') AS p FROM commit_files) q, (SELECT unnest(range(1, 20)) AS k) ks WHERE k < len(p)),
+    chains AS (SELECT repo_slug, path, 1 AS hop, previous_path FROM hops UNION ALL SELECT h.repo_slug, h.path, 2, g.previous_path FROM hops h JOIN hops g ON g.repo_slug = h.repo_slug AND g.path = h.previous_path AND g.previous_path <> h.path),
+    named AS (SELECT repo_slug, path, path AS directory FROM hops UNION SELECT repo_slug, path, previous_path FROM chains),
+    whole_chain AS (SELECT n.repo_slug, n.path, count(DISTINCT b.commit_id) AS combined_commits FROM named n JOIN below b ON b.repo_slug = n.repo_slug AND b.directory = n.directory GROUP BY 1, 2)
+    SELECT c.repo_slug, c.path, c.hop, c.previous_path, (SELECT count(*) FROM below b WHERE b.repo_slug = c.repo_slug AND b.directory = c.previous_path) AS previous_commits, w.combined_commits
+    FROM chains c JOIN whole_chain w ON w.repo_slug = c.repo_slug AND w.path = c.path"""
+)
+
+
 @query("SELECT extension, count(*) AS files, sum(line_count)::BIGINT AS lines, count(skip_reason) AS skipped FROM files GROUP BY 1")
 def extension_counts(spark, d):
     return overview.extension_counts(*_v(spark, d, "files"))
