@@ -29,6 +29,8 @@ GROUPS_SCHEMA = "gid long, pivot long, members array<long>, weight int"
 AsSet = Callable[[bytes], np.ndarray]
 #: Groups up to this size are cut by marks.
 SPLIT = 256
+#: Rows of texts or sets in a batch for Python.
+ROWS = 1000
 #: Members in one piece of a group.
 PIECE = 4096
 #: Pairs per node and cell in the rounds before the last, and how many of these rounds there are at most.
@@ -251,7 +253,7 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     side = lambda k, *more: sketches.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), *(F.col(c).alias(f"{c}_{k}") for c in more))
     sized = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
     both = sized.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b").select("a", "b", "na", "nb", "sketch_a", "sketch_b")
-    return written(both.mapInArrow(near, "a long, b long"), "near")
+    return written(both.mapInArrow(near, "a long, b long"), "near", rows=ROWS)
 
 
 def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
@@ -286,7 +288,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int, as_set: AsSet, man
 
     side = lambda k: sets.select(F.col("node").alias(k), F.col("elements").alias(f"elements_{k}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "elements_a", "elements_b")
-    return written(rows.mapInArrow(similar, "a long, b long"), "links")
+    return written(rows.mapInArrow(similar, "a long, b long"), "links", rows=ROWS)
 
 
 def _nodes(pairs: DataFrame) -> DataFrame:
@@ -446,7 +448,7 @@ def resolve(groups: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame],
     stars = groups.select("pivot", "weight", F.explode("members").alias("node")).groupBy("pivot", "node").agg(F.sum("weight").alias("w"))
     stars = written(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "w"), "stars")
     near = _near(stars, sketches, percent)
-    sets = written(fetch(_nodes(near)), "sets", compression="none")
+    sets = written(fetch(_nodes(near)), "sets", compression="none", rows=ROWS)
     if at_once:
         links = _similar(near, sets, percent, as_set, many)
         discard(sets)
@@ -468,7 +470,7 @@ def resolve(groups: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame],
         if rest.isEmpty():
             more = rest
         else:
-            sets = written(fetch(_nodes(rest)), "sets", compression="none")
+            sets = written(fetch(_nodes(rest)), "sets", compression="none", rows=ROWS)
             more = _similar(rest, sets, percent, as_set, many)
             discard(sets)
         if more.isEmpty():
