@@ -72,12 +72,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined(_read(spark, sf_dir, "documents"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import resampling
+
+    return resampling.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_quality_rules, op4_packing, op5_token_files, op6_line_dedup, op7_mixing, op8_html_extraction, op9_media_columns, op10_ngram_join, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_quality_rules, op4_packing, op5_token_files, op6_line_dedup, op7_mixing, op8_html_extraction, op9_media_columns, op10_ngram_join, op12_resampling, pipeline)}
 
 ORACLES: dict[str, str] = {}
