@@ -78,12 +78,18 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import word_runs
+
+    return word_runs.report(_read(spark, sf_dir, "documents"), word_runs.WordRuns(planted=True))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_quality_rules, op4_packing, op5_token_files, op6_line_dedup, op7_mixing, op8_html_extraction, op9_media_columns, op10_ngram_join, op12_resampling, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_quality_rules, op4_packing, op5_token_files, op6_line_dedup, op7_mixing, op8_html_extraction, op9_media_columns, op10_ngram_join, op12_resampling, op13_word_runs, pipeline)}
 
 ORACLES: dict[str, str] = {}
