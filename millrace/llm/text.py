@@ -19,3 +19,15 @@ def words(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words as a long."""
     return F.size(words(text)).cast("long")
+
+
+#: What separates words of letters and digits: all other ASCII. Characters beyond ASCII belong to words.
+ALNUM_APART = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+_ALNUM_APART = "".join(map(chr, (*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80))))
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def alnum_words(text: Column) -> Column:
+    """Runs of digits, letters and characters beyond ASCII, in order, with A-Z as a-z; null has none."""
+    trimmed = F.btrim(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()), F.lit(_ALNUM_APART))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{ALNUM_APART}]+", -1))
