@@ -37,6 +37,7 @@ class Wrapper:
     pages: int = 5
     majority: float = 0.6
     broadcast_rows: int = 50_000
+    broadcast_characters: int = 50_000_000
     rows_per_batch: int = 1000
 
 
@@ -277,7 +278,9 @@ def extracted(pages: DataFrame, how: Wrapper = Wrapper()) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_path(F.col("url"))[0].alias("host"))
 
     def bounded(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= how.broadcast_rows else df
+        size = F.length("exemplar") if "exemplar" in df.columns else F.lit(0)  # an outline is as long as its page may be
+        rows_, characters = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+        return F.broadcast(df) if rows_ <= how.broadcast_rows and characters <= how.broadcast_characters else df
 
     def outline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -316,4 +319,5 @@ def extracted(pages: DataFrame, how: Wrapper = Wrapper()) -> DataFrame:
     counts = seen.groupBy("host", "node", "t").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "node").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
     template = counts.filter((F.col("n") >= how.pages) & (F.col("most") >= how.constant * F.col("n"))).groupBy("host").agg(F.collect_list("node").alias("template"))
     wrappers = written(outlines.join(template, "host", "left"), "wrappers", rows=how.rows_per_batch)
-    return rows.join(bounded(wrappers), "host", "left").select("page_id", "url", "html", "exemplar", "template").mapInPandas(extract, "page_id long, url string, text string, n_chars long")
+    texts = rows.join(bounded(wrappers), "host", "left").select("page_id", "url", "html", "exemplar", "template").mapInPandas(extract, "page_id long, url string, text string, n_chars long")
+    return written(texts, "extracted", rows=how.rows_per_batch)  # bounds the pages that one batch brings

@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.tables import written
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -100,7 +102,7 @@ def packed(docs: DataFrame, how: Packing) -> DataFrame:
         names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
         frame = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names), names)
         crc = zlib.crc32
-        for batch in (b.slice(i, how.rows_per_batch) for b in batches for i in range(0, b.num_rows, how.rows_per_batch)):
+        for batch in batches:
             rows: list[list[int]] = []
             ids, starts = encode(batch.column(1).to_pylist(), how.end)
             raw, at = memoryview(ids.astype("<u4", copy=False)).cast("B"), starts.tolist()
@@ -112,4 +114,5 @@ def packed(docs: DataFrame, how: Packing) -> DataFrame:
             yield frame(rows)
         yield frame(bins.close())
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, SCHEMA)
+    pieces_ = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, SCHEMA)
+    return written(pieces_, "packed", rows=how.rows_per_batch)  # bounds the texts that one batch brings

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from millrace.llm.tables import written
+from millrace.llm.tables import discard, written
 from millrace.llm.text import SPACE_CLASS, words
 
 MEASURES = ("word_length", "symbols", "dup_lines", "repeats")
@@ -122,18 +122,24 @@ def report(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """One row per document: the base figures, ``base_failed`` and ``kept``."""
     figures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     ratios = written(_with_ratios(_measured(docs, rules)).withColumn("row", F.struct("row.doc_id")), "quality")
-    return _judged(ratios, _fence_table(ratios, rules)).select("row.doc_id", *figures, *MEASURES)
+    table = _fence_table(ratios, rules)
+    out = written(_judged(ratios, table).select("row.doc_id", *figures, *MEASURES), "quality-report")
+    discard(ratios, table)
+    return out
 
 
 def filtered(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that are kept, with their columns as they came.
 
-    What a verdict depends on is the text, the language and the source; measures are stored under a hash of these three, and texts are read again for the result.
+    What a verdict depends on is the text, the language and the source; measures are stored under two hashes of these three, which tell a null from every value, and texts are read again for the result.
     """
-    key = lambda at: F.xxhash64(f"{at}text", f"{at}lang", f"{at}source")
-    ratios = _with_ratios(_measured(docs.select("text", "lang", "source"), rules)).withColumn("row", F.struct(key("row.").alias("uid")))
+    key = lambda at, k: F.xxhash64(F.lit(k), *(x for c in ("text", "lang", "source") for x in (F.col(f"{at}{c}").isNull(), F.col(f"{at}{c}"))))
+    uid = lambda at: (key(at, 1).alias("uid"), key(at, 2).alias("uid2"))
+    ratios = _with_ratios(_measured(docs.select("text", "lang", "source"), rules)).withColumn("row", F.struct(*uid("row.")))
     ratios = written(ratios, "quality")
-    rejected = written(_judged(ratios, _fence_table(ratios, rules)).filter("not kept").select("row.uid").distinct(), "rejected")
+    table = _fence_table(ratios, rules)
+    rejected = written(_judged(ratios, table).filter("not kept").select("row.uid", "row.uid2").distinct(), "rejected")
+    discard(ratios, table)
     if rejected.count() <= rules.broadcast_rows:
         rejected = F.broadcast(rejected)
-    return docs.select(F.struct("*").alias("row"), key("").alias("uid")).join(rejected, "uid", "left_anti").select("row.*")
+    return docs.select(F.struct("*").alias("row"), *uid("")).join(rejected, ["uid", "uid2"], "left_anti").select("row.*")

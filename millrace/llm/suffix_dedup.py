@@ -246,8 +246,7 @@ def spans(base: DataFrame, how: SuffixDedup) -> DataFrame:
     return written(marked.unionByName(whole), "spans", rows=how.rows_per_batch)
 
 
-def deduplicated(docs: DataFrame, how: SuffixDedup = SuffixDedup()) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes that are left) for every row."""
+def _removed(docs: DataFrame, how: SuffixDedup) -> DataFrame:
     base = _numbered(docs)
     found = spans(base, how)
 
@@ -273,6 +272,12 @@ def deduplicated(docs: DataFrame, how: SuffixDedup = SuffixDedup()) -> DataFrame
     return base.join(marks, "uid", "left").select("doc_id", "text", "marks").mapInArrow(remove, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def deduplicated(docs: DataFrame, how: SuffixDedup = SuffixDedup()) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes that are left) for every row, as a written table."""
+    return written(_removed(docs, how), "deduplicated", rows=how.rows_per_batch)  # bounds the texts that one batch brings
+
+
 def report(docs: DataFrame, how: SuffixDedup = SuffixDedup()) -> DataFrame:
     """One row per document: bytes, bytes removed, stretches removed, and the digest of what is left."""
-    return deduplicated(docs, how).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    digests = _removed(docs, how).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return written(digests, "suffix-report", rows=how.rows_per_batch)

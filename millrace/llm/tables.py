@@ -1,60 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Written tables, as the library has them."""
 
-from __future__ import annotations
+from millrace.plans.tables import discard, settings, shared_folder, written
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
-
-#: Drops a finished query's shuffle files instead of waiting for the driver's garbage collection.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``). Where it is unset, a temporary one; on a cluster that is an error, as executors don't share it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext  # the setting itself can't be changed in a running session
-        if not context.getCheckpointDir():
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="millrace-"))
-        folder = context.getCheckpointDir()
-    return folder
-
-
-@contextmanager
-def settings(spark: SparkSession, **values: str | int) -> Iterator[None]:
-    """Session settings (``__`` for dots) that hold for what runs inside, and are put back after it."""
-    names = {k.replace("__", "."): str(v) for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def written(df: DataFrame, name: str, compression: str = "zstd", rows: int | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors. ``rows``: rows in a batch for Python."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    with settings(spark, **{_CLEANUP: "true"} | ({_BATCH: rows} if rows else {})):
-        df.write.option("compression", compression).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.table_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes written tables that no later plan reads."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.table_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["discard", "settings", "shared_folder", "written"]

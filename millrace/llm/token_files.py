@@ -59,13 +59,11 @@ def files(docs: DataFrame, how: TokenFiles) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [c.split(" ")[0] for c in FILE_SCHEMA.split(", ")])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, how.rows_per_batch):
-                part = batch.slice(i, how.rows_per_batch)
-                ids, starts = encode_texts(part.column(1).to_pylist(), how.end)
-                held.append((part.column(0), np.diff(starts), ids))
-                if sum(len(h[2]) for h in held) >= how.ids_per_file:
-                    yield close()
-                    held, file = [], file + 1
+            ids, starts = encode_texts(batch.column(1).to_pylist(), how.end)
+            held.append((batch.column(0), np.diff(starts), ids))
+            if sum(len(h[2]) for h in held) >= how.ids_per_file:
+                yield close()
+                held, file = [], file + 1
         if held:
             yield close()
 
@@ -73,7 +71,7 @@ def files(docs: DataFrame, how: TokenFiles) -> DataFrame:
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")  # a text is not sampled for ranges
-    return written(ordered.mapInArrow(encode, FILE_SCHEMA), "token-files", compression="none")
+    return written(ordered.mapInArrow(encode, FILE_SCHEMA), "token-files", compression="none", rows=how.rows_per_batch)
 
 
 def read(stored: DataFrame, how: TokenFiles) -> DataFrame:

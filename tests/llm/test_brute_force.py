@@ -302,7 +302,8 @@ def test_pipeline(spark, table, docs, tmp_path):
     ids = encoded("byte_bpe_50k.json", {r.doc_id: r.text for r in stored[3]}, 0)
     assert sum(r.length for r in stored[4]) == sum(len(ids[r.doc_id]) for r in stored[3])
     whole = corpus_pipeline.run(spark, DATA).collect()
-    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in whole) == Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in stored[4]) or sum(r.length for r in whole) == sum(r.length for r in stored[4])
+    # Where a document is cut depends on its length only, not on the task that packs it.
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in whole) == Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in stored[4])
     empty = spark.createDataFrame([], table.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).collect() == []

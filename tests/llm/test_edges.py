@@ -1,6 +1,7 @@
 """Nulls in any column, empty and long texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -159,3 +160,17 @@ def test_hot_anchor_is_split(spark):
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[:40]]), pa.array([r[1].encode() for r in rows[:40]]), pa.array([hot] * 40)], ["uid", "text", "asked"])
     groups = [x for b in cut([batch]) for x in b.column(0).to_pylist()]
     assert len(groups) == len(set(groups)) == 80
+
+
+def test_quality_filter_tells_nulls_apart(spark):
+    """Documents of one text whose language and source differ only in which one is null are judged each for itself, as the report does."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = [(i, " ".join(word(5) for _ in range(30)), lang, source) for i, (lang, source) in enumerate([(None, "zz")] * 150 + [("zz", None)] * 150 + [(None, None)] * 5)]
+    odd = " ".join(word(9) for _ in range(30))
+    rows += [(5000, odd, None, "zz"), (5001, odd, "zz", None), (5002, odd, None, None), (5003, None, None, None), (None, odd, "zz", "zz")]
+    rows += [(6000 + i, " ".join(word(9) for _ in range(30)), "zz", None) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = sorted((r.doc_id for r in quality.report(docs).filter("kept").collect()), key=repr)
+    assert sorted((r.doc_id for r in quality.filtered(docs).collect()), key=repr) == kept
+    assert 5001 in kept and 5000 not in kept
