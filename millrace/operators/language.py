@@ -1,147 +1,25 @@
 """Language scans over files: lexical states, declarations, imports, kinds of references.
 
 Each job takes one row per file with its lines in order, ``repo_slug, path, extension, lines``, and is parallel over files. What is
-known of a language is data: comments, literals, shapes of declarations and imports.
+known of a language is data (``profiles``); how a line is read with it stands in ``lexical``.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import patterns
+from millrace.operators import lexical
+from millrace.operators.profiles import CODE, COMMENT, FALLBACK, LITERAL, PROFILES, UNKNOWN, LanguageProfile, by_extension
 
 KEYS = ["repo_slug", "path"]
-CODE, COMMENT, LITERAL, UNKNOWN = "code", "comment", "literal", "unknown"
 KINDS = ("definition", "write", "call", "instantiation", "type_use", "member_access", "import", "comment", "string_literal", "other")
-MAX_LINES, MAX_NESTING, TAB = 20_000, 8, 4  # states behind the first are not known; deeper comments do not nest
-_NAME = r"[^\W\d]\w*"
-
-
-@dataclass(frozen=True)
-class LanguageProfile:
-    """A language as data. ``blocks`` and ``literals`` are (opener, closer, escape, spans lines); ``shapes`` name ``type`` or ``member`` groups."""
-
-    name: str
-    extensions: tuple[str, ...]
-    line_comments: tuple[str, ...] = ()
-    blocks: tuple[tuple[str, str], ...] = ()
-    literals: tuple[tuple[str, str, str, bool], ...] = ()
-    shapes: tuple[str, ...] = ()
-    imports: tuple[tuple[str, str], ...] = ()
-    module: str | None = None
-    ignore_case: bool = False
-    assign: str = r"(?:[-+*/%&|^]|<<|>>|\?\?)?=(?![=>])"
-    sections: tuple[tuple[str, str], ...] = ()
-    generated: tuple[str, ...] = ()
-    #: Block comments that hold others of their kind, and comments that only a line's first character opens.
-    nested: bool = False
-    line_starts: tuple[str, ...] = ()
-    #: What a declaring line holds if it introduces a name and no lines: constants, fields, variables.
-    flat: str = r"(?!)"
-
-
-_C_STRINGS = (('"', '"', "\\", False), ("'", "'", "\\", False))
-_JS_STRINGS = (*_C_STRINGS, ("`", "`", "\\", True))
-_SQL_STRINGS = (("'", "'", "''", True), ('"', '"', '""', True))
-_TYPE = rf"\b(?P<kind>class|struct|interface|record|enum|namespace)\s+(?P<type>{_NAME})"
-_MEMBER = rf"^\s*(?:(?:public|private|protected|internal|static|virtual|override|abstract|sealed|async|readonly|partial|extern|unsafe|new|const|export|default|get|set|declare)\s+)+(?:[\w<>\[\],.?]+\s+)*(?P<member>{_NAME})\s*(?:<[^>]*>)?\s*(?:\(|\{{|=>|=|;|:)"
-_XS_MODIFIERS = r"(?:public|private|protected|static|virtual|override|internal|abstract|sealed|partial|hidden|new|async)"
-#: A member that ends or takes a value before any bracket holds no lines; an arrow may.
-_C_FLAT = r"^(?!.*\b(?:class|struct|interface|record|enum|namespace)\b)[^({=]*(?:;|=(?![>=]))|\bconst\b"
-_JS_FLAT = r"^\s*(?:export\s+)?(?:const|let|var)\b(?!.*(?:=>|\bfunction\b))|^\s*(?:export\s+)?type\b"
-_SQL_SHAPE = rf"\b(?:create|alter)\s+(?:or\s+replace\s+)?(?P<kind>table|view|procedure|function|trigger|index|sequence|package(?:\s+body)?|type)\s+(?:if\s+not\s+exists\s+)?(?:\w+\.)?(?P<type>{_NAME})"
-_JS_IMPORTS = (("path", r"""\b(?:import|export)\b[^'"]*?\bfrom\s*['"]([^'"]+)['"]"""), ("path", r"""^\s*import\s*['"]([^'"]+)['"]"""), ("path", r"""\b(?:require|import)\s*\(\s*['"]([^'"]+)['"]"""))
-_JS_SHAPES = (_TYPE, rf"\bfunction\s*\*?\s*(?P<member>{_NAME})", rf"^\s*(?:export\s+)?(?:const|let|var)\s+(?P<member>{_NAME})\s*(?::[^=]+)?=", rf"^\s*(?:export\s+)?type\s+(?P<type>{_NAME})\s*(?:<[^>]*>)?\s*=", rf"^\s*(?:(?:static|async|public|private|protected|readonly|get|set)\s+)*(?P<member>(?!(?:if|for|while|switch|catch|return|function)\b){_NAME})\s*\([^;]*\)\s*(?::[^={{]+)?\{{\s*$")
-
-PROFILES: tuple[LanguageProfile, ...] = (
-    LanguageProfile("X#", ("prg", "vh", "xh", "ch"), ("//", "&&"), (("/*", "*/"),), (('"', '"', "", False), ("'", "'", "", False)), (_TYPE, rf"^\s*(?:{_XS_MODIFIERS}\s+)*(?:method|function|procedure|access|assign|property|constructor|event|operator)\s+(?P<member>{_NAME})", rf"^\s*(?:{_XS_MODIFIERS}\s+)*(?:define|global|local|instance|export|member|const|field)\s+(?P<member>{_NAME})"), (("module", r"^\s*#?using\s+(?:static\s+)?([\w.]+)\s*$"), ("path", r'^\s*#include\s+"([^"]+)"')), r"^\s*begin\s+namespace\s+([\w.]+)", True, r"(?:[-+*/%^]|\*\*)?:=|(?:[-+*/%^]|\*\*)=", generated=("*_vo.prg", "*.designer.prg"), line_starts=("*",), flat=r"^\s*(?:\w+\s+)*?(?:define|global|local|instance|export|member|const|field)\s"),
-    LanguageProfile("C#", ("cs", "csx"), ("//",), (("/*", "*/"),), (('@"', '"', '""', True), ('$@"', '"', '""', True), ('"""', '"""', "", True), *_C_STRINGS), (_TYPE, _MEMBER), (("module", r"^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;"),), r"^\s*namespace\s+([\w.]+)", generated=("*.g.cs", "*.designer.cs", "*.generated.cs"), flat=_C_FLAT),
-    LanguageProfile("TypeScript", ("ts", "tsx", "mts", "cts"), ("//",), (("/*", "*/"),), _JS_STRINGS, _JS_SHAPES, _JS_IMPORTS, generated=("*.d.ts",), flat=_JS_FLAT),
-    LanguageProfile("JavaScript", ("js", "jsx", "mjs", "cjs"), ("//",), (("/*", "*/"),), _JS_STRINGS, _JS_SHAPES, _JS_IMPORTS, generated=("*.min.js",), flat=_JS_FLAT),
-    LanguageProfile("Delphi", ("pas", "dpr", "dpk", "dfm"), ("//",), (("{", "}"), ("(*", "*)")), (("'", "'", "''", False),), (rf"^\s*(?P<type>{_NAME})\s*=\s*(?:packed\s+)?(?P<kind>class|record|interface|object)\b", rf"^\s*(?:class\s+)?(?:procedure|function|constructor|destructor|property|operator)\s+(?:(?P<type>{_NAME})\.)?(?P<member>{_NAME})"), (("module", r"([\w.]+)(?=\s*(?:in\s+'[^']*')?\s*[,;])"),), r"^\s*(?:unit|program|library|package)\s+([\w.]+)\s*;", True, r":=", (("interface", r"^\s*interface\s*$"), ("implementation", r"^\s*implementation\s*$")), flat=r"^\s*(?:class\s+)?property\b"),
-    LanguageProfile("HTML", ("html", "htm"), (), (("<!--", "-->"),), (), (), (("path", r"""<script\b[^>]*\bsrc\s*=\s*['"]([^'"]+)['"]"""), ("path", r"""<link\b[^>]*\bhref\s*=\s*['"]([^'"]+)['"]""")), None, True),
-    LanguageProfile("CSS", ("css",), (), (("/*", "*/"),), _C_STRINGS, (rf"^\s*\.(?P<type>{_NAME}(?:-\w+)*)[^;]*\{{",), (("path", r"""@import\s+(?:url\(\s*)?['"]?([^'")\s]+)"""),), None, True),
-    LanguageProfile("SQL", ("sql",), ("--",), (("/*", "*/"),), _SQL_STRINGS, (_SQL_SHAPE,), (), None, True, r"(?<![<>!:])=(?!=)"),
-    LanguageProfile("PL/SQL", ("pks", "pkb", "plsql", "prc", "fnc", "trg"), ("--",), (("/*", "*/"),), _SQL_STRINGS, (_SQL_SHAPE, rf"^\s*(?:procedure|function)\s+(?P<member>{_NAME})"), (), None, True, r":=", (("interface", r"\bpackage\s+(?!body\b)"), ("implementation", r"\bpackage\s+body\b"))),
-)
-#: For files without a profile: no comments, literals or shapes are assumed.
-FALLBACK = LanguageProfile("", ())
-
-
-def by_extension(profiles: tuple[LanguageProfile, ...]) -> dict[str, LanguageProfile]:
-    return {e: p for p in profiles for e in p.extensions}
-
-
-class Cursor:
-    """The lexical state at each character of a file, carried from line to line."""
-
-    def __init__(self, profile: LanguageProfile) -> None:
-        self.open: tuple[str, str, str, bool] | None = None
-        openers = [(o, (o, c, "", True), COMMENT) for o, c in profile.blocks] + [(t[0], t, LITERAL) for t in profile.literals] + [(o, (o, "\n", "", False), COMMENT) for o in profile.line_comments]
-        self.openers = {o: (t, s) for o, t, s in openers}
-        self.pattern = re.compile("|".join(re.escape(o) for o in sorted(self.openers, key=len, reverse=True))) if openers else None
-        self.line_starts = tuple(profile.line_starts)
-        self.nested, self.depth = profile.nested, 0
-        self.state = CODE
-
-    def spans(self, line: str) -> list[tuple[int, int, str]]:
-        """Stretches of the line and their states; leaves the state for the next line."""
-        if self.open is None and self.line_starts and line.lstrip().startswith(self.line_starts):
-            return [(0, len(line), COMMENT)]
-        out, at = [], 0
-        while at < len(line):
-            if self.open is None:
-                m = self.pattern.search(line, at) if self.pattern else None
-                if not m:
-                    out.append((at, len(line), CODE))
-                    break
-                if m.start() > at:
-                    out.append((at, m.start(), CODE))
-                self.open, self.state = self.openers[m[0]]
-                begin, at = m.start(), m.end()
-            else:
-                begin = at
-            end = self._close(line, at)
-            out.append((begin, len(line) if end < 0 else end, self.state))
-            if end < 0:
-                if not self.open[3]:
-                    self.open, self.state = None, CODE
-                break
-            self.open, self.state, at = None, CODE, end
-        return out
-
-    def _close(self, line: str, at: int) -> int:
-        opener, closer, escape, _ = self.open
-        if self.nested and self.state == COMMENT and closer != "\n":
-            both = re.compile(f"{re.escape(opener)}|{re.escape(closer)}")
-            while m := both.search(line, at):
-                at = m.end()
-                if m[0] == opener:
-                    self.depth = min(self.depth + 1, MAX_NESTING)
-                elif self.depth:
-                    self.depth -= 1
-                else:
-                    return at
-            return -1
-        while (i := line.find(closer, at)) >= 0:
-            if escape == "\\" and (len(line[:i]) - len(line[:i].rstrip("\\"))) % 2:
-                at = i + 1
-            elif escape and escape != "\\" and line.startswith(escape, i):
-                at = i + len(escape)
-            else:
-                return i + len(closer)
-        return -1
-
-
-def _code(line: str, spans: list[tuple[int, int, str]]) -> str:
-    """The line with everything that is no code blanked, places unchanged."""
-    return "".join(line[a:b] if s == CODE else " " * (b - a) for a, b, s in spans)
+MAX_LINES, TAB = 20_000, 4  # states behind the first are not known
 
 
 def _jobs(profiles: tuple[LanguageProfile, ...], one: Callable[[LanguageProfile, list[str]], Iterator[tuple]], columns: list[str]) -> Callable:
@@ -166,11 +44,8 @@ def line_states(files: DataFrame, profiles: tuple[LanguageProfile, ...] = PROFIL
     """The state at the start of every line; unknown behind the bound."""
 
     def one(profile: LanguageProfile, lines: list[str]) -> Iterator[tuple]:
-        cursor = Cursor(profile)
-        for n, line in enumerate(lines, 1):
-            yield n, cursor.state if n <= bound else UNKNOWN
-            if n <= bound:
-                cursor.spans(line)
+        for n, _, _, stack in lexical.lines_with_states(profile, lines, bound):
+            yield n, lexical.open_state(stack)
 
     return files.mapInPandas(_jobs(profiles, one, ["line_number", "state"]), "repo_slug string, path string, line_number int, state string")
 
@@ -180,53 +55,52 @@ def indent(line: str) -> int:
     return sum(TAB if c == "\t" else 1 for c in line[: len(line) - len(line.lstrip())])
 
 
+def declared_lines(profile: LanguageProfile, lines: list[str]) -> Iterator[tuple[int, str, lexical.Declared, str | None]]:
+    """Number, line, what it declares, and the role that the last section marker gives; no role where none stands above or the language has no sections."""
+    names, scan = lexical.Names(profile), lexical.scanner(profile)
+    sections = [(re.compile(rf"\s*(?:{s})", re.I if profile.ignore_case else 0), role) for s, role in profile.sections]
+    section = None
+    for n, line, spans, stack in lexical.lines_with_states(profile, lines):
+        if sections and stack == () and not scan.begins_in_prose(line, stack):
+            section = next((role for s, role in sections if s.match(line)), section)
+        if stack is None:
+            return
+        found = names.read(lexical.masked(line, spans, (COMMENT, LITERAL)))
+        if found:
+            yield n, line, found, section
+
+
 def declarations(files: DataFrame, profiles: tuple[LanguageProfile, ...] = PROFILES) -> DataFrame:
     """Declaring lines with type, member, role, indentation, and whether they open a scope. Lines inside comments and literals declare nothing."""
 
     def one(profile: LanguageProfile, lines: list[str]) -> Iterator[tuple]:
-        flags = re.I if profile.ignore_case else 0
-        shapes = [re.compile(s, flags) for s in profile.shapes]
-        sections = [(name, re.compile(s, flags)) for name, s in profile.sections]
-        cursor, section, flat = Cursor(profile), None, re.compile(profile.flat, flags)
-        for n, line in enumerate(lines, 1):
-            code = _code(line, cursor.spans(line))
-            if not code.strip():
-                continue
-            for name, s in sections:
-                if s.search(code):
-                    section = name
-            for s in shapes:
-                if m := s.search(code):
-                    g = m.groupdict()
-                    role = "declaration" if section == "interface" or (section is None and re.search(r"\b(?:abstract|declare|interface)\b", code)) else "implementation"
-                    yield n, g.get("type"), g.get("member"), (g.get("kind") or "member").lower(), role, indent(line), not flat.search(code)
-                    break
+        for n, line, found, role in declared_lines(profile, lines):
+            yield n, found.type_name, found.member, found.kind, role, indent(line), found.opens_scope
 
     columns = ["line_number", "type_name", "member", "kind", "role", "indent", "opens_scope"]
     return files.mapInPandas(_jobs(profiles, one, columns), "repo_slug string, path string, line_number int, type_name string, member string, kind string, role string, indent int, opens_scope boolean")
 
 
+def import_lines(profile: LanguageProfile, lines: list[str]) -> Iterator[tuple[int, str, str]]:
+    """Number, name and shape of every import; a list of names goes on over lines until it is closed."""
+    reader, in_list = lexical.Imports(profile), False
+    for n, line, spans, stack in lexical.lines_with_states(profile, lines):
+        if stack is None:  # read on its own
+            spans, stack = lexical.scanner(profile).spans(line, ())[0], ()
+        if lexical.open_state(stack) != CODE:
+            line = lexical.masked(line, spans, (COMMENT, LITERAL))
+        names, _, in_list = reader.read(lexical.masked(line, spans, (COMMENT,)), spans, in_list)
+        for name, shape in names:
+            yield n, name, shape
+
+
 def imports(files: DataFrame, profiles: tuple[LanguageProfile, ...] = PROFILES) -> DataFrame:
-    """Import edges of every file: ``line_number, name, shape, evidence``. Comments hold none; a clause that spans lines is read to its end."""
+    """Import edges of every file of a known language: ``line_number, name, shape, evidence``. Comments and literals hold none."""
 
     def one(profile: LanguageProfile, lines: list[str]) -> Iterator[tuple]:
-        forms = [(shape, re.compile(s, re.I if profile.ignore_case else 0)) for shape, s in profile.imports]
-        cursor, clause = Cursor(profile), False
-        for n, line in enumerate(lines, 1):
-            spans = cursor.spans(line)
-            kept = "".join(line[a:b] if s != COMMENT else " " * (b - a) for a, b, s in spans)
-            if profile.name == "Delphi":
-                m = None if clause else re.match(r"^\s*(?:uses|contains|requires)\b", kept, re.I)
-                if not clause and not m:
-                    continue
-                kept = kept[m.end() :] if m else kept
-                for x in forms[0][1].finditer(kept):
-                    yield n, x[1], "module", "text"
-                clause = ";" not in kept
-                continue
-            for shape, s in forms:
-                for x in s.finditer(kept):
-                    yield n, x[1], shape, "parsed" if profile.name in ("HTML", "CSS") else "text"
+        evidence = "parsed" if profile.name in ("HTML", "CSS") else "text"
+        for n, name, shape in import_lines(profile, lines) if profile.name else ():
+            yield n, name, shape, evidence
 
     return files.mapInPandas(_jobs(profiles, one, ["line_number", "name", "shape", "evidence"]), "repo_slug string, path string, line_number int, name string, shape string, evidence string")
 
@@ -237,9 +111,9 @@ def modules(files: DataFrame, profiles: tuple[LanguageProfile, ...] = PROFILES)
     def one(profile: LanguageProfile, lines: list[str]) -> Iterator[tuple]:
         if not profile.module:
             return
-        shape, cursor = re.compile(profile.module, re.I if profile.ignore_case else 0), Cursor(profile)
-        for line in lines:
-            if m := shape.search(_code(line, cursor.spans(line))):
+        shape = re.compile(profile.module, re.I if profile.ignore_case else 0)
+        for _, line, spans, _ in lexical.lines_with_states(profile, lines):
+            if m := shape.search(lexical.masked(line, spans, (COMMENT, LITERAL))):
                 yield (m[1],)
                 return
 
@@ -251,13 +125,11 @@ def is_assignment(rest: str, profile: LanguageProfile) -> bool:
     return bool(re.match(rf"\s*(?:\[[^\]]*\]\s*)?(?:{profile.assign})", rest))
 
 
-def classify(profile: LanguageProfile, line: str, at: int, length: int, state: str, declares: bool) -> str:
-    """The kind of one appearance: noise first, then declaration, writing, construction, call, type, member."""
-    if state == COMMENT:
-        return "comment"
-    if state == LITERAL:
-        return "string_literal"
-    if any(re.search(s, line, re.I if profile.ignore_case else 0) for _, s in profile.imports) and profile.name != "Delphi":
+def classify(profile: LanguageProfile, line: str, at: int, length: int, state: str, declares: bool, imports_: bool = False) -> str:
+    """The kind of one appearance: noise first, then imports, declaration, writing, construction, call, member, type."""
+    if state != CODE:
+        return {COMMENT: "comment", LITERAL: "string_literal"}.get(state, "other")
+    if imports_:
         return "import"
     before, rest = line[:at].rstrip(), line[at + length :]
     if declares:
@@ -268,31 +140,39 @@ def classify(profile: LanguageProfile, line: str, at: int, length: int, state: s
         return "instantiation"
     if re.match(r"\s*(?:<[\w\s,.<>\[\]]*>)?\s*\(", rest):
         return "call"
-    if before.endswith((".", "->", "?.")) or (profile.name == "X#" and before.endswith(":")):
+    if before.endswith(profile.member_marks):
         return "member_access"
-    if (before.endswith((":", "<", "(")) and re.match(r"\s*(?:[>,)\[{]|\w)", rest)) or re.match(r"\s*(?:<[^>]*>)?\??(?:\[\])?\s+[^\W\d]\w*", rest) or re.search(r"\b(?:is|as|typeof|extends|implements|of)$", before):
+    if (before.endswith((*profile.type_marks, "(")) and re.match(r"\s*(?:[>,)\[{]|\w)", rest)) or re.match(r"\s*(?:<[^>]*>)?\??(?:\[\])?\s+[^\W\d]\w*", rest) or re.search(r"\b(?:is|as|typeof|extends|implements|of)$", before):
         return "type_use"
     return "other"
 
 
-def occurrences(files: DataFrame, symbol: str, profiles: tuple[LanguageProfile, ...] = PROFILES) -> DataFrame:
-    """Every appearance of a symbol as a whole word, with its kind. Files that don't hold the text are left out before the scan."""
-    word = re.compile(rf"(?<![^\W]){re.escape(symbol)}(?![^\W])")
+def symbol_kinds(profile: LanguageProfile, lines: list[str], symbol: str, bound: int | None = MAX_LINES) -> Iterator[tuple[int, int, str]]:
+    """Line, column and kind of every appearance of a symbol as a whole word."""
+    word = re.compile(rf"(?<!\w){re.escape(symbol)}(?!\w)")
+    names, reader, in_list = lexical.Names(profile), lexical.Imports(profile), False
+    for n, line, spans, stack in lexical.lines_with_states(profile, lines, bound):
+        listed = any(c.listed for c in profile.imports)
+        found = word.search(line)
+        if not found and not listed:
+            continue
+        is_import = False
+        if stack is not None:
+            _, is_import, in_list = reader.read(lexical.masked(line, spans, (COMMENT,)), spans, in_list)
+        if not found:
+            continue
+        code = lexical.masked(line, spans, (COMMENT, LITERAL, UNKNOWN))
+        declared = names.read(code)
+        own = declared is not None and symbol in (declared.type_name, declared.member)
+        for m in word.finditer(line):
+            state = lexical.state_at(spans, m.start(), stack)
+            yield n, m.start() + 1, classify(profile, line, m.start(), len(symbol), state, own and word.search(code).start() == m.start(), is_import)
 
-    def one(profile: LanguageProfile, lines: list[str]) -> Iterator[tuple]:
-        flags = re.I if profile.ignore_case else 0
-        shapes, cursor = [re.compile(s, flags) for s in profile.shapes], Cursor(profile)
-        for n, line in enumerate(lines, 1):
-            spans = cursor.spans(line) if n <= MAX_LINES else [(0, len(line), UNKNOWN)]
-            if symbol not in line:
-                continue
-            code = _code(line, spans)
-            declared = {v for s in shapes if (m := s.search(code)) for k, v in m.groupdict().items() if k in ("type", "member")}
-            for m in word.finditer(line):
-                state = next((s for a, b, s in spans if a <= m.start() < b), CODE)
-                yield n, m.start() + 1, classify(profile, line, m.start(), len(symbol), state, symbol in declared and state == CODE and code.find(symbol) == m.start())
 
+def occurrences(files: DataFrame, symbol: str, profiles: tuple[LanguageProfile, ...] = PROFILES) -> DataFrame:
+    """Every appearance of a symbol as a whole word, with its kind. Files that don't hold the text are left out before the scan."""
     holds = files.filter(F.exists("lines", lambda x: F.contains(x, F.lit(symbol))))
+    one = lambda profile, lines: symbol_kinds(profile, lines, symbol)
     return holds.mapInPandas(_jobs(profiles, one, ["line_number", "column", "kind"]), "repo_slug string, path string, line_number int, column int, kind string")
 
 
@@ -349,4 +229,4 @@ def generated(files: DataFrame, profiles: tuple[LanguageProfile, ...] = PROFILES
 
 def profile_table(spark, profiles: tuple[LanguageProfile, ...] = PROFILES) -> DataFrame:  # noqa: ANN001
     """``extension, language, has_shapes`` of the profiles: a short fixed table."""
-    return spark.createDataFrame([(e, p.name, bool(p.shapes)) for p in profiles for e in p.extensions], "extension string, language string, has_shapes boolean")
+    return spark.createDataFrame([(e, p.name, bool(p.modifiers or p.type_words)) for p in profiles for e in p.extensions], "extension string, language string, has_shapes boolean")
