@@ -142,7 +142,7 @@ def classify(profile: LanguageProfile, line: str, at: int, length: int, state: s
         return "call"
     if before.endswith(profile.member_marks):
         return "member_access"
-    if (before.endswith((*profile.type_marks, "(")) and re.match(r"\s*(?:[>,)\[{]|\w)", rest)) or re.match(r"\s*(?:<[^>]*>)?\??(?:\[\])?\s+[^\W\d]\w*", rest) or re.search(r"\b(?:is|as|typeof|extends|implements|of)$", before):
+    if (profile.type_marks and before.endswith((*profile.type_marks, "(")) and re.match(r"\s*(?:[>,)\[{]|\w)", rest)) or re.match(r"\s*(?:<[^>]*>)?\??(?:\[\])?\s+[^\W\d]\w*", rest) or re.search(r"\b(?:is|as|typeof|extends|implements|of)$", before):
         return "type_use"
     return "other"
 

@@ -18,7 +18,8 @@ VIEWS: dict[str, str] = {
                      concat(p_type, '/', p_brand, '/p', cast(l_partkey AS varchar(20)),
                             CASE l_partkey % 4 WHEN 0 THEN '.cs' WHEN 1 THEN '.ts' WHEN 2 THEN '.sql' ELSE '' END) AS path,
                      cast(sum(cast(l_quantity AS int)) AS bigint) AS added, cast(sum(l_linenumber) AS bigint) AS deleted,
-                     CASE min(l_returnflag) WHEN 'A' THEN 'added' WHEN 'R' THEN 'renamed' ELSE 'modified' END AS change_kind
+                     CASE WHEN min(l_returnflag) = 'N' AND max(l_orderkey) % 3 = 0 THEN 'deleted'
+                          WHEN min(l_returnflag) = 'A' THEN 'added' WHEN min(l_returnflag) = 'R' THEN 'renamed' ELSE 'modified' END AS change_kind
               FROM {lineitem} JOIN {part} ON p_partkey = l_partkey JOIN {orders} ON o_orderkey = l_orderkey GROUP BY l_orderkey, p_type, p_brand, l_partkey) q""",
     "files": """
         SELECT p_partkey * 8 + r.n AS file_id, r.repo_slug, path, concat(r.repo_slug, '/', path) AS qualified_path, concat(p_type, '/', p_brand) AS directory,
@@ -26,11 +27,23 @@ VIEWS: dict[str, str] = {
                cast(p_size AS bigint) AS line_count, CASE WHEN p_size > 48 THEN 'binary' END AS skip_reason
         FROM (SELECT *, concat(p_type, '/', p_brand, '/p', cast(p_partkey AS varchar(20)), ext) AS path
               FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN '.cs' WHEN 1 THEN '.ts' WHEN 2 THEN '.sql' ELSE '' END AS ext FROM {part}) a) p
-        CROSS JOIN (SELECT 0 AS n, 'f' AS repo_slug UNION ALL SELECT 1, 'o' UNION ALL SELECT 2, 'p') r""",
+        CROSS JOIN (SELECT 0 AS n, 'f' AS repo_slug UNION ALL SELECT 1, 'o' UNION ALL SELECT 2, 'p') r
+        LEFT JOIN (SELECT repo_slug AS gone_slug, path AS gone_path FROM ({commit_files}) c GROUP BY 1, 2 HAVING max_by(change_kind, commit_id) = 'deleted') g
+               ON g.gone_slug = r.repo_slug AND g.gone_path = p.path
+        WHERE g.gone_path IS NULL""",
     "text_files": """
         SELECT doc_id AS file_id, source AS repo_slug, concat(lang, '/doc', cast(doc_id AS varchar(20)), '.txt') AS path,
                concat(source, '/', lang, '/doc', cast(doc_id AS varchar(20)), '.txt') AS qualified_path, 'txt' AS extension, text AS content
         FROM {documents}""",
+    "code_files": """
+        SELECT 'code' AS repo_slug, concat('p', cast(p_partkey AS varchar(20)), '.', ext) AS path, ext AS extension,
+               replace(replace(replace(replace(replace(replace(replace(template, '@(', chr(123)), ')@', chr(125)), '@name', p_name), '@key', cast(p_partkey AS varchar(20))), '~', chr(10)), '^', chr(34)), '|', chr(39)) AS content
+        FROM {part} JOIN (
+            SELECT 0 AS n, 'cs' AS ext, 'using Shop.P@key;~/* @name~using No.Such;~*/ namespace Shop.Parts;~public class P@key~@(~    private const int Size = 1;~    public string Name() @( return $^@(Trim(^Name^, Name(1)))@ Name // x^; )@~    var raw = ^^^^~  ^^^ Name()~  ^^^^; Name();~)@' AS template
+            UNION ALL SELECT 1, 'ts', 'import @( a )@ from ^./p@key^;~export class P@key @(~const q = `Name $@(Name(1))@~@name Name` + Name(2);~// import ^no^~export const Size = 1;~  Name(n: number): void @(~  )@~)@'
+            UNION ALL SELECT 2, 'sql', '-- @name Name~create or replace package body app.P@key as~procedure Name(n int) is~/* create table No (~*/ select |it||s Name|, Name(1)~create unique index P@key_Name on t (Name)'
+            UNION ALL SELECT 3, 'pas', 'unit P@key;~interface~uses~  Shop.Forms, Shop.P@key;~type~  TP@key = class(TObject)~    procedure Name;~  end;~implementation~@( Name~@name )@~procedure TP@key.Name;~var Size: Integer;~begin~end.'
+        ) t ON t.n = p_partkey % 4""",
     "calls": """
         SELECT cast(user_id % 10 AS varchar(20)) AS project, event_type AS tool, cast(ts AS timestamp) AS called_at, value / 1000 AS seconds,
                event_type = 'error' AS failed, event_id AS call_id
@@ -40,6 +53,9 @@ VIEWS: dict[str, str] = {
         FROM {events}""",
 }
 
+#: What is at HEAD follows from history: a path whose newest change deletes it is gone.
+VIEWS["files"] = VIEWS["files"].replace("{commit_files}", VIEWS["commit_files"])
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame."""

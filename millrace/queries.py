@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import patterns
@@ -529,3 +530,57 @@ def resolved_page_links(spark, d):
     links = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("i", "name"))
     edges = links.select(F.xxhash64("page_id", "i").alias("import_id"), F.xxhash64(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html"))).alias("file_id"), F.lit(1).alias("line_number"), "name", F.lit("path").alias("shape"), F.lit("parsed").alias("evidence"))
     return imports.resolved(edges, files)
+
+
+def _code_files(spark: SparkSession, d: str) -> DataFrame:
+    (files,) = _v(spark, d, "code_files")
+    return files.select("repo_slug", "path", "extension", F.split("content", "\n").alias("lines"))
+
+
+#: Every template's lines, as a reader of the languages expects them.
+_STATES = "('cs', [3, 4], 'comment'), ('cs', [10, 11], 'literal'), ('ts', [4], 'literal'), ('sql', [5], 'comment'), ('pas', [11], 'comment')"
+
+
+@query(f"""SELECT f.repo_slug, f.path, f.line_number, coalesce(s.state, 'code') AS state
+    FROM (SELECT repo_slug, path, extension, unnest(range(1, len(string_split(content, chr(10))) + 1))::INT AS line_number FROM code_files) f
+    LEFT JOIN (SELECT extension, unnest(numbers) AS line_number, state FROM (VALUES {_STATES}) v(extension, numbers, state)) s ON s.extension = f.extension AND s.line_number = f.line_number""")
+def code_states(spark, d):
+    """States of the lines of generated sources in four languages, of all kinds."""
+    return language.line_states(_code_files(spark, d))
+
+
+_DECLARED = """('cs', 5, 'P@key', NULL, 'class', NULL, 0, true), ('cs', 7, NULL, 'Size', 'member', NULL, 4, false), ('cs', 8, NULL, 'Name', 'member', NULL, 4, true),
+    ('ts', 2, 'P@key', NULL, 'class', NULL, 0, true), ('ts', 3, NULL, 'q', 'member', NULL, 0, false), ('ts', 6, NULL, 'Size', 'member', NULL, 0, false), ('ts', 7, NULL, 'Name', 'member', NULL, 2, true),
+    ('sql', 3, NULL, 'Name', 'procedure', 'implementation', 0, true), ('sql', 6, NULL, 'P@key_Name', 'index', 'implementation', 0, true),
+    ('pas', 6, 'TP@key', NULL, 'class', 'declaration', 2, true), ('pas', 7, NULL, 'Name', 'procedure', 'declaration', 4, true), ('pas', 12, 'TP@key', 'Name', 'procedure', 'implementation', 0, true), ('pas', 13, NULL, 'Size', 'var', 'implementation', 0, false)"""
+_KEYED = "replace({0}, '@key', regexp_extract(path, '[0-9]+'))"
+
+
+@query(f"""SELECT f.repo_slug, f.path, v.line_number, {_KEYED.format("v.type_name")} AS type_name, {_KEYED.format("v.member")} AS member, v.kind, v.role, v.indent, v.opens_scope
+    FROM code_files f JOIN (VALUES {_DECLARED}) v(extension, line_number, type_name, member, kind, role, indent, opens_scope) ON v.extension = f.extension""")
+def code_declarations(spark, d):
+    """Declaring lines of the generated sources."""
+    return language.declarations(_code_files(spark, d))
+
+
+_IMPORTED = "('cs', 1, 'Shop.P@key', 'module'), ('ts', 1, './p@key', 'path'), ('pas', 4, 'Shop.Forms', 'module'), ('pas', 4, 'Shop.P@key', 'module')"
+
+
+@query(f"""SELECT f.repo_slug, f.path, v.line_number, {_KEYED.format("v.name")} AS name, v.shape, 'text' AS evidence FROM code_files f JOIN (VALUES {_IMPORTED}) v(extension, line_number, name, shape) ON v.extension = f.extension""")
+def code_imports(spark, d):
+    """Import edges of the generated sources."""
+    return language.imports(_code_files(spark, d))
+
+
+#: The n-th appearance of the name on a line, and its kind.
+_NAMED = """('cs', 8, 1, 'definition'), ('cs', 8, 2, 'string_literal'), ('cs', 8, 3, 'call'), ('cs', 8, 4, 'string_literal'), ('cs', 10, 1, 'string_literal'), ('cs', 11, 1, 'call'),
+    ('ts', 3, 1, 'string_literal'), ('ts', 3, 2, 'call'), ('ts', 4, 1, 'string_literal'), ('ts', 4, 2, 'call'), ('ts', 7, 1, 'definition'),
+    ('sql', 1, 1, 'comment'), ('sql', 3, 1, 'definition'), ('sql', 5, 1, 'string_literal'), ('sql', 5, 2, 'call'), ('sql', 6, 1, 'other'),
+    ('pas', 7, 1, 'definition'), ('pas', 10, 1, 'comment'), ('pas', 12, 1, 'definition')"""
+
+
+@query(f"""SELECT f.repo_slug, f.path, v.line_number, v.nth, v.kind FROM code_files f JOIN (VALUES {_NAMED}) v(extension, line_number, nth, kind) ON v.extension = f.extension""")
+def code_kinds(spark, d):
+    """Every appearance of one name in the generated sources, with its kind."""
+    nth = F.row_number().over(Window.partitionBy("repo_slug", "path", "line_number").orderBy("column"))
+    return language.occurrences(_code_files(spark, d), "Name").withColumn("nth", nth).drop("column")
