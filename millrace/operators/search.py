@@ -6,7 +6,9 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,6 +16,7 @@ from pyspark.sql import Window as W
 from millrace.functions import patterns
 from millrace.plans.scope import FileFilter
 from millrace.plans.tables import written
+from millrace.sources.ingest import line_array
 
 KEYS = ["repo_slug", "path"]
 
@@ -87,9 +90,9 @@ def with_commits(rows: DataFrame, commits: DataFrame) -> DataFrame:
 
 def recount(lines: DataFrame, grep: Grep) -> DataFrame:
     """Files and lines that match with and without the filter, in one pass: what a search without a hit reports."""
-    kept = grep.filter.apply(lines).select(*KEYS).distinct().withColumn("kept", F.lit(True))
-    every = lines.filter(grep.predicate(F.col("content"))).join(kept, KEYS, "left")
-    return every.agg(F.count_distinct(F.when(F.col("kept"), F.struct(*KEYS))).alias("files"), F.count_distinct(F.struct(*KEYS)).alias("all_files"), F.count(F.lit(1)).alias("all_lines"))
+    file = F.struct(*KEYS)
+    every = lines.filter(grep.predicate(F.col("content")))
+    return every.agg(F.count_distinct(F.when(grep.filter.keeps(), file)).alias("files"), F.count_distinct(file).alias("all_files"), F.count(F.lit(1)).alias("all_lines"))
 
 
 def documents(lines: DataFrame) -> DataFrame:
@@ -118,26 +121,59 @@ def grep_multiline(docs: DataFrame, pattern: str, ignore_case: bool = False, cou
     return docs.withColumn("n", F.regexp_count("content", F.lit(flags + pattern)).cast("long")).filter("n > 0").select(*KEYS, "n", "content")
 
 
+def whole_documents(files: DataFrame) -> DataFrame:
+    """``documents`` of files that still have their ``content``: no line is cut off and put together again."""
+    return files.select(*KEYS, F.array_join(line_array(F.col("content")), "\n").alias("content")).filter("content IS NOT NULL")
+
+
+def spans_in(text: str, compiled: regex.Pattern) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lines of a text's matches that are not empty: line ends are found once, and each match is placed among them by binary search."""
+    found = np.fromiter((x for m in compiled.finditer(text) if m.end() > m.start() for x in m.span()), np.int64).reshape(-1, 2)
+    if not len(found):
+        return found[:, 0], found[:, 1]
+    ends = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == ord("\n"))
+    return np.searchsorted(ends, found[:, 0]) + 1, np.searchsorted(ends, found[:, 1] - 1) + 1
+
+
 def match_spans(found: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
     """Lines that each match of a multiline search covers; empty matches cover none."""
     source = patterns.check_regex(pattern).replace(r"\z", r"\Z").replace(r"\p{Is", r"\p{")
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import regex  # it has the classes of Unicode
-
-        compiled = regex.compile(source, regex.S | (regex.I if ignore_case else 0))
+        compiled = regex.compile(source, regex.S | (regex.I if ignore_case else 0))  # it has the classes of Unicode
         for b in batches:
-            out = []
             for repo, path, text in zip(b["repo_slug"], b["path"], b["content"], strict=True):
-                for m in compiled.finditer(text):
-                    if m.end() > m.start():
-                        first = text.count("\n", 0, m.start()) + 1
-                        out.append((repo, path, first, first + text.count("\n", m.start(), m.end() - 1)))
-            yield pd.DataFrame(out, columns=["repo_slug", "path", "first_line", "last_line"])
+                first, last = spans_in(text, compiled)
+                yield pd.DataFrame({"repo_slug": repo, "path": path, "first_line": first, "last_line": last})
 
     return found.select(*KEYS, "content").mapInPandas(mark, "repo_slug string, path string, first_line int, last_line int")
 
 
+def within_bytes(page: DataFrame, budget: int) -> DataFrame:
+    """Of a page's files (at most 100 rows with ``place`` and ``bytes``) those that are read: the first, and each later one that still fits beside those before it."""
+    listed = page.agg(F.array_sort(F.collect_list(F.struct("place", "bytes", *KEYS))).alias("page"))
+    kept = F.aggregate("page", F.struct(F.lit(0).cast("long").alias("used"), F.filter("page", lambda x: F.lit(False)).alias("kept")), lambda a, x: F.when((F.size(a["kept"]) == 0) | (a["used"] + x["bytes"] <= budget), F.struct((a["used"] + x["bytes"]).alias("used"), F.array_append(a["kept"], x).alias("kept"))).otherwise(a))
+    return listed.select(F.explode(kept["kept"]).alias("x")).select("x.place", *(f"x.{k}" for k in KEYS))
+
+
+def multiline_page(found: DataFrame, pattern: str, grep: Grep = Grep("", regex=True), budget: int = 8 << 20, most_lines: int = 4_200) -> DataFrame:
+    """Lines that matches cover in a page of ``grep_multiline``'s files: the files with most matches first, up to a budget of bytes, and up to so many lines of each.
+
+    Texts are joined to the page only after the budget has picked its files.
+    """
+    size = _clamped(grep.page_size, 1, 100)
+    order = [F.desc("n"), F.col("path"), F.col("repo_slug")]
+    page = found.select(*KEYS, "n", F.octet_length("content").alias("bytes")).orderBy(*order).offset((max(grep.page, 1) - 1) * size).limit(size)
+    page = page.withColumn("place", F.row_number().over(W.orderBy(*order)))  # at most 100 rows
+    read = F.broadcast(within_bytes(page, budget))
+    texts = found.join(read, KEYS)
+    spans = match_spans(texts, pattern, grep.ignore_case).select(*KEYS, F.explode(F.sequence("first_line", "last_line")).alias("line_number")).distinct()
+    rank = F.row_number().over(W.partitionBy(*KEYS).orderBy("line_number"))
+    shown = spans.withColumn("rank", rank).filter(F.col("rank") <= most_lines).drop("rank")
+    lines = texts.select(*KEYS, "place", "n", F.posexplode(F.split("content", "\n")).alias("at", "content")).withColumn("line_number", F.col("at") + 1)
+    return shown.join(lines, [*KEYS, "line_number"]).select("place", *KEYS, "n", "line_number", "content")
+
+
 def distinct_matches(lines: DataFrame, pattern: str, group: int = 0, ignore_case: bool = False, limit: int | None = None) -> DataFrame:
     """Distinct values of a pattern or one of its groups, with how often and in how many files they occur; empty values are dropped."""
     pattern = patterns.check_regex(pattern, group)
@@ -197,9 +233,9 @@ def scan_coverage(found: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def naming_counts(lines: DataFrame, symbol: str, scope: FileFilter = FileFilter()) -> DataFrame:
     """Files that name a symbol, inside the filter and everywhere, in one pass."""
-    kept = scope.apply(lines).select(*KEYS).distinct().withColumn("kept", F.lit(True))
-    named = lines.filter(patterns.names_symbol(F.col("content"), symbol)).join(kept, KEYS, "left")
-    return named.agg(F.count_distinct(F.when(F.col("kept"), F.struct(*KEYS))).alias("files"), F.count_distinct(F.struct(*KEYS)).alias("all_files"))
+    file = F.struct(*KEYS)
+    named = lines.filter(patterns.names_symbol(F.col("content"), symbol))
+    return named.agg(F.count_distinct(F.when(scope.keeps(), file)).alias("files"), F.count_distinct(file).alias("all_files"))
 
 
 def resolve_paths(requests: DataFrame, files: DataFrame) -> DataFrame:

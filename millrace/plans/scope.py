@@ -83,11 +83,15 @@ class FileFilter:
     exclude: str | None = None
     extension: str | None = None
 
-    def apply(self, files: DataFrame) -> DataFrame:
+    def keeps(self) -> Column:
+        """The filter as a condition on a row."""
+        out = patterns.any_term(F.col("qualified_path"), self.paths) & patterns.no_term(F.col("qualified_path"), self.exclude)
         if self.repo:
-            files = files.filter(F.col("repo_slug") == self.repo)
-        files = files.filter(patterns.any_term(F.col("qualified_path"), self.paths) & patterns.no_term(F.col("qualified_path"), self.exclude))
-        return files.filter(F.col("extension") == self.extension.lower().lstrip("*.")) if self.extension else files
+            out = (F.col("repo_slug") == self.repo) & out
+        return out & (F.col("extension") == self.extension.lower().lstrip("*.")) if self.extension else out
+
+    def apply(self, files: DataFrame) -> DataFrame:
+        return files.filter(self.keeps())
 
 
 def qualified(slug: Column, path: Column, single: bool) -> Column:

@@ -380,15 +380,36 @@ def grep_recount(spark, d):
     return search.recount(corpus.lines(spark, d), search.Grep("license", regex=True, filter=FileFilter(repo="src1", paths="en/")))
 
 
+_SENTENCE = r"\.\nThe[^\n]*\n"
+
+
 @query(r"""SELECT repo_slug, path, len(regexp_extract_all(content, '(?s)\.\nThe[^\n]*\n')) AS n, content FROM (SELECT repo_slug, path, string_agg(content, chr(10) ORDER BY line_number) AS content FROM text_lines GROUP BY 1, 2)
     WHERE regexp_matches(content, '(?s)\.\nThe[^\n]*\n')""")
 def grep_multiline(spark, d):
-    return search.grep_multiline(search.documents(corpus.lines(spark, d)), r"\.\nThe[^\n]*\n")
+    return search.grep_multiline(search.whole_documents(*_v(spark, d, "text_files")), _SENTENCE)
 
 
-@query()
+#: A line is a match's first if it ends in a full stop and the next one begins with "The" and is not the last; matches don't overlap, so of a chain every second one counts.
+_SPANS = """spans AS (SELECT repo_slug, path, first_line FROM (
+    SELECT repo_slug, path, line_number AS first_line, line_number - min(line_number) OVER (PARTITION BY repo_slug, path, island) AS nth FROM (
+        SELECT *, line_number - row_number() OVER (PARTITION BY repo_slug, path ORDER BY line_number) AS island FROM (
+            SELECT *, lead(content) OVER w AS following, max(line_number) OVER (PARTITION BY repo_slug, path) AS last FROM text_lines WINDOW w AS (PARTITION BY repo_slug, path ORDER BY line_number)) a
+        WHERE ends_with(content, '.') AND starts_with(following, 'The') AND line_number + 1 < last) b) c WHERE nth % 2 = 0)"""
+
+
+@query(f"""SELECT repo_slug, path, first_line::INT AS first_line, (first_line + 1)::INT AS last_line FROM (WITH {_SPANS} SELECT * FROM spans) s""")
 def match_spans(spark, d):
-    return search.match_spans(search.grep_multiline(search.documents(corpus.lines(spark, d)), r"\.\nThe[^\n]*\n"), r"\.\nThe[^\n]*\n")
+    return search.match_spans(search.grep_multiline(search.whole_documents(*_v(spark, d, "text_files")), _SENTENCE), _SENTENCE)
+
+
+@query(f"""SELECT p.place, l.repo_slug, l.path, p.n, l.line_number, l.content FROM (WITH {_SPANS},
+        ranked AS (SELECT repo_slug, path, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, path, repo_slug) AS place FROM spans GROUP BY 1, 2)
+        SELECT r.place, r.n, s.repo_slug, s.path, unnest([first_line, first_line + 1]) AS line_number FROM ranked r JOIN spans s ON s.repo_slug = r.repo_slug AND s.path = r.path WHERE r.place <= 20) p
+    JOIN text_lines l ON l.repo_slug = p.repo_slug AND l.path = p.path AND l.line_number = p.line_number""")
+def multiline_page(spark, d):
+    """The lines of the first page's matches; the page's files stay below the budget."""
+    found = search.grep_multiline(search.whole_documents(*_v(spark, d, "text_files")), _SENTENCE)
+    return search.multiline_page(found, _SENTENCE, search.Grep(_SENTENCE, regex=True, ignore_case=False))
 
 
 @query("""SELECT value, count(*) AS n, count(DISTINCT (repo_slug, path)) AS files FROM (SELECT repo_slug, path, unnest(regexp_extract_all(content, '([A-Z][a-z]+)tion', 1)) AS value FROM text_lines) WHERE value <> '' GROUP BY 1""")
