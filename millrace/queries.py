@@ -605,3 +605,21 @@ def code_kinds(spark, d):
     """Every appearance of one name in the generated sources, with its kind."""
     nth = F.row_number().over(Window.partitionBy("repo_slug", "path", "line_number").orderBy("column"))
     return language.occurrences(_code_files(spark, d), "Name").withColumn("nth", nth).drop("column")
+
+
+#: Every event puts one to three lines at the top of its user's file; halfway through its events the file is copied.
+_GROWN = "SELECT user_id, event_id + 1 AS event_id, 1 + event_id % 3 AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth, count(*) OVER (PARTITION BY user_id) AS events FROM events"
+
+
+@query(f"""SELECT 'r' AS repo_slug, path, (coalesce(sum(n) OVER later, 0) + 1)::INT AS start_line, (coalesce(sum(n) OVER later, 0) + n)::INT AS end_line, event_id AS commit_id
+    FROM (SELECT cast(user_id AS varchar) AS path, event_id, n FROM ({_GROWN}) g UNION ALL SELECT concat('copy', cast(user_id AS varchar)), event_id, n FROM ({_GROWN}) g WHERE nth < 1 + events // 2) q
+    WINDOW later AS (PARTITION BY path ORDER BY event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def replayed_runs(spark, d):
+    """Attribution of growing files and of copies made of them in between, by replay."""
+    grown = spark.sql(_GROWN.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{d}/events.parquet"))
+    edit = F.array(F.struct(F.lit(0).alias("old_line"), F.lit(0).alias("deleted"), F.col("n").cast("int").alias("added")))
+    kinds = lambda path, old, kind, edits: grown.select(F.lit("r").alias("repo_slug"), F.col("event_id").alias("commit_id"), path.alias("path"), old.alias("old_path"), kind.alias("change_kind"), F.lit(False).alias("is_binary"), edits.alias("edits"), "nth", "events")
+    user, none = F.col("user_id").cast("string"), F.lit(None).cast("string")
+    own = kinds(user, none, F.when(F.col("nth") == 1, "added").otherwise("modified"), edit)
+    copies = kinds(F.concat(F.lit("copy"), user), user, F.lit("copied"), F.filter(edit, lambda e: F.lit(False))).filter("nth = 1 + events DIV 2")
+    return attribution.replay(own.unionByName(copies).drop("nth", "events"))

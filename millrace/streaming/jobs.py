@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.operators.attribution import replay
+from millrace.operators.attribution import read_paths, replay, touched_paths
 from millrace.plans.scope import seconds
 from millrace.sources.ingest import new_commits
 
@@ -65,8 +65,8 @@ def append_attribution(changes: DataFrame, root: str, checkpoint: str) -> Stream
     """Replays each delivery's touched paths and writes only these, under the batch's number; ``current_runs`` reads the state."""
 
     def batch(df: DataFrame, number: int) -> None:
-        touched = df.select("repo_slug", "path").union(df.filter("old_path IS NOT NULL").select("repo_slug", "old_path")).distinct()
-        known = current_runs(df.sparkSession, root, number).join(touched, ["repo_slug", "path"], "left_semi")
+        touched = touched_paths(df)
+        known = current_runs(df.sparkSession, root, number).join(read_paths(df), ["repo_slug", "path"], "left_semi")
         replay(df, known).write.mode("overwrite").parquet(f"{root}/runs/batch={number}")
         touched.write.mode("overwrite").parquet(f"{root}/touched/batch={number}")  # last: it makes the runs current
 

@@ -86,8 +86,10 @@ def test_replay_against_lists(spark):
 
 
 def test_edits_that_do_not_fit():
-    assert attribution.apply_edits([1, 2], [{"old_line": 2, "deleted": 1, "added": 0}], 3) is None
-    assert attribution.apply_edits([1, 2, 3], [{"old_line": 1, "deleted": 1, "added": 2}], 9) == [1, 9, 9, 3]
+    rope = attribution.Rope([(1, 1), (1, 2)])
+    assert not rope.apply([{"old_line": 2, "deleted": 1, "added": 0}], 3) and list(rope.runs()) == [(1, 1, 1), (2, 2, 2)]
+    rope = attribution.Rope([(1, 1), (1, 2), (1, 3)])
+    assert rope.apply([{"old_line": 1, "deleted": 1, "added": 2}], 9) and list(rope.runs()) == [(1, 1, 1), (2, 3, 9), (4, 4, 3)]
 
 
 def test_ingest(spark):
@@ -151,9 +153,55 @@ def test_stream_equals_batch(spark, tmp_path):
     assert final == {tuple(r) for r in jobs.minute_counts(calls).collect() if r[0] != last}
 
 
-def test_runs_of_state():
-    runs = attribution.runs_of({("one", "a"): [1, 1, 0, 2]})
-    assert runs.equals(pd.DataFrame([("one", "a", 1, 2, 1), ("one", "a", 4, 4, 2)], columns=runs.columns))
+def test_rope_against_lists():
+    """Random edits of a long file; copies stay as they were, and memory goes with runs, not with lines."""
+    rng = random.Random(8)
+    for block in (2, 128):
+        attribution.Rope.BLOCK = block
+        lines, rope, kept = [0] * 50, attribution.Rope([(50, 0)]), []
+        for commit in range(1, 400):
+            edits, at = [], 0
+            for _ in range(rng.randrange(1, 4)):
+                old = rng.randrange(at, len(lines) + 1)
+                gone = rng.randrange(min(9, len(lines) - old) + 1)
+                edits.append({"old_line": old, "deleted": gone, "added": rng.randrange(7)})
+                at = old + gone
+            assert rope.apply(edits, commit)
+            for e in reversed(edits):
+                lines[e["old_line"] : e["old_line"] + e["deleted"]] = [commit] * e["added"]
+            assert len(rope) == len(lines)
+            if commit % 50 == 0:
+                kept.append((rope.copy(), lines[:]))
+        for r, plain in [*kept, (rope, lines)]:
+            got = [0] * len(plain)
+            for a, b, c in r.runs():
+                got[a - 1 : b] = [c] * (b - a + 1)
+            assert got == plain
+            runs = list(r.runs())
+            assert all(x[1] + 1 < y[0] or x[2] != y[2] for x, y in zip(runs, runs[1:], strict=False))
+    big = attribution.Rope([(10**9, 1)])
+    assert big.apply([{"old_line": 5, "deleted": 10, "added": 10**8}], 2) and len(big.blocks) == 1 and len(big) == 11 * 10**8 - 10
+
+
+def test_runs_of_known_lines():
+    runs = pd.DataFrame([("one", "a", 4, 4, 2), ("one", "a", 1, 2, 1)], columns=["repo_slug", "path", "start_line", "end_line", "commit_id"])
+    assert list(attribution.rope_of(runs).runs()) == [(1, 2, 1), (4, 4, 2)]
+
+
+def test_replay_of_copies_between_families(spark):
+    """A file that is copied everywhere is replayed once; copies of copies, copies back, and copies of what was known before."""
+    schema = "repo_slug string, commit_id long, path string, old_path string, change_kind string, is_binary boolean, edits array<struct<old_line:int,deleted:int,added:int>>"
+    add, copy = lambda c, p, n: ("one", c, p, None, "added", False, [(0, 0, n)]), lambda c, p, o, e=(): ("one", c, p, o, "copied", False, list(e))
+    rows = [add(1, "base", 2), *(copy(2 + k, f"c{k}", "base") for k in range(5)), ("one", 8, "base", None, "modified", False, [(1, 1, 1)]), copy(9, "late", "base", [(0, 1, 0)]), copy(10, "again", "c3", [(2, 0, 1)])]
+    rows += [add(20, "x", 1), add(20, "y", 2), copy(21, "x2", "y"), ("one", 22, "x", "x2", "renamed", False, []), copy(23, "y2", "x"), ("one", 24, "y", "y2", "renamed", False, [(0, 0, 1)]), copy(30, "of-known", "known", [(1, 0, 1)]), copy(31, "of-nothing", "nothing")]
+    known = spark.createDataFrame([("one", "known", 1, 3, 7)], attribution.RUNS)
+    runs = attribution.replay(spark.createDataFrame(rows, schema), known.filter("true"))
+    got = {}
+    for r in attribution.run_lines(attribution.checked(runs)).orderBy("path", "line_number").collect():
+        got.setdefault(r.path, []).append(r.commit_id)
+    whole = attribution.replay_touched(spark.createDataFrame(rows[-2:], schema), known)
+    assert {(r.path, r.start_line, r.end_line, r.commit_id) for r in whole.collect()} == {("known", 1, 3, 7), ("of-known", 1, 1, 7), ("of-known", 2, 2, 30), ("of-known", 3, 4, 7)}
+    assert got == {"base": [1, 8], **{f"c{k}": [1, 1] for k in range(5)}, "late": [8], "again": [1, 1, 10], "x": [20, 20], "y": [24, 20, 20], "of-known": [7, 30, 7, 7]}
 
 
 def test_skip_reasons_of_every_page(spark, tmp_path):
