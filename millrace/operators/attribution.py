@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -119,15 +120,17 @@ def replay_group(changes: pd.DataFrame, state: State | None = None, given: dict[
     """
     state, given, shots = dict(state or {}), given or {}, {}
     todo = sorted(asked)
-    for commit, rows in changes.sort_values(["commit_id", "path"]).groupby("commit_id", sort=True):
+    ordered = changes.sort_values(["commit_id", "path"]).itertuples(index=False)
+    for commit, group in groupby(ordered, key=lambda r: r.commit_id):
+        rows = list(group)
         while todo and todo[0][0] <= commit:
             at, repo, path = todo.pop(0)
             shots[(repo, path, at)] = state.get((repo, path), Rope()).copy()
         before = dict(state)
-        for r in rows.itertuples(index=False):
+        for r in rows:
             if r.change_kind == "deleted" or (r.change_kind == "renamed" and r.old_path):
                 state.pop((r.repo_slug, r.path if r.change_kind == "deleted" else r.old_path), None)
-        for r in rows.itertuples(index=False):
+        for r in rows:
             key = (r.repo_slug, r.path)
             if r.change_kind == "deleted":
                 continue

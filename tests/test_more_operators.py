@@ -201,6 +201,23 @@ def test_streams_of_history(spark, tmp_path):
     assert [(r.commit_id, r.sha) for r in spark.read.parquet(f"file://{tmp_path}/h/commits").orderBy("commit_id").collect()] == [(i, f"s{i}") for i in range(1, 5)]
 
 
+def test_stateful_attribution(spark, tmp_path):
+    """Deliveries, one of them twice, and a restart each: the same runs as one replay, with state that no batch reads from what was written."""
+    from millrace.streaming import stateful
+
+    third = ((6, "d", "c", "copied", [(0, 0, 1)]), (7, "c", None, M, [(0, 1, 0)]), (8, "b", "d", R, []), (8, "e", None, A, [(0, 0, 2)]), (9, "bin", "e", "copied", []))
+    for rows in (FIRST, SECOND, SECOND, third, FIRST):
+        delivery(spark, *rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/edits")
+        stream = spark.readStream.schema(CHANGES).parquet(f"{tmp_path}/edits")
+        stateful.start_attribution(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+        for f in (tmp_path / "edits").glob("*.parquet"):  # what was delivered is gone before the next one
+            f.unlink()
+    whole = attributed(attribution.replay(delivery(spark, *FIRST, *SECOND, *third)))
+    appended = spark.read.parquet(f"{tmp_path}/out")
+    assert attributed(stateful.newest_runs(appended)) == whole == {"c": [4, 4, 1], "b": [6, 1, 4, 4, 1], "e": [8, 8], "bin": [8, 8]}
+    assert sorted(r.path for r in appended.filter("upto = 4").collect()) == ["a", "c"]
+
+
 def test_two_hops(spark):
     move = lambda a, b: [(R, f"{b}/{n}.cs", f"{a}/{n}.cs") for n in "xyz"]
     _, changes = corpus(spark, [(0, "a", [(A, f"old/{n}.cs", None) for n in "xyz"]), (1, "a", move("old", "mid")), (2, "a", [(M, "mid/x.cs", None)]), (3, "a", move("mid", "new/deep"))])
