@@ -323,13 +323,16 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
-        edges = written(small, "edges")
+        older, edges = edges, written(small, "edges")
+        discard(older)
         after = state(edges)
         if after == before:
             break
         before = after
     stars = edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
-    return written(stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct()), "labels")
+    labels = written(stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct()), "labels")
+    discard(edges)
+    return labels
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
@@ -383,8 +386,8 @@ def _shared_pairs(runs: list[np.ndarray], left: np.ndarray, right: np.ndarray, a
     return np.unique(np.concatenate(out))
 
 
-def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, nearest: int = 0) -> DataFrame:
-    """Pairs of nodes of different components that share a group and that sketches don't rule out; with ``nearest`` so many per node and cell.
+def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, done: DataFrame, percent: int, nearest: int = 0) -> DataFrame:
+    """Pairs of nodes that are not ``done``, as a written table: those of different components that share a group and that sketches don't rule out; with ``nearest`` so many per node and cell.
 
     A cell holds many small groups, or pairs of blocks of large ones; both are bounded. Groups with the same first member in the order of a
     hash meet in a cell: sets that are alike share hundreds of groups of nearly the same members, and each pair is compared there once.
@@ -396,14 +399,15 @@ def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, percent:
     mixed = written(mixed, "mixed")
     total = mixed.agg(F.sum("m")).first()[0]
     if not total:
-        return groups.sparkSession.createDataFrame([], "a long, b long")
+        discard(mixed)
+        return written(groups.sparkSession.createDataFrame([], "a long, b long"), "rest")
     length = sketches.agg(F.avg(F.length("sketch"))).first()[0]
     cells = int(total * (length + 100) / CELL_BYTES) + 1
     held = mixed.groupBy("rep").agg(F.sum("m").alias("held"))
     part = F.pmod(F.xxhash64("gid"), (F.col("held") / CELL_ROWS).cast("int") + 1)
     blocks = F.pow(2, F.ceil(F.log2(F.greatest(F.col("m") / BLOCK, F.lit(1.0))))).cast("int")
-    mixed = mixed.join(held, "rep").select("gid", "rep", part.alias("part"), blocks.alias("blocks"))
-    rows = rows.join(mixed, "gid").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = mixed.join(held, "rep").select("gid", "rep", part.alias("part"), blocks.alias("blocks"))
+    rows = rows.join(dealt, "gid").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Each block meets every block once: the row goes to the pairs (i, j) and (j, i) with the lower first.
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("p", F.least("i", "j")).withColumn("q", F.greatest("i", "j"))
@@ -435,7 +439,10 @@ def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, percent:
         a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    return rows.groupBy("cell").cogroup(nodes.groupBy("cell")).applyInArrow(compared, "a long, b long").distinct()
+    pairs = rows.groupBy("cell").cogroup(nodes.groupBy("cell")).applyInArrow(compared, "a long, b long").distinct()
+    out = written(pairs.join(done, ["a", "b"], "left_anti"), "rest")
+    discard(mixed, rows)
+    return out
 
 
 def resolve(groups: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, as_set: AsSet = stored_set, many: Callable | None = None, at_once: bool = False) -> DataFrame:
@@ -448,34 +455,45 @@ def resolve(groups: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame],
     stars = groups.select("pivot", "weight", F.explode("members").alias("node")).groupBy("pivot", "node").agg(F.sum("weight").alias("w"))
     stars = written(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "w"), "stars")
     near = _near(stars, sketches, percent)
-    sets = written(fetch(_nodes(near)), "sets", compression="none", rows=ROWS)
+    nodes = _nodes(near)
+    sets = written(fetch(nodes), "sets", compression="none", rows=ROWS)
+    discard(nodes)
+    kept = [near]  # tables that later rounds read
     if at_once:
         links = _similar(near, sets, percent, as_set, many)
+        kept.append(links)
         discard(sets)
     else:
         best = near.join(stars, ["a", "b"]).groupBy("b").agg(F.max_by("a", F.struct("w", -F.col("a"))).alias("a")).select("a", "b")
         best = written(best, "best")
-        links = _similar(best, sets, percent, as_set, many)
-        labels = components(links)
+        first = _similar(best, sets, percent, as_set, many)
+        labels = components(first)
         open_ = _labelled(_labelled(near, labels, "a"), labels, "b").filter("la != lb").select("a", "b").join(best, ["a", "b"], "left_anti")
-        links = links.unionByName(_similar(open_, sets, percent, as_set, many))
-        discard(sets, best)
+        second = _similar(open_, sets, percent, as_set, many)
+        links = first.unionByName(second)
+        kept += [first, second]
+        discard(sets, best, labels)
     labels = components(links)
     discard(stars)
     # Nearest pairs first: what they join need not be compared pair by pair. The last round leaves nothing out.
     done, rounds = near, [NEAREST] * ROUNDS + [0]
     while rounds:
         nearest = rounds.pop(0)
-        rest = written(_across(groups, labels, sketches, percent, nearest).join(done, ["a", "b"], "left_anti"), "rest")
+        rest = _across(groups, labels, sketches, done, percent, nearest)
+        kept.append(rest)
         if rest.isEmpty():
-            more = rest
-        else:
-            sets = written(fetch(_nodes(rest)), "sets", compression="none", rows=ROWS)
-            more = _similar(rest, sets, percent, as_set, many)
-            discard(sets)
+            rounds = [0] if nearest else []
+            continue
+        nodes = _nodes(rest)
+        sets = written(fetch(nodes), "sets", compression="none", rows=ROWS)
+        more = _similar(rest, sets, percent, as_set, many)
+        discard(sets, nodes)
+        kept.append(more)
         if more.isEmpty():
             rounds = [0] if nearest else []
         else:
             links, done = links.unionByName(more), done.unionByName(rest)
+            discard(labels)
             labels = components(links)
+    discard(*kept)
     return labels

@@ -162,9 +162,15 @@ def joined(docs: DataFrame, how: NgramJoin = NgramJoin()) -> DataFrame:
     first = ids.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = written(first.join(nodes, "node"), "wanted")
     outlines = written(sketches(wanted).dropDuplicates(["node"]), "outlines", rows=how.rows_per_batch)
-    fetch = lambda some: elements(written(wanted.join(some, "node"), "asked")).dropDuplicates(["node"])
+    asked: list[DataFrame] = []
+
+    def fetch(some: DataFrame) -> DataFrame:
+        discard(*asked)  # the sets of the round before are stored
+        asked[:] = [written(wanted.join(some, "node"), "asked")]
+        return elements(asked[0]).dropDuplicates(["node"])
+
     labels = links.resolve(groups, outlines, fetch, how.percent)
-    discard(groups, wanted, outlines)
+    discard(groups, wanted, outlines, *asked)
     rows = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
