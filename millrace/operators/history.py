@@ -151,20 +151,26 @@ def co_changed(commits: DataFrame, commit_files: DataFrame, files: DataFrame, an
         dirs = prefixes(anchors.select("repo_slug", "path"), "path").join(lineage.select("repo_slug", F.col("path").alias("directory"), "previous_path"), ["repo_slug", "directory"])
         before = dirs.select("repo_slug", F.col("path").alias("anchor"), F.concat("previous_path", F.substring("path", F.length("directory") + 1, F.length("path"))).alias("name"), F.lit(True).alias("old"))
         own = own.unionByName(before).distinct()
-    rows = Scope(days).history(commits, commit_files)
-    small = rows.groupBy("commit_id").agg(F.count(F.lit(1)).alias("paths")).filter(F.col("paths") <= ceiling)
-    rows = rows.join(small, "commit_id").select("commit_id", "repo_slug", "path", "change_kind")
-    touching = rows.withColumnRenamed("path", "name").join(own, ["repo_slug", "name"]).select("repo_slug", "anchor", "commit_id", (F.col("change_kind") == "renamed").alias("moved"))
-    touching = touching.groupBy("repo_slug", "anchor", "commit_id").agg(F.bool_or("moved").alias("moved"))
-    pairs = touching.join(rows.select("commit_id", "repo_slug", "path", "change_kind"), ["commit_id", "repo_slug"])
-    pairs = pairs.join(own.select("repo_slug", "anchor", F.col("name").alias("path")), ["repo_slug", "anchor", "path"], "left_anti")
-    pairs = pairs.filter(~(F.col("moved") & (F.col("change_kind") == "renamed")))
+    renamed = F.col("change_kind") == "renamed"
+    whole = W.partitionBy("commit_id")
+    rows = Scope(days).history(commits, commit_files).select("commit_id", "repo_slug", "path", "change_kind")
+    rows = rows.withColumns({"paths": F.count(F.lit(1)).over(whole), "moves": F.count_if(renamed).over(whole)}).filter(F.col("paths") <= ceiling)
+    rows = written(rows, "window")  # the window's changes are read once
+    touching = rows.withColumnRenamed("path", "name").join(own, ["repo_slug", "name"]).groupBy("repo_slug", "anchor", "commit_id")
+    touching = touching.agg(F.bool_or(renamed).alias("moved"), F.count(F.lit(1)).alias("own"), F.count_if(renamed).alias("own_moves"), F.first("paths").alias("paths"), F.first("moves").alias("moves"))
+    # Whether a commit has another path follows from its counts: all paths but the anchor's own, without what moved if the anchor did.
+    others = F.col("paths") - F.col("own") - F.when(F.col("moved"), F.col("moves") - F.col("own_moves")).otherwise(0)
+    touching = written(touching.select("repo_slug", "anchor", "commit_id", "moved", others.alias("others")), "touching")
+    totals = touching.groupBy("repo_slug", "anchor").agg(F.count(F.lit(1)).alias("commits"), F.count_if(F.col("others") > 0).alias("paired"))
+    pairs = touching.filter("others > 0").join(rows.select("commit_id", "repo_slug", "path", "change_kind"), ["commit_id", "repo_slug"]).filter(~(F.col("moved") & renamed))
+    if lineage is None:
+        pairs = pairs.filter("path != anchor")
+    else:
+        pairs = pairs.join(own.select("repo_slug", "anchor", F.col("name").alias("path")), ["repo_slug", "anchor", "path"], "left_anti")
     counted = pairs.groupBy("repo_slug", "anchor", "path").agg(F.count_distinct("commit_id").alias("together"))
-    totals = touching.groupBy("repo_slug", "anchor").agg(F.count(F.lit(1)).alias("commits"))
-    paired = pairs.groupBy("repo_slug", "anchor").agg(F.count_distinct("commit_id").alias("paired"))
     rank = F.row_number().over(W.partitionBy("repo_slug", "anchor").orderBy(F.desc("together"), "path"))
     top = counted.withColumn("rank", rank).filter(F.col("rank") <= limit)
-    return _flag(top.join(totals, ["repo_slug", "anchor"]).join(paired, ["repo_slug", "anchor"], "left"), files, ["repo_slug", "path"], "at_head")
+    return _flag(top.join(totals, ["repo_slug", "anchor"]), files, ["repo_slug", "path"], "at_head")
 
 
 def recorded(commits: DataFrame, commit_files: DataFrame, paths: DataFrame) -> DataFrame:

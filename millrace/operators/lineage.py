@@ -10,6 +10,7 @@ from millrace.operators.history import prefixes
 from millrace.plans.tables import written
 
 MAX_HOPS = 8
+BROADCAST_ROWS = 300_000
 
 
 def lineage_hops(commit_files: DataFrame) -> DataFrame:
@@ -51,9 +52,13 @@ def lineage_chains(hops: DataFrame, most: int = MAX_HOPS) -> DataFrame:
 def path_lineage(commit_files: DataFrame) -> DataFrame:
     """Chains with the commits of each earlier name, and the distinct commits of a whole chain."""
     chains = lineage_chains(lineage_hops(commit_files))
-    below = prefixes(commit_files.select("repo_slug", "commit_id", "path")).select("repo_slug", "directory", "commit_id").distinct()
-    own = below.groupBy("repo_slug", "directory").agg(F.count(F.lit(1)).alias("previous_commits")).withColumnRenamed("directory", "previous_path")
     names = chains.select("repo_slug", "path", F.col("previous_path").alias("directory")).union(chains.select("repo_slug", "path", F.col("path").alias("directory"))).distinct()
+    named = written(names.select("repo_slug", "directory").distinct(), "chain-names")
+    few = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    # Only directories that a chain names; of all others nothing is made distinct.
+    below = prefixes(commit_files.select("repo_slug", "commit_id", "path")).join(few, ["repo_slug", "directory"], "left_semi")
+    below = written(below.select("repo_slug", "directory", "commit_id").distinct(), "below")
+    own = below.groupBy("repo_slug", "directory").agg(F.count(F.lit(1)).alias("previous_commits")).withColumnRenamed("directory", "previous_path")
     together = names.join(below, ["repo_slug", "directory"]).groupBy("repo_slug", "path").agg(F.count_distinct("commit_id").alias("combined_commits"))
     out = chains.join(own, ["repo_slug", "previous_path"], "left").join(together, ["repo_slug", "path"], "left")
     return out.select("repo_slug", "path", "hop", "previous_path", F.coalesce("previous_commits", F.lit(0)).alias("previous_commits"), F.coalesce("combined_commits", F.lit(0)).alias("combined_commits"))
