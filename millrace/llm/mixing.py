@@ -1,10 +1,10 @@
 """Mixing sources to target weights by systematic sampling.
 
-A source's documents stand in a fixed order (size, then a hash of the row's key); each has the same expected
+A source's documents stand in a fixed order (by size or by a hash of it, then by a hash of the row's key); each has the same expected
 number of copies, its source's target over its size. The copies expected up to a document, plus one random
 offset per source, cross a whole number for every copy that the mix takes of it. Ordering by size spreads
-the rounding evenly over short and long documents, and of a number of random offsets the one is used whose words come nearest to the
-target, which matters where a few documents hold most of a source.
+the rounding evenly over short and long documents. Of a number of seeded orders and random offsets the pair is used whose words come
+nearest to the target, which matters where a few documents hold most of a source.
 
 The order is never built in one task: documents are counted by (source, size, slice), the counts are added up
 along a source, and only the rank inside such a cell is taken from a window. A source's slices bound
@@ -32,7 +32,7 @@ from millrace.llm.text import word_count
 class Mix:
     """Weights repeat along the sources in the order of their code points. ``share_percent`` of all sizes is dealt out.
 
-    A source has so many seeded ``offsets`` to choose from; its rows are broadcast up to ``broadcast_sources`` sources.
+    A source has so many seeded ``orders`` of its sizes, and ``offsets`` in each, to choose from; rows of sources are broadcast up to ``broadcast_sources``.
     """
 
     weights: tuple[int, ...] = (5, 2, 1)
@@ -40,6 +40,7 @@ class Mix:
     most_times: int = 2
     slices: int = 256
     seed: int = 17
+    orders: int = 8
     offsets: int = 32
     broadcast_sources: int = 50_000
 
@@ -69,16 +70,17 @@ def targets(by_source: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _offsets(sizes: DataFrame, dealt: DataFrame, mix: Mix, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``(source, offset)``: of a source's seeded offsets the one whose mix comes nearest to the target.
+    """``(source, turn, offset)``: of a source's seeded orders and offsets the pair whose mix comes nearest to the target.
 
     How many copies an offset takes of a source's documents of one size follows from their ranks, so the choice is made on counts by size.
     """
     draw = lambda k: F.pmod(F.xxhash64(F.lit(mix.seed), F.lit(k), F.col("source")), F.lit(1_000_000)) / 1_000_000.0
     rate = F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))
     crossed = lambda k: F.floor((F.col("smaller") + F.col("n")) * rate + draw(k)) - F.floor(F.col("smaller") * rate + draw(k))
-    taken = sizes.filter("size > 0").join(small(dealt), "source").groupBy("source", "target").agg(*(F.sum(F.col("size") * crossed(k)).alias(f"taken{k}") for k in range(mix.offsets)))
-    choices = F.array(*(F.struct(F.abs(F.col(f"taken{k}") - F.col("target")).alias("off"), draw(k).alias("offset")) for k in range(mix.offsets)))
-    return taken.select("source", F.array_min(choices)["offset"].alias("offset"))
+    taken = sizes.filter("size > 0").join(small(dealt), "source").groupBy("source", "turn", "target").agg(*(F.sum(F.col("size") * crossed(k)).alias(f"taken{k}") for k in range(mix.offsets)))
+    choices = F.array(*(F.struct(F.abs(F.col(f"taken{k}") - F.col("target")).alias("off"), F.col("turn"), draw(k).alias("offset")) for k in range(mix.offsets)))
+    best = taken.groupBy("source").agg(F.min(F.array_min(choices)).alias("best"))
+    return best.select("source", "best.turn", "best.offset")
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -97,14 +99,17 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), keep: tuple[str, ...] | None = None
     dealt = written(dealt, "targets")  # one row per source
     # Two steps, so that a window spans a source's distinct sizes and not all its cells.
     sizes = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    along = W.partitionBy("source").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
-    sizes = written(sizes.select("source", "size", "n", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("smaller")), "sizes")
+    sizes = sizes.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(mix.orders - 1))))
+    place = F.when(F.col("turn") == 0, F.col("size").cast("long")).otherwise(F.xxhash64(F.lit(mix.seed), "turn", "source", "size"))
+    along = W.partitionBy("source", "turn").orderBy(place, "size").rowsBetween(W.unboundedPreceding, -1)
+    sizes = written(sizes.select("source", "turn", "size", "n", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("smaller")), "sizes")
     few = dealt.count() <= mix.broadcast_sources
     small = lambda df: F.broadcast(df) if few else df
     offsets = written(_offsets(sizes, dealt, mix, small), "offsets")
     inside = W.partitionBy("source", "size").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select("source", "size", "slice", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("earlier"))
-    start = cells.join(sizes.select("source", "size", "smaller"), ["source", "size"]).join(small(dealt.join(offsets, "source", "left")), "source")
+    dealt = dealt.join(offsets, "source", "left").withColumn("turn", F.coalesce("turn", F.lit(0)))
+    start = cells.join(sizes.join(small(dealt), ["source", "turn"]).select("source", "size", "smaller", "source_size", "target", "offset"), ["source", "size"])
     start = start.select("source", "size", "slice", (F.col("smaller") + F.col("earlier")).alias("before"), "source_size", "target", "offset")
     ranked = rows.withColumn("nth", F.row_number().over(W.partitionBy("source", "size", "slice").orderBy("key")))
     out = ranked.join(start, ["source", "size", "slice"]).withColumn("rank", F.col("before") + F.col("nth"))
