@@ -214,6 +214,8 @@ def test_mix(spark, docs):
         taken[s] += r.taken
     # A document is taken whole: a source can miss its target by half of its longest, and rarely by more.
     assert all(abs(taken[s] - target[s]) <= 0.6 * max(sizes[i] for i in by[s]) for s in order)
+    larger = QUERIES["op7_mixing"](spark, "/root/testdata/sf0.01").groupBy("source_size", "target").agg({"taken": "sum"}).collect()
+    assert all(abs(r[2] - r.target) <= 0.005 * r.target for r in larger)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, answers(spark, "op7_mixing")))
 
 
@@ -226,6 +228,70 @@ def test_wrapper_decides(spark):
     assert got == {i: "\n\n".join(text(i)) for i in range(12)}
 
 
+BARE = re.compile(r"(</?)(?:article|main|nav|footer|aside|header)\b")
+ATTRIBUTES = re.compile(r'\s(?:class|id|role)="[^"]*"')
+
+
+def article_text(page):
+    """Text of a page's articles by the standard library's event parser, block by block."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        depth, skip, out, part = 0, 0, (), ""
+
+        def cut(self):
+            text = " ".join(self.part.split())
+            self.out, self.part = (*self.out, *([text] if text else [])), ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("nav", "aside", "footer", "script", "style", "form") or self.skip:
+                self.skip += tag not in ("br", "img", "hr", "input", "meta", "link", "p", "li", "b")
+            elif tag == "article":
+                self.depth += 1
+            if tag == "br":
+                self.part += " "
+            elif tag not in ("a", "b", "i", "em", "strong", "span", "code"):
+                self.cut()
+
+        def handle_endtag(self, tag):
+            self.skip -= bool(self.skip and tag not in ("p", "li", "b"))
+            self.cut() if tag not in ("a", "b", "i", "em", "strong", "span", "code") else None
+            self.depth -= tag == "article"
+
+        def handle_data(self, data):
+            if self.depth and not self.skip:
+                self.part += data
+
+    reader = Reader()
+    reader.feed(page or "")
+    reader.close()
+    reader.cut()
+    return "\n\n".join(reader.out)
+
+
+def test_main_text_over_the_table(spark):
+    """All pages against a plain reader of articles; then with tags and class names taken away, where only wrappers tell text from the rest."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: article_text(r.html) for r in pages.collect()}
+    got = {r.page_id: (r.text, r.n_chars) for r in QUERIES["op8_html_extraction"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+    bare = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", BARE.pattern, "$1div"), ATTRIBUTES.pattern, ""))
+    assert {r.page_id: r.text for r in html_extract.extracted(bare).collect()} == want
+    alone = {r.page_id: r.text for r in html_extract.extracted(bare, html_extract.Wrapper(pages=10**9)).collect()}
+    assert sum(alone[i] != want[i] for i in want) >= 4
+
+
+def test_short_articles_between_long_lists(spark):
+    """A menu of links that differ by page, and a notice longer than some articles: the slot is where the pages' texts are."""
+    words = lambda i, n, k: " ".join(f"{k}{i}x{j}" for j in range(n))
+    page = lambda i: f"<body><div><ul>{''.join(f'<li><a href=/>{words(i, 2, c)}</a>' for c in 'abcdefgh')}</ul></div><div>{words(i, 12, 'n')}</div><div><h1>{words(i, 4, 't')}</h1><p>{words(i, 5 if i == 3 else 120, 'p')}</p></div><div>&copy; {words(i, 3, 'f')}</div></body>"
+    rows = [(i, f"http://n.net/{i}", page(i)) for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{words(i, 4, 't')}\n\n{words(i, 5 if i == 3 else 120, 'p')}" for i in range(8)}
+
+
 def test_very_deep_page(spark):
     page = "<article>" + "<div>a <b>b</b>" * 3000 + "<nav>menu</nav><p>end" + "</div>" * 3000 + "tail</article>"
     got = html_extract.extracted(spark.createDataFrame([(1, "http://a.net/", page)], "page_id long, url string, html string")).collect()[0].text
