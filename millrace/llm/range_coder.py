@@ -2,14 +2,14 @@
 
 The distribution of an id is a mix of three predictions. The orders 2 and 1 each name the id that last followed the two ids (the one id)
 before, with a confidence; order 0 spreads the rest over all ids. The weights of the mix adapt, in every block for itself, to how often
-predictions of these confidences came true. Order 0 codes the low byte of an id as two nibbles with adaptive frequencies, then whether the id is the
-last one with this low byte, and else its high bits. Each decision drives a range coder that carries into the words it has written.
+predictions of these confidences came true. Order 0 starts every block from the file's own counts, which stand in the header, rounded and
+with a checksum; ids that are too rare to be listed there are an escape and their bits. Each decision drives a range coder that carries into the words it has written.
 
-Every block starts from an empty model and is checked by the CRC of its ids. Blocks are independent, so the steps of all
+Every block starts from the same model and is checked by the CRC of its ids. Blocks are independent, so the steps of all
 blocks are taken together on arrays: the encoder's and the decoder's cost are shared by hundreds of blocks.
 
-File: magic, number of ids, ids per block, number of listed ids, then these (only where an id needs more than 24 bits; blocks hold places in the list then),
-for each block its number of words and its CRC, then all words.
+File: magic, number of ids, ids per block, number of wide ids, bits of an id, length and CRC of the counts; the wide ids (only where an id needs more
+than 24 bits; blocks hold places in this list then); the counts; for each block its number of words and its CRC; all words.
 """
 
 from __future__ import annotations
@@ -19,27 +19,67 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMR3"
+MAGIC = b"CMR4"
 BLOCK = 2048
-#: Blocks that are worked on together: bounds the memory for their models, about 16 KB each.
+_HEAD = "<QIIBII"
+#: Blocks that are worked on together: bounds the memory for their models, about 13 KB each.
 LANES = 4096
 _U, _N = np.uint64, np.uint32
-#: Frequencies add up to ``_ONE``, those of two nibbles to its square.
+#: Frequencies of the mix add up to ``_ONE``.
 _BITS = 12
 _ONE = 1 << _BITS
+#: Those of order 0 to two to this power.
+_ORDER_0 = 20
+#: An id is listed in the counts if it occurs so often: a listed one takes more than a byte.
+_LISTED_FROM = 3
 #: Slots of the tables of predictions by order, as powers of two.
 _SLOTS = {1: 10, 2: 11}
 _LOW = _U(0xFFFFFFFF)
 _MOST = np.int32(_ONE - 32)
 
 
-def _targets() -> np.ndarray:
-    """Where the upper bounds of 16 values move after each of them: all but the least width to the value that came."""
-    value, k = np.arange(16)[:, None], np.arange(16)[None, :]
-    return np.where(k < value, 4 * (k + 1), _ONE - 4 * (15 - k)).astype(np.int16)
-
-
-_TARGETS = _targets()
+class _Counts:
+    """Order 0: the listed ids, after an escape, with frequencies that add up to two to the power of ``_ORDER_0``."""
+
+    def __init__(self, listed: np.ndarray, levels: np.ndarray) -> None:
+        """``levels``: four times the binary logarithm of the counts, rounded; the escape's first."""
+        self.listed, self.levels = listed, levels
+        weight = np.floor(16 * 2.0 ** (levels / 4)).astype(np.int64)
+        width = 1 + weight * ((1 << _ORDER_0) - len(weight)) // weight.sum()
+        width[0] += (1 << _ORDER_0) - width.sum()
+        self.width, self.begin = width.astype(_N), (np.cumsum(width) - width).astype(_N)
+        self.ids = np.concatenate((np.zeros(1, _N), listed.astype(_N)))
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> _Counts:
+        """Of ids below ``2 ** 24``. The most frequent ones are listed, half as many as there are frequencies at most; others are escapes."""
+        n = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+        listed = np.flatnonzero(n >= _LISTED_FROM)
+        most = 1 << _ORDER_0 - 1
+        if len(listed) > most:
+            listed = np.sort(listed[np.argsort(-n[listed], kind="stable")[:most]])
+        n = np.concatenate(([len(ids) - n[listed].sum() + 1], n[listed]))
+        return cls(listed.astype("<u4"), np.rint(4 * np.log2(n)).astype(np.uint8))
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Each id's number in the list, counted from 1, or 0 for the escape."""
+        to = np.zeros(int(ids.max(initial=0)) + 1, _N)
+        to[self.listed] = np.arange(1, len(self.listed) + 1)
+        return to[ids]
+
+    def stored(self) -> bytes:
+        steps = np.diff(self.listed, prepend=np.zeros(1, "<u4")).astype("<u4")
+        return zlib.compress(self.levels.tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes(), 9)
+
+    @classmethod
+    def read(cls, data: bytes) -> _Counts:
+        raw = np.frombuffer(zlib.decompress(data), np.uint8)
+        k = len(raw) // 5
+        steps = np.ascontiguousarray(raw[k + 1 :].reshape(4, k).T).view("<u4").ravel()
+        return cls(np.cumsum(steps, dtype=np.uint32), raw[: k + 1])
+
+    def by_target(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.width), dtype=_N), self.width)
 
 
 class _Model:
@@ -52,10 +92,7 @@ class _Model:
         # Weights of order 2 by the confidences of both and whether they agree; of order 1 by its own and whether order 2 has one.
         self.two = np.tile(np.repeat(np.array([75, 1100, 1750, 2250, 2750, 3000, 3250, 3500], np.int32), 8), lanes)
         self.one = np.tile(np.repeat(np.array([75, 600, 1100, 1500, 1900, 2100, 2400, 2600], np.int32), 2), lanes)
-        self.last = np.zeros(lanes << 8, _N)
-        self.again = np.tile(np.array([125, 2000, 2500, 2750, 3000, 3250, 3500, 3750], np.int32), lanes)
-        self.nibbles = np.tile((np.arange(1, 17) << _BITS - 4).astype(np.int16), (lanes * 17, 1))
-        self.root, self.by64, self.by16 = at * 17, at << 6, at << 4
+        self.by64, self.by16 = at << 6, at << 4
 
     def predict(self, n: int, before: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Upper bounds of the events "order 2 is right" and "order 1 is right" out of ``_ONE``."""
@@ -83,16 +120,6 @@ class _Model:
         self.tables[2][self.slot2] = _followed(ids, self.e2, self.c2, two)
         self.tables[1][self.slot1] = _followed(ids, self.e1, self.c1, one)
 
-    def learn_nibble(self, where: np.ndarray, rows: np.ndarray, value: np.ndarray, rate: int) -> None:
-        step = _TARGETS.take(value, axis=0)
-        step -= rows
-        step >>= rate
-        step += rows
-        self.nibbles[where] = step
-
-    def learn_again(self, by: np.ndarray, weight: np.ndarray, same: np.ndarray) -> None:
-        self.again[by] = weight + (_goal(same) - weight >> 5)
-
 
 def _goal(right: np.ndarray) -> np.ndarray:
     """What a weight moves to."""
@@ -157,13 +184,13 @@ def _shape(n: int, block: int) -> tuple[int, int]:
     return lanes, n - block * (lanes - 1) if lanes else 0
 
 
-def _encode_lanes(ids: np.ndarray, high_bits: int, block: int) -> tuple[list[bytes], list[int]]:
+def _encode_lanes(ids: np.ndarray, counts: _Counts, bits: int, block: int) -> tuple[list[bytes], list[int]]:
     lanes, last = _shape(len(ids), block)
     table = np.zeros((lanes, block), _N)
     table.ravel()[: len(ids)] = ids
     table = np.ascontiguousarray(table.T)
+    places = counts.places(table)
     model, out, zero = _Model(lanes), _Writer(lanes), np.zeros(lanes, _N)
-    rows_at = np.arange(lanes) << 4
     for t in range(min(block, len(ids))):
         if not t & 7:
             out.room()
@@ -179,38 +206,13 @@ def _encode_lanes(ids: np.ndarray, high_bits: int, block: int) -> tuple[list[byt
         rest = np.flatnonzero(~(two | one))
         if not len(rest):
             continue
-        value, at = value[rest], rows_at[: len(rest)]
-        low, size, root = out.low[rest], out.size[rest], model.root[rest]
-        nibble = (value >> _N(4) & _N(15)).astype(np.int64)
-        rows = model.nibbles.take(root, axis=0)
-        to = at + nibble
-        begin1 = rows.take(to - 1, mode="wrap") & np.int16(_ONE - 1)
-        width1 = rows.take(to) - begin1
-        model.learn_nibble(root, rows, nibble, 5)
-        root += nibble
-        root += 1
-        nibble = (value & _N(15)).astype(np.int64)
-        rows = model.nibbles.take(root, axis=0)
-        to = at + nibble
-        begin2 = rows.take(to - 1, mode="wrap") & np.int16(_ONE - 1)
-        width2 = rows.take(to) - begin2
-        model.learn_nibble(root, rows, nibble, 4)
-        width = width1.astype(_N)
-        begin = begin1.astype(_N) << _N(_BITS)
-        begin += width * begin2.view(np.uint16)
-        width *= width2.view(np.uint16)
-        low, size = out.put(rest, low, size, begin, width, 2 * _BITS)
-        slot = (rest << 8) + (value & _N(255))
-        entry = model.last.take(slot)
-        known = entry & _N(7)
-        by = (rest << 3) + known
-        weight, same = model.again.take(by), value == entry >> _N(8)
-        other = (_ONE - weight).view(_N)
-        reach = weight.view(_N) << _N(high_bits)
-        begin = (reach + (value >> _N(8)) * other) * ~same
-        out.low[rest], out.size[rest] = out.put(rest, low, size, begin, np.where(same, reach, other), _BITS + high_bits)
-        model.learn_again(by, weight, same)
-        model.last[slot] = _followed(value, entry, known, same)
+        place = places[t].take(rest)
+        low, size = out.put(rest, out.low[rest], out.size[rest], counts.begin.take(place), counts.width.take(place), _ORDER_0)
+        escape = np.flatnonzero(place == 0)
+        if len(escape):
+            lane = rest[escape]
+            low[escape], size[escape] = out.put(lane, low[escape], size[escape], value[lane], np.ones(len(lane), _N), bits)
+        out.low[rest], out.size[rest] = low, size
     return out.close()
 
 
@@ -236,17 +238,11 @@ class _Reader:
         return code, size
 
 
-def _nibble(rows: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """How many upper bounds lie at or below the target."""
-    below = (rows <= target[:, None]).view(_U)
-    return ((below[:, 0] + below[:, 1]) * _U(0x0101010101010101) >> _U(56)).view(np.int64)
-
-
-def _decode_lanes(words: np.ndarray, begins: np.ndarray, n_ids: int, high_bits: int, block: int) -> np.ndarray:
+def _decode_lanes(words: np.ndarray, begins: np.ndarray, n_ids: int, counts: _Counts, bits: int, block: int) -> np.ndarray:
     lanes, last = _shape(n_ids, block)
     table = np.zeros((block, lanes), _N)
     model, read, zero = _Model(lanes), _Reader(words, begins), np.zeros(lanes, _N)
-    rows_at = np.arange(lanes) << 4
+    by_target = counts.by_target()
     for t in range(min(block, n_ids)):
         n = lanes if t < last else lanes - 1
         first, second = model.predict(n, table[t - 1] if t else zero, table[t - 2] if t > 1 else zero)
@@ -259,45 +255,16 @@ def _decode_lanes(words: np.ndarray, begins: np.ndarray, n_ids: int, high_bits:
         value = np.where(two, model.q2, model.q1)
         rest = np.flatnonzero(other)
         if len(rest):
-            at, root = rows_at[: len(rest)], model.root[rest]
-            size, code = read.size[rest], read.code[rest]
-            part = size >> _U(2 * _BITS)
-            target = (code // part).astype(_N)
-            rows = model.nibbles.take(root, axis=0)
-            nibble = _nibble(rows, (target >> _N(_BITS)).astype(np.int16))
-            to = at + nibble
-            begin1 = rows.take(to - 1, mode="wrap") & np.int16(_ONE - 1)
-            width = (rows.take(to) - begin1).astype(_N)
-            model.learn_nibble(root, rows, nibble, 5)
-            root += nibble
-            root += 1
-            low = nibble << 4
-            begin = begin1.astype(_N) << _N(_BITS)
-            rows = model.nibbles.take(root, axis=0)
-            nibble = _nibble(rows, ((target - begin) // width).astype(np.int16))
-            to = at + nibble
-            begin2 = rows.take(to - 1, mode="wrap") & np.int16(_ONE - 1)
-            begin += width * begin2.view(np.uint16)
-            width *= (rows.take(to) - begin2).view(np.uint16)
-            model.learn_nibble(root, rows, nibble, 4)
-            code, size = read.take(rest, part, code, begin, width)
-            low |= nibble
-            slot = (rest << 8) + low
-            entry = model.last.take(slot)
-            known = entry & _N(7)
-            by = (rest << 3) + known
-            weight = model.again.take(by)
-            other = (_ONE - weight).view(_N)
-            reach = weight.view(_N) << _N(high_bits)
-            part = size >> _U(_BITS + high_bits)
-            target = (code // part).astype(_N)
-            same = target < reach
-            high = (target - reach) // other
-            begin = (reach + high * other) * ~same
-            read.code[rest], read.size[rest] = read.take(rest, part, code, begin, np.where(same, reach, other))
-            ids = np.where(same, entry >> _N(8), high << _N(8) | low.astype(_N))
-            model.learn_again(by, weight, same)
-            model.last[slot] = _followed(ids, entry, known, same)
+            part, code = read.size[rest] >> _U(_ORDER_0), read.code[rest]
+            place = by_target.take((code // part).astype(np.int64), mode="clip")
+            code, size = read.take(rest, part, code, counts.begin.take(place), counts.width.take(place))
+            ids = counts.ids.take(place)
+            escape = np.flatnonzero(place == 0)
+            if len(escape):
+                part = size[escape] >> _U(bits)
+                ids[escape] = code[escape] // part
+                code[escape], size[escape] = read.take(rest[escape], part, code[escape], ids[escape], np.ones(len(escape), _N))
+            read.code[rest], read.size[rest] = code, size
             value[rest] = ids
         model.learn(value, two, value == model.q1)
         table[t, :n] = value
@@ -311,31 +278,38 @@ def compress(ids: np.ndarray, block: int = BLOCK) -> bytes:
     n, listed = len(ids), np.zeros(0, "<u4")
     if n and ids.max() >= 1 << 24:
         listed, ids = np.unique(ids, return_inverse=True)
-    high_bits = int(ids.max(initial=0)).bit_length()
-    if high_bits > 24:
+    bits = int(ids.max(initial=0)).bit_length()
+    if bits > 24:
         raise ValueError("a file holds at most 2 ** 24 different ids of more than 24 bits")
+    counts = _Counts.of(ids)
+    table = counts.stored()
     wave = LANES * block
-    parts, counts = [], []
+    parts, used = [], []
     for i in range(0, n, wave):
-        data, used = _encode_lanes(ids[i : i + wave].astype(np.uint32), max(0, high_bits - 8), block)
+        data, words = _encode_lanes(ids[i : i + wave].astype(np.uint32), counts, bits, block)
         parts += data
-        counts += used
-    return MAGIC + struct.pack("<QIIB", n, block, len(listed), max(0, high_bits - 8)) + listed.astype("<u4").tobytes() + np.array(counts, "<u4").tobytes() + np.array(sums, "<u4").tobytes() + b"".join(parts)
+        used += words
+    head = MAGIC + struct.pack(_HEAD, n, block, len(listed), bits, len(table), zlib.crc32(table))
+    return head + listed.astype("<u4").tobytes() + table + np.array(used, "<u4").tobytes() + np.array(sums, "<u4").tobytes() + b"".join(parts)
 
 
 def decompress(data: bytes) -> np.ndarray:
     """The ids of a file; raises ``ValueError`` if a block's checksum differs."""
     if data[:4] != MAGIC:
         raise ValueError("not a file of range-coded ids")
-    n, block, n_listed, high_bits = struct.unpack_from("<QIIB", data, 4)
-    at, blocks = 4 + struct.calcsize("<QIIB"), -(-n // block)
+    n, block, n_listed, bits, n_table, table_crc = struct.unpack_from(_HEAD, data, 4)
+    at, blocks = 4 + struct.calcsize(_HEAD), -(-n // block)
     listed, at = np.frombuffer(data, "<u4", n_listed, at), at + 4 * n_listed
+    table, at = data[at : at + n_table], at + n_table
+    if zlib.crc32(table) != table_crc:
+        raise ValueError("the counts are damaged")
+    order_0 = _Counts.read(table)
     counts, sums = np.frombuffer(data, "<u4", blocks, at).astype(np.int64), np.frombuffer(data, "<u4", blocks, at + 4 * blocks)
     words = np.frombuffer(data, "<u4", -1, at + 8 * blocks)
     begins, out = np.concatenate(([0], np.cumsum(counts))), [np.zeros(0, np.uint32)]
     for i in range(0, blocks, LANES):
         k = min(i + LANES, blocks)
-        out.append(_decode_lanes(words[begins[i] : begins[k]], begins[i:k] - begins[i], min(n - i * block, (k - i) * block), high_bits, block))
+        out.append(_decode_lanes(words[begins[i] : begins[k]], begins[i:k] - begins[i], min(n - i * block, (k - i) * block), order_0, bits, block))
     ids = np.concatenate(out)
     if n_listed:
         if len(ids) and ids.max() >= n_listed:

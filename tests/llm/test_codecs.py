@@ -14,13 +14,43 @@ def test_round_trip(n, most):
     assert (decompress(compress(ids, block=16)) == ids).all()
 
 
-def test_damage_is_found():
+@pytest.mark.parametrize("at", [-20, 32, 40])
+def test_damage_is_found(at):
     raw = bytearray(compress(np.arange(64, dtype="<u4"), block=16))
-    raw[-20] ^= 1
+    raw[at] ^= 1
     with pytest.raises(ValueError):
         decompress(bytes(raw))
 
 
+def test_files_are_smaller_than_what_plain_coders_make(docs_ids=400_000):
+    """Ids of the given documents: below zlib and zstd on 16-bit ids, and below the entropy of single ids."""
+    import zlib
+
+    import duckdb
+    import public_tokenizers
+    import zstandard
+    from tokenizers import Tokenizer
+
+    texts = [r[0] for r in duckdb.sql("SELECT coalesce(text, '') FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()]
+    coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = np.concatenate([np.array([*e.ids, 1], "<u4") for e in coder.encode_batch_fast(texts, add_special_tokens=False)])[:docs_ids]
+    n = np.bincount(ids)
+    n = n[n > 0]
+    entropy = float((n * np.log2(len(ids) / n)).sum()) / 8
+    plain = ids.astype("<u2").tobytes()
+    raw = compress(ids)
+    assert len(raw) < min(entropy, len(zlib.compress(plain, 6)), len(zstandard.compress(plain, 3)))
+    assert (decompress(raw) == ids).all()
+
+
+def test_rare_and_frequent_ids():
+    """Escapes for rare ids, one id alone, and ids of 24 bits."""
+    rng = np.random.default_rng(5)
+    for ids in (np.full(5000, 7), rng.zipf(1.3, 20_000) % (1 << 24), np.concatenate((np.zeros(9000, int), rng.integers(0, 1 << 24, 3000))), rng.integers(0, 1 << 32, 3000)):
+        ids = ids.astype("<u4")
+        assert (decompress(compress(ids, block=128)) == ids).all()
+
+
 def test_pieces_and_bins():
     bins, rows = HarmonicBins(1024, 0), []
     for doc, n in enumerate([1, 513, 700, 1024, 5000, 2, 341]):
