@@ -232,7 +232,7 @@ class _Reader:
         if len(full):
             lane = lanes[full]
             at = self.at[lane]
-            code[full] = (code[full] << _U(32)) | self.words[at]
+            code[full] = (code[full] << _U(32)) | self.words.take(at, mode="clip")
             size[full] <<= _U(32)
             self.at[lane] = at + 1
         return code, size
@@ -306,6 +306,8 @@ def decompress(data: bytes) -> np.ndarray:
     order_0 = _Counts.read(table)
     counts, sums = np.frombuffer(data, "<u4", blocks, at).astype(np.int64), np.frombuffer(data, "<u4", blocks, at + 4 * blocks)
     words = np.frombuffer(data, "<u4", -1, at + 8 * blocks)
+    if counts.sum() != len(words) or (counts < 2).any():
+        raise ValueError("the lengths of blocks are damaged")
     begins, out = np.concatenate(([0], np.cumsum(counts))), [np.zeros(0, np.uint32)]
     for i in range(0, blocks, LANES):
         k = min(i + LANES, blocks)
