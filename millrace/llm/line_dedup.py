@@ -128,8 +128,8 @@ def _resolved(lines: DataFrame, how: LineDedup) -> DataFrame:
 def deduplicated(docs: DataFrame, how: LineDedup = LineDedup()) -> DataFrame:
     """``row`` (struct of the caller's columns, its text and ``n_chars`` replaced), ``n_lines`` and ``n_removed``.
 
-    A row is known by its id and a hash of its text. Rows that repeat both are found where the texts meet what goes of them: the first is
-    treated as described, the others lose every line that has a word.
+    A row is known by its id and a hash of its text. Rows that repeat both are found where the texts meet what goes of them: the first, by
+    its other columns written as JSON, is treated as described, the others lose every line that has a word.
     """
     base = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("uid"))
     lines = base.select("uid", F.col("row.doc_id").alias("doc_id"), F.posexplode(F.split(F.col("row.text"), "\n", -1)).alias("place", "line"))
@@ -147,7 +147,8 @@ def deduplicated(docs: DataFrame, how: LineDedup = LineDedup()) -> DataFrame:
     gone = places.select("uid", "place", "node").alias("l").join(doubtful.alias("k"), "node").filter("l.uid != k.uid or l.place != k.place")
     gone = written(gone.groupBy("l.uid").agg(F.collect_set("l.place").alias("gone")), "lines-gone")
     discard(nodes, labels, places)
-    again = F.row_number().over(W.partitionBy("uid").orderBy("uid")) > 1
+    extra = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    again = F.row_number().over(W.partitionBy("uid").orderBy(F.to_json(F.struct(*extra)) if extra else "uid")) > 1
     out = base.join(gone, "uid", "left").withColumn("again", again)
     left = F.filter(F.split("row.text", "\n", -1), lambda x, i: F.when(F.col("again"), ~x.rlike(has_word)).otherwise(~F.coalesce(F.array_contains("gone", i), F.lit(False))))
     out = out.withColumn("left", F.when(F.col("again") | F.col("gone").isNotNull(), left)).withColumn("text", F.when(F.col("left").isNull(), F.col("row.text")).otherwise(F.array_join("left", "\n")))

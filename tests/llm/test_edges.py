@@ -174,3 +174,11 @@ def test_quality_filter_tells_nulls_apart(spark):
     kept = sorted((r.doc_id for r in quality.report(docs).filter("kept").collect()), key=repr)
     assert sorted((r.doc_id for r in quality.filtered(docs).collect()), key=repr) == kept
     assert 5001 in kept and 5000 not in kept
+
+
+def test_repeated_rows_with_other_columns(spark):
+    """Of rows with one id and text the first by their other columns keeps its lines, however they are dealt."""
+    rows = [(1, "one line of words\nand another one", x) for x in ("c", "a", "b")]
+    for parts in (1, 3):
+        got = line_dedup.filtered(spark.createDataFrame(rows, "doc_id long, text string, x string").repartition(parts)).collect()
+        assert sorted((r.x, r.text) for r in got) == [("a", rows[0][1]), ("b", ""), ("c", "")]
