@@ -28,21 +28,22 @@ def hot_files(commits: DataFrame, commit_files: DataFrame, files: DataFrame, sco
     return _flag_few(top, files, ["repo_slug", "path"], "at_head")
 
 
-def prefixes(df: DataFrame, path: str = "path", name: str = "directory") -> DataFrame:
-    """A row for every directory above the path."""
+def prefixes(df: DataFrame, path: str = "path", name: str = "directory", most: int | None = None) -> DataFrame:
+    """A row for every directory above the path, or for those of at most ``most`` segments."""
     parts = F.split(F.col(path), "/", -1)
-    return df.withColumn("_parts", parts).filter(F.size("_parts") > 1).withColumn("_depth", F.explode(F.sequence(F.lit(1), F.size("_parts") - 1))).withColumn(name, F.array_join(F.slice("_parts", F.lit(1), F.col("_depth")), "/")).drop("_parts", "_depth")
+    return df.withColumn("_parts", parts).filter(F.size("_parts") > 1).withColumn("_depth", F.explode(F.sequence(F.lit(1), F.size("_parts") - 1 if most is None else F.least(F.size("_parts") - 1, F.lit(most))))).withColumn(name, F.array_join(F.slice("_parts", F.lit(1), F.col("_depth")), "/")).drop("_parts", "_depth")
 
 
 def hot_directories(commits: DataFrame, commit_files: DataFrame, files: DataFrame, scope: Scope, depth: int = 2, limit: int = 20) -> DataFrame:
     """Most often changed directories ``depth`` segments below the scope's; a commit counts once however many files it touched."""
     skip = len(scope.directory.strip("/").split("/")) if scope.directory else 0
     parts = F.split("path", "/", -1)
-    directory = F.array_join(F.slice(parts, F.lit(1), F.least(F.size(parts) - 1, F.lit(skip + min(max(depth, 1), 10)))), "/")
+    most = skip + min(max(depth, 1), 10)
+    directory = F.array_join(F.slice(parts, F.lit(1), F.least(F.size(parts) - 1, F.lit(most))), "/")
     rows = scope.rows(commits, commit_files).filter(F.size(parts) > 1).withColumn("directory", directory)
     top = rows.groupBy("repo_slug", "directory").agg(F.count_distinct("commit_id").alias("commits"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))
     top = top.orderBy(F.desc("commits"), F.desc(F.col("added") + F.col("deleted")), "directory", "repo_slug").limit(min(limit, 100))
-    return _flag_few(top, prefixes(files.select("repo_slug", "path")), ["repo_slug", "directory"], "at_head")
+    return _flag_few(top, prefixes(files.select("repo_slug", "path"), most=most), ["repo_slug", "directory"], "at_head")
 
 
 def hidden_paths(commits: DataFrame, commit_files: DataFrame, scope: Scope) -> DataFrame:

@@ -12,7 +12,6 @@ from millrace.functions import patterns
 from millrace.operators.history import hot_files, prefixes
 from millrace.operators.language import PROFILES
 from millrace.plans.scope import Scope, seconds
-from millrace.plans.tables import written
 
 # Our own choice: extensions of files that are no code.
 NOT_CODE = ("md", "txt", "json", "xml", "yml", "yaml", "csv", "lock", "svg", "png", "jpg", "ico")
@@ -92,41 +91,41 @@ def authors_per_file(commits: DataFrame, commit_files: DataFrame, files: DataFra
 
 
 def _folder_root(files: DataFrame, levels: int = 3, share: float = 0.8) -> DataFrame:
-    """Per repository the directory whose subfolders are compared: one that holds most files and at least two subfolders is descended into."""
-    roots = files.select("repo_slug").distinct().withColumn("root", F.lit(""))
-    paths = files.select("repo_slug", "path")
+    """Per repository the directory whose subfolders are compared, and how many segments it has: one that holds most files and at least two subfolders is descended into.
+
+    The files are counted once by the first segments of their directories; every level reads these counts.
+    """
+    parts = F.split("path", "/", -1)
+    counts = files.select("repo_slug", F.slice(parts, F.lit(1), F.least(F.size(parts) - 1, F.lit(levels + 1))).alias("above")).groupBy("repo_slug", "above").agg(F.count(F.lit(1)).alias("n"))
+    roots = None
     for _ in range(levels):
-        inside = paths.join(roots, "repo_slug").filter((F.col("root") == "") | F.startswith("path", F.concat("root", F.lit("/"))))
-        rest = F.when(F.col("root") == "", F.col("path")).otherwise(F.substring("path", F.length("root") + 2, F.length("path")))
-        inside = inside.withColumns({"rest": rest}).withColumn("folder", F.when(F.contains("rest", F.lit("/")), F.split_part("rest", F.lit("/"), F.lit(1))))
-        second = F.when(F.regexp_count("rest", F.lit("/")) > 1, F.split_part("rest", F.lit("/"), F.lit(2)))
-        by = inside.withColumn("second", second).groupBy("repo_slug", "root", "folder").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("second").alias("subfolders"))
-        total = by.groupBy("repo_slug").agg(F.sum("n").alias("total"), F.max_by(F.struct("folder", "n", "subfolders"), F.when(F.col("folder").isNotNull(), F.col("n"))).alias("most"))
-        down = total.filter((F.col("most.n") >= share * F.col("total")) & (F.col("most.subfolders") >= 2)).select("repo_slug", F.col("most.folder").alias("into"))
-        before = roots
-        roots = roots.join(down, "repo_slug", "left").select("repo_slug", F.when(F.col("into").isNull(), F.col("root")).when(F.col("root") == "", F.col("into")).otherwise(F.concat_ws("/", "root", "into")).alias("root"))
-        roots = written(roots, "folder-roots")
-        if roots.exceptAll(before).isEmpty():
-            break
+        inside = counts.withColumns({"root": F.lit(""), "depth": F.lit(0)}) if roots is None else counts.join(roots, "repo_slug").filter(F.array_join(F.slice("above", F.lit(1), F.col("depth")), "/") == F.col("root"))
+        inside = inside.select("repo_slug", "root", "depth", "n", F.get("above", F.col("depth")).alias("folder"), F.get("above", F.col("depth") + 1).alias("second"))
+        by = inside.groupBy("repo_slug", "root", "depth", "folder").agg(F.sum("n").alias("n"), F.count_distinct("second").alias("subfolders"))
+        total = by.groupBy("repo_slug", "root", "depth").agg(F.sum("n").alias("total"), F.max_by(F.struct("folder", "n", "subfolders"), F.when(F.col("folder").isNotNull(), F.col("n"))).alias("most"))
+        down = (F.col("most.n") >= share * F.col("total")) & (F.col("most.subfolders") >= 2)
+        into = F.when(F.col("root") == "", F.col("most.folder")).otherwise(F.concat_ws("/", "root", "most.folder"))
+        roots = total.select("repo_slug", F.when(down, into).otherwise(F.col("root")).alias("root"), (F.col("depth") + F.when(down, 1).otherwise(0)).alias("depth"))
     return roots
 
 
 def folder_coupling(commits: DataFrame, commit_files: DataFrame, files: DataFrame, scope: Scope, ceiling: int = 200, top: int = 12) -> DataFrame:
     """Folders that change in the same commits: pairs ``a < b`` of a repository's most changed folders, with the commits of each.
 
-    Commits over the ceiling are left out before exclusions; a repository's folders are cut to ``top``, so a commit has few pairs.
+    Commits over the ceiling are left out before exclusions; a repository's folders are cut to ``top``, so a commit's list of
+    them is short and its pairs come from the list.
     """
-    rows = scope.history(commits, commit_files)
-    small = rows.groupBy("commit_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= ceiling).select("commit_id")
-    rows = rows.join(small, "commit_id", "left_semi").filter(scope.kept(F.col("path"))).join(_folder_root(files), "repo_slug")
-    rows = rows.filter((F.col("root") == "") | F.startswith("path", F.concat("root", F.lit("/"))))
+    rows = scope.history(commits, commit_files).join(_folder_root(files), "repo_slug")
+    inside = scope.kept(F.col("path")) & ((F.col("root") == "") | F.startswith("path", F.concat("root", F.lit("/"))))
     rest = F.when(F.col("root") == "", F.col("path")).otherwise(F.substring("path", F.length("root") + 2, F.length("path")))
-    rows = rows.withColumn("rest", rest).filter(F.contains("rest", F.lit("/"))).select("repo_slug", "commit_id", F.split_part("rest", F.lit("/"), F.lit(1)).alias("folder")).distinct()
+    folder = F.when(inside & F.contains(rest, F.lit("/")), F.split_part(rest, F.lit("/"), F.lit(1)))
+    rows = rows.select("repo_slug", "commit_id", folder.alias("folder")).groupBy("repo_slug", "commit_id", "folder").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("size", F.sum("n").over(W.partitionBy("commit_id"))).filter((F.col("size") <= ceiling) & F.col("folder").isNotNull()).select("repo_slug", "commit_id", "folder")
     by = rows.groupBy("repo_slug", "folder").agg(F.count(F.lit(1)).alias("commits"))
     kept = by.withColumn("rank", F.row_number().over(W.partitionBy("repo_slug").orderBy(F.desc("commits"), "folder"))).filter(F.col("rank") <= top).drop("rank")
-    rows = rows.join(kept, ["repo_slug", "folder"])
-    one = lambda k: rows.select("repo_slug", "commit_id", F.col("folder").alias(k), F.col("commits").alias(f"commits_{k}"))
-    pairs = one("a").join(one("b"), ["repo_slug", "commit_id"]).filter("a < b")
+    lists = rows.join(kept, ["repo_slug", "folder"]).groupBy("repo_slug", "commit_id").agg(F.sort_array(F.collect_list(F.struct("folder", "commits"))).alias("changed"))
+    pairs = lists.filter(F.size("changed") > 1).select("repo_slug", F.posexplode("changed").alias("i", "x"), "changed").select("repo_slug", "x", F.explode(F.slice("changed", F.col("i") + 2, F.lit(top))).alias("y"))
+    pairs = pairs.select("repo_slug", F.col("x.folder").alias("a"), F.col("y.folder").alias("b"), F.col("x.commits").alias("commits_a"), F.col("y.commits").alias("commits_b"))
     return pairs.groupBy("repo_slug", "a", "b", "commits_a", "commits_b").agg(F.count(F.lit(1)).alias("together"))
 
 
