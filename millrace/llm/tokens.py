@@ -52,7 +52,8 @@ class ChunkEncoder:
     def chunks(self, text: str) -> list[str]:
         raise NotImplementedError
 
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, one after the other, and how many each has."""
         raise NotImplementedError
 
     def whole(self, text: str) -> np.ndarray:
@@ -65,14 +66,13 @@ class ChunkEncoder:
         while len(self.begin) < len(self.numbers):
             self.begin, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.count))
         for i in range(0, len(new), self.block):
-            part = self.encode_chunks(new[i : i + self.block])
-            sizes = np.fromiter(map(len, part), np.int64, len(part))
-            where = slice(place + i, place + i + len(part))
+            part, sizes = self.encode_chunks(new[i : i + self.block])
+            where = slice(place + i, place + i + len(sizes))
             self.count[where], self.begin[where] = sizes, self.used + np.cumsum(sizes) - sizes
-            total = int(sizes.sum())
+            total = len(part)
             while self.used + total > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            self.ids[self.used : self.used + total] = np.concatenate(part)
+            self.ids[self.used : self.used + total] = part
             self.used += total
 
     def encode(self, texts: Iterable[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,28 +144,86 @@ class ByteChunks(ChunkEncoder):
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         return _cut(ids, np.cumsum(self.lengths[ids]), np.cumsum(sizes))
 
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words are encoded as one text, which the lengths of the ids cut again."""
         out: dict[str, np.ndarray] = {"\r": np.zeros(0, np.uint32)}
         spaced = [c for c in chunks if c[0] not in _WHITE]
         bare = [c for c in chunks if c[0] == "\r" and len(c) > 1]
         out |= zip(spaced, self._run("".join(f" {c}" for c in spaced), [1 + len(c.encode()) for c in spaced]) or ())
         out |= zip(bare, (self._run("".join(f"{c[1:]}\n" for c in bare), [n for c in bare for n in (len(c.encode()) - 1, 1)]) or ())[::2])
-        return [out[c] if c in out else self.whole(c if c == "\n" else c[1:] if c[0] in "\r\t" else f" {c}") for c in chunks]
+        ids = [out[c] if c in out else self.whole(c if c == "\n" else c[1:] if c[0] in "\r\t" else f" {c}") for c in chunks]
+        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
 class WordChunks(ChunkEncoder):
-    """For vocabularies that drop white space: a chunk is what stands between spaces, tabs and line ends."""
+    """For vocabularies that drop white space: a chunk is what stands between spaces, tabs and line ends.
+
+    A new chunk of printable ASCII and Latin letters without an apostrophe is cut on to parts, which are runs of letters in lower case, single digits and runs of other characters. Parts
+    occur again far more often than chunks, and each is encoded once. That holds for vocabularies that end a word by a suffix and know no case, which is probed; others encode chunks.
+    """
+
+    #: Characters that composition leaves alone and that have one lower-case form, and the parts of a chunk of them in lower case.
+    _plain = re.compile("[!-&(-~À-ÖØ-öø-įı-ſ]*")
+    _parts = re.compile("[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+    _probe = ("Word.,!Ab12cÉß", "word .,! ab 1 2 céß")
+
+    def __init__(self, path: str, **kw) -> None:
+        super().__init__(path, **kw)
+        self.model = self.tokenizer.model
+        suffix = getattr(self.model, "end_of_word_suffix", None)
+        self.ends: np.ndarray | None = None
+        if suffix and np.array_equal(*map(self.whole, self._probe)) and all(self._alone(p) == self.whole(p).tobytes() for p in ("word", ".,!", "1")):
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _alone(self, part: str) -> bytes:
+        """The ids of a part of ASCII, which stands for itself in the vocabulary."""
+        return np.array([t.id for t in self.model.tokenize(part)], np.uint32).tobytes()
+
+    def _clear(self) -> None:
+        super()._clear()
+        self.parts: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
+    def _by_offsets(self, chunks: list[str]) -> list[np.ndarray]:
         e = self.tokenizer.encode_batch([" ".join(chunks)], add_special_tokens=False)[0]
         begins = np.cumsum([0, *(len(c) + 1 for c in chunks)])
         at = np.searchsorted(np.array([a for a, _ in e.offsets], np.int64), begins)
         return np.split(np.array(e.ids, np.uint32), at[1:-1])
 
+    def _learn_parts(self, new: list[str]) -> None:
+        """Parts of ASCII go to the merges as they are; others are encoded as one text, which the ends of words cut again."""
+        ascii_parts, other = [p for p in new if p.isascii()], [p for p in new if not p.isascii()]
+        tokenize = self.model.tokenize
+        found = [[t.id for t in tokenize(p)] for p in ascii_parts]
+        self._note(ascii_parts, np.array([i for ids in found for i in ids], np.uint32), np.cumsum([len(ids) for ids in found]))
+        if other:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(other)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(other):
+                self._note(other, ids, ends)
+            else:
+                self.parts |= {p: self.whole(p).tobytes() for p in other}
+
+    def _note(self, parts: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        raw, at = ids.tobytes(), [0, *(4 * ends).astype(np.int64).tolist()]
+        self.parts |= {p: raw[a:b] for p, a, b in zip(parts, at[:-1], at[1:], strict=True)}
+
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain, parts_of = self._plain.fullmatch, self._parts.findall
+        cut = [parts_of(c.lower()) if self.ends is not None and plain(c) else None for c in chunks]
+        new = [p for p in dict.fromkeys(p for parts in cut if parts for p in parts) if p not in self.parts]
+        if new:
+            self._learn_parts(new)
+        other = [c for c, parts in zip(chunks, cut, strict=True) if parts is None]
+        others = iter(self._by_offsets(other) if other else ())
+        known = self.parts.__getitem__
+        raw = [next(others).tobytes() if parts is None else b"".join(map(known, parts)) for parts in cut]
+        return np.frombuffer(b"".join(raw), np.uint32), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str, kind: str = "byte") -> ChunkEncoder:

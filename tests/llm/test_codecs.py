@@ -64,3 +64,21 @@ def test_pieces_and_bins():
         assert r[6] == used.get(r[5], 0)
         used[r[5]] = r[6] + r[2]
     assert max(used.values()) <= 1024 and sum(used.values()) == sum([1, 513, 700, 1024, 5000, 2, 341])
+
+
+def test_ids_of_odd_texts():
+    """Chunks that are cut to parts, and those that are not, give the ids of the whole text."""
+    import random
+
+    import public_tokenizers
+
+    from millrace.llm.tokens import encoder
+
+    draw = random.Random(1)
+    pieces = ["abC", "X", "!?", ".", "'", "'s", "12", "é", "É", "\x1c", "\x00", "\x7f", "</w>", "<|", "|>", " ", "\n", "\t", "́", "ſ", "K", "_", "endoftext", "<|endoftext|>", "\xa0", "½", "Ÿ", "ß", "İ", "ı", "ŉ", "×", "÷", "Ĳ", "µ", "ª"]
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randrange(25))) for _ in range(3000)]
+    for kind, path in (("word", "word_bpe_49k.json"), ("byte", "byte_bpe_50k.json")):
+        e = encoder(public_tokenizers.path(path), kind)
+        ids, starts = e.encode(texts, 1)
+        for i, text in enumerate(texts):
+            assert ids[starts[i] : starts[i + 1] - 1].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
