@@ -228,3 +228,11 @@ def test_ceiling_of_paths(spark, tmp_path):
     assert {k: len(v) for k, v in got.items()} == {"a/Six.cs": 5, "a/Full.cs": 199}
     rows = {(r.a, r.b): r.together for r in overview.folder_coupling(commits, changes, heads(spark, "a/Six.cs", "b/0.cs"), Scope()).collect()}
     assert rows == {("a", "b"): 2}
+
+
+def test_folders_below_the_one_that_holds_most(spark):
+    """Up to three levels are descended; a folder with one subfolder, or with too few of the files, is not."""
+    paths = {"deep": [f"a/b/c/{x}/{y}.cs" for x in "de" for y in range(8)] + ["a/b/x.cs", "a/q/y.cs", "a/b/r/z.cs"], "flat": ["a/x/1.cs", "b/y/2.cs", "3.cs"], "one": ["a/b/1.cs", "a/b/2.cs"], "none": ["1.cs"]}
+    files = spark.createDataFrame([(r, p) for r, ps in paths.items() for p in ps], "repo_slug string, path string")
+    got = {r.repo_slug: (r.root, r.depth) for r in overview._folder_root(files).collect()}
+    assert got == {"deep": ("a/b/c", 3), "flat": ("", 0), "one": ("", 0), "none": ("", 0)}
