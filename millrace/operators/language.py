@@ -34,6 +34,12 @@ def _jobs(profiles: tuple[LanguageProfile, ...], one: Callable[[LanguageProfile,
     return run
 
 
+def _scan(files: DataFrame, profiles: tuple[LanguageProfile, ...], one: Callable[[LanguageProfile, list[str]], Iterator[tuple]], columns: list[str], shape: str) -> DataFrame:
+    """``one`` over every file. Files are dealt by path to all tasks of a shuffle first: what they come from can be a few blocks, as of a table that compresses well."""
+    dealt = files.select(*KEYS, "extension", "lines").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS)
+    return dealt.mapInPandas(_jobs(profiles, one, columns), f"repo_slug string, path string, {shape}")
+
+
 def file_rows(lines: DataFrame) -> DataFrame:
     """One row per file from ``repo_slug, path, extension, line_number, content``."""
     ordered = F.array_sort(F.collect_list(F.struct("line_number", "content")))
@@ -47,7 +53,7 @@ def line_states(files: DataFrame, profiles: tuple[LanguageProfile, ...] = PROFIL
         for n, _, _, stack in lexical.lines_with_states(profile, lines, bound):
             yield n, lexical.open_state(stack)
 
-    return files.mapInPandas(_jobs(profiles, one, ["line_number", "state"]), "repo_slug string, path string, line_number int, state string")
+    return _scan(files, profiles, one, ["line_number", "state"], "line_number int, state string")
 
 
 def indent(line: str) -> int:
@@ -78,7 +84,7 @@ def declarations(files: DataFrame, profiles: tuple[LanguageProfile, ...] = PROFI
             yield n, found.type_name, found.member, found.kind, role, indent(line), found.opens_scope
 
     columns = ["line_number", "type_name", "member", "kind", "role", "indent", "opens_scope"]
-    return files.mapInPandas(_jobs(profiles, one, columns), "repo_slug string, path string, line_number int, type_name string, member string, kind string, role string, indent int, opens_scope boolean")
+    return _scan(files, profiles, one, columns, "line_number int, type_name string, member string, kind string, role string, indent int, opens_scope boolean")
 
 
 def import_lines(profile: LanguageProfile, lines: list[str]) -> Iterator[tuple[int, str, str]]:
@@ -102,7 +108,7 @@ def imports(files: DataFrame, profiles: tuple[LanguageProfile, ...] = PROFILES)
         for n, name, shape in import_lines(profile, lines) if profile.name else ():
             yield n, name, shape, evidence
 
-    return files.mapInPandas(_jobs(profiles, one, ["line_number", "name", "shape", "evidence"]), "repo_slug string, path string, line_number int, name string, shape string, evidence string")
+    return _scan(files, profiles, one, ["line_number", "name", "shape", "evidence"], "line_number int, name string, shape string, evidence string")
 
 
 def modules(files: DataFrame, profiles: tuple[LanguageProfile, ...] = PROFILES) -> DataFrame:
@@ -117,7 +123,7 @@ def modules(files: DataFrame, profiles: tuple[LanguageProfile, ...] = PROFILES)
                 yield (m[1],)
                 return
 
-    return files.mapInPandas(_jobs(profiles, one, ["module"]), "repo_slug string, path string, module string")
+    return _scan(files, profiles, one, ["module"], "module string")
 
 
 def is_assignment(rest: str, profile: LanguageProfile) -> bool:
@@ -173,7 +179,7 @@ def occurrences(files: DataFrame, symbol: str, profiles: tuple[LanguageProfile,
     """Every appearance of a symbol as a whole word, with its kind. Files that don't hold the text are left out before the scan."""
     holds = files.filter(F.exists("lines", lambda x: F.contains(x, F.lit(symbol))))
     one = lambda profile, lines: symbol_kinds(profile, lines, symbol)
-    return holds.mapInPandas(_jobs(profiles, one, ["line_number", "column", "kind"]), "repo_slug string, path string, line_number int, column int, kind string")
+    return _scan(holds, profiles, one, ["line_number", "column", "kind"], "line_number int, column int, kind string")
 
 
 def enclosing(rows: DataFrame, declared: DataFrame) -> DataFrame:
