@@ -12,6 +12,7 @@ import os
 import re
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 
@@ -32,6 +33,32 @@ class _Numbers(dict):
         return n
 
 
+class _Ids:
+    """The ids of every number, one after the other in one array."""
+
+    def __init__(self) -> None:
+        self.numbers = _Numbers()
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.count, self.noted = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def note(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """``ids``, of these sizes, are those of the next numbers."""
+        while len(self.begin) < self.noted + len(sizes):
+            self.begin, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.count))
+        where = slice(self.noted, self.noted + len(sizes))
+        self.count[where], self.begin[where] = sizes, self.used + np.cumsum(sizes) - sizes
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used, self.noted = self.used + len(ids), self.noted + len(sizes)
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these numbers, one after the other, and how many each has."""
+        counts = self.count[numbers]
+        upto = np.cumsum(counts)
+        return self.ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(self.begin[numbers] - upto + counts, counts)], counts
+
+
 class ChunkEncoder:
     """Unsigned 32-bit ids of texts, as the tokenizers library gives them without special tokens added."""
 
@@ -45,9 +72,7 @@ class ChunkEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.numbers = _Numbers()
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.table = _Ids()
 
     def chunks(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -61,25 +86,15 @@ class ChunkEncoder:
 
     def _learn(self) -> None:
         """Ids of the chunks that are new."""
-        new, self.numbers.new = self.numbers.new, []
-        place = len(self.numbers) - len(new)
-        while len(self.begin) < len(self.numbers):
-            self.begin, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.count))
+        new, self.table.numbers.new = self.table.numbers.new, []
         for i in range(0, len(new), self.block):
-            part, sizes = self.encode_chunks(new[i : i + self.block])
-            where = slice(place + i, place + i + len(sizes))
-            self.count[where], self.begin[where] = sizes, self.used + np.cumsum(sizes) - sizes
-            total = len(part)
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            self.ids[self.used : self.used + total] = part
-            self.used += total
+            self.table.note(*self.encode_chunks(new[i : i + self.block]))
 
     def encode(self, texts: Iterable[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by ``end``, one after the other, and where each text's begin (and the last ends)."""
-        if len(self.numbers) > self.most:
+        if len(self.table.numbers) > self.most:
             self._clear()
-        get, numbers, odd = self.numbers.__getitem__, [], {}
+        get, numbers, odd = self.table.numbers.__getitem__, [], {}
         for i, text in enumerate(texts):
             if not text:
                 numbers.append(np.zeros(0, np.int64))
@@ -91,7 +106,7 @@ class ChunkEncoder:
                 numbers.append(np.fromiter(map(get, chunks), np.int64, len(chunks)))
         self._learn()
         every = np.concatenate([*numbers, np.zeros(0, np.int64)])
-        counts = self.count[every]
+        found, counts = self.table.of(every)
         upto = np.concatenate(([0], np.cumsum(counts)))
         owners = np.cumsum([0, *map(len, numbers)])
         sizes = np.diff(upto[owners])
@@ -100,9 +115,8 @@ class ChunkEncoder:
         starts = np.concatenate(([0], np.cumsum(sizes + 1)))
         # Where a chunk's ids go: behind those before it, and behind one closing id for each text before.
         shift = np.repeat(starts[:-1] - upto[owners[:-1]], np.diff(owners))
-        inside = np.arange(upto[-1])
         out = np.empty(starts[-1], np.uint32)
-        out[inside + np.repeat(shift, counts)] = self.ids[inside + np.repeat(self.begin[every] - upto[:-1], counts)]
+        out[np.arange(upto[-1]) + np.repeat(shift, counts)] = found
         for i, ids in odd.items():
             out[starts[i] : starts[i + 1] - 1] = ids
         out[starts[1:] - 1] = end
@@ -117,6 +131,15 @@ def _cut(ids: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> list[np.ndarr
     return np.split(ids, at + 1)[:-1]
 
 
+def _mixed(first: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and sizes in the order in which ``first`` takes from ``a`` or else from ``b``, both as ids and sizes."""
+    sizes = np.empty(len(first), np.int64)
+    sizes[first], sizes[~first] = a[1], b[1]
+    ids, own = np.empty(int(sizes.sum()), np.uint32), np.repeat(first, sizes)
+    ids[own], ids[~own] = a[0], b[0]
+    return ids, sizes
+
+
 class ByteChunks(ChunkEncoder):
     """For byte-level vocabularies: a chunk is a word with the space before it, a word without one, or white space that stands alone.
 
@@ -162,9 +185,9 @@ class WordChunks(ChunkEncoder):
     occur again far more often than chunks, and each is encoded once. That holds for vocabularies that end a word by a suffix and know no case, which is probed; others encode chunks.
     """
 
-    #: Characters that composition leaves alone and that have one lower-case form, and the parts of a chunk of them in lower case.
+    #: Characters that composition leaves alone and that have one lower-case form, and the parts of such chunks in lower case with a space between two of them.
     _plain = re.compile("[!-&(-~À-ÖØ-öø-įı-ſ]*")
-    _parts = re.compile("[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+    _parts = re.compile("[a-zß-öø-ſ]+|[0-9]| |[^ a-z0-9ß-öø-ſ]+")
     _probe = ("Word.,!Ab12cÉß", "word .,! ab 1 2 céß")
 
     def __init__(self, path: str, **kw) -> None:
@@ -183,7 +206,10 @@ class WordChunks(ChunkEncoder):
 
     def _clear(self) -> None:
         super()._clear()
-        self.parts: dict[str, bytes] = {}
+        self.parts = _Ids()
+        self._space = self.parts.numbers[" "]  # stands between chunks and has no ids
+        self.parts.numbers.new = []
+        self.parts.note(np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def chunks(self, text: str) -> list[str]:
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
@@ -194,35 +220,36 @@ class WordChunks(ChunkEncoder):
         at = np.searchsorted(np.array([a for a, _ in e.offsets], np.int64), begins)
         return np.split(np.array(e.ids, np.uint32), at[1:-1])
 
-    def _learn_parts(self, new: list[str]) -> None:
+    def _learn_parts(self) -> None:
         """Parts of ASCII go to the merges as they are; others are encoded as one text, which the ends of words cut again."""
-        ascii_parts, other = [p for p in new if p.isascii()], [p for p in new if not p.isascii()]
+        new, self.parts.numbers.new = self.parts.numbers.new, []
+        is_ascii = np.fromiter(map(str.isascii, new), bool, len(new))
         tokenize = self.model.tokenize
-        found = [[t.id for t in tokenize(p)] for p in ascii_parts]
-        self._note(ascii_parts, np.array([i for ids in found for i in ids], np.uint32), np.cumsum([len(ids) for ids in found]))
-        if other:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(other)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(other):
-                self._note(other, ids, ends)
-            else:
-                self.parts |= {p: self.whole(p).tobytes() for p in other}
-
-    def _note(self, parts: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        raw, at = ids.tobytes(), [0, *(4 * ends).astype(np.int64).tolist()]
-        self.parts |= {p: raw[a:b] for p, a, b in zip(parts, at[:-1], at[1:], strict=True)}
+        found = [tokenize(p) for p in new if p.isascii()]
+        known = np.array([t.id for tokens in found for t in tokens], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        self.parts.note(*_mixed(is_ascii, known, self._as_one([p for p in new if not p.isascii()])))
+
+    def _as_one(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not parts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(parts):
+            return ids, np.diff(ends, prepend=0)
+        each = [self.whole(p) for p in parts]
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain, parts_of = self._plain.fullmatch, self._parts.findall
-        cut = [parts_of(c.lower()) if self.ends is not None and plain(c) else None for c in chunks]
-        new = [p for p in dict.fromkeys(p for parts in cut if parts for p in parts) if p not in self.parts]
-        if new:
-            self._learn_parts(new)
-        other = [c for c, parts in zip(chunks, cut, strict=True) if parts is None]
-        others = iter(self._by_offsets(other) if other else ())
-        known = self.parts.__getitem__
-        raw = [next(others).tobytes() if parts is None else b"".join(map(known, parts)) for parts in cut]
-        return np.frombuffer(b"".join(raw), np.uint32), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        plain = np.fromiter((self.ends is not None and self._plain.fullmatch(c) is not None for c in chunks), bool, len(chunks))
+        quick = list(compress(chunks, plain))
+        cut = self._parts.findall(" ".join(quick).lower())
+        numbers = np.fromiter(map(self.parts.numbers.__getitem__, cut), np.int64, len(cut))
+        if self.parts.numbers.new:
+            self._learn_parts()
+        ids, counts = self.parts.of(numbers)
+        sizes = np.bincount(np.cumsum(numbers == self._space), counts, len(quick)).astype(np.int64)
+        others = self._by_offsets(list(compress(chunks, ~plain))) if len(quick) < len(chunks) else []
+        return _mixed(plain, (ids, sizes), (np.concatenate([*others, np.zeros(0, np.uint32)]), np.array([len(x) for x in others], np.int64)))
 
 
 @lru_cache(maxsize=2)

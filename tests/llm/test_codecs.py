@@ -82,3 +82,24 @@ def test_ids_of_odd_texts():
         ids, starts = e.encode(texts, 1)
         for i, text in enumerate(texts):
             assert ids[starts[i] : starts[i + 1] - 1].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_parts_of_new_chunks_are_cut_and_looked_up_together():
+    import public_tokenizers
+
+    from millrace.llm.tokens import WordChunks
+
+    class Counted:
+        calls = 0
+
+        def findall(self, text):
+            Counted.calls += 1
+            return WordChunks._parts.findall(text)
+
+    encoder = WordChunks(public_tokenizers.path("word_bpe_49k.json"))
+    encoder._parts = Counted()
+    texts = [" ".join(f"Wort{i}x, Ünd{i}-{j} it's" for i in range(40)) for j in range(30)] + ["", None, "  a  Éß b ", "Σας 日本語 don't", "x"]
+    ids, starts = encoder.encode(texts, 1)
+    assert 0 < Counted.calls <= 2  # a block of new chunks is cut at once, not each by itself
+    for text, a, b in zip(texts, starts[:-1], starts[1:], strict=True):
+        assert ids[a:b].tolist() == [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
