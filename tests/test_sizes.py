@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import queries
 from millrace.operators import history, language, lineage, overview
 from millrace.plans import corpus
 from millrace.plans.scope import Scope
@@ -53,3 +54,9 @@ def test_files_of_one_block_are_scanned_by_many_tasks(spark):
     for scanned in (language.declarations(files), language.occurrences(files, "A"), language.line_states(files)):
         held = scanned.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
         assert len(held) == 2 and sum(r["n"] for r in held) == 200
+
+
+@pytest.mark.parametrize("name", ["co_changed", "co_changed_ceiling"])
+def test_changes_are_put_together_once(spark, name):
+    read = queries.QUERIES[name](spark, DATA).inputFiles()
+    assert read and not any("lineitem.parquet" in f or "orders.parquet" in f for f in read)
