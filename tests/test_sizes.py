@@ -1,5 +1,7 @@
 """Tasks stay as small as they are when the input grows: how rows are dealt, and that no task holds a whole group's values."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +62,9 @@ def test_files_of_one_block_are_scanned_by_many_tasks(spark):
 def test_changes_are_put_together_once(spark, name):
     read = queries.QUERIES[name](spark, DATA).inputFiles()
     assert read and not any("lineitem.parquet" in f or "orders.parquet" in f for f in read)
+
+
+def test_folders_are_not_dealt_by_repository(tables):
+    commits, changes, files = tables
+    dealt = plan(overview.folder_coupling(commits, changes, files, Scope(365))).split("== Physical Plan ==")[1]
+    assert "hashpartitioning(commit_id" in dealt and not re.search(r"hashpartitioning\(repo_slug#\d+L?(, folder#\d+)?, \d", dealt)
