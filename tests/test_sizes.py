@@ -9,6 +9,7 @@ from millrace import queries
 from millrace.operators import history, language, lineage, overview
 from millrace.plans import corpus
 from millrace.plans.scope import Scope
+from millrace.plans.tables import settings
 
 DATA = "/root/testdata/sf0.001"
 
@@ -28,6 +29,14 @@ def test_history_is_dealt_by_its_rows(spark, monkeypatch):
     assert corpus.sized(spark, DATA, "commits") is spark
 
 
+def test_scans_of_the_history_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "SCAN_BYTES", "64k")  # a scan that sorts for an aggregate holds what it reads
+    own = corpus.sized(spark, DATA, "commit_files")
+    with settings(own, spark__sql__files__openCostInBytes="1k"):
+        assert own.read.parquet(f"{DATA}/lineitem.parquet").rdd.getNumPartitions() > 1
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") != "64k"
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     return [corpus.view(spark, DATA, n) for n in ("commits", "commit_files", "files")]
@@ -64,6 +73,11 @@ def test_changes_are_put_together_once(spark, name):
     assert read and not any("lineitem.parquet" in f or "orders.parquet" in f for f in read)
 
 
+def test_excluded_counts_puts_changes_together_once(spark):
+    read = queries.QUERIES["excluded_counts"](spark, DATA).inputFiles()
+    assert read and not any("lineitem.parquet" in f for f in read)
+
+
 def test_folders_are_not_dealt_by_repository(tables):
     commits, changes, files = tables
     dealt = plan(overview.folder_coupling(commits, changes, files, Scope(365))).split("== Physical Plan ==")[1]
