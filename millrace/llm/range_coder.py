@@ -63,7 +63,7 @@ class _Counts:
 
     def places(self, ids: np.ndarray) -> np.ndarray:
         """Each id's number in the list, counted from 1, or 0 for the escape."""
-        to = np.zeros(int(ids.max(initial=0)) + 1, _N)
+        to = np.zeros(1 + max(int(ids.max(initial=0)), int(self.listed.max(initial=0))), _N)  # a part of the file may lack the greatest listed id
         to[self.listed] = np.arange(1, len(self.listed) + 1)
         return to[ids]
 

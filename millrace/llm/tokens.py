@@ -12,9 +12,11 @@ import os
 import re
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space by Unicode, as the patterns of the vocabularies read it.
 _WHITE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -27,6 +29,16 @@ class _Numbers(dict):
         super().__init__()
         self.new: list = []
 
+    def of(self, names: np.ndarray) -> np.ndarray:
+        """The numbers of different chunks; new ones are noted together."""
+        numbers = np.fromiter(map(self.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(numbers < 0)
+        fresh = names[new].tolist()
+        numbers[new] = np.arange(len(self), len(self) + len(fresh))
+        self.update(zip(fresh, range(len(self), len(self) + len(fresh))))
+        self.new += fresh
+        return numbers
+
     def __missing__(self, chunk: str | None) -> int:
         self[chunk] = n = len(self)
         self.new.append(chunk)
@@ -90,25 +102,24 @@ class ChunkEncoder:
         for i in range(0, len(new), self.block):
             self.table.note(*self.encode_chunks(new[i : i + self.block]))
 
+    def _numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the chunks of all texts, one after the other, and how many each text has."""
+        cut = [self.chunks(text) if text else [] for text in texts]
+        get = self.table.numbers.__getitem__
+        numbers = [np.fromiter(map(get, chunks), np.int64, len(chunks)) for chunks in cut]
+        return np.concatenate([*numbers, np.zeros(0, np.int64)]), np.fromiter(map(len, cut), np.int64, len(cut))
+
     def encode(self, texts: Iterable[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by ``end``, one after the other, and where each text's begin (and the last ends)."""
         if len(self.table.numbers) > self.most:
             self._clear()
-        get, numbers, odd = self.table.numbers.__getitem__, [], {}
-        for i, text in enumerate(texts):
-            if not text:
-                numbers.append(np.zeros(0, np.int64))
-            elif any(x in text for x in self.special):
-                odd[i] = self.whole(text)
-                numbers.append(np.zeros(0, np.int64))
-            else:
-                chunks = self.chunks(text)
-                numbers.append(np.fromiter(map(get, chunks), np.int64, len(chunks)))
+        texts = list(texts)
+        odd = {i: self.whole(text) for i, text in enumerate(texts) if text and any(x in text for x in self.special)}
+        every, lengths = self._numbered(["" if i in odd else text or "" for i, text in enumerate(texts)])
         self._learn()
-        every = np.concatenate([*numbers, np.zeros(0, np.int64)])
         found, counts = self.table.of(every)
         upto = np.concatenate(([0], np.cumsum(counts)))
-        owners = np.cumsum([0, *map(len, numbers)])
+        owners = np.concatenate(([0], np.cumsum(lengths)))
         sizes = np.diff(upto[owners])
         for i, ids in odd.items():
             sizes[i] = len(ids)
@@ -140,6 +151,11 @@ def _mixed(first: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndar
     return ids, sizes
 
 
+def _looked_up(numbers: _Numbers, each: pa.DictionaryArray) -> np.ndarray:
+    """The numbers of strings, each different one looked up once."""
+    return numbers.of(each.dictionary.to_numpy(zero_copy_only=False))[each.indices.to_numpy()]  # to_pylist is many times slower
+
+
 class ByteChunks(ChunkEncoder):
     """For byte-level vocabularies: a chunk is a word with the space before it, a word without one, or white space that stands alone.
 
@@ -186,7 +202,7 @@ class WordChunks(ChunkEncoder):
     """
 
     #: Characters that composition leaves alone and that have one lower-case form, and the parts of such chunks in lower case with a space between two of them.
-    _plain = re.compile("[!-&(-~À-ÖØ-öø-įı-ſ]*")
+    _plain = r"\A[!-&(-~À-ÖØ-öø-įı-ſ]*\z"
     _parts = re.compile("[a-zß-öø-ſ]+|[0-9]| |[^ a-z0-9ß-öø-ſ]+")
     _probe = ("Word.,!Ab12cÉß", "word .,! ab 1 2 céß")
 
@@ -211,8 +227,12 @@ class WordChunks(ChunkEncoder):
         self.parts.numbers.new = []
         self.parts.note(np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
-    def chunks(self, text: str) -> list[str]:
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    def _numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts are cut by Arrow, and each chunk of a batch is looked up once."""
+        rows = pa.array([t.replace("\n", " ").replace("\t", " ").replace("\r", " ") if t else None for t in texts], pa.large_string())
+        cut = pc.split_pattern(rows, " ")
+        each = cut.flatten().dictionary_encode()
+        return _looked_up(self.table.numbers, each), pc.fill_null(pc.list_value_length(cut), 0).to_numpy().astype(np.int64)
 
     def _by_offsets(self, chunks: list[str]) -> list[np.ndarray]:
         e = self.tokenizer.encode_batch([" ".join(chunks)], add_special_tokens=False)[0]
@@ -240,10 +260,10 @@ class WordChunks(ChunkEncoder):
         return np.concatenate(each), np.array([len(x) for x in each], np.int64)
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = np.fromiter((self.ends is not None and self._plain.fullmatch(c) is not None for c in chunks), bool, len(chunks))
+        plain = np.zeros(len(chunks), bool) if self.ends is None else pc.match_substring_regex(pa.array(chunks, pa.large_string()), self._plain).to_numpy(zero_copy_only=False)
         quick = list(compress(chunks, plain))
         cut = self._parts.findall(" ".join(quick).lower())
-        numbers = np.fromiter(map(self.parts.numbers.__getitem__, cut), np.int64, len(cut))
+        numbers = _looked_up(self.parts.numbers, pa.array(cut, pa.large_string()).dictionary_encode())
         if self.parts.numbers.new:
             self._learn_parts()
         ids, counts = self.parts.of(numbers)

@@ -103,3 +103,26 @@ def test_parts_of_new_chunks_are_cut_and_looked_up_together():
     assert 0 < Counted.calls <= 2  # a block of new chunks is cut at once, not each by itself
     for text, a, b in zip(texts, starts[:-1], starts[1:], strict=True):
         assert ids[a:b].tolist() == [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+def test_a_part_of_a_file_may_lack_its_greatest_ids(monkeypatch):
+    from millrace.llm import range_coder
+
+    monkeypatch.setattr(range_coder, "LANES", 2)
+    ids = np.array([900] * 32 + [3] * 20, "<u4")  # the second two blocks hold no 900, which is listed
+    assert (decompress(compress(ids, block=16)) == ids).all()
+
+
+def test_each_chunk_of_a_batch_is_looked_up_once(monkeypatch):
+    import public_tokenizers
+
+    from millrace.llm.tokens import WordChunks, _Numbers
+
+    seen, of = [], _Numbers.of
+    monkeypatch.setattr(_Numbers, "of", lambda self, names: seen.append(len(names)) or of(self, names))
+    encoder = WordChunks(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Straße\tQuéŝ straße, it's 12\r\n" * 50, None, "", " ", "Straße İx ıŉ ﬁn\u0085a   x\x00y", "b" * 300 + " Å Å é ſ×÷ø", "日本 12"] * 3
+    ids, starts = encoder.encode(texts, 1)
+    assert seen[0] == len({c for t in texts if t for c in t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")})
+    for text, a, b in zip(texts, starts[:-1], starts[1:], strict=True):
+        assert ids[a:b].tolist() == [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 1], text
