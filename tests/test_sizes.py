@@ -82,3 +82,11 @@ def test_folders_are_not_dealt_by_repository(tables):
     commits, changes, files = tables
     dealt = plan(overview.folder_coupling(commits, changes, files, Scope(365))).split("== Physical Plan ==")[1]
     assert "hashpartitioning(commit_id" in dealt and not re.search(r"hashpartitioning\(repo_slug#\d+L?(, folder#\d+)?, \d", dealt)
+
+
+@pytest.mark.parametrize("name", ["hidden_paths", "hot_files", "hotspots", "churned_extensions", "authors_per_file", "recorded_history", "excluded_files", "excluded_inner", "extension_counts"])
+def test_history_queries_are_dealt_by_rows_and_cut_their_scans(spark, monkeypatch, name):
+    monkeypatch.setattr(corpus, "TASK_ROWS", 100)
+    own = queries.QUERIES[name](spark, DATA).sparkSession
+    assert own.conf.get("spark.sql.files.maxPartitionBytes") == corpus.SCAN_BYTES
+    assert int(own.conf.get("spark.sql.shuffle.partitions")) >= spark.read.parquet(f"{DATA}/lineitem.parquet").count() / 100
