@@ -26,6 +26,10 @@ from millrace.llm.tables import discard, written
 from millrace.llm.text import SPACE_CLASS
 
 
+#: Bytes of lines whose hashes are made at once, for signatures and for sets: their arrays stay in the processor's cache.
+KEY_BYTES, SET_BYTES = 1 << 17, 1 << 16
+
+
 @dataclass(frozen=True)
 class LineDedup:
     """At similarity 0.75 a pair shares a band with probability 1 - (1 - 0.75 ** rows) ** bands: 0.9993; above 0.75 it is greater.
@@ -92,7 +96,7 @@ def _resolved(lines: DataFrame, how: LineDedup) -> DataFrame:
             seen.update(nodes.tolist())
             nodes, first = nodes[fresh], first[fresh]
             found = []
-            for _, _, data, at in slices(*text_bytes(batch.column(1).take(pa.array(first)))):
+            for _, _, data, at in slices(*text_bytes(batch.column(1).take(pa.array(first))), KEY_BYTES):
                 sig = signatures(*quick_shingles(lowered(data), at, how.shingle), how)
                 found.append((marks(sig), band_keys(sig, how)))
             if found:
@@ -107,21 +111,37 @@ def _resolved(lines: DataFrame, how: LineDedup) -> DataFrame:
 
     def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, k, data, at in slices(*text_bytes(batch.column(1))):
+            for i, k, data, at in slices(*text_bytes(batch.column(1)), SET_BYTES):
                 sizes, sketches = links.outlines(*links.distinct(*character_shingles(lowered(data), at, how.shingle)), k - i)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, k - i), pa.array(sizes, pa.int64()), sketches, batch.column(1).slice(i, k - i)], ["node", "n", "sketch", "elements"])
 
     def bounded(nodes: DataFrame) -> DataFrame:
         return F.broadcast(nodes) if nodes.count() <= how.broadcast_rows else nodes
 
+    spare: list[DataFrame] = []
+
+    def likely(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+        """``lines`` without most of those that ``nodes`` doesn't name, before they are shuffled: by a bitmap of the nodes' hashes, of 8 MB at most, where there are too many nodes to broadcast."""
+        n = nodes.count()
+        if n <= how.broadcast_rows:
+            return lines
+        words = min(1 << max(10, (n // 8).bit_length()), 1 << 20)
+        hashed = F.xxhash64("node")
+        word, bit = F.shiftrightunsigned(hashed, 6).bitwiseAND(words - 1).cast("int"), hashed.bitwiseAND(63).cast("int")
+        filled = nodes.select(word.alias("word"), F.expr("1L << cast(xxhash64(node) & 63 as int)").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        every = spark.range(words).select(F.col("id").cast("int").alias("word")).join(filled, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits"))
+        bitmap = written(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bitmap")), "line-bitmap")  # one row
+        spare.append(bitmap)
+        return lines.join(F.broadcast(bitmap), F.getbit(F.get("bitmap", word), bit) == 1, "left_semi")
+
     rows = lines.select("node", "line").mapInArrow(keys, links.KEYS_SCHEMA)
     groups = written(links.grouped(rows, buckets, how.percent), "line-groups", rows=how.lines_per_batch)
     wanted = written(groups.select(F.explode(F.concat(F.array("pivot"), F.col("members"))).alias("node")).distinct(), "line-nodes")
-    chosen = lines.join(bounded(wanted), "node", "left_semi").groupBy("node").agg(F.first(F.col("line").cast("binary")).alias("elements"))
+    chosen = likely(lines, wanted).join(bounded(wanted), "node", "left_semi").groupBy("node").agg(F.first(F.col("line").cast("binary")).alias("elements"))
     sketches = written(chosen.mapInArrow(outlines, "node long, n long, sketch binary, elements binary"), "line-outlines", rows=how.lines_per_batch)
     fetch = lambda nodes: sketches.join(bounded(nodes), "node", "left_semi").select("node", "elements")
     labels = links.resolve(groups, sketches, fetch, how.percent, as_set, many, at_once=True)
-    discard(groups, wanted, sketches)
+    discard(groups, wanted, sketches, *spare)
     return labels
 
 

@@ -340,8 +340,8 @@ def _labelled(pairs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return pairs.join(side, column, "left").withColumn(f"l{column}", F.coalesce(f"l{column}", column))
 
 
-def _closest(node: np.ndarray, n: np.ndarray, raw: list[bytes], a: np.ndarray, b: np.ndarray, percent: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs of places ``a, b``, those that sketches don't rule out; with ``nearest`` so many per ``a``."""
+def _closest(node: np.ndarray, n: np.ndarray, raw: list[bytes], a: np.ndarray, b: np.ndarray, percent: int, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of places ``a, b``, those that sketches don't rule out; with ``nearest`` so many per ``a``, and the nodes ``a`` of which some are left out."""
     lengths = np.array([len(r) for r in raw])
     size = np.minimum(lengths[a], lengths[b])
     distance = np.zeros(len(a), np.int64)
@@ -357,13 +357,15 @@ def _closest(node: np.ndarray, n: np.ndarray, raw: list[bytes], a: np.ndarray, b
             distance[pairs[i : i + step]] = np.bitwise_count(bits[x[i : i + step]] ^ bits[y[i : i + step]]).sum(1, dtype=np.int64)
     close = distance <= (100 - percent) * (n[a] + n[b]) // (100 + percent)
     a, b, distance = a[close], b[close], distance[close]
+    cut = a[:0]
     if nearest:
         order = np.lexsort((distance, a))
         a, b = a[order], b[order]
         first = np.flatnonzero(np.diff(a, prepend=-1))
         rank = np.arange(len(a)) - np.repeat(first, np.diff(first, append=len(a)))
+        cut = np.unique(a[rank == nearest])
         a, b = a[rank < nearest], b[rank < nearest]
-    return node[a], node[b]
+    return node[a], node[b], node[cut]
 
 
 def _shared_pairs(runs: list[np.ndarray], left: np.ndarray, right: np.ndarray, allow: Callable) -> np.ndarray:
@@ -386,8 +388,9 @@ def _shared_pairs(runs: list[np.ndarray], left: np.ndarray, right: np.ndarray, a
     return np.unique(np.concatenate(out))
 
 
-def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, done: DataFrame, percent: int, nearest: int = 0) -> DataFrame:
+def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, done: DataFrame, percent: int, nearest: int = 0) -> tuple[DataFrame, DataFrame | None]:
     """Pairs of nodes that are not ``done``, as a written table: those of different components that share a group and that sketches don't rule out; with ``nearest`` so many per node and cell.
+    Beside it the ``gid`` of groups of which pairs are left out so, if there are any: components only grow, so that no other group can bring a pair that was not compared.
 
     A cell holds many small groups, or pairs of blocks of large ones; both are bounded. Groups with the same first member in the order of a
     hash meet in a cell: sets that are alike share hundreds of groups of nearly the same members, and each pair is compared there once.
@@ -400,7 +403,7 @@ def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, done: Dat
     total = mixed.agg(F.sum("m")).first()[0]
     if not total:
         discard(mixed)
-        return written(groups.sparkSession.createDataFrame([], "a long, b long"), "rest")
+        return written(groups.sparkSession.createDataFrame([], "a long, b long"), "rest"), None
     length = sketches.agg(F.avg(F.length("sketch"))).first()[0]
     cells = int(total * (length + 100) / CELL_BYTES) + 1
     held = mixed.groupBy("rep").agg(F.sum("m").alias("held"))
@@ -436,13 +439,20 @@ def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, done: Dat
                 a, b = np.divmod(np.unique(np.concatenate(found)), len(distinct))
                 out.append(_closest(distinct, n, raw, a, b, percent, nearest))
                 found, held = [], 0
-        a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        a, b, cut = (np.concatenate([o[k] for o in out]) for k in (0, 1, 2))
+        pairs = pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        return pa.concat_tables([pairs, pa.table({"a": pa.array(cut, pa.int64()), "b": pa.nulls(len(cut), pa.int64())})])
 
     pairs = rows.groupBy("cell").cogroup(nodes.groupBy("cell")).applyInArrow(compared, "a long, b long").distinct()
-    out = written(pairs.join(done, ["a", "b"], "left_anti"), "rest")
-    discard(mixed, rows)
-    return out
+    if not nearest:
+        out = written(pairs.join(done, ["a", "b"], "left_anti"), "rest")
+        discard(mixed, rows)
+        return out, None
+    pairs = written(pairs, "pairs")
+    out = written(pairs.filter("b is not null").join(done, ["a", "b"], "left_anti"), "rest")
+    cut = written(again.join(pairs.filter("b is null").select(F.col("a").alias("node")), "node", "left_semi").select("gid").distinct(), "cut")
+    discard(mixed, rows, pairs)
+    return out, None if cut.isEmpty() else cut
 
 
 def resolve(groups: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, as_set: AsSet = stored_set, many: Callable | None = None, at_once: bool = False) -> DataFrame:
@@ -475,14 +485,19 @@ def resolve(groups: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame],
         discard(sets, best, labels)
     labels = components(links)
     discard(stars)
-    # Nearest pairs first: what they join need not be compared pair by pair. The last round leaves nothing out.
+    # Nearest pairs first: what they join need not be compared pair by pair. The last round leaves nothing out, and is for groups of which the one before it left pairs out.
     done, rounds = near, [NEAREST] * ROUNDS + [0]
     while rounds:
         nearest = rounds.pop(0)
-        rest = _across(groups, labels, sketches, done, percent, nearest)
+        rest, cut = _across(groups, labels, sketches, done, percent, nearest)
         kept.append(rest)
+        if cut is None:
+            rounds = []
+        else:
+            groups = groups.join(cut, "gid", "left_semi")
+            kept.append(cut)
         if rest.isEmpty():
-            rounds = [0] if nearest else []
+            rounds = rounds[-1:]
             continue
         nodes = _nodes(rest)
         sets = written(fetch(nodes), "sets", compression="none", rows=ROWS)
@@ -490,7 +505,7 @@ def resolve(groups: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame],
         discard(sets, nodes)
         kept.append(more)
         if more.isEmpty():
-            rounds = [0] if nearest else []
+            rounds = rounds[-1:]
         else:
             links, done = links.unionByName(more), done.unionByName(rest)
             discard(labels)
