@@ -168,3 +168,11 @@ def test_lineage_reads_changes_that_were_put_together_once(spark, monkeypatch, n
     monkeypatch.setattr(lineage, "path_lineage", lambda changes: made.append(changes.inputFiles()) or changes)
     queries.QUERIES[name](spark, DATA)
     assert made[0] and not any("lineitem.parquet" in f for f in made[0])
+
+
+def test_changes_in_shares_are_those_of_the_view(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "SHARE_ROWS", 1500)
+    got = corpus.paths(spark, DATA)
+    shares = {f.rsplit("/", 2)[1] for f in got.inputFiles()}
+    view = corpus.view(spark, DATA, "commit_files").select("repo_slug", "commit_id", "path")
+    assert len(shares) >= 4 and got.count() == view.count() > 0 and got.exceptAll(view).isEmpty()
